@@ -1,0 +1,6 @@
+"""Streaming.
+
+The reference has no streaming operators (no watermarks, windows over event
+time, or stateful operators): imports are whole-file full refreshes.  This
+package is intentionally empty; see README "Not built".
+"""
