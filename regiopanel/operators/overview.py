@@ -32,6 +32,11 @@ def at_latest(fact: DataFrame, latest: DataFrame) -> DataFrame:
     return fact.join(F.broadcast(latest), M)  # inner join to a 1-row frame == filter
 
 
+def _mean(c: str):
+    """Unweighted mean as exact decimal sum / count, returned as DOUBLE."""
+    return F.sum(c).cast("double") / F.count(c)
+
+
 def _score_desc_order():
     return [F.col("priority_score").desc_nulls_last(), F.col(G).asc()]
 
@@ -46,7 +51,7 @@ def kpis(store: dict, scores: DataFrame) -> DataFrame:
         F.coalesce(F.sum("total_rooms"), F.lit(0)).alias("total_rooms"),
         F.coalesce(F.sum("total_beds"), F.lit(0)).alias("total_beds"))
     occ = at_latest(store["occupancy"], latest).agg(
-        F.coalesce(F.avg("average_occupancy_rate"), F.lit(0)).alias("average_occupancy_rate"))
+        F.coalesce(_mean("average_occupancy_rate"), F.lit(0.0)).alias("average_occupancy_rate"))
     # JN-7: attach the threshold parameter through a constant-key join; a
     # missing (or non-numeric) parameter yields zero high-priority rows.
     thr = (store["params"].where(F.col("parameter_key") == S.HIGH_PRIORITY_KEY)
@@ -167,7 +172,7 @@ def exec_kpis(store: dict) -> DataFrame:
     latest = latest_month(store["visitors"])
     vis = at_latest(store["visitors"], latest).agg(F.sum("total_visitors").alias("total_visitors"))
     beds = at_latest(store["rooms_beds"], latest).agg(F.sum("total_beds").alias("total_beds"))
-    occ = at_latest(store["occupancy"], latest).agg(F.avg("average_occupancy_rate").alias("avg_occupancy"))
+    occ = at_latest(store["occupancy"], latest).agg(_mean("average_occupancy_rate").alias("avg_occupancy"))
     return (latest.select(F.col(M).cast("string").alias("latest_month"))
             .crossJoin(vis).crossJoin(beds).crossJoin(occ))
 

@@ -1,0 +1,106 @@
+"""End-to-end plans over a store: recompute, forecast runs, scenario runs and
+their run-detail reads (IND-4, FC-5, FC-6, SC-4, SRC-21).
+
+A store is a dict of DataFrames.  ``with_run``-style helpers return a *new*
+store with the run's rows appended (union), mirroring the append-only run
+ledgers; ``plans.store.ParquetStore`` persists the same tables.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from regiopanel import schemas as S
+from regiopanel.functions import columns as C
+from regiopanel.operators import forecast as FC
+from regiopanel.operators import indicators as IND
+from regiopanel.operators import scenario as SC
+from regiopanel.session import materialize
+from regiopanel.sources import params as P
+
+G, M = S.G, S.M
+
+
+# --- IND-4 ------------------------------------------------------------------
+
+def recompute(store: dict, overrides: dict | None = None, persist: bool = False) -> dict:
+    """Rebuild the three derived panels from one plan.  With ``persist`` the
+    shared frame is checkpointed once and the three tables are projections."""
+    params = P.resolve(store.get("params"), overrides)
+    scored = IND.recompute_frame(store, params)
+    if persist:
+        scored = materialize(scored)
+    return {"indicators": IND.indicators(scored), "classification": IND.classification(scored),
+            "scores": IND.priority_scores(scored)}
+
+
+# --- FC-5 / FC-6 ------------------------------------------------------------
+
+def run_forecast(store: dict, run_id: int, horizon: int = 12, model_name: str | None = None,
+                 persist: bool = False) -> dict:
+    """One forecast run over every series: header, forecasts, backtest metrics."""
+    model = C.model_name(model_name)
+    spark = store["visitors"].sparkSession
+    stats = FC.series_stats(FC.series_rows(store["visitors"], model))
+    if persist:
+        stats = materialize(stats)     # forecast and backtest both read it
+    header = spark.range(1).select(
+        F.lit(run_id).cast("long").alias("model_run_id"), F.lit(model).alias("model_name"),
+        F.lit(S.FORECAST_TARGET).alias("forecast_target"), F.lit(int(horizon)).alias("horizon_months"),
+        F.lit("completed").alias("status"),
+        F.to_json(F.struct(F.lit(model).alias("model_name"), F.lit(int(horizon)).alias("horizon_months")))
+        .alias("run_parameters_json"),
+        F.current_timestamp().alias("created_at"))
+    return {"model_run": header,
+            "forecast": FC.forecasts_from_stats(stats, horizon, model, run_id),
+            "backtest": FC.backtest_from_stats(stats, run_id)}
+
+
+def _append(a: DataFrame | None, b: DataFrame) -> DataFrame:
+    return b if a is None else a.unionByName(b)
+
+
+def with_forecast_run(store: dict, run: dict) -> dict:
+    out = dict(store)
+    for k in ("model_run", "forecast", "backtest"):
+        out[k] = _append(store.get(k), run[k])
+    return out
+
+
+def list_runs(model_run: DataFrame) -> DataFrame:
+    return model_run.select("model_run_id", "model_name", "forecast_target", "horizon_months", "status",
+                            "created_at").orderBy(F.col("model_run_id").desc())
+
+
+def latest_run(model_run: DataFrame) -> DataFrame:
+    return list_runs(model_run).limit(1)
+
+
+def forecast_run_detail(store: dict, run_id: int) -> DataFrame:
+    """FC-6: a run's forecasts with region names and backtest metrics."""
+    f = store["forecast"].where(F.col("model_run_id") == run_id)
+    m = store["backtest"].where(F.col("model_run_id") == run_id).select(
+        "model_run_id", G, "mae", "rmse", "mape", "reliability_label")
+    return (f.join(store["governorate"].select(G, "governorate_name_en"), G)
+            .join(m, ["model_run_id", G], "left")
+            .select("governorate_name_en", "forecast_month", "forecast_value", "lower_bound", "upper_bound",
+                    "mae", "rmse", "mape", "reliability_label", G)
+            .orderBy(G, "forecast_month"))
+
+
+# --- scenarios ----------------------------------------------------------------
+
+def run_scenarios(store: dict, derived: dict, scenarios: DataFrame, overrides: dict | None = None) -> dict:
+    """Evaluate a batch of scenarios: run ledger rows, results, rejects."""
+    params = P.resolve(store.get("params"), overrides)
+    baseline = SC.scenario_baseline(scenarios, store, derived)
+    return {"scenario_run": SC.scenario_runs(scenarios, store.get("model_run")),
+            "scenario_result": SC.evaluate_scenarios(baseline, params),
+            "rejected": SC.rejected_scenarios(scenarios, store)}
+
+
+def scenario_run_detail(store: dict, scenario_run_id: int) -> DataFrame:
+    """SC-4: the run's result row with the region name."""
+    r = store["scenario_result"].where(F.col("scenario_run_id") == scenario_run_id)
+    return r.join(store["governorate"].select(G, "governorate_name_en"), G).limit(1)
