@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from regiopanel import schemas as S
-from regiopanel.functions.geo import geojson_geometry
 from regiopanel.operators import forecast as FC
 from regiopanel.operators import indicators as IND
 from regiopanel.operators import overview as OV
@@ -23,6 +22,7 @@ from regiopanel.plans import pipeline as PL
 from regiopanel.sources import ingest as ING
 from regiopanel.sources import proxy as PX
 from regiopanel.sources import seed as SEED
+from regiopanel.sources import sinks as SINKS
 from regiopanel.sources import standin as STAND
 from regiopanel.sources.params import resolve
 
@@ -156,10 +156,17 @@ def q_sites_with_coords(spark, d):
 
 
 def q_geojson_features(spark, d):
-    b = _store(spark, d)["boundaries"]
-    feat = F.struct(F.lit("Feature").alias("type"), geojson_geometry(F.col("boundary_coords")).alias("geometry"),
-                    F.struct(G, "governorate_code", "governorate_name_en").alias("properties"))
-    return b.select(G, F.to_json(feat).alias("feature_json"))
+    return SINKS.geojson_features(_store(spark, d)["boundaries"])
+
+
+def q_overview_export(spark, d):
+    st, dv = _full(spark, d)
+    return as_double(SINKS.overview_export(st, dv))
+
+
+def q_region_export(spark, d):
+    st, dv = _full(spark, d)
+    return as_double(SINKS.region_export(st, dv["scores"]))
 
 
 # --- forecasting ------------------------------------------------------------------
@@ -313,6 +320,8 @@ QUERIES = {
     "scaled_series": q_scaled_series,
     "sites_with_coords": q_sites_with_coords,
     "geojson_features": q_geojson_features,
+    "overview_export": q_overview_export,
+    "region_export": q_region_export,
     "forecast_trend": q_forecast_trend,
     "forecast_naive": q_forecast_naive,
     "forecast_horizon24": q_forecast_horizon24,
