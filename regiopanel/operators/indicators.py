@@ -121,8 +121,31 @@ def recompute_frame(store: dict, params: dict) -> DataFrame:
     return with_scores(ind, params)
 
 
+DERIVED_TABLES = {"indicators": INDICATOR_COLS, "classification": ["capacity_classification"],
+                  "scores": ["priority_score", "justification_text", *COMPONENT_COLS]}
+
+
 def recompute(store: dict, params: dict) -> dict:
-    """Returns the three derived tables (indicators, classification, scores)."""
+    """Returns the three derived tables (indicators, classification, scores)
+    plus ``scored``, the single frame they are projections of."""
     scored = recompute_frame(store, params)
     return {"indicators": indicators(scored), "classification": classification(scored),
-            "scores": priority_scores(scored)}
+            "scores": priority_scores(scored), "scored": scored}
+
+
+def derived_columns(derived: dict, cols: list[str]) -> DataFrame:
+    """(region, month, *cols) from the derived panels.
+
+    With the recompute's combined frame this is one projection -- reading
+    the three tables separately would re-run the recompute plan once per
+    table, since each is pruned differently.  Stored tables (one row per
+    key each) are joined on the key."""
+    if derived.get("scored") is not None:
+        return derived["scored"].select(G, M, *cols)
+    out = None
+    for table, owned in DERIVED_TABLES.items():
+        need = [c for c in cols if c in owned]
+        if need:
+            part = derived[table].select(G, M, *need)
+            out = part if out is None else out.join(part, [G, M], "full_outer")
+    return out

@@ -2,34 +2,41 @@
 map dataset, rankings and UI-derived columns (OV-1..OV-7, SRC-22, FLT-6,
 WN-5/6/9, PRJ-12..14).
 
-"Latest month" is a global MAX -- a provably 1-row frame, so it is broadcast
-and joined to each fact (with month-partitioned storage this also drives
-dynamic partition pruning).  Everything keyed per region is joined on the
-region key; the dimension-sized sides are left to Spark's size-checked join
+"Latest month" is a global MAX expressed as an uncorrelated scalar
+subquery (``DataFrame.scalar()``), as in the reference's SQL: Spark runs it
+once per plan (identical subqueries are reused) and each fact is then
+*filtered* by it -- no join, and with month-partitioned storage the filter
+prunes to one partition.  Everything keyed per region is joined on the region
+key; the dimension-sized sides are left to Spark's size-checked join
 selection (static estimate + AQE runtime sizes).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from regiopanel import schemas as S
 from regiopanel.functions import columns as C
 from regiopanel.functions.names import normalize_name
 from regiopanel.functions.ordering import global_row_number
-from regiopanel.operators.indicators import COMPONENT_COLS, next_forecast_per_region
+from regiopanel.operators.indicators import COMPONENT_COLS, derived_columns, next_forecast_per_region
 
 G, M = S.G, S.M
 
 
-def latest_month(fact: DataFrame) -> DataFrame:
-    """1-row frame (month_index) -- NULL month when the fact is empty."""
-    return fact.agg(F.max(M).alias(M))
+LATEST_DERIVED = ["visitors_per_1000_beds", "occupancy_pressure_index", "growth_pressure_index",
+                  "forecast_pressure_index", "priority_score", "justification_text", *COMPONENT_COLS,
+                  "capacity_classification"]
 
 
-def at_latest(fact: DataFrame, latest: DataFrame) -> DataFrame:
-    return fact.join(F.broadcast(latest), M)  # inner join to a 1-row frame == filter
+def latest_month(fact: DataFrame) -> Column:
+    """Scalar subquery: the fact's latest month (NULL when the fact is empty)."""
+    return fact.agg(F.max(M)).scalar()
+
+
+def at_latest(fact: DataFrame, latest: Column) -> DataFrame:
+    return fact.where(F.col(M) == latest)   # NULL latest -> no rows
 
 
 def _mean(c: str):
@@ -43,31 +50,37 @@ def _score_desc_order():
 
 # --- OV-1 -------------------------------------------------------------------
 
+def _scalar(df: DataFrame, expr: Column) -> Column:
+    return df.agg(expr).scalar()
+
+
 def kpis(store: dict, scores: DataFrame) -> DataFrame:
+    """OV-1: one row of uncorrelated scalar subqueries over the latest month."""
     latest = latest_month(store["visitors"])
-    vis = at_latest(store["visitors"], latest).agg(
-        F.coalesce(F.sum("total_visitors"), F.lit(0)).alias("total_visitors"))
-    cap = at_latest(store["rooms_beds"], latest).agg(
-        F.coalesce(F.sum("total_rooms"), F.lit(0)).alias("total_rooms"),
-        F.coalesce(F.sum("total_beds"), F.lit(0)).alias("total_beds"))
-    occ = at_latest(store["occupancy"], latest).agg(
-        F.coalesce(_mean("average_occupancy_rate"), F.lit(0.0)).alias("average_occupancy_rate"))
-    # JN-7: attach the threshold parameter through a constant-key join; a
+    vis = at_latest(store["visitors"], latest)
+    cap = at_latest(store["rooms_beds"], latest)
+    occ = at_latest(store["occupancy"], latest)
+    # JN-7: the threshold parameter is attached through a constant-key join; a
     # missing (or non-numeric) parameter yields zero high-priority rows.
     thr = (store["params"].where(F.col("parameter_key") == S.HIGH_PRIORITY_KEY)
            .select(F.col("parameter_value").try_cast("double").alias("thr")).where(F.col("thr").isNotNull()))
-    hp = (at_latest(scores, latest).crossJoin(F.broadcast(thr))
-          .where(F.col("priority_score").cast("double") >= F.col("thr"))
-          .agg(F.count(F.lit(1)).alias("high_priority_zones")))
-    return (latest.select(F.col(M).cast("string").alias("latest_month"))
-            .crossJoin(vis).crossJoin(cap).crossJoin(occ).crossJoin(hp))  # 1-row x 1-row
+    hp = (at_latest(scores, latest).crossJoin(F.broadcast(thr))   # <= 1 parameter row
+          .where(F.col("priority_score").cast("double") >= F.col("thr")))
+    spark = store["visitors"].sparkSession
+    return spark.range(1).select(
+        latest.cast("string").alias("latest_month"),
+        _scalar(vis, F.coalesce(F.sum("total_visitors"), F.lit(0))).alias("total_visitors"),
+        _scalar(cap, F.coalesce(F.sum("total_rooms"), F.lit(0))).alias("total_rooms"),
+        _scalar(cap, F.coalesce(F.sum("total_beds"), F.lit(0))).alias("total_beds"),
+        _scalar(occ, F.coalesce(_mean("average_occupancy_rate"), F.lit(0.0))).alias("average_occupancy_rate"),
+        _scalar(hp, F.count(F.lit(1))).alias("high_priority_zones"))
 
 
 # --- OV-2 / OV-3 ------------------------------------------------------------
 
 def _latest_slices(store: dict, derived: dict):
     latest = latest_month(store["visitors"])
-    base = store["governorate"].crossJoin(F.broadcast(latest))   # LEFT JOIN latest ON TRUE (1 row)
+    base = store["governorate"].withColumn(M, latest)   # LEFT JOIN latest ON TRUE
     v = at_latest(store["visitors"], latest).select(G, M, F.col("total_visitors"))
     rb = at_latest(store["rooms_beds"], latest).select(G, M, "total_rooms", "total_beds")
     o = at_latest(store["occupancy"], latest).select(G, M, "average_occupancy_rate")
@@ -86,13 +99,9 @@ def region_overview(store: dict, derived: dict) -> DataFrame:
     """OV-2: all regions at the latest month with scores, indicators, class and
     the next forecast of each region's newest run; ranked by score."""
     base, v, rb, o, latest = _latest_slices(store, derived)
-    i = at_latest(derived["indicators"], latest).select(
-        G, M, "visitors_per_1000_beds", "occupancy_pressure_index", "growth_pressure_index",
-        "forecast_pressure_index")
-    p = at_latest(derived["scores"], latest).select(G, M, "priority_score", "justification_text", *COMPONENT_COLS)
-    c = at_latest(derived["classification"], latest).select(G, M, "capacity_classification")
+    d = at_latest(derived_columns(derived, LATEST_DERIVED), latest)
     df = (base.join(v, [G, M], "left").join(rb, [G, M], "left").join(o, [G, M], "left")
-          .join(i, [G, M], "left").join(p, [G, M], "left").join(c, [G, M], "left"))
+          .join(d, [G, M], "left"))
     if store.get("model_run") is not None and store.get("forecast") is not None:
         fc = next_forecast_per_region(store["model_run"], store["forecast"]).select(
             G, F.col("forecast_value").alias("next_forecast_value"),
@@ -141,13 +150,8 @@ def region_detail(store: dict, derived: dict, governorate_id: int | None = None)
     base = store["governorate"].select(G, "governorate_name_en")
     if governorate_id is not None:
         base = base.where(F.col(G) == governorate_id)
-    base = base.crossJoin(F.broadcast(latest))
-    i = at_latest(derived["indicators"], latest).select(
-        G, M, "visitors_per_1000_beds", "occupancy_pressure_index", "growth_pressure_index",
-        "forecast_pressure_index")
-    p = at_latest(derived["scores"], latest).select(G, M, "priority_score", "justification_text", *COMPONENT_COLS)
-    c = at_latest(derived["classification"], latest).select(G, M, "capacity_classification")
-    df = base.join(i, [G, M], "left").join(p, [G, M], "left").join(c, [G, M], "left")
+    base = base.withColumn(M, latest)
+    df = base.join(at_latest(derived_columns(derived, LATEST_DERIVED), latest), [G, M], "left")
     fc_cols = ["next_forecast_month", "next_forecast_value", "next_forecast_lower", "next_forecast_upper",
                "mape", "mae", "rmse", "reliability_label"]
     if store.get("model_run") is not None and store.get("forecast") is not None:
@@ -170,20 +174,20 @@ def region_detail(store: dict, derived: dict, governorate_id: int | None = None)
 def exec_kpis(store: dict) -> DataFrame:
     """KPI part of the executive summary (sums not coalesced)."""
     latest = latest_month(store["visitors"])
-    vis = at_latest(store["visitors"], latest).agg(F.sum("total_visitors").alias("total_visitors"))
-    beds = at_latest(store["rooms_beds"], latest).agg(F.sum("total_beds").alias("total_beds"))
-    occ = at_latest(store["occupancy"], latest).agg(_mean("average_occupancy_rate").alias("avg_occupancy"))
-    return (latest.select(F.col(M).cast("string").alias("latest_month"))
-            .crossJoin(vis).crossJoin(beds).crossJoin(occ))
+    return store["visitors"].sparkSession.range(1).select(
+        latest.cast("string").alias("latest_month"),
+        _scalar(at_latest(store["visitors"], latest), F.sum("total_visitors")).alias("total_visitors"),
+        _scalar(at_latest(store["rooms_beds"], latest), F.sum("total_beds")).alias("total_beds"),
+        _scalar(at_latest(store["occupancy"], latest), _mean("average_occupancy_rate")).alias("avg_occupancy"))
 
 
 def exec_top(store: dict, derived: dict, n: int = 5) -> DataFrame:
     """Top-n regions by score at the latest month *of the score table*."""
-    scores = derived["scores"]
+    scores = derived_columns(derived, ["priority_score", "justification_text", "capacity_classification",
+                                       *COMPONENT_COLS])
     latest = latest_month(scores)
     p = at_latest(scores, latest)
     return (p.join(store["governorate"].select(G, "governorate_name_en"), G)
-            .join(derived["classification"].select(G, M, "capacity_classification"), [G, M], "left")
             .select(G, "governorate_name_en", "priority_score", "capacity_classification", "justification_text",
                     *COMPONENT_COLS)
             .orderBy(*_score_desc_order()).limit(n))   # top-k: per-partition partial top-k, then merge

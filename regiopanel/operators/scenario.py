@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from regiopanel import schemas as S
 from regiopanel.functions import columns as C
-from regiopanel.operators.indicators import latest_run_id
+from regiopanel.operators.indicators import derived_columns, latest_run_id
 
 G, M = S.G, S.M
 
@@ -27,8 +27,7 @@ def latest_history(store: dict, derived: dict) -> DataFrame:
             .agg(F.max_by(F.struct(M, "total_visitors", "total_rooms", "total_beds"), M).alias("x"))
             .select(G, "x.*"))
     return (last.join(store["occupancy"].select(G, M, "average_occupancy_rate"), [G, M], "left")
-            .join(derived["indicators"].select(G, M, "growth_pressure_index"), [G, M], "left")
-            .join(derived["classification"].select(G, M, "capacity_classification"), [G, M], "left"))
+            .join(derived_columns(derived, ["growth_pressure_index", "capacity_classification"]), [G, M], "left"))
 
 
 def resolve_base_run(scenarios: DataFrame, model_run: DataFrame | None) -> DataFrame:

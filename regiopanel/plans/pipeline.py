@@ -32,7 +32,7 @@ def recompute(store: dict, overrides: dict | None = None, persist: bool = False)
     if persist:
         scored = materialize(scored)
     return {"indicators": IND.indicators(scored), "classification": IND.classification(scored),
-            "scores": IND.priority_scores(scored)}
+            "scores": IND.priority_scores(scored), "scored": scored}
 
 
 # --- FC-5 / FC-6 ------------------------------------------------------------

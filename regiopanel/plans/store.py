@@ -69,8 +69,8 @@ class ParquetStore:
         """IND-4 + SRC-20: rebuild the three derived panels from one
         checkpointed frame and replace the stored tables."""
         derived = PL.recompute(self.load(), overrides, persist=True)
-        for name, df in derived.items():
-            self.overwrite(name, df)
+        for name in ("indicators", "classification", "scores"):
+            self.overwrite(name, derived[name])
         return derived
 
     def run_forecast(self, run_id: int, horizon: int = 12, model_name: str | None = None) -> dict:

@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 
 from regiopanel import schemas as S
 from regiopanel.functions.geo import wkt_to_multipolygon
+from regiopanel.session import materialize
 
 G, M = S.G, S.M
 ROW = "_row"              # record ordinal in file; first data record = 2 (header = 1)
@@ -103,41 +104,40 @@ def _quote(c: Column) -> Column:
     return F.concat(F.lit("'"), c, F.lit("'"))
 
 
-def _parse_int(c: Column) -> tuple[Column, Column]:
-    ok = c.isNotNull() & c.rlike(_INT_RE)
-    val = F.when(ok, F.regexp_replace(F.trim(c), "_", "").try_cast("int"))
-    msg = (F.when(c.isNull(), F.lit("int() argument must be a string, a bytes-like object or a real number, "
-                                    "not 'NoneType'"))
-           .when(~ok, F.concat(F.lit("invalid literal for int() with base 10: "), _quote(c)))
-           .when(val.isNull(), F.lit("integer out of range")))
-    return val, msg
-
-
-def _parse_month(c: Column) -> tuple[Column, Column]:
-    head = F.substring(c, 1, 10)
-    shaped = head.rlike(_MONTH_RE)
-    y = F.regexp_extract(head, _MONTH_RE, 1)
-    mo = F.lpad(F.regexp_extract(head, _MONTH_RE, 2), 2, "0")
-    d = F.lpad(F.trim(F.regexp_extract(head, _MONTH_RE, 3)), 2, "0")
-    val = F.when(shaped, F.try_to_date(F.concat_ws("-", y, mo, d), "yyyy-MM-dd"))
-    msg = (F.when(c.isNull(), F.lit("'NoneType' object is not subscriptable"))
-           .when(~shaped, F.concat(F.lit("time data "), _quote(head), F.lit(" does not match format '%Y-%m-%d'")))
-           .when(val.isNull(), F.lit("day is out of range for month")))
-    return val, msg
-
-
-def _parse_float(c: Column, dtype) -> tuple[Column, Column]:
-    ok = c.isNotNull() & c.rlike(_FLOAT_RE)
-    dbl = F.when(ok, F.regexp_replace(F.trim(c), "_", "").try_cast("double"))
-    val = dbl.try_cast(dtype)
-    msg = (F.when(c.isNull(), F.lit("float() argument must be a string or a real number, not 'NoneType'"))
-           .when(~ok, F.concat(F.lit("could not convert string to float: "), _quote(c)))
-           .when(val.isNull(), F.lit("numeric field overflow")))
-    return dbl, val, msg
-
-
-def _first_error(*msgs: Column) -> Column:
-    return F.coalesce(*msgs)
+def _parse_int(df: DataFrame, t: Column, p: str) -> DataFrame:
+    """Adds {p}_val / {p}_msg.  Staged columns: each regex runs once per row
+    (an expensive expression referenced twice is not re-inlined by Catalyst)."""
+    df = df.withColumn(f"{p}_ok", t.isNotNull() & t.rlike(_INT_RE))
+    ok = F.col(f"{p}_ok")
+    df = df.withColumn(f"{p}_val", F.when(ok, F.regexp_replace(F.trim(t), "_", "").try_cast("int")))
+    return df.withColumn(f"{p}_msg", F.when(t.isNull(), F.lit(
+        "int() argument must be a string, a bytes-like object or a real number, not 'NoneType'"))
+        .when(~ok, F.concat(F.lit("invalid literal for int() with base 10: "), _quote(t)))
+        .when(F.col(f"{p}_val").isNull(), F.lit("integer out of range")))
+
+
+def _parse_month(df: DataFrame, t: Column, p: str) -> DataFrame:
+    df = df.withColumn(f"{p}_head", F.substring(t, 1, 10))
+    head = F.col(f"{p}_head")
+    df = df.withColumn(f"{p}_shaped", head.rlike(_MONTH_RE))
+    shaped = F.col(f"{p}_shaped")
+    # The shape check fixes every field's width; a space can only pad the day.
+    df = df.withColumn(f"{p}_val", F.when(shaped, F.try_to_date(F.regexp_replace(head, " ", ""), "yyyy-M-d")))
+    return df.withColumn(f"{p}_msg", F.when(t.isNull(), F.lit("'NoneType' object is not subscriptable"))
+                         .when(~shaped, F.concat(F.lit("time data "), _quote(head),
+                                                 F.lit(" does not match format '%Y-%m-%d'")))
+                         .when(F.col(f"{p}_val").isNull(), F.lit("day is out of range for month")))
+
+
+def _parse_float(df: DataFrame, t: Column, p: str, dtype) -> DataFrame:
+    df = df.withColumn(f"{p}_ok", t.isNotNull() & t.rlike(_FLOAT_RE))
+    ok = F.col(f"{p}_ok")
+    df = df.withColumn(f"{p}_dbl", F.when(ok, F.regexp_replace(F.trim(t), "_", "").try_cast("double")))
+    df = df.withColumn(f"{p}_val", F.col(f"{p}_dbl").try_cast(dtype))
+    return df.withColumn(f"{p}_msg", F.when(t.isNull(), F.lit(
+        "float() argument must be a string or a real number, not 'NoneType'"))
+        .when(~ok, F.concat(F.lit("could not convert string to float: "), _quote(t)))
+        .when(F.col(f"{p}_val").isNull(), F.lit("numeric field overflow")))
 
 
 def typed_rows(raw: DataFrame, dataset_type: str, governorate: DataFrame | None = None) -> DataFrame:
@@ -157,38 +157,38 @@ def typed_rows(raw: DataFrame, dataset_type: str, governorate: DataFrame | None
         blank = blank | (F.trim(raw_col(c)) == "") | (raw_col(c).isNull() & ~F.col(MALFORMED))
     # Raw text as the reference sees it: '' for blank fields of well-formed rows.
     text = lambda c: F.when(raw_col(c).isNull() & ~F.col(MALFORMED), F.lit("")).otherwise(raw_col(c))
+    df = raw.select(ROW, MALFORMED, F.struct(*[text(c).alias(c) for c in header]).alias("_raw"),
+                    F.coalesce(blank, F.lit(False)).alias("_null_like"))
+    t = lambda c: F.col("_raw").getField(c)
 
-    gid, gid_msg = _parse_int(text(req[0]))
-    cols = {"_null_like": F.coalesce(blank, F.lit(False)), G: gid}
+    df = _parse_int(df, t(req[0]), "_g")
+    g_bad = F.col("_g_msg").isNotNull()
+    out = {G: F.col("_g_val")}
     if dataset_type == "admin_boundaries":
-        geom = wkt_to_multipolygon(text("wkt"))
-        geom_msg = F.when(gid_msg.isNull() & geom.isNull(), F.lit("invalid WKT multipolygon"))
-        cols.update({"governorate_code": text("governorate_code"), "governorate_name_en": text("governorate_name_en"),
-                     "boundary_coords": geom})
-        err = _first_error(gid_msg, geom_msg)
-        invalid_month = F.lit(False)
-        negative = F.lit(False)
+        df = df.withColumn("_geom", wkt_to_multipolygon(t("wkt")))
+        msgs = [F.col("_g_msg"), F.when(~g_bad & F.col("_geom").isNull(), F.lit("invalid WKT multipolygon"))]
+        out.update({"governorate_code": t("governorate_code"), "governorate_name_en": t("governorate_name_en"),
+                    "boundary_coords": F.col("_geom")})
+        invalid_month, negative = F.lit(False), F.lit(False)
     else:
-        month, month_msg = _parse_month(text(M))
-        cols[M] = month
-        msgs = [gid_msg, F.when(gid_msg.isNull(), month_msg)]
-        parsed_ok = gid_msg.isNull() & month_msg.isNull()
+        df = _parse_month(df, t(M), "_m")
+        out[M] = F.col("_m_val")
+        m_bad = F.col("_m_msg").isNotNull()
+        msgs = [F.col("_g_msg"), F.when(~g_bad, F.col("_m_msg"))]
+        prior = ~g_bad & ~m_bad
         neg = F.lit(False)
-        prior = parsed_ok
-        for name, dtype in MEASURES[dataset_type]:
-            dbl, val, msg = _parse_float(text(name), dtype)
-            cols[name] = val
-            msgs.append(F.when(prior, msg))
-            prior = prior & msg.isNull()
-            neg = neg | (dbl < 0)
-        err = _first_error(*msgs)
-        invalid_month = gid_msg.isNull() & month_msg.isNotNull()
+        for i, (name, dtype) in enumerate(MEASURES[dataset_type]):
+            df = _parse_float(df, t(name), f"_v{i}", dtype)
+            out[name] = F.col(f"_v{i}_val")
+            msgs.append(F.when(prior, F.col(f"_v{i}_msg")))
+            prior = prior & F.col(f"_v{i}_msg").isNull()
+            neg = neg | (F.col(f"_v{i}_dbl") < 0)
+        invalid_month = ~g_bad & m_bad
         negative = prior & neg
-    df = raw.select(ROW, MALFORMED, F.struct(*[text(c).alias(c) for c in header]).alias("_raw"),
-                    *[v.alias(k) for k, v in cols.items()],
-                    err.alias("error_message"),
-                    F.coalesce(invalid_month, F.lit(False)).alias("_invalid_month"),
-                    F.coalesce(negative, F.lit(False)).alias("_negative"))
+    df = df.select(ROW, MALFORMED, "_raw", "_null_like", *[v.alias(k) for k, v in out.items()],
+                   F.coalesce(*msgs).alias("error_message"),
+                   F.coalesce(invalid_month, F.lit(False)).alias("_invalid_month"),
+                   F.coalesce(negative, F.lit(False)).alias("_negative"))
     if governorate is not None:   # SRC-13: referential check, quarantined
         known = governorate.select(F.col(G).alias("_known_g")).distinct()
         df = (df.join(known, F.col(G) == F.col("_known_g"), "left")
@@ -255,17 +255,26 @@ def summary(typed: DataFrame, dataset_type: str) -> DataFrame:
     )
 
 
-def import_rows(raw: DataFrame, dataset_type: str, governorate: DataFrame | None = None) -> dict:
+def import_rows(raw: DataFrame, dataset_type: str, governorate: DataFrame | None = None,
+                persist: bool = False) -> dict:
     """Run the import on an all-string frame with ``_row`` (and optionally
     ``_malformed``).  Returns loaded / errors / summary frames.  The target
-    table is replaced by ``loaded`` (full refresh), even when it is empty."""
+    table is replaced by ``loaded`` (full refresh), even when it is empty.
+
+    With ``persist`` the typed rows are checkpointed once: every record is
+    parsed exactly once and the three outputs are computed from the same
+    parse (the filters on the error column would otherwise be pushed below
+    the parse projection and re-evaluate it)."""
     typed = typed_rows(raw, dataset_type, governorate)
+    if persist:
+        typed = materialize(typed)
     return {"typed": typed, "loaded": loaded_rows(typed, dataset_type),
             "errors": error_rows(typed), "summary": summary(typed, dataset_type)}
 
 
-def import_csv(spark: SparkSession, path: str, dataset_type: str, governorate: DataFrame | None = None) -> dict:
-    return import_rows(read_csv_raw(spark, path, dataset_type), dataset_type, governorate)
+def import_csv(spark: SparkSession, path: str, dataset_type: str, governorate: DataFrame | None = None,
+               persist: bool = True) -> dict:
+    return import_rows(read_csv_raw(spark, path, dataset_type), dataset_type, governorate, persist)
 
 
 def job_row(summary_df: DataFrame, import_job_id: int, dataset_type: str, filename: str,

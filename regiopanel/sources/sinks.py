@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from regiopanel import schemas as S
 from regiopanel.functions.geo import geojson_geometry
-from regiopanel.operators.indicators import next_forecast_per_region
+from regiopanel.operators.indicators import derived_columns, next_forecast_per_region
 from regiopanel.operators.overview import at_latest, latest_month
 
 G, M = S.G, S.M
@@ -29,15 +29,15 @@ REGION_HEADERS = [(M, "Month"), ("total_visitors", "Visitors"), ("total_rooms",
 def overview_export(store: dict, derived: dict) -> DataFrame:
     """SRC-17: latest-month overview, 8 renamed columns, ordered by region id."""
     latest = latest_month(store["visitors"])
-    base = store["governorate"].select(G, "governorate_name_en").crossJoin(F.broadcast(latest))
+    base = store["governorate"].select(G, "governorate_name_en").withColumn(M, latest)
     v = at_latest(store["visitors"], latest).select(G, M, F.col("total_visitors").alias("latest_total_visitors"))
     rb = at_latest(store["rooms_beds"], latest).select(G, M, F.col("total_beds").alias("latest_total_beds"))
     o = at_latest(store["occupancy"], latest).select(
         G, M, F.col("average_occupancy_rate").alias("latest_average_occupancy_rate"))
-    p = at_latest(derived["scores"], latest).select(G, M, "priority_score", "justification_text")
-    c = at_latest(derived["classification"], latest).select(G, M, "capacity_classification")
+    d = at_latest(derived_columns(derived, ["priority_score", "justification_text", "capacity_classification"]),
+                  latest)
     df = (base.join(v, [G, M], "left").join(rb, [G, M], "left").join(o, [G, M], "left")
-          .join(p, [G, M], "left").join(c, [G, M], "left"))
+          .join(d, [G, M], "left"))
     if store.get("model_run") is not None and store.get("forecast") is not None:
         fc = next_forecast_per_region(store["model_run"], store["forecast"]).select(
             G, F.col("forecast_value").alias("next_forecast_value"))
