@@ -100,6 +100,22 @@ def run_scenarios(store: dict, derived: dict, scenarios: DataFrame, overrides: d
             "rejected": SC.rejected_scenarios(scenarios, store)}
 
 
+def list_scenario_runs(scenario_run: DataFrame) -> DataFrame:
+    return scenario_run.select("scenario_run_id", G, "target_month", "scenario_type", "status",
+                               "created_at").orderBy(F.col("scenario_run_id").desc())
+
+
+def latest_scenario_run(scenario_run: DataFrame) -> DataFrame:
+    return list_scenario_runs(scenario_run).limit(1)
+
+
+def with_scenario_run(store: dict, run: dict) -> dict:
+    out = dict(store)
+    for k in ("scenario_run", "scenario_result"):
+        out[k] = _append(store.get(k), run[k])
+    return out
+
+
 def scenario_run_detail(store: dict, scenario_run_id: int) -> DataFrame:
     """SC-4: the run's result row with the region name."""
     r = store["scenario_result"].where(F.col("scenario_run_id") == scenario_run_id)

@@ -287,6 +287,25 @@ def job_row(summary_df: DataFrame, import_job_id: int, dataset_type: str, filena
         F.lit(created_by).cast("string").alias("created_by"), F.current_timestamp().alias("created_at"))
 
 
+def error_ledger_rows(errors: DataFrame, import_job_id: int) -> DataFrame:
+    """Error rows tagged with their job id (append to the error ledger)."""
+    return errors.select(F.lit(import_job_id).cast("long").alias("import_job_id"), "row_number", "error_message",
+                         "raw_row_json", F.current_timestamp().alias("created_at"))
+
+
+def duplicate_flags(typed: DataFrame, dataset_type: str) -> DataFrame:
+    """Per-row in-file duplicate flag: the 2nd+ occurrence of a raw key.
+
+    First occurrence per key = min(_row) from a combinable aggregate, joined
+    back on the key -- no window holding all rows of a hot key."""
+    req = S.REQUIRED_COLUMNS[dataset_type][:2]
+    keys = [F.col("_raw").getField(c).alias(f"_k{i}") for i, c in enumerate(req)]
+    k = typed.select(ROW, *keys)
+    first = k.groupBy("_k0", "_k1").agg(F.min(ROW).alias("_first"))
+    return (k.join(first, k["_k0"].eqNullSafe(first["_k0"]) & k["_k1"].eqNullSafe(first["_k1"]))
+            .select(ROW, (F.col(ROW) > F.col("_first")).alias("is_duplicate")))
+
+
 def list_jobs(jobs: DataFrame) -> DataFrame:
     return jobs.orderBy(F.col("import_job_id").desc())
 

@@ -119,3 +119,13 @@ def test_row_numbers_across_splits(spark):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert sorted(r["_row"] for r in rows) == list(range(2, 20002))
     assert all(int(r["governorate_id"]) == r["_row"] - 1 for r in rows)
+
+
+def test_duplicate_flags_and_ledgers(spark):
+    r = ING.import_csv(spark, _csv(HOSTILE), "visitors_monthly")
+    flags = {x["_row"]: x["is_duplicate"] for x in ING.duplicate_flags(r["typed"], "visitors_monthly").collect()}
+    assert [k for k, v in sorted(flags.items()) if v] == [3, 11]
+    job = ING.job_row(r["summary"], 7, "visitors_monthly", "hostile.csv").collect()[0]
+    assert (job["import_job_id"], job["status"], job["error_rows"]) == (7, "completed_with_errors", 6)
+    led = ING.error_ledger_rows(r["errors"], 7)
+    assert [x["row_number"] for x in ING.list_errors(led, 7).collect()] == [4, 5, 7, 9, 11, 12]
