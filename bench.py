@@ -15,6 +15,7 @@ import os
 import re
 import statistics
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -27,6 +28,7 @@ from regiopanel.plans import pipeline as PL  # noqa: E402
 from regiopanel.session import get_session  # noqa: E402
 from regiopanel.sources import ingest as ING  # noqa: E402
 from regiopanel.sources import proxy as PX  # noqa: E402
+from regiopanel.sources import seed as SEED  # noqa: E402
 from regiopanel.sources import standin as STAND  # noqa: E402
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
@@ -83,6 +85,41 @@ def q_import_quarantine(spark):
     r["summary"].collect()
 
 
+def q_forecast_many_series(spark):
+    """Seed panel over the customer dimension (one series per customer x 24
+    months), seasonal-trend forecast + backtest for every series."""
+    cust = PX.read_table(spark, SF_DIR, "customer").select(
+        F.col("c_custkey").cast("int").alias(S.G), F.lit("C").alias("governorate_code"))
+    panel = SEED.seed_panel(cust)
+    run = PL.run_forecast({"visitors": panel["visitors"]}, 1, 12, "seasonal_trend_v2", persist=True)
+    noop(run["forecast"])
+    noop(run["backtest"])
+
+
+_CSV = {}
+
+
+def _import_csv_file(spark):
+    """Setup (untimed): a visitors-shaped CSV derived from lineitem, with the
+    same hostile-record rule as the orders stand-in, written once."""
+    if "path" not in _CSV:
+        li = PX.read_table(spark, SF_DIR, "lineitem").select(
+            (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("o_orderkey"),
+            F.col("l_suppkey").alias("o_custkey"), F.col("l_extendedprice").alias("o_totalprice"),
+            F.col("l_shipdate").alias("o_orderdate"))
+        path = tempfile.mkdtemp(prefix="regiopanel-bench-") + "/visitors_csv"
+        STAND.visitors_import_rows(li).drop("_row").write.option("header", True).csv(path)
+        _CSV["path"] = path
+    return _CSV["path"]
+
+
+def q_import_csv(spark):
+    r = ING.import_csv(spark, _import_csv_file(spark), "visitors_monthly")
+    noop(r["loaded"])
+    noop(r["errors"])
+    r["summary"].collect()
+
+
 def q_region_overview(spark):
     st = PX.panel_store(spark, SF_DIR)
     st = PL.with_forecast_run(st, PL.run_forecast(st, 1, 12, "seasonal_trend_v2"))
@@ -100,6 +137,8 @@ QUERIES = {
     "forecast_backtest": q_forecast_backtest,
     "scenario_eval_25k": q_scenario_eval,
     "import_quarantine": q_import_quarantine,
+    "forecast_many_series": q_forecast_many_series,
+    "import_csv_lineitem": q_import_csv,
     "region_overview": q_region_overview,
     "kpis": q_kpis,
 }
