@@ -6,9 +6,10 @@ casts -> split into loaded rows (keyed upsert, last row wins), error rows and
 a one-row summary.  Every step is a column expression or a combinable
 aggregate:
 
-* row ordinals come from (file, split offset, in-split position) plus
-  per-split counts -- no window over the whole file, so no single task sees
-  every row;
+* a CSV record's ordinal is an order key (file, split offset, position in
+  the scan) that needs no join or window; dense file line numbers are
+  resolved only for the (few) error rows, from per-split counts -- the bulk
+  of the file is never shuffled just to be numbered;
 * the in-file duplicate counter and the "last row wins" upsert are group-by
   aggregates (count, max_by), which combine map-side, so a key repeated in a
   third of the file is pre-aggregated before the shuffle.
@@ -25,7 +26,7 @@ from regiopanel.functions.geo import wkt_to_multipolygon
 from regiopanel.session import materialize
 
 G, M = S.G, S.M
-ROW = "_row"              # record ordinal in file; first data record = 2 (header = 1)
+ROW = "_row"              # record order key: a long (first record = 2) or struct(_file, _block, _mid)
 MALFORMED = "_malformed"  # too few / too many fields
 
 _INT_RE = r"^\s*[+-]?\d+(?:_\d+)*\s*$"
@@ -79,23 +80,34 @@ def read_csv_raw(spark: SparkSession, path: str, dataset_type: str) -> DataFrame
                   F.col("_metadata.file_path").alias("_file"),
                   F.col("_metadata.file_block_start").alias("_block"),
                   F.monotonically_increasing_id().alias("_mid")))
-    return with_file_ordinal(df)
+    return df.withColumn(ROW, F.struct("_file", "_block", "_mid")).drop("_file", "_block", "_mid")
 
 
-def with_file_ordinal(df: DataFrame) -> DataFrame:
-    """``_row`` = record position in its file + 1, from per-split counts.
+def _split_offsets(typed: DataFrame) -> DataFrame:
+    """One row per input split: records before it in its file and its first
+    ``_mid``.  A combinable aggregate plus a window over split rows only."""
+    splits = (typed.select(F.col(f"{ROW}._file").alias("_file"), F.col(f"{ROW}._block").alias("_block"),
+                           F.col(f"{ROW}._mid").alias("_mid"))
+              .groupBy("_file", "_block").agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_m0")))
+    before = Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    return splits.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+
+
+def with_line_numbers(subset: DataFrame, full: DataFrame, name: str = "row_number") -> DataFrame:
+    """Dense record numbers (first record = 2, the header being 1) for the
+    rows of ``subset``, counted over all rows of ``full`` (same scan).
 
     Within one split the records are contiguous in one task and
     ``monotonically_increasing_id`` grows by one per record, so position in
-    split = _mid - min(_mid).  Split offsets are prefix sums of split counts
-    per file (one row per split).
-    """
-    splits = df.groupBy("_file", "_block").agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_m0"))
-    before = Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    splits = splits.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    return (df.join(splits.select("_file", "_block", "_off", "_m0"), ["_file", "_block"])
-            .withColumn(ROW, F.col("_off") + F.col("_mid") - F.col("_m0") + 2)
-            .drop("_block", "_mid", "_off", "_m0"))
+    split = _mid - min(_mid); split offsets are prefix sums of split counts per
+    file.  Integral ordinals (prepared inputs) are used as they are."""
+    if not isinstance(subset.schema[ROW].dataType, T.StructType):
+        return subset.withColumn(name, F.col(ROW))
+    offs = _split_offsets(full)
+    s = subset.withColumn("_file", F.col(f"{ROW}._file")).withColumn("_block", F.col(f"{ROW}._block"))
+    return (s.join(offs, ["_file", "_block"], "left")
+            .withColumn(name, F.col("_off") + F.col(f"{ROW}._mid") - F.col("_m0") + 2)
+            .drop("_file", "_block", "_off", "_m0"))
 
 
 # --- row typing -------------------------------------------------------------
@@ -222,8 +234,8 @@ def loaded_rows(typed: DataFrame, dataset_type: str) -> DataFrame:
 def error_rows(typed: DataFrame) -> DataFrame:
     """Error sink rows: (row_number, error_message, raw_row_json)."""
     raw = F.to_json(F.col("_raw"), {"ignoreNullFields": "false"})
-    return typed.where(~F.col("_ok")).select(F.col(ROW).alias("row_number"), "error_message",
-                                             raw.alias("raw_row_json"))
+    bad = typed.where(~F.col("_ok")).select(ROW, "error_message", raw.alias("raw_row_json"))
+    return with_line_numbers(bad, typed).select("row_number", "error_message", "raw_row_json")
 
 
 def duplicate_keys(typed: DataFrame, dataset_type: str) -> DataFrame:

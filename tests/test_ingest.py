@@ -114,17 +114,19 @@ def test_row_numbers_across_splits(spark):
     try:
         raw = ING.read_csv_raw(spark, p, "visitors_monthly")
         assert raw.rdd.getNumPartitions() > 1
-        rows = raw.select("_row", "governorate_id").collect()
+        rows = ING.with_line_numbers(raw, raw).select("row_number", "governorate_id").collect()
+        ordered = [int(r["governorate_id"]) for r in raw.orderBy("_row").select("governorate_id").collect()]
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
-    assert sorted(r["_row"] for r in rows) == list(range(2, 20002))
-    assert all(int(r["governorate_id"]) == r["_row"] - 1 for r in rows)
+    assert sorted(r["row_number"] for r in rows) == list(range(2, 20002))
+    assert all(int(r["governorate_id"]) == r["row_number"] - 1 for r in rows)
+    assert ordered == list(range(1, 20001))
 
 
 def test_duplicate_flags_and_ledgers(spark):
     r = ING.import_csv(spark, _csv(HOSTILE), "visitors_monthly")
-    flags = {x["_row"]: x["is_duplicate"] for x in ING.duplicate_flags(r["typed"], "visitors_monthly").collect()}
-    assert [k for k, v in sorted(flags.items()) if v] == [3, 11]
+    flags = ING.with_line_numbers(ING.duplicate_flags(r["typed"], "visitors_monthly"), r["typed"])
+    assert [x["row_number"] for x in flags.where("is_duplicate").orderBy("row_number").collect()] == [3, 11]
     job = ING.job_row(r["summary"], 7, "visitors_monthly", "hostile.csv").collect()[0]
     assert (job["import_job_id"], job["status"], job["error_rows"]) == (7, "completed_with_errors", 6)
     led = ING.error_ledger_rows(r["errors"], 7)
