@@ -29,7 +29,7 @@ def norm(v):
     if isinstance(v, float):
         if math.isnan(v):
             return "nan"
-        return round(v, 9)
+        return v if os.environ.get("RP_EXACT") else round(v, 9)
     if hasattr(v, "isoformat"):
         return str(v)[:10] if len(str(v)) >= 10 and str(v)[4] == "-" else str(v)
     return v
@@ -45,6 +45,10 @@ def main():
     only = set(sys.argv[2:])
     spark = get_session("local[8]", 8)
     spark.sparkContext.setLogLevel("ERROR")
+    # Optional session variations, e.g. RP_CONF="spark.sql.ansi.enabled=false;spark.sql.session.timeZone=PST"
+    for kv in filter(None, os.environ.get("RP_CONF", "").split(";")):
+        k, v = kv.split("=", 1)
+        spark.conf.set(k, v)
     con = duckdb.connect()
     for t in TABLES:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf_dir}/{t}.parquet')")
