@@ -118,3 +118,20 @@ def scenario_runs(scenarios: DataFrame, model_run: DataFrame | None) -> DataFram
         "scenario_run_id", G, "target_month", F.lit(S.SCENARIO_TYPE).alias("scenario_type"),
         "additional_beds", "additional_rooms", "induced_demand_ratio", "based_on_model_run_id",
         F.lit("completed").alias("status"), F.current_timestamp().alias("created_at"))
+
+
+def scenario_frame(spark, payloads: list[dict], first_run_id: int = 1) -> DataFrame:
+    """Scenarios DataFrame from request-style payload dicts (governorate_id,
+    target_month, additional_beds, additional_rooms, induced_demand_ratio,
+    based_on_model_run_id); missing numbers default to 0 / latest run."""
+    import datetime as _dt
+    from decimal import Decimal as _D
+    rows = []
+    for i, p in enumerate(payloads):
+        tm = p["target_month"]
+        if isinstance(tm, str):
+            tm = _dt.date.fromisoformat(tm[:10])
+        rows.append((int(p.get("scenario_run_id", first_run_id + i)), int(p["governorate_id"]), tm,
+                     int(p.get("additional_beds", 0) or 0), int(p.get("additional_rooms", 0) or 0),
+                     _D(str(p.get("induced_demand_ratio", 0) or 0)), p.get("based_on_model_run_id")))
+    return spark.createDataFrame(rows, S.SCENARIOS)

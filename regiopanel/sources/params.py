@@ -72,3 +72,12 @@ def upsert_params(base: DataFrame, updates: DataFrame) -> DataFrame:
 def list_params(params: DataFrame) -> DataFrame:
     return params.orderBy("parameter_key")
 
+
+
+def updates_frame(spark: SparkSession, items: list[dict]) -> DataFrame:
+    """Parameter updates from request-style items (parameter_key,
+    parameter_value, optional value_type / description), in given order."""
+    rows = [(str(it["parameter_key"]), str(it["parameter_value"]), it.get("value_type"), it.get("description"), i)
+            for i, it in enumerate(items)]
+    return spark.createDataFrame(rows, "parameter_key string, parameter_value string, value_type string, "
+                                       "description string, update_seq long")

@@ -152,3 +152,12 @@ def test_run_detail_and_ledgers(seed):
     assert len(d) == 144 and d[0]["governorate_name_en"] == "Amman"
     assert d[0]["reliability_label"] == "High"
     assert PL.latest_run(seed["store"]["model_run"]).collect()[0]["model_run_id"] == 1
+
+
+def test_scenario_payload_helper(spark, seed):
+    from regiopanel.operators.scenario import scenario_frame
+    sc = scenario_frame(spark, [{"governorate_id": 2, "target_month": "2026-12-01", "additional_beds": 500,
+                                 "additional_rooms": 200, "induced_demand_ratio": 0.05,
+                                 "based_on_model_run_id": None}])
+    r = PL.run_scenarios(seed["store"], seed["after"], sc)["scenario_result"].collect()[0]
+    assert r["priority_score_after"] == D("58.34")
