@@ -24,7 +24,7 @@ from pyspark.sql import functions as F  # noqa: E402
 
 from regiopanel import schemas as S  # noqa: E402
 from regiopanel.operators import overview as OV  # noqa: E402
-from regiopanel.plans import pipeline as PL  # noqa: E402
+from regiopanel.plans import jobs as PL  # noqa: E402
 from regiopanel.session import get_session  # noqa: E402
 from regiopanel.sources import ingest as ING  # noqa: E402
 from regiopanel.sources import proxy as PX  # noqa: E402

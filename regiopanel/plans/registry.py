@@ -18,7 +18,7 @@ from regiopanel.operators import forecast as FC
 from regiopanel.operators import indicators as IND
 from regiopanel.operators import overview as OV
 from regiopanel.operators import scenario as SC
-from regiopanel.plans import pipeline as PL
+from regiopanel.plans import jobs as PL
 from regiopanel.sources import ingest as ING
 from regiopanel.sources import proxy as PX
 from regiopanel.sources import seed as SEED
@@ -156,7 +156,10 @@ def q_sites_with_coords(spark, d):
 
 
 def q_geojson_features(spark, d):
-    return SINKS.geojson_features(_store(spark, d)["boundaries"])
+    """WKT boundary import + GeoJSON rendering for one rectangle per customer."""
+    cust = PX.read_table(spark, d, "customer")
+    b = ING.parse_boundaries(PX.rectangle_wkt(cust, "c_custkey", "C", "c_name"))
+    return SINKS.geojson_features(b)
 
 
 def q_overview_export(spark, d):
@@ -296,7 +299,8 @@ def q_fk_violations(spark, d):
 
 
 def q_seed_panel(spark, d):
-    gov = PX.governorates(PX.read_table(spark, d, "nation"))
+    """Seed formulas over a region dimension with one region per customer."""
+    gov = PX.customer_regions(PX.read_table(spark, d, "customer"))
     return as_double(SEED.seed_panel(gov)["facts"])
 
 

@@ -12,10 +12,11 @@ from __future__ import annotations
 
 import os
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from regiopanel import schemas as S
-from regiopanel.plans import pipeline as PL
+from regiopanel.plans import jobs as PL
 
 PARTITIONING = {
     "visitors": S.M, "rooms_beds": S.M, "occupancy": S.M,
@@ -33,14 +34,14 @@ class ParquetStore:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def exists(self, name: str) -> bool:
-        jvm = self.spark.sparkContext._jvm
-        jpath = jvm.org.apache.hadoop.fs.Path(self.path(name))
-        fs = jpath.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        return fs.exists(jpath)
-
     def read(self, name: str) -> DataFrame | None:
-        return self.spark.read.parquet(self.path(name)) if self.exists(name) else None
+        """The stored table, or None when it was never written."""
+        try:
+            return self.spark.read.parquet(self.path(name))
+        except AnalysisException as e:
+            if "PATH_NOT_FOUND" in str(e) or "Path does not exist" in str(e):
+                return None
+            raise
 
     def load(self, names=None) -> dict:
         names = names or list(PARTITIONING) + ["governorate", "sites", "boundaries", "params"] + sorted(APPEND_ONLY)

@@ -101,21 +101,35 @@ def sites(supplier: DataFrame) -> DataFrame:
     )
 
 
-def boundary_wkt(nation: DataFrame) -> DataFrame:
-    """One WKT rectangle per nation, as raw import strings."""
-    k = F.col("n_nationkey")
+def rectangle_wkt(df: DataFrame, key: str, code_prefix: str, name: str) -> DataFrame:
+    """One WKT rectangle per row (a grid cell from the key), as raw
+    boundary-import strings (id, code, name, wkt)."""
+    k = F.col(key)
     x0 = (F.lit(30.0) + (k % 5).cast("double"))
-    y0 = (F.lit(25.0) + (k / 5).cast("int").cast("double"))
+    y0 = (F.lit(25.0) + (k / 5).cast("long").cast("double") * 0.01)
     pt = lambda x, y: F.format_string("%.2f %.2f", x, y)
     ring = F.concat_ws(",", pt(x0, y0 + 0.8), pt(x0 + 0.8, y0 + 0.8), pt(x0 + 0.8, y0), pt(x0, y0), pt(x0, y0 + 0.8))
-    return nation.select(
+    return df.select(
         k.cast("string").alias(G),
-        F.concat(F.lit("N"), F.lpad(k.cast("string"), 2, "0")).alias("governorate_code"),
-        F.col("n_name").alias("governorate_name_en"),
+        F.concat(F.lit(code_prefix), F.lpad(k.cast("string"), 2, "0")).alias("governorate_code"),
+        F.col(name).alias("governorate_name_en"),
         F.concat(F.lit("POLYGON(("), ring, F.lit("))")).alias("wkt"),
     )
 
 
+def boundary_wkt(nation: DataFrame) -> DataFrame:
+    """One WKT rectangle per nation."""
+    return rectangle_wkt(nation, "n_nationkey", "N", "n_name")
+
+
+def customer_regions(customer: DataFrame) -> DataFrame:
+    """A region dimension with one region per customer (grows with the data)."""
+    return customer.select(F.col("c_custkey").cast("int").alias(G),
+                           F.concat(F.lit("C"), F.col("c_custkey").cast("string")).alias("governorate_code"),
+                           F.col("c_name").alias("governorate_name_en"),
+                           F.lit(None).cast("string").alias("governorate_name_ar"))
+
+
 def panel_store(spark: SparkSession, sf_dir: str) -> dict:
     """Facts, dimension, sites, boundaries and default parameters."""
     from regiopanel.sources.params import seed_params

@@ -17,7 +17,7 @@ def spark():
 @pytest.fixture(scope="session")
 def seed(spark):
     """Seed deployment after recompute -> trend forecast (run 1) -> recompute."""
-    from regiopanel.plans import pipeline as PL
+    from regiopanel.plans import jobs as PL
     from regiopanel.sources.seed import seed_store
     st0 = seed_store(spark)
     before = PL.recompute(st0)

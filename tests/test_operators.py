@@ -86,7 +86,7 @@ def test_global_row_number(spark):
 
 def test_map_dataset_bins_and_sites(spark):
     st = seed_store(spark)
-    from regiopanel.plans import pipeline as PL
+    from regiopanel.plans import jobs as PL
     dv = PL.recompute(st)
     ov = OV.region_overview(st, dv)
     m = {r["feature_governorate_id"]: r for r in OV.map_dataset(st["boundaries"], ov, "priority_score").collect()}

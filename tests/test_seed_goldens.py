@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from regiopanel.operators import forecast as FC
 from regiopanel.operators import overview as OV
-from regiopanel.plans import pipeline as PL
+from regiopanel.plans import jobs as PL
 
 D = Decimal
 LAST = dt.date(2025, 12, 1)
