@@ -28,6 +28,13 @@ SEED_REGIONS = [
     (5, "JER", "Jerash"), (6, "KAR", "Karak"), (7, "MAA", "Ma'an"), (8, "MAD", "Madaba"),
     (9, "MAF", "Mafraq"), (10, "TAF", "Tafilah"), (11, "AJL", "Ajloun"), (12, "ZAR", "Zarqa"),
 ]
+# Region rectangles: id -> (west, north, east, south).
+SEED_RECTANGLES = {
+    1: (35.80, 31.80, 36.20, 31.40), 2: (35.00, 29.80, 35.30, 29.30), 3: (35.40, 32.00, 35.80, 31.60),
+    4: (35.70, 32.20, 36.20, 31.95), 5: (35.70, 32.00, 36.05, 31.75), 6: (35.40, 31.40, 35.95, 30.95),
+    7: (35.10, 30.80, 36.10, 29.80), 8: (35.50, 31.80, 35.90, 31.40), 9: (36.00, 32.30, 37.50, 31.70),
+    10: (35.20, 31.20, 35.60, 30.80), 11: (35.60, 32.10, 35.90, 31.90), 12: (36.00, 32.00, 36.60, 31.50),
+}
 SEED_SITES = [
     ("Petra Archaeological Park", "cultural", 7, "30.3285", "35.4444"),
     ("Wadi Rum Protected Area", "nature", 7, "29.5721", "35.4200"),
@@ -88,13 +95,9 @@ def seed_store(spark: SparkSession) -> dict:
     from regiopanel.sources.params import seed_params
     gov = seed_governorates(spark)
     panel = seed_panel(gov)
-    rects = {1: (35.80, 31.80, 36.20, 31.40), 2: (35.00, 29.80, 35.30, 29.30), 3: (35.40, 32.00, 35.80, 31.60),
-             4: (35.70, 32.20, 36.20, 31.95), 5: (35.70, 32.00, 36.05, 31.75), 6: (35.40, 31.40, 35.95, 30.95),
-             7: (35.10, 30.80, 36.10, 29.80), 8: (35.50, 31.80, 35.90, 31.40), 9: (36.00, 32.30, 37.50, 31.70),
-             10: (35.20, 31.20, 35.60, 30.80), 11: (35.60, 32.10, 35.90, 31.90), 12: (36.00, 32.00, 36.60, 31.50)}
     wkt_rows = []
     for i, code, name in SEED_REGIONS:
-        x0, y0, x1, y1 = rects[i]
+        x0, y0, x1, y1 = SEED_RECTANGLES[i]
         ring = f"{x0:.2f} {y0:.2f},{x1:.2f} {y0:.2f},{x1:.2f} {y1:.2f},{x0:.2f} {y1:.2f},{x0:.2f} {y0:.2f}"
         wkt_rows.append((str(i), code, name, f"POLYGON(({ring}))"))
     raw = spark.createDataFrame(wkt_rows, "governorate_id string, governorate_code string, "

@@ -17,7 +17,7 @@ from regiopanel.operators.overview import at_latest, latest_month
 
 G, M = S.G, S.M
 
-# Export column headers (fixed presentation names).
+# Export column headers, in output order.
 OVERVIEW_HEADERS = [("governorate_name_en", "Governorate"), ("latest_total_visitors", "Visitors"),
                     ("latest_total_beds", "Beds"), ("latest_average_occupancy_rate", "Occupancy Rate"),
                     ("priority_score", "Priority Score"), ("capacity_classification", "Capacity Classification"),
