@@ -11,7 +11,8 @@ SF = "/root/testdata/sf0.01"
 def _top_plan(df):
     """Executed plan text without the plans of cached relations."""
     df.collect()
-    text = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    text = df._jdf.queryExecution().executedPlan().toString()
+    text = re.split(r"(?m)^\+- == Initial Plan ==", text)[0]
     keep, depth = [], None
     for line in text.splitlines():
         indent = len(line) - len(line.lstrip(" :+-"))
