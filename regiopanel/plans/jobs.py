@@ -43,8 +43,11 @@ def run_forecast(store: dict, run_id: int, horizon: int = 12, model_name: str |
     model = C.model_name(model_name)
     spark = store["visitors"].sparkSession
     stats = FC.series_stats(FC.series_rows(store["visitors"], model))
-    if persist:
-        stats = materialize(stats)     # forecast and backtest both read it
+    # Forecast rows, backtest metrics and every later reader of the run (the
+    # newest-run and per-region next-forecast lookups, scenario baselines) derive
+    # from these per-series statistics (one row per series): checkpoint them
+    # with ``persist``, else cache them so the window chain runs once.
+    stats = materialize(stats) if persist else stats.cache()
     header = spark.range(1).select(
         F.lit(run_id).cast("long").alias("model_run_id"), F.lit(model).alias("model_name"),
         F.lit(S.FORECAST_TARGET).alias("forecast_target"), F.lit(int(horizon)).alias("horizon_months"),

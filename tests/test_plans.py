@@ -1,48 +1,32 @@
-"""Plan-shape checks for the scale properties claimed in the README."""
+"""Plan-shape checks for the scale properties claimed in README / PLANS.md."""
 import re
 
 from regiopanel.operators import forecast as FC
 from regiopanel.plans import registry as R
 from regiopanel.sources import proxy as PX
+from tests.plan_report import counts, final_nodes, formatted
 
 SF = "/root/testdata/sf0.01"
 
 
-def _top_plan(df):
-    """Executed plan text without the plans of cached relations."""
-    df.collect()
-    text = df._jdf.queryExecution().executedPlan().toString()
-    text = re.split(r"(?m)^\+- == Initial Plan ==", text)[0]
-    keep, depth = [], None
-    for line in text.splitlines():
-        indent = len(line) - len(line.lstrip(" :+-"))
-        if depth is not None and indent > depth:
-            continue
-        depth = None
-        keep.append(line)
-        if "InMemoryRelation" in line:
-            depth = indent
-    return "\n".join(keep)
-
-
 def test_forecast_windows_share_one_exchange(spark):
+    spark.catalog.clearCache()
     st = PX.panel_store(spark, SF)
-    plan = _top_plan(FC.forecast(st["visitors"], 12, "seasonal_trend_v2"))
-    assert len(re.findall(r"Exchange hashpartitioning\(governorate_id", plan)) == 1
-    assert plan.count("Window [") >= 3
+    top, cached, _ = final_nodes(formatted(FC.forecast(st["visitors"], 12, "seasonal_trend_v2")))
+    c = counts(top)
+    assert c["shuffle Exchange"] == 1 and c["Window"] == 4 and c["SortMergeJoin"] == 0
 
 
 def test_proxy_scans_are_pruned(spark):
     st = PX.panel_store(spark, SF)
-    st["rooms_beds"].collect()
-    plan = st["rooms_beds"]._jdf.queryExecution().executedPlan().toString()
-    schema = re.search(r"lineitem.parquet.*?ReadSchema: (struct<[^>]*>)", plan, re.S).group(1)
-    assert "l_extendedprice" not in schema and "l_comment" not in schema and "l_quantity" in schema
+    text = formatted(st["rooms_beds"])
+    schema = re.search(r"lineitem.parquet\]\n(?:PushedFilters: .*\n)?ReadSchema: (struct<[^>]*>)", text).group(1)
+    assert "l_extendedprice" not in schema and "l_returnflag" not in schema and "l_quantity" in schema
 
 
 def test_latest_month_is_a_scalar_subquery(spark):
-    df = R.q_kpis(spark, SF)
-    df.collect()
-    plan = _top_plan(df)
-    assert "Subquery" in plan
-    assert plan.count("BroadcastNestedLoopJoin") <= 1      # only the <= 1-row parameter attach
+    text = formatted(R.q_kpis(spark, SF))
+    top, _, n_sub = final_nodes(text)
+    assert n_sub >= 1 and "Subquery" in text
+    # Only 1-row attachments may be nested-loop joins (threshold parameter, newest run id).
+    assert counts(top)["BroadcastNestedLoopJoin"] <= 2
