@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from decimal import Decimal
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -118,7 +118,6 @@ def q_region_series(spark, d):
 
 def q_region_detail(spark, d):
     st, dv = _full(spark, d)
-    st = dict(st)
     return as_double(OV.region_detail(st, dv))
 
 
@@ -228,8 +227,9 @@ def q_top4_per_region(spark, d):
 # --- scenarios --------------------------------------------------------------------
 
 def scenarios_from_forecast(st: dict) -> DataFrame:
-    """Scenario batch: every (region, forecast month) of run 1 and the month
-    after each region's last history month, each at +0 and +500 beds."""
+    """Scenario batch: every (region, forecast month) of run 1, plus a month
+    beyond the forecast horizon (40 months after each region's last history
+    month, so the baseline falls back to history), each at +0 and +500 beds."""
     fc = st["forecast"].select(G, F.col("forecast_month").alias("target_month"))
     beyond = st["visitors"].groupBy(G).agg(F.add_months(F.max(M), 40).alias("target_month"))
     months = fc.unionByName(beyond)

@@ -54,7 +54,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Use the cluster's ``spark.checkpoint.dir`` (a shared folder).  Only a
     local-mode session (tests) without it gets a fresh scratch folder; on a
     cluster a missing setting is an error, never a machine-local folder."""
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:   # Spark Connect: the server's checkpoint configuration applies
+        return ""
     current = sc.getCheckpointDir()
     if current:
         return current
