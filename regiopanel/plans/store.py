@@ -48,7 +48,10 @@ class ParquetStore:
         return {n: df for n in dict.fromkeys(names) if (df := self.read(n)) is not None}
 
     def overwrite(self, name: str, df: DataFrame) -> None:
-        """Full refresh of a table (written even when ``df`` is empty)."""
+        """Full refresh of a table (written even when ``df`` is empty).
+
+        A frame that itself reads the table being replaced must have its
+        lineage cut first (``session.materialize`` / ``checkpoint()``)."""
         w = df.write.mode("overwrite")
         if name in PARTITIONING and PARTITIONING[name] in df.columns:
             w = w.partitionBy(PARTITIONING[name])

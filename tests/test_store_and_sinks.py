@@ -32,3 +32,45 @@ def test_store_recompute_forecast_and_exports(spark):
     feats = [json.loads(x) for x in spark.read.text(out + "/map").collect() for x in [x[0]]]
     assert len(feats) == 12 and feats[0]["geometry"]["type"] == "MultiPolygon"
     assert feats[0]["geometry"]["coordinates"][0][0][0] == [35.8, 31.8]
+
+
+def test_documented_workflow(spark):
+    import datetime as dt
+
+    from regiopanel.operators import overview as OV
+    from regiopanel.operators.scenario import scenario_frame
+    from regiopanel.plans import jobs
+    from regiopanel.sources import ingest, params
+
+    root = tempfile.mkdtemp(prefix="rp-flow-")
+    store = local_store(spark, root)
+    store.save(seed_store(spark))
+    csv_dir = tempfile.mkdtemp(prefix="rp-flow-csv-")
+    path = os.path.join(csv_dir, "visitors.csv")
+    with open(path, "w") as f:
+        f.write("governorate_id,month_index,total_visitors\n1,2026-01-01,70000\n99,2026-01-01,5\n")
+    loaded = store.load()
+    r = ingest.import_csv(spark, path, "visitors_monthly", governorate=loaded["governorate"])
+    merged = loaded["visitors"].unionByName(r["loaded"])      # append a month to the history
+    store.overwrite(ingest.TARGET["visitors_monthly"], merged.checkpoint())
+    store.append("import_job", ingest.job_row(r["summary"], 1, "visitors_monthly", "visitors.csv"))
+    store.append("import_error", ingest.error_ledger_rows(r["errors"], 1))
+    assert ingest.list_jobs(store.read("import_job")).collect()[0]["error_rows"] == 1
+    assert ingest.list_errors(store.read("import_error"), 1).collect()[0]["row_number"] == 3
+    store.run_forecast(1, 12, "seasonal_trend_v2")
+    store.recompute()
+    loaded = store.load()
+    derived = {k: loaded[k] for k in ("indicators", "classification", "scores")}
+    k = OV.kpis(loaded, derived["scores"]).collect()[0]
+    assert k["latest_month"] == "2026-01-01" and float(k["total_visitors"]) == 70000.0
+    sc = scenario_frame(spark, [{"governorate_id": 1, "target_month": "2026-03-01", "additional_beds": 100}])
+    run = jobs.run_scenarios(loaded, derived, sc)
+    store.append("scenario_run", run["scenario_run"])
+    store.append("scenario_result", run["scenario_result"])
+    loaded = store.load()
+    assert jobs.latest_scenario_run(loaded["scenario_run"]).collect()[0]["target_month"] == dt.date(2026, 3, 1)
+    assert jobs.scenario_run_detail(loaded, 1).collect()[0]["governorate_name_en"] == "Amman"
+    upd = params.upsert_params(loaded["params"], params.updates_frame(
+        spark, [{"parameter_key": "high_priority_threshold", "parameter_value": 50}]))
+    store.overwrite("params", upd.checkpoint())
+    assert params.resolve(store.read("params"))["high_priority_threshold"] == 50.0
