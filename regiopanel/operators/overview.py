@@ -78,7 +78,7 @@ def kpis(store: dict, scores: DataFrame) -> DataFrame:
 
 # --- OV-2 / OV-3 ------------------------------------------------------------
 
-def _latest_slices(store: dict, derived: dict):
+def _latest_slices(store: dict):
     latest = latest_month(store["visitors"])
     base = store["governorate"].withColumn(M, latest)   # LEFT JOIN latest ON TRUE
     v = at_latest(store["visitors"], latest).select(G, M, F.col("total_visitors"))
@@ -89,7 +89,7 @@ def _latest_slices(store: dict, derived: dict):
 
 def latest_overview(store: dict) -> DataFrame:
     """OV-3: the latest-month view, one row per region."""
-    base, v, rb, o, _ = _latest_slices(store, {})
+    base, v, rb, o, _ = _latest_slices(store)
     return (base.join(v, [G, M], "left").join(rb, [G, M], "left").join(o, [G, M], "left")
             .select(G, "governorate_code", "governorate_name_en", "total_visitors", "total_rooms",
                     "total_beds", "average_occupancy_rate"))
@@ -98,7 +98,7 @@ def latest_overview(store: dict) -> DataFrame:
 def region_overview(store: dict, derived: dict) -> DataFrame:
     """OV-2: all regions at the latest month with scores, indicators, class and
     the next forecast of each region's newest run; ranked by score."""
-    base, v, rb, o, latest = _latest_slices(store, derived)
+    base, v, rb, o, latest = _latest_slices(store)
     d = at_latest(derived_columns(derived, LATEST_DERIVED), latest)
     df = (base.join(v, [G, M], "left").join(rb, [G, M], "left").join(o, [G, M], "left")
           .join(d, [G, M], "left"))
