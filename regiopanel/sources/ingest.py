@@ -62,14 +62,15 @@ def validate_headers(dataset_type: str, fieldnames: list[str] | None) -> None:
 
 def read_csv_raw(spark: SparkSession, path: str, dataset_type: str) -> DataFrame:
     """All-string scan of an import file (or a folder of files) with the
-    record ordinal ``_row`` and a ``_malformed`` flag."""
+    record order key ``_row`` and a ``_malformed`` flag (too few / too many
+    fields).  The flag is exact when every header column is read, which the
+    blank-field check of ``typed_rows`` always does; Spark's CSV column
+    pruning only narrows scans whose output cannot depend on it."""
     header = spark.read.option("header", True).option("inferSchema", False).csv(path).columns
     header = [h.lstrip("﻿") for h in header]
     validate_headers(dataset_type, header)
     schema = T.StructType([T.StructField(c, T.StringType()) for c in header]
                           + [T.StructField("_corrupt_record", T.StringType())])
-    # Malformed-row detection must see every field even when a query needs few.
-    spark.conf.set("spark.sql.csv.parser.columnPruning.enabled", "false")
     df = (spark.read.schema(schema)
           .option("header", True).option("mode", "PERMISSIVE")
           .option("columnNameOfCorruptRecord", "_corrupt_record")
