@@ -31,6 +31,7 @@ MALFORMED = "_malformed"  # too few / too many fields
 
 _INT_RE = r"^\s*[+-]?\d+(?:_\d+)*\s*$"
 _FLOAT_RE = r"^\s*[+-]?(?:\d+(?:_\d+)*(?:\.(?:\d+(?:_\d+)*)?)?|\.\d+(?:_\d+)*)(?:[eE][+-]?\d+(?:_\d+)*)?\s*$"
+_NONFINITE_RE = r"(?i)^\s*[+-]?(?:nan|inf|infinity)\s*$"
 _MONTH_RE = r"^(\d{4})-(1[0-2]|0[1-9]|[1-9])-(3[01]|[12]\d|0[1-9]|[1-9]| [1-9])$"
 
 MEASURES = {
@@ -60,13 +61,17 @@ def validate_headers(dataset_type: str, fieldnames: list[str] | None) -> None:
 
 # --- scan -------------------------------------------------------------------
 
-def read_csv_raw(spark: SparkSession, path: str, dataset_type: str) -> DataFrame:
+def read_csv_raw(spark: SparkSession, path: str, dataset_type: str, multiline: bool = False) -> DataFrame:
     """All-string scan of an import file (or a folder of files) with the
     record order key ``_row`` and a ``_malformed`` flag (too few / too many
     fields).  The flag is exact when every header column is read, which the
     blank-field check of ``typed_rows`` always does; Spark's CSV column
-    pruning only narrows scans whose output cannot depend on it."""
-    header = spark.read.option("header", True).option("inferSchema", False).csv(path).columns
+    pruning only narrows scans whose output cannot depend on it.
+
+    ``multiline`` accepts quoted fields containing line breaks; such files are
+    read whole by one task each (not splittable), so it is opt-in."""
+    header = (spark.read.option("header", True).option("inferSchema", False)
+              .option("multiLine", multiline).csv(path).columns)
     header = [h.lstrip("﻿") for h in header]
     validate_headers(dataset_type, header)
     schema = T.StructType([T.StructField(c, T.StringType()) for c in header]
@@ -75,6 +80,7 @@ def read_csv_raw(spark: SparkSession, path: str, dataset_type: str) -> DataFrame
           .option("header", True).option("mode", "PERMISSIVE")
           .option("columnNameOfCorruptRecord", "_corrupt_record")
           .option("encoding", "UTF-8")
+          .option("multiLine", multiline)
           .csv(path)
           .select(*[F.col(f"`{c}`") for c in header],
                   F.col("_corrupt_record").isNotNull().alias(MALFORMED),
@@ -149,6 +155,7 @@ def _parse_float(df: DataFrame, t: Column, p: str, dtype) -> DataFrame:
     df = df.withColumn(f"{p}_val", F.col(f"{p}_dbl").try_cast(dtype))
     return df.withColumn(f"{p}_msg", F.when(t.isNull(), F.lit(
         "float() argument must be a string or a real number, not 'NoneType'"))
+        .when(t.rlike(_NONFINITE_RE), F.concat(F.lit("non-finite value rejected: "), _quote(t)))
         .when(~ok, F.concat(F.lit("could not convert string to float: "), _quote(t)))
         .when(F.col(f"{p}_val").isNull(), F.lit("numeric field overflow")))
 
@@ -286,8 +293,8 @@ def import_rows(raw: DataFrame, dataset_type: str, governorate: DataFrame | None
 
 
 def import_csv(spark: SparkSession, path: str, dataset_type: str, governorate: DataFrame | None = None,
-               persist: bool = True) -> dict:
-    return import_rows(read_csv_raw(spark, path, dataset_type), dataset_type, governorate, persist)
+               persist: bool = True, multiline: bool = False) -> dict:
+    return import_rows(read_csv_raw(spark, path, dataset_type, multiline), dataset_type, governorate, persist)
 
 
 def job_row(summary_df: DataFrame, import_job_id: int, dataset_type: str, filename: str,

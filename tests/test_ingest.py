@@ -131,3 +131,16 @@ def test_duplicate_flags_and_ledgers(spark):
     assert (job["import_job_id"], job["status"], job["error_rows"]) == (7, "completed_with_errors", 6)
     led = ING.error_ledger_rows(r["errors"], 7)
     assert [x["row_number"] for x in ING.list_errors(led, 7).collect()] == [4, 5, 7, 9, 11, 12]
+
+
+def test_multiline_quoted_fields_and_nonfinite(spark):
+    text = ('governorate_id,governorate_code,governorate_name_en,wkt\n'
+            '1,AMM,"Amman\nCity","POLYGON((0 0,1 0,1 1,0 0))"\n'
+            '2,AQA,Aqaba,"POLYGON((0 0,2 0,2 2,0 0))"\n')
+    r = ING.import_csv(spark, _csv(text), "admin_boundaries", multiline=True)
+    names = {x["governorate_id"]: x["governorate_name_en"] for x in r["loaded"].collect()}
+    assert names == {1: "Amman\nCity", 2: "Aqaba"}
+    assert r["summary"].collect()[0]["processed_rows"] == 2
+    r = ING.import_csv(spark, _csv("governorate_id,month_index,total_visitors\n1,2025-01-01,nan\n"),
+                       "visitors_monthly")
+    assert r["errors"].collect()[0]["error_message"] == "non-finite value rejected: 'nan'"
