@@ -80,6 +80,11 @@ def latest_run(model_run: DataFrame) -> DataFrame:
     return list_runs(model_run).limit(1)
 
 
+def run_header(model_run: DataFrame, run_id: int) -> DataFrame:
+    """The run's header row (model, target, horizon, status, parameters)."""
+    return model_run.where(F.col("model_run_id") == run_id)
+
+
 def forecast_run_detail(store: dict, run_id: int) -> DataFrame:
     """FC-6: a run's forecasts with region names and backtest metrics."""
     f = store["forecast"].where(F.col("model_run_id") == run_id)
@@ -119,6 +124,10 @@ def with_scenario_run(store: dict, run: dict) -> dict:
     return out
 
 
+def scenario_run_header(scenario_run: DataFrame, scenario_run_id: int) -> DataFrame:
+    return scenario_run.where(F.col("scenario_run_id") == scenario_run_id)
+
+
 def scenario_run_detail(store: dict, scenario_run_id: int) -> DataFrame:
     """SC-4: the run's result row with the region name."""
     r = store["scenario_result"].where(F.col("scenario_run_id") == scenario_run_id)

@@ -152,6 +152,8 @@ def test_run_detail_and_ledgers(seed):
     assert len(d) == 144 and d[0]["governorate_name_en"] == "Amman"
     assert d[0]["reliability_label"] == "High"
     assert PL.latest_run(seed["store"]["model_run"]).collect()[0]["model_run_id"] == 1
+    h = PL.run_header(seed["store"]["model_run"], 1).collect()[0]
+    assert (h["model_name"], h["horizon_months"], h["forecast_target"]) == ("seasonal_trend_v2", 12, "total_visitors")
 
 
 def test_scenario_payload_helper(spark, seed):
