@@ -52,9 +52,14 @@ class ParquetStore:
 
         A frame that itself reads the table being replaced must have its
         lineage cut first (``session.materialize`` / ``checkpoint()``)."""
+        part = PARTITIONING.get(name)
+        if part == S.M and part in df.columns:
+            # Panel tables: cluster each month into one task, one file per month
+            # instead of one per task and month.
+            df = df.repartition(part)
         w = df.write.mode("overwrite")
-        if name in PARTITIONING and PARTITIONING[name] in df.columns:
-            w = w.partitionBy(PARTITIONING[name])
+        if part and part in df.columns:
+            w = w.partitionBy(part)
         w.parquet(self.path(name))
 
     def append(self, name: str, df: DataFrame) -> None:

@@ -144,3 +144,16 @@ def test_multiline_quoted_fields_and_nonfinite(spark):
     r = ING.import_csv(spark, _csv("governorate_id,month_index,total_visitors\n1,2025-01-01,nan\n"),
                        "visitors_monthly")
     assert r["errors"].collect()[0]["error_message"] == "non-finite value rejected: 'nan'"
+
+
+def test_hot_duplicate_key(spark):
+    """A third of the file on one key: counters and last-row-wins stay exact."""
+    lines = ["governorate_id,month_index,total_visitors"]
+    for i in range(1, 3001):
+        lines.append(f"1,2025-01-01,{i}" if i % 3 == 0 else f"{i},2025-01-01,{i}")
+    r = ING.import_csv(spark, _csv("\n".join(lines) + "\n"), "visitors_monthly")
+    s = r["summary"].collect()[0]
+    assert (s["processed_rows"], s["duplicates_in_file"], s["error_rows"]) == (3000, 1000, 0)  # rows 1 and 3k on key 1
+    won = r["loaded"].where("governorate_id = 1").collect()
+    assert len(won) == 1 and won[0]["total_visitors"] == D("3000.00")
+    assert r["loaded"].count() == 2000
