@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from regiopanel import schemas as S
 from regiopanel.plans import jobs as PL
+from regiopanel.sources import ingest
 
 PARTITIONING = {
     "visitors": S.M, "rooms_beds": S.M, "occupancy": S.M,
@@ -87,6 +88,29 @@ class ParquetStore:
         self.save(run)
         return run
 
+    def import_csv(self, path: str, dataset_type: str, import_job_id: int, filename: str | None = None,
+                   created_by: str | None = None, multiline: bool = False) -> dict:
+        """SRC-1..13 in one call: parse and quarantine, replace the target
+        table with the loaded rows (even when none loaded), append the job and
+        its error rows to the ledgers.  Unknown regions are quarantined."""
+        gov = self.read("governorate")
+        r = ingest.import_csv(self.spark, path, dataset_type, governorate=gov, multiline=multiline)
+        self.overwrite(ingest.TARGET[dataset_type], r["loaded"])
+        self.append("import_job", ingest.job_row(r["summary"], import_job_id, dataset_type,
+                                                 filename or os.path.basename(path), created_by))
+        self.append("import_error", ingest.error_ledger_rows(r["errors"], import_job_id))
+        return r
+
+    def run_scenarios(self, scenarios: DataFrame, overrides: dict | None = None) -> dict:
+        """SC-1..5 for a batch of scenarios against the stored panels; results
+        and run rows are appended to the scenario ledgers."""
+        loaded = self.load()
+        derived = {k: loaded[k] for k in ("indicators", "classification", "scores")}
+        out = PL.run_scenarios(loaded, derived, scenarios, overrides)
+        self.append("scenario_run", out["scenario_run"])
+        self.append("scenario_result", out["scenario_result"])
+        return out
+
 
 def local_store(spark: SparkSession, root: str) -> ParquetStore:
     os.makedirs(root, exist_ok=True)

@@ -74,3 +74,23 @@ def test_documented_workflow(spark):
         spark, [{"parameter_key": "high_priority_threshold", "parameter_value": 50}]))
     store.overwrite("params", upd.checkpoint())
     assert params.resolve(store.read("params"))["high_priority_threshold"] == 50.0
+
+
+def test_store_one_call_import_and_scenarios(spark):
+    from regiopanel.operators.scenario import scenario_frame
+
+    root = tempfile.mkdtemp(prefix="rp-store1-")
+    store = local_store(spark, root)
+    store.save(seed_store(spark))
+    d = tempfile.mkdtemp(prefix="rp-store1-csv-")
+    path = os.path.join(d, "occ.csv")
+    with open(path, "w") as f:
+        f.write("governorate_id,month_index,average_occupancy_rate\n1,2025-12-01,0.5\n42,2025-12-01,0.4\n")
+    r = store.import_csv(path, "hotel_occupancy_monthly", 5)
+    assert store.read("occupancy").count() == 1            # full refresh
+    job = store.read("import_job").collect()[0]
+    assert (job["import_job_id"], job["success_rows"], job["error_rows"], job["filename"]) == (5, 1, 1, "occ.csv")
+    assert store.read("import_error").count() == 1 and r["summary"].count() == 1
+    store.recompute()
+    out = store.run_scenarios(scenario_frame(spark, [{"governorate_id": 2, "target_month": "2025-12-01"}]))
+    assert store.read("scenario_result").count() == 1 and out["rejected"].count() == 0
