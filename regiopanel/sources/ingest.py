@@ -31,6 +31,10 @@ MALFORMED = "_malformed"  # too few / too many fields
 
 _INT_RE = r"^\s*[+-]?\d+(?:_\d+)*\s*$"
 _FLOAT_RE = r"^\s*[+-]?(?:\d+(?:_\d+)*(?:\.(?:\d+(?:_\d+)*)?)?|\.\d+(?:_\d+)*)(?:[eE][+-]?\d+(?:_\d+)*)?\s*$"
+# Decimal-digit sets accepted like ASCII digits by Python's
+# int()/float()/strptime (Arabic-Indic, Extended Arabic-Indic, full-width).
+_DIGIT_SETS = "٠١٢٣٤٥٦٧٨٩" + "۰۱۲۳۴۵۶۷۸۹" + "０１２３４５６７８９"
+_ASCII_DIGITS = "0123456789" * 3
 _NONFINITE_RE = r"(?i)^\s*[+-]?(?:nan|inf|infinity)\s*$"
 _MONTH_RE = r"^(\d{4})-(1[0-2]|0[1-9]|[1-9])-(3[01]|[12]\d|0[1-9]|[1-9]| [1-9])$"
 
@@ -123,19 +127,20 @@ def _quote(c: Column) -> Column:
     return F.concat(F.lit("'"), c, F.lit("'"))
 
 
-def _parse_int(df: DataFrame, t: Column, p: str) -> DataFrame:
-    """Adds {p}_val / {p}_msg.  Staged columns: each regex runs once per row
-    (an expensive expression referenced twice is not re-inlined by Catalyst)."""
+def _parse_int(df: DataFrame, t: Column, p: str, shown: Column) -> DataFrame:
+    """Adds {p}_val / {p}_msg (messages quote ``shown``, the original text).
+    Staged columns: each regex runs once per row (an expensive expression
+    referenced twice is not re-inlined by Catalyst)."""
     df = df.withColumn(f"{p}_ok", t.isNotNull() & t.rlike(_INT_RE))
     ok = F.col(f"{p}_ok")
     df = df.withColumn(f"{p}_val", F.when(ok, F.regexp_replace(F.trim(t), "_", "").try_cast("int")))
     return df.withColumn(f"{p}_msg", F.when(t.isNull(), F.lit(
         "int() argument must be a string, a bytes-like object or a real number, not 'NoneType'"))
-        .when(~ok, F.concat(F.lit("invalid literal for int() with base 10: "), _quote(t)))
+        .when(~ok, F.concat(F.lit("invalid literal for int() with base 10: "), _quote(shown)))
         .when(F.col(f"{p}_val").isNull(), F.lit("integer out of range")))
 
 
-def _parse_month(df: DataFrame, t: Column, p: str) -> DataFrame:
+def _parse_month(df: DataFrame, t: Column, p: str, shown: Column) -> DataFrame:
     df = df.withColumn(f"{p}_head", F.substring(t, 1, 10))
     head = F.col(f"{p}_head")
     df = df.withColumn(f"{p}_shaped", head.rlike(_MONTH_RE))
@@ -143,20 +148,20 @@ def _parse_month(df: DataFrame, t: Column, p: str) -> DataFrame:
     # The shape check fixes every field's width; a space can only pad the day.
     df = df.withColumn(f"{p}_val", F.when(shaped, F.try_to_date(F.regexp_replace(head, " ", ""), "yyyy-M-d")))
     return df.withColumn(f"{p}_msg", F.when(t.isNull(), F.lit("'NoneType' object is not subscriptable"))
-                         .when(~shaped, F.concat(F.lit("time data "), _quote(head),
+                         .when(~shaped, F.concat(F.lit("time data "), _quote(F.substring(shown, 1, 10)),
                                                  F.lit(" does not match format '%Y-%m-%d'")))
                          .when(F.col(f"{p}_val").isNull(), F.lit("day is out of range for month")))
 
 
-def _parse_float(df: DataFrame, t: Column, p: str, dtype) -> DataFrame:
+def _parse_float(df: DataFrame, t: Column, p: str, dtype, shown: Column) -> DataFrame:
     df = df.withColumn(f"{p}_ok", t.isNotNull() & t.rlike(_FLOAT_RE))
     ok = F.col(f"{p}_ok")
     df = df.withColumn(f"{p}_dbl", F.when(ok, F.regexp_replace(F.trim(t), "_", "").try_cast("double")))
     df = df.withColumn(f"{p}_val", F.col(f"{p}_dbl").try_cast(dtype))
     return df.withColumn(f"{p}_msg", F.when(t.isNull(), F.lit(
         "float() argument must be a string or a real number, not 'NoneType'"))
-        .when(t.rlike(_NONFINITE_RE), F.concat(F.lit("non-finite value rejected: "), _quote(t)))
-        .when(~ok, F.concat(F.lit("could not convert string to float: "), _quote(t)))
+        .when(t.rlike(_NONFINITE_RE), F.concat(F.lit("non-finite value rejected: "), _quote(shown)))
+        .when(~ok, F.concat(F.lit("could not convert string to float: "), _quote(shown)))
         .when(F.col(f"{p}_val").isNull(), F.lit("numeric field overflow")))
 
 
@@ -179,26 +184,28 @@ def typed_rows(raw: DataFrame, dataset_type: str, governorate: DataFrame | None
     text = lambda c: F.when(raw_col(c).isNull() & ~F.col(MALFORMED), F.lit("")).otherwise(raw_col(c))
     df = raw.select(ROW, MALFORMED, F.struct(*[text(c).alias(c) for c in header]).alias("_raw"),
                     F.coalesce(blank, F.lit(False)).alias("_null_like"))
-    t = lambda c: F.col("_raw").getField(c)
+    raw_text = lambda c: F.col("_raw").getField(c)
+    t = lambda c: F.translate(raw_text(c), _DIGIT_SETS, _ASCII_DIGITS)  # noqa: E731  (numbers and dates)
 
-    df = _parse_int(df, t(req[0]), "_g")
+    df = _parse_int(df, t(req[0]), "_g", raw_text(req[0]))
     g_bad = F.col("_g_msg").isNotNull()
     out = {G: F.col("_g_val")}
     if dataset_type == "admin_boundaries":
-        df = df.withColumn("_geom", wkt_to_multipolygon(t("wkt")))
+        df = df.withColumn("_geom", wkt_to_multipolygon(raw_text("wkt")))
         msgs = [F.col("_g_msg"), F.when(~g_bad & F.col("_geom").isNull(), F.lit("invalid WKT multipolygon"))]
-        out.update({"governorate_code": t("governorate_code"), "governorate_name_en": t("governorate_name_en"),
+        out.update({"governorate_code": raw_text("governorate_code"),
+                    "governorate_name_en": raw_text("governorate_name_en"),
                     "boundary_coords": F.col("_geom")})
         invalid_month, negative = F.lit(False), F.lit(False)
     else:
-        df = _parse_month(df, t(M), "_m")
+        df = _parse_month(df, t(M), "_m", raw_text(M))
         out[M] = F.col("_m_val")
         m_bad = F.col("_m_msg").isNotNull()
         msgs = [F.col("_g_msg"), F.when(~g_bad, F.col("_m_msg"))]
         prior = ~g_bad & ~m_bad
         neg = F.lit(False)
         for i, (name, dtype) in enumerate(MEASURES[dataset_type]):
-            df = _parse_float(df, t(name), f"_v{i}", dtype)
+            df = _parse_float(df, t(name), f"_v{i}", dtype, raw_text(name))
             out[name] = F.col(f"_v{i}_val")
             msgs.append(F.when(prior, F.col(f"_v{i}_msg")))
             prior = prior & F.col(f"_v{i}_msg").isNull()

@@ -157,3 +157,12 @@ def test_hot_duplicate_key(spark):
     won = r["loaded"].where("governorate_id = 1").collect()
     assert len(won) == 1 and won[0]["total_visitors"] == D("3000.00")
     assert r["loaded"].count() == 2000
+
+
+def test_non_ascii_digits_parse_like_python(spark):
+    text = "governorate_id,month_index,total_visitors\n٣,٢٠٢٥-٠١-٠١,١٢٣.٥\n４,2025-02-01,７\n"
+    r = ING.import_csv(spark, _csv(text), "visitors_monthly")
+    got = sorted(tuple(x) for x in r["loaded"].collect())
+    assert got == [(3, dt.date(2025, 1, 1), D("123.50")), (4, dt.date(2025, 2, 1), D("7.00"))]
+    assert '"governorate_id":"٣"' in ING.error_rows(r["typed"].withColumn("_ok", r["typed"]["_ok"] & False)) \
+        .orderBy("row_number").collect()[0]["raw_row_json"]
