@@ -62,11 +62,14 @@ def kpis(store: dict, scores: DataFrame) -> DataFrame:
     occ = at_latest(store["occupancy"], latest)
     # JN-7: the threshold parameter is attached through a constant-key join; a
     # missing (or non-numeric) parameter yields zero high-priority rows.
-    thr = (store["params"].where(F.col("parameter_key") == S.HIGH_PRIORITY_KEY)
+    spark = store["visitors"].sparkSession
+    params = store.get("params")
+    if params is None:   # no parameter table: no threshold, so no high-priority rows
+        params = spark.createDataFrame([], S.PARAMS)
+    thr = (params.where(F.col("parameter_key") == S.HIGH_PRIORITY_KEY)
            .select(F.col("parameter_value").try_cast("double").alias("thr")).where(F.col("thr").isNotNull()))
     hp = (at_latest(scores, latest).crossJoin(F.broadcast(thr))   # <= 1 parameter row
           .where(F.col("priority_score").cast("double") >= F.col("thr")))
-    spark = store["visitors"].sparkSession
     return spark.range(1).select(
         latest.cast("string").alias("latest_month"),
         _scalar(vis, F.coalesce(F.sum("total_visitors"), F.lit(0))).alias("total_visitors"),
@@ -195,19 +198,22 @@ def exec_top(store: dict, derived: dict, n: int = 5) -> DataFrame:
 
 # --- OV-7 and UI-derived columns ------------------------------------------------
 
-def map_dataset(boundaries: DataFrame, overview: DataFrame, metric: str = "priority_score") -> DataFrame:
+def map_dataset(boundaries: DataFrame, overview: DataFrame, metric: str = "priority_score",
+                name: Column | None = None) -> DataFrame:
     """Boundary features LEFT-joined to overview metrics on the normalised
     region name (duplicate names: the last row in overview order wins), with
-    the legend bin of ``metric``."""
+    the legend bin of ``metric``.  ``name`` picks the feature name (default:
+    ``governorate_name_en``; for GeoJSON files use ``geojson.feature_name``)."""
     order_key = F.struct(F.col("priority_score").isNull().alias("a"),
                          (-F.col("priority_score")).alias("b"), F.col(G).alias("c"))
     metrics = (overview.withColumn("_k", normalize_name(F.col("governorate_name_en")))
                .groupBy("_k").agg(F.max_by(F.struct(*[F.col(c) for c in overview.columns]), order_key).alias("m")))
-    feats = boundaries.withColumn("_k", normalize_name(F.col("governorate_name_en")))
+    name = F.col("governorate_name_en") if name is None else name
+    feats = boundaries.withColumn("_name", name).withColumn("_k", normalize_name(F.col("_name")))
     joined = feats.join(metrics, "_k", "left")
     return joined.select(
         F.col(G).alias("feature_governorate_id"),
-        F.col("governorate_name_en").alias("feature_name"),
+        F.col("_name").alias("feature_name"),
         F.col(f"m.{G}").alias("metric_governorate_id"),
         F.col(f"m.{metric}").alias("metric_value"),
         C.metric_bin(metric, F.col(f"m.{metric}")).alias("metric_bin"),

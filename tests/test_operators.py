@@ -98,3 +98,32 @@ def test_map_dataset_bins_and_sites(spark):
     assert OV.sites_with_coords(st["sites"]).count() == 7
     assert [r["site_name_en"] for r in OV.list_sites(st["sites"], 7).collect()] == [
         "Petra Archaeological Park", "Wadi Rum Protected Area"]
+
+
+def test_geojson_sources_and_name_rule(spark):
+    import json
+    import os
+    import tempfile
+
+    from regiopanel.plans import jobs as PL
+    from regiopanel.sources import geojson, sinks
+
+    st = seed_store(spark)
+    d = tempfile.mkdtemp(prefix="rp-geo-")
+    fc = {"type": "FeatureCollection", "features": [
+        {"type": "Feature", "properties": {"NAME_1": "Ma`an", "name": ""},
+         "geometry": {"type": "Polygon", "coordinates": [[[35.1, 30.8], [36.1, 30.8], [36.1, 29.8], [35.1, 30.8]]]}},
+        {"type": "Feature", "properties": {"name": "Nowhere"},
+         "geometry": {"type": "MultiPolygon", "coordinates": [[[[0, 0], [1, 0], [1, 1], [0, 0]]]]}}]}
+    with open(os.path.join(d, "b.json"), "w") as f:
+        json.dump(fc, f)
+    b = geojson.read_feature_collection(spark, os.path.join(d, "b.json"))
+    ov = OV.region_overview(st, PL.recompute(st))
+    m = {r["feature_name"]: r for r in OV.map_dataset(b, ov, "priority_score", geojson.feature_name(b)).collect()}
+    assert m["Ma`an"]["metric_governorate_id"] == 7 and m["Nowhere"]["metric_bin"] == "No data"
+    sinks.write_geojson_seq(st["boundaries"], os.path.join(d, "lines"))
+    lines = geojson.read_feature_lines(spark, os.path.join(d, "lines"))
+    got = {r["governorate_id"]: r["boundary_coords"] for r in lines.collect()}
+    assert len(got) == 12 and got[1][0][0][0] == [35.8, 31.8]
+    k = OV.kpis({k: v for k, v in st.items() if k != "params"}, PL.recompute(st)["scores"]).collect()[0]
+    assert k["high_priority_zones"] == 0
