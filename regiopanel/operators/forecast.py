@@ -1,6 +1,6 @@
 """Seasonal forecasts, uncertainty bands and in-sample backtests (FC-1..FC-4).
 
-All series are processed by one job: a single shuffle on the series key feeds
+All series are processed by one plan: a single shuffle on the series key feeds
 a chain of window operators (row position, positional lag 12, per-series mean
 growth) and a per-series aggregate that reuses the same partitioning.  The
 window partitions are bounded: the panel has one row per (region, date), so a

@@ -1,7 +1,7 @@
 """Batch what-if evaluation of bed-addition scenarios (SC-1..SC-3, SC-5).
 
 The reference evaluates one scenario per request; here a whole DataFrame of
-scenarios (any number per region) is evaluated in one job as column
+scenarios (any number per region) is evaluated in one plan as column
 arithmetic.  Per-region baselines are reduced to one row per region *before*
 they meet the scenarios, so the scenario join is against a region-sized frame.
 """

@@ -4,8 +4,8 @@ Tables live under one root folder (on a cluster: a shared filesystem / object
 store path).  Derived panels and facts are replaced wholesale (full refresh);
 run ledgers, forecasts and scenario results are appended, partitioned by run
 id so run filters prune partitions.  Facts and derived panels are partitioned
-by month so latest-month reads prune to one folder (dynamic partition pruning
-through the broadcast 1-row "latest" join).
+by month so latest-month reads prune to one folder (the scalar-subquery
+"latest month" filter becomes a partition filter).
 """
 
 from __future__ import annotations

@@ -13,10 +13,11 @@ star schema (this mapping is our own design choice):
 * sites              <- ``supplier`` rows, coordinates from the key
 * boundaries         <- one WKT rectangle per nation, parsed by the import path
 
-Scale notes.  The two aggregates are cached: they are panel-sized (regions
-x months, independent of the raw volume) and every downstream operator reads
-them several times, so each raw table is scanned once per session.  The heavy work is scan + join + aggregate of the two fact tables.
-Only the needed columns are read (column pruning reaches the Parquet scan).
+Scale notes.  The heavy work is scan + join + aggregate of the two fact
+tables.  The two aggregates are cached: they are panel-sized (regions x
+months, independent of the raw volume) and every downstream operator reads
+them several times, so each raw table is scanned once per session.  Only the
+needed columns are read (column pruning reaches the Parquet scan).
 The dimension sides (``customer``, ``supplier``) are joined on their keys; Spark
 broadcasts them only when its size estimate, or AQE's measured shuffle size,
 is under the broadcast threshold, and otherwise uses a sort-merge join whose

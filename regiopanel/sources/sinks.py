@@ -70,7 +70,7 @@ def write_csv(df: DataFrame, path: str, partition_by: str | None = None) -> None
 
 
 def write_region_csvs(store: dict, scores: DataFrame, path: str) -> None:
-    """All regions' series exports in one job, one folder per region."""
+    """All regions' series exports in one write, one folder per region."""
     write_csv(region_export(store, scores), path, partition_by=G)
 
 
