@@ -19,6 +19,9 @@ SCALE_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    # Remove reliable-checkpoint files once their frames are garbage-collected
+    # (long-lived sessions would otherwise accumulate them).
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
