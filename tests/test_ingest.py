@@ -166,3 +166,16 @@ def test_non_ascii_digits_parse_like_python(spark):
     assert got == [(3, dt.date(2025, 1, 1), D("123.50")), (4, dt.date(2025, 2, 1), D("7.00"))]
     assert '"governorate_id":"٣"' in ING.error_rows(r["typed"].withColumn("_ok", r["typed"]["_ok"] & False)) \
         .orderBy("row_number").collect()[0]["raw_row_json"]
+
+
+def test_folder_of_files_numbers_per_file(spark):
+    d = tempfile.mkdtemp(prefix="rp-folder-")
+    with open(os.path.join(d, "a.csv"), "w") as f:
+        f.write("governorate_id,month_index,total_visitors\n1,2025-01-01,10\nbad,2025-01-01,1\n")
+    with open(os.path.join(d, "b.csv"), "w") as f:
+        f.write("governorate_id,month_index,total_visitors\nx,2025-01-01,1\n1,2025-01-01,20\n")
+    r = ING.import_csv(spark, d, "visitors_monthly")
+    errs = sorted((x["row_number"], x["error_message"][:30]) for x in r["errors"].collect())
+    assert [e[0] for e in errs] == [2, 3]                      # numbered within each file
+    won = r["loaded"].collect()
+    assert len(won) == 1 and won[0]["total_visitors"] == D("20.00")   # b.csv comes after a.csv

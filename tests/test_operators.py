@@ -127,3 +127,12 @@ def test_geojson_sources_and_name_rule(spark):
     assert len(got) == 12 and got[1][0][0][0] == [35.8, 31.8]
     k = OV.kpis({k: v for k, v in st.items() if k != "params"}, PL.recompute(st)["scores"]).collect()[0]
     assert k["high_priority_zones"] == 0
+
+
+def test_global_row_number_with_null_and_tied_keys(spark):
+    rows = [(i, None if i % 4 == 0 else float(i % 3)) for i in range(1, 401)]
+    df = spark.createDataFrame(rows, "g int, score double").repartition(5)
+    got = global_row_number(df, [F.col("score").desc_nulls_last(), F.col("g").asc()], "rank").collect()
+    expect = sorted(rows, key=lambda r: (r[1] is None, -(r[1] or 0), r[0]))
+    assert [r["g"] for r in sorted(got, key=lambda r: r["rank"])] == [r[0] for r in expect]
+    assert sorted(r["rank"] for r in got) == list(range(1, 401))
