@@ -54,16 +54,20 @@ def upsert_params(base: DataFrame, updates: DataFrame) -> DataFrame:
             u = u.withColumn(name, default)
     # Last update per key wins; a key's updates are few, but use an aggregate
     # (partial, combinable) rather than a window so a hot key cannot pile up.
+    # Items apply in order: value and type come from the last update; the
+    # description from the last update that has one (COALESCE(new, existing)
+    # applied item by item), else the stored one.
     last = (u.groupBy("parameter_key")
             .agg(F.max_by(F.struct(F.col("parameter_value").cast("string").alias("v"),
-                                   F.coalesce("value_type", F.lit("number")).alias("t"),
-                                   F.col("description").alias("d")), "update_seq").alias("u")))
+                                   F.coalesce("value_type", F.lit("number")).alias("t")), "update_seq").alias("u"),
+                 F.max_by("description", F.when(F.col("description").isNotNull(), F.col("update_seq")))
+                 .alias("d")))
     joined = base.alias("b").join(last.alias("n"), "parameter_key", "full_outer")
     return joined.select(
         "parameter_key",
         F.coalesce(F.col("n.u.v"), F.col("b.parameter_value")).alias("parameter_value"),
         F.coalesce(F.col("n.u.t"), F.col("b.value_type")).alias("value_type"),
-        F.coalesce(F.col("n.u.d"), F.col("b.description")).alias("description"),
+        F.coalesce(F.col("n.d"), F.col("b.description")).alias("description"),
         F.when(F.col("n.u").isNotNull(), F.current_timestamp()).otherwise(F.col("b.updated_at"))
         .alias("updated_at"),
     )

@@ -70,6 +70,12 @@ def test_params_numeric_and_upsert(spark):
     assert out["high_priority_threshold"]["description"] == "new"
     assert out["brand_new"]["value_type"] == "number" and out["brand_new"]["updated_at"] is not None
     assert out["priority_weight_growth"]["parameter_value"] == "0.20"
+    ups2 = spark.createDataFrame([("priority_weight_growth", "0.3", None, "set", 1),
+                                  ("priority_weight_growth", "0.4", None, None, 2)],
+                                 "parameter_key string, parameter_value string, value_type string, "
+                                 "description string, update_seq long")
+    g = P.upsert_params(base, ups2).where("parameter_key = 'priority_weight_growth'").collect()[0]
+    assert (g["parameter_value"], g["description"]) == ("0.4", "set")   # earlier description survives
 
 
 def test_name_normaliser(spark):
