@@ -94,3 +94,18 @@ def test_store_one_call_import_and_scenarios(spark):
     store.recompute()
     out = store.run_scenarios(scenario_frame(spark, [{"governorate_id": 2, "target_month": "2025-12-01"}]))
     assert store.read("scenario_result").count() == 1 and out["rejected"].count() == 0
+
+
+def test_cli_flow(spark, capsys):
+    from regiopanel.__main__ import main
+
+    root = tempfile.mkdtemp(prefix="rp-cli-")
+    assert main(["seed", root]) == 0
+    assert main(["recompute", root]) == 0
+    assert main(["forecast", root, "1", "--horizon", "6"]) == 0
+    assert main(["recompute", root]) == 0
+    out = os.path.join(tempfile.mkdtemp(prefix="rp-cli-out-"), "exp")
+    assert main(["export", root, out]) == 0
+    lines = [json.loads(x) for x in capsys.readouterr().out.strip().splitlines()]
+    assert lines[2]["model_run_id"] == 1 and lines[2]["horizon_months"] == 6
+    assert os.path.isdir(os.path.join(out, "regions", "governorate_id=7"))
