@@ -85,6 +85,14 @@ def q_recompute_with_forecast(spark, d):
                                    "forecast_component"))
 
 
+def q_components(spark, d):
+    """PRJ-7/8: the four weighted components and the capped score, after a
+    seasonal-trend forecast run (all four components active)."""
+    st = _with_run1(_store(spark, d))
+    dv = _derived(st)
+    return as_double(dv["scores"].select(G, M, *IND.COMPONENT_COLS, "priority_score"))
+
+
 # --- overview family --------------------------------------------------------------
 
 def _full(spark, d):
@@ -311,6 +319,7 @@ QUERIES = {
     "classification": q_classification,
     "priority_scores": q_priority_scores,
     "recompute_with_forecast": q_recompute_with_forecast,
+    "components": q_components,
     "region_overview": q_region_overview,
     "latest_overview": q_latest_overview,
     "region_rank": q_region_rank,
