@@ -80,8 +80,8 @@ def main():
     spark = get_session("local[8]", 8)
     spark.sparkContext.setLogLevel("ERROR")
     print(f"# Plan report\n\nExecuted AQE final plans at `{sf}`, local[8], 8 shuffle partitions. Each operator "
-          "is counted once across the main plan and its scalar subqueries. Operators inside the two cached proxy "
-          "aggregates are listed separately (they run once per session).\n")
+          "is counted once across the main plan and its scalar subqueries. Operators inside cached relations (the two proxy "
+          "aggregates and per-run forecast statistics) are listed separately; they run once per session.\n")
     kinds = [k for k, _ in KINDS]
     print("| query | subqueries | " + " | ".join(kinds) + " |")
     print("|---" * (len(kinds) + 2) + "|")
@@ -92,7 +92,7 @@ def main():
         c = counts(top)
         print(f"| {q} | {n_sub} | " + " | ".join(str(c.get(k, 0)) for k in kinds) + " |")
     c = counts(cached_all)
-    print("\nCached proxy aggregates (both together): " + ", ".join(f"{k} {c.get(k, 0)}" for k in kinds) + ".")
+    print("\nCached relations (proxy aggregates, forecast statistics), together: " + ", ".join(f"{k} {c.get(k, 0)}" for k in kinds) + ".")
 
 
 if __name__ == "__main__":
