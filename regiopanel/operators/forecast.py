@@ -49,8 +49,8 @@ def series_stats(rows: DataFrame) -> DataFrame:
     in_last12 = F.col("rn") > F.col("n") - 12
     resid = F.when(prev > 0, v - prev)
     return (rows.groupBy(G).agg(
-        F.first("n").alias("n"),
-        F.first("avg_growth").alias("avg_growth"),
+        F.max("n").alias("n"),                     # constant within a series
+        F.max("avg_growth").alias("avg_growth"),   # (max, not first: deterministic)
         F.coalesce(F.stddev_pop(resid), F.max(F.when(in_last12, v)) * S.SIGMA_FALLBACK).alias("sigma"),
         F.max(M).alias("last_month"),
         F.sort_array(F.collect_list(F.when(in_last12, F.struct("rn", "v")))).alias("last12"),
