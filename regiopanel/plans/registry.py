@@ -312,6 +312,14 @@ def q_seed_panel(spark, d):
     return as_double(SEED.seed_panel(gov)["facts"])
 
 
+def q_forecast_seed_customers(spark, d):
+    """Seasonal-trend forecast over the seed panel of one series per customer
+    (24 months each): the per-series window path at a series count that grows
+    with the data."""
+    gov = PX.customer_regions(PX.read_table(spark, d, "customer"))
+    return as_double(FC.forecast(SEED.seed_panel(gov)["visitors"], 12, "seasonal_trend_v2", 1))
+
+
 QUERIES = {
     "indicators": q_indicators,
     "yoy_calendar": q_yoy_calendar,
@@ -356,4 +364,5 @@ QUERIES = {
     "import_lastwins": q_import_lastwins,
     "fk_violations": q_fk_violations,
     "seed_panel": q_seed_panel,
+    "forecast_seed_customers": q_forecast_seed_customers,
 }
