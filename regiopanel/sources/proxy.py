@@ -124,8 +124,9 @@ def boundary_wkt(nation: DataFrame) -> DataFrame:
 
 
 def customer_regions(customer: DataFrame) -> DataFrame:
-    """A region dimension with one region per customer (grows with the data)."""
-    return customer.select(F.col("c_custkey").cast("int").alias(G),
+    """A region dimension with one region per customer (grows with the data).
+    The key stays BIGINT: customer keys outgrow INTEGER at very large scale."""
+    return customer.select(F.col("c_custkey").alias(G),
                            F.concat(F.lit("C"), F.col("c_custkey").cast("string")).alias("governorate_code"),
                            F.col("c_name").alias("governorate_name_en"),
                            F.lit(None).cast("string").alias("governorate_name_ar"))

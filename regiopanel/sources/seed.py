@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from regiopanel import schemas as S
+from regiopanel.functions.columns import store_as
 
 G, M = S.G, S.M
 
@@ -68,7 +69,7 @@ def seed_panel(governorate: DataFrame, n_months: int = 24, start: str = "2024-01
     g = governorate.select(G, "governorate_code")
     rows = (g.select(G, "governorate_code", F.explode(F.sequence(F.lit(0), F.lit(n_months - 1))).alias("i"))
             .withColumn(M, F.add_months(F.lit(start).cast("date"), F.col("i"))))
-    gid = F.col(G).cast("decimal(10,0)")
+    gid = F.col(G).cast("decimal(20,0)")
     factor = F.element_at(factors, F.month(M))
     visitors = ((F.lit(Decimal("30000")) + gid * 7000) * factor
                 * (F.lit(Decimal("1")) + F.col("i").cast("decimal(10,0)") * F.lit(Decimal("0.01")))
@@ -78,10 +79,10 @@ def seed_panel(governorate: DataFrame, n_months: int = 24, start: str = "2024-01
     beds = (F.lit(Decimal("900")) + gid * 120) * F.lit(Decimal("2.1")) * cap
     ratio = visitors.cast("double") / (beds.cast("double") * 35.0)
     occ = F.least(F.lit(0.92), F.greatest(F.lit(0.25), ratio))
-    facts = rows.select(G, M, F.round(visitors, 2).cast(S.MONEY).alias("total_visitors"),
-                        F.round(rooms, 2).cast(S.MONEY).alias("total_rooms"),
-                        F.round(beds, 2).cast(S.MONEY).alias("total_beds"),
-                        F.round(occ, 4).cast(S.RATE).alias("average_occupancy_rate"))
+    facts = rows.select(G, M, store_as(F.round(visitors, 2), S.MONEY).alias("total_visitors"),
+                        store_as(F.round(rooms, 2), S.MONEY).alias("total_rooms"),
+                        store_as(F.round(beds, 2), S.MONEY).alias("total_beds"),
+                        store_as(F.round(occ, 4), S.RATE).alias("average_occupancy_rate"))
     return {"visitors": facts.select(G, M, "total_visitors"),
             "rooms_beds": facts.select(G, M, "total_rooms", "total_beds"),
             "occupancy": facts.select(G, M, "average_occupancy_rate"),
