@@ -142,3 +142,11 @@ def test_global_row_number_with_null_and_tied_keys(spark):
     expect = sorted(rows, key=lambda r: (r[1] is None, -(r[1] or 0), r[0]))
     assert [r["g"] for r in sorted(got, key=lambda r: r["rank"])] == [r[0] for r in expect]
     assert sorted(r["rank"] for r in got) == list(range(1, 401))
+
+
+def test_reliability_label_thresholds(spark):
+    from regiopanel.functions import columns as C
+    rows = [(24, 12.0), (24, 12.01), (18, 20.0), (23, 20.01), (17, 1.0), (30, None)]
+    df = spark.createDataFrame(rows, "n int, mape double")
+    got = [r[0] for r in df.select(C.reliability("n", "mape")).collect()]
+    assert got == ["High", "Moderate", "Moderate", "Low", "Low", "Low"]
