@@ -72,3 +72,23 @@ def test_empty_panel(spark):
     run = PL.run_forecast(st, 1, 12)
     assert run["forecast"].count() == 0 and run["backtest"].count() == 0
     assert OV.exec_top(st, d).count() == 0
+
+
+def test_scenario_zero_beds_guards(spark):
+    from regiopanel.operators.scenario import scenario_frame
+    vis = [(1, M2, D("100"))]
+    rb = [(1, M2, D("0"), D("0"))]
+    occ = [(1, M2, D("0.8000"))]
+    st = _store(spark, vis, rb, occ)
+    d = PL.recompute(st)
+    sc = scenario_frame(spark, [{"governorate_id": 1, "target_month": "2025-02-01", "additional_beds": 0},
+                                {"governorate_id": 1, "target_month": "2025-02-01", "additional_beds": 10,
+                                 "scenario_run_id": 9}])
+    res = {r["scenario_run_id"]: r for r in PL.run_scenarios(st, d, sc)["scenario_result"].collect()}
+    r0 = res[1]
+    assert r0["visitors_per_1000_beds_before"] is None and r0["visitors_per_1000_beds_after"] is None
+    assert r0["priority_score_before"] == r0["priority_score_after"] == D("28.00")   # 80 x 0.35, others 0
+    assert r0["capacity_status_after"] == "Under-capacity"                            # 80 x 1 (beds 0 -> factor 1)
+    assert r0["capacity_status_before"] == "Under-capacity"
+    r9 = res[9]
+    assert r9["visitors_per_1000_beds_after"] == D("10000.0000") and r9["capacity_status_after"] == "Over-capacity"
