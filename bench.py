@@ -5,7 +5,8 @@ with ``local[$BENCH_CPUS]`` and prints ONE JSON line:
 {"metric": "headline_total_sec", "value": N, "unit": "sec", "queries": {...}, "sf": ...}
 Each query: one warm-up, then the median of 3 timed runs.  Every run
 re-executes the whole plan from the Parquet tables (outputs are forced with
-the ``noop`` sink or a collect of the small result).
+the ``noop`` sink or a collect of the small result).  Rows in/out, cores,
+Spark version and the relevant settings are recorded alongside (untimed).
 """
 
 from __future__ import annotations
@@ -45,14 +46,17 @@ def q_panel_build(spark):
     noop(st["visitors"])
     rb, occ = PX.rooms_beds_and_occupancy(PX.read_table(spark, SF_DIR, "lineitem"),
                                           PX.read_table(spark, SF_DIR, "supplier"))
-    noop(rb.join(occ, [S.G, S.M], "left"))
+    out = rb.join(occ, [S.G, S.M], "left")
+    noop(out)
+    return out
 
 
 def q_recompute(spark):
     st = PX.panel_store(spark, SF_DIR)
     d = PL.recompute(st, persist=True)
-    for df in d.values():
-        noop(df)
+    for name in ("indicators", "classification", "scores"):
+        noop(d[name])
+    return d["scores"]
 
 
 def q_forecast_backtest(spark):
@@ -60,6 +64,7 @@ def q_forecast_backtest(spark):
     run = PL.run_forecast(st, 1, 12, "seasonal_trend_v2", persist=True)
     noop(run["forecast"])
     noop(run["backtest"])
+    return run["forecast"]
 
 
 def q_scenario_eval(spark):
@@ -74,7 +79,9 @@ def q_scenario_eval(spark):
         (F.col("k") * 10).cast("int").alias("additional_beds"), F.lit(0).alias("additional_rooms"),
         (F.col("k") % 7 / 100).cast("decimal(10,4)").alias("induced_demand_ratio"),
         F.lit(None).cast("long").alias("based_on_model_run_id"))
-    noop(PL.run_scenarios(st, dv, sc)["scenario_result"])
+    out = PL.run_scenarios(st, dv, sc)["scenario_result"]
+    noop(out)
+    return out
 
 
 def q_import_quarantine(spark):
@@ -83,6 +90,7 @@ def q_import_quarantine(spark):
     noop(r["loaded"])
     noop(r["errors"])
     r["summary"].collect()
+    return r["typed"]
 
 
 def q_forecast_many_series(spark):
@@ -94,6 +102,7 @@ def q_forecast_many_series(spark):
     run = PL.run_forecast({"visitors": panel["visitors"]}, 1, 12, "seasonal_trend_v2", persist=True)
     noop(run["forecast"])
     noop(run["backtest"])
+    return run["forecast"]
 
 
 _CSV = {}
@@ -118,17 +127,22 @@ def q_import_csv(spark):
     noop(r["loaded"])
     noop(r["errors"])
     r["summary"].collect()
+    return r["typed"]
 
 
 def q_region_overview(spark):
     st = PX.panel_store(spark, SF_DIR)
     st = PL.with_forecast_run(st, PL.run_forecast(st, 1, 12, "seasonal_trend_v2"))
-    OV.region_overview(st, PL.recompute(st)).collect()
+    out = OV.region_overview(st, PL.recompute(st))
+    out.collect()
+    return out
 
 
 def q_kpis(spark):
     st = PX.panel_store(spark, SF_DIR)
-    OV.kpis(st, PL.recompute(st)["scores"]).collect()
+    out = OV.kpis(st, PL.recompute(st)["scores"])
+    out.collect()
+    return out
 
 
 QUERIES = {
@@ -148,7 +162,7 @@ def main():
     spark = get_session(f"local[{CPUS}]", CPUS, app_name="regiopanel-bench",
                         extra={"spark.driver.memory": "16g"})
     spark.sparkContext.setLogLevel("ERROR")
-    out = {}
+    out, rows_out = {}, {}
     for name, fn in QUERIES.items():
         spark.catalog.clearCache()
         fn(spark)   # warm-up (JIT, file listing)
@@ -156,13 +170,18 @@ def main():
         for _ in range(3):
             spark.catalog.clearCache()   # every timed run rebuilds the panel from Parquet
             t0 = time.perf_counter()
-            fn(spark)
+            result = fn(spark)
             times.append(time.perf_counter() - t0)
         out[name] = round(statistics.median(times), 3)
+        rows_out[name] = result.count()   # untimed
+    rows_in = {t: PX.read_table(spark, SF_DIR, t).count() for t in ("orders", "lineitem", "customer", "supplier")}
+    conf = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled",
+                                           "spark.sql.adaptive.skewJoin.enabled",
+                                           "spark.sql.autoBroadcastJoinThreshold")}
     m = re.search(r"sf([0-9.]+)", SF_DIR)
     print(json.dumps({"metric": "headline_total_sec", "value": round(sum(out.values()), 3), "unit": "sec",
                       "queries": out, "sf": float(m.group(1)) if m else SF_DIR, "cpus": CPUS,
-                      "spark": spark.version}))
+                      "spark": spark.version, "rows_in": rows_in, "rows_out": rows_out, "conf": conf}))
 
 
 if __name__ == "__main__":
