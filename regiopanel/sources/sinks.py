@@ -62,6 +62,21 @@ def geojson_features(boundaries: DataFrame) -> DataFrame:
     return boundaries.select(G, F.to_json(feat).alias("feature_json")).orderBy(G)
 
 
+def feature_collection(boundaries: DataFrame, max_features: int = 10_000) -> DataFrame:
+    """SRC-19 as one FeatureCollection document (features ordered by id; no
+    boundaries -> ``"features":[]``).  A single document is one group, so the
+    feature count is checked first against ``max_features``; larger boundary
+    sets go through ``write_geojson_seq``."""
+    n = boundaries.limit(max_features + 1).count()
+    if n > max_features:
+        raise ValueError(f"more than {max_features} features: write them with write_geojson_seq instead")
+    feats = geojson_features(boundaries)
+    items = F.sort_array(F.collect_list(F.struct(G, "feature_json")))     # <= max_features elements
+    body = F.concat_ws(",", F.transform(items, lambda x: x["feature_json"]))
+    return feats.agg(F.concat(F.lit('{"type":"FeatureCollection","features":['), body, F.lit("]}"))
+                     .alias("geojson"))
+
+
 def write_csv(df: DataFrame, path: str, partition_by: str | None = None) -> None:
     w = df.write.mode("overwrite").option("header", True)
     if partition_by:

@@ -109,3 +109,16 @@ def test_cli_flow(spark, capsys):
     lines = [json.loads(x) for x in capsys.readouterr().out.strip().splitlines()]
     assert lines[2]["model_run_id"] == 1 and lines[2]["horizon_months"] == 6
     assert os.path.isdir(os.path.join(out, "regions", "governorate_id=7"))
+
+
+def test_feature_collection_document(spark):
+    import pytest
+
+    st = seed_store(spark)
+    doc = json.loads(sinks.feature_collection(st["boundaries"]).collect()[0]["geojson"])
+    assert doc["type"] == "FeatureCollection" and len(doc["features"]) == 12
+    assert [f["properties"]["governorate_id"] for f in doc["features"]] == list(range(1, 13))
+    empty = json.loads(sinks.feature_collection(st["boundaries"].where("false")).collect()[0]["geojson"])
+    assert empty == {"type": "FeatureCollection", "features": []}
+    with pytest.raises(ValueError):
+        sinks.feature_collection(st["boundaries"], max_features=5)
