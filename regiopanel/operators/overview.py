@@ -66,9 +66,11 @@ def kpis(store: dict, scores: DataFrame) -> DataFrame:
     params = store.get("params")
     if params is None:   # no parameter table: no threshold, so no high-priority rows
         params = spark.createDataFrame([], S.PARAMS)
+    # Exactly one row by construction (global aggregate; NULL when missing,
+    # which then matches no score).
     thr = (params.where(F.col("parameter_key") == S.HIGH_PRIORITY_KEY)
-           .select(F.col("parameter_value").try_cast("double").alias("thr")).where(F.col("thr").isNotNull()))
-    hp = (at_latest(scores, latest).crossJoin(F.broadcast(thr))   # <= 1 parameter row
+           .agg(F.max(F.col("parameter_value").try_cast("double")).alias("thr")))
+    hp = (at_latest(scores, latest).crossJoin(F.broadcast(thr))   # 1-row side
           .where(F.col("priority_score").cast("double") >= F.col("thr")))
     return spark.range(1).select(
         latest.cast("string").alias("latest_month"),
