@@ -103,9 +103,12 @@ def run_scenarios(store: dict, derived: dict, scenarios: DataFrame, overrides: d
     """Evaluate a batch of scenarios: run ledger rows, results, rejects."""
     params = P.resolve(store.get("params"), overrides)
     baseline = SC.scenario_baseline(scenarios, store, derived)
-    return {"scenario_run": SC.scenario_runs(scenarios, store.get("model_run")),
-            "scenario_result": SC.evaluate_scenarios(baseline, params),
-            "rejected": SC.rejected_scenarios(scenarios, store)}
+    rejected = SC.rejected_scenarios(scenarios, store)
+    # A rejected scenario leaves no run row (the reference rolls its insert back).
+    runs = SC.scenario_runs(scenarios, store.get("model_run")).join(
+        rejected.select("scenario_run_id"), "scenario_run_id", "left_anti")
+    return {"scenario_run": runs, "scenario_result": SC.evaluate_scenarios(baseline, params),
+            "rejected": rejected}
 
 
 def list_scenario_runs(scenario_run: DataFrame) -> DataFrame:

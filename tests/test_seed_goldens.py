@@ -131,6 +131,7 @@ def test_scenario_rejects_region_without_history(spark, seed):
     out = PL.run_scenarios(seed["store"], seed["after"], sc)
     assert out["scenario_result"].count() == 0
     assert [r["scenario_run_id"] for r in out["rejected"].collect()] == [9]
+    assert out["scenario_run"].count() == 0          # no ledger row for a rejected scenario
 
 
 def test_exec_summary_and_detail(seed):
