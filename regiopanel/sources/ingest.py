@@ -29,13 +29,17 @@ G, M = S.G, S.M
 ROW = "_row"              # record order key: a long (first record = 2) or struct(_file, _block, _mid)
 MALFORMED = "_malformed"  # too few / too many fields
 
-_INT_RE = r"^\s*[+-]?\d+(?:_\d+)*\s*$"
-_FLOAT_RE = r"^\s*[+-]?(?:\d+(?:_\d+)*(?:\.(?:\d+(?:_\d+)*)?)?|\.\d+(?:_\d+)*)(?:[eE][+-]?\d+(?:_\d+)*)?\s*$"
+# The characters Python's str.strip()/int()/float() treat as
+# whitespace (str.isspace), as a regex class; Java's \s covers only ASCII.
+_WS = r"[\t\n\x0b\x0c\r\x1c-\x1f \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+_INT_RE = rf"^{_WS}*[+-]?\d+(?:_\d+)*{_WS}*$"
+_FLOAT_RE = (rf"^{_WS}*[+-]?(?:\d+(?:_\d+)*(?:\.(?:\d+(?:_\d+)*)?)?|\.\d+(?:_\d+)*)"
+             rf"(?:[eE][+-]?\d+(?:_\d+)*)?{_WS}*$")
 # Decimal-digit sets accepted like ASCII digits by Python's
 # int()/float()/strptime (Arabic-Indic, Extended Arabic-Indic, full-width).
 _DIGIT_SETS = "٠١٢٣٤٥٦٧٨٩" + "۰۱۲۳۴۵۶۷۸۹" + "０１２３４５６７８９"
 _ASCII_DIGITS = "0123456789" * 3
-_NONFINITE_RE = r"(?i)^\s*[+-]?(?:nan|inf|infinity)\s*$"
+_NONFINITE_RE = rf"(?i)^{_WS}*[+-]?(?:nan|inf|infinity){_WS}*$"
 _MONTH_RE = r"^(\d{4})-(1[0-2]|0[1-9]|[1-9])-(3[01]|[12]\d|0[1-9]|[1-9]| [1-9])$"
 
 MEASURES = {
@@ -123,6 +127,11 @@ def with_line_numbers(subset: DataFrame, full: DataFrame, name: str = "row_numbe
 
 # --- row typing -------------------------------------------------------------
 
+def _py_strip(c: Column) -> Column:
+    """Python's str.strip(): remove leading/trailing Unicode whitespace."""
+    return F.regexp_replace(c, rf"^{_WS}+|{_WS}+$", "")
+
+
 def _quote(c: Column) -> Column:
     return F.concat(F.lit("'"), c, F.lit("'"))
 
@@ -133,7 +142,7 @@ def _parse_int(df: DataFrame, t: Column, p: str, shown: Column) -> DataFrame:
     referenced twice is not re-inlined by Catalyst)."""
     df = df.withColumn(f"{p}_ok", t.isNotNull() & t.rlike(_INT_RE))
     ok = F.col(f"{p}_ok")
-    df = df.withColumn(f"{p}_val", F.when(ok, F.regexp_replace(F.trim(t), "_", "").try_cast("int")))
+    df = df.withColumn(f"{p}_val", F.when(ok, F.regexp_replace(_py_strip(t), "_", "").try_cast("int")))
     return df.withColumn(f"{p}_msg", F.when(t.isNull(), F.lit(
         "int() argument must be a string, a bytes-like object or a real number, not 'NoneType'"))
         .when(~ok, F.concat(F.lit("invalid literal for int() with base 10: "), _quote(shown)))
@@ -156,7 +165,7 @@ def _parse_month(df: DataFrame, t: Column, p: str, shown: Column) -> DataFrame:
 def _parse_float(df: DataFrame, t: Column, p: str, dtype, shown: Column) -> DataFrame:
     df = df.withColumn(f"{p}_ok", t.isNotNull() & t.rlike(_FLOAT_RE))
     ok = F.col(f"{p}_ok")
-    df = df.withColumn(f"{p}_dbl", F.when(ok, F.regexp_replace(F.trim(t), "_", "").try_cast("double")))
+    df = df.withColumn(f"{p}_dbl", F.when(ok, F.regexp_replace(_py_strip(t), "_", "").try_cast("double")))
     df = df.withColumn(f"{p}_val", F.col(f"{p}_dbl").try_cast(dtype))
     return df.withColumn(f"{p}_msg", F.when(t.isNull(), F.lit(
         "float() argument must be a string or a real number, not 'NoneType'"))
@@ -179,7 +188,7 @@ def typed_rows(raw: DataFrame, dataset_type: str, governorate: DataFrame | None
     # reader turns empty fields into NULL; in a short row NULL means missing).
     blank = F.lit(False)
     for c in header:
-        blank = blank | (F.trim(raw_col(c)) == "") | (raw_col(c).isNull() & ~F.col(MALFORMED))
+        blank = blank | raw_col(c).rlike(rf"^{_WS}*$") | (raw_col(c).isNull() & ~F.col(MALFORMED))
     # Raw text as the reference sees it: '' for blank fields of well-formed rows.
     text = lambda c: F.when(raw_col(c).isNull() & ~F.col(MALFORMED), F.lit("")).otherwise(raw_col(c))
     df = raw.select(ROW, MALFORMED, F.struct(*[text(c).alias(c) for c in header]).alias("_raw"),

@@ -179,3 +179,12 @@ def test_folder_of_files_numbers_per_file(spark):
     assert [e[0] for e in errs] == [2, 3]                      # numbered within each file
     won = r["loaded"].collect()
     assert len(won) == 1 and won[0]["total_visitors"] == D("20.00")   # b.csv comes after a.csv
+
+
+def test_python_whitespace_rules(spark):
+    text = "governorate_id,month_index,total_visitors,note\n\t12 ,2025-01-01, 5 ,\t\n13,2025-01-01,7,x\n"
+    r = ING.import_csv(spark, _csv(text), "visitors_monthly")
+    s = r["summary"].collect()[0]
+    assert (s["success_rows"], s["null_like_values"]) == (2, 1)      # the tab-only note is blank
+    got = sorted((x["governorate_id"], x["total_visitors"]) for x in r["loaded"].collect())
+    assert got == [(12, D("5.00")), (13, D("7.00"))]
