@@ -8,13 +8,17 @@ import __spark_entry__ as E
 SF = "/root/testdata/sf0.001"
 
 
+# Queries of the optional folders have tests of their own, in tests/llm.
+OWN = {k: f for k, f in E.queries().items() if k in E._registry.QUERIES}
+
+
 def test_every_query_has_an_oracle():
-    assert set(E.queries()) == set(E.oracle_sql())
-    assert len(E.queries()) >= 40
+    assert set(OWN) <= set(E.oracle_sql())
+    assert len(OWN) >= 40
 
 
 def test_output_columns_are_named_and_comparable(spark):
-    for name, fn in E.queries().items():
+    for name, fn in OWN.items():
         schema = fn(spark, SF).schema
         cols = [f.name for f in schema.fields]
         assert len(cols) == len(set(cols)), name
