@@ -132,3 +132,11 @@ def connected_components(edges: DataFrame, rounds: int = 40) -> DataFrame:
             drop_stage(old)
         labels, live = new_labels, new_live
     raise RuntimeError("connected components did not converge")
+
+
+def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Arrow batches of at most ``rows`` rows, so that a batch of long texts
+    stays small in a Python worker; a setting of the user's is kept."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(rows))

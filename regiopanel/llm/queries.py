@@ -7,15 +7,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from . import exact_dedup as _exact
+from . import quality as _quality
+from . import toxicity as _toxicity
 from .common import load
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document, learned from ``labels.toxic``."""
+    return _toxicity.toxicity_scores(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document, learned from ``labels.quality``."""
+    return _quality.quality_scores(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact dedup of ``documents``: the largest doc_id of equal texts stays."""
     return _exact.exact_dedup(load(spark, sf_dir, "documents"), keep="largest")
 
 
 QUERIES = {
+    "op3_toxicity": op3_toxicity,
+    "op5_quality": op5_quality,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
