@@ -7,11 +7,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from . import exact_dedup as _exact
+from . import ngram_join as _ngrams
 from . import quality as _quality
 from . import toxicity as _toxicity
 from .common import load
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of ``documents`` under 4-word shingle Jaccard of 0.85 or more."""
+    return _ngrams.ngram_jaccard_components(load(spark, sf_dir, "documents"), n=4, percent=85)
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of every document, learned from ``labels.toxic``."""
     return _toxicity.toxicity_scores(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
@@ -28,12 +34,38 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_ngram_join": op2_ngram_join,
     "op3_toxicity": op3_toxicity,
     "op5_quality": op5_quality,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
+# A-Z to a-z, and the ASCII white space that parts words.
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = f"list_filter(regexp_split_to_array({_LOWER}, '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"
+
 SQL = {
+    "op2_ngram_join": f"""
+        WITH RECURSIVE words AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+        grams AS (
+            SELECT DISTINCT doc_id, unnest(
+                CASE WHEN len(w) = 0 THEN []
+                     WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+                     ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END) AS g
+            FROM words),
+        sizes AS (
+            SELECT doc_id, count(g) AS n_shingles FROM words LEFT JOIN grams USING (doc_id) GROUP BY doc_id),
+        shared AS (
+            SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS n
+            FROM grams x JOIN grams y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY ALL),
+        links AS (
+            SELECT a, b FROM shared JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b
+            WHERE 100 * n >= 85 * (p.n_shingles + q.n_shingles - n)),
+        reached AS (
+            SELECT doc_id AS a, doc_id AS b FROM sizes
+            UNION SELECT r.a, l.b FROM reached r JOIN links l ON r.b = l.a)
+        SELECT doc_id, n_shingles, min(b) AS component_id
+        FROM sizes JOIN reached ON a = doc_id GROUP BY doc_id, n_shingles""",
     "op10_exact_dedup": """
         SELECT doc_id,
                max(doc_id) OVER same AS keep_id,
