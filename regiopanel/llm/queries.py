@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import exact_dedup as _exact
 from . import ngram_join as _ngrams
+from . import pii as _pii
 from . import quality as _quality
 from . import toxicity as _toxicity
 from .common import load
@@ -28,6 +29,11 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _quality.quality_scores(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document."""
+    return _pii.find_personal_data(load(spark, sf_dir, "documents"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact dedup of ``documents``: the largest doc_id of equal texts stays."""
     return _exact.exact_dedup(load(spark, sf_dir, "documents"), keep="largest")
@@ -37,6 +43,7 @@ QUERIES = {
     "op2_ngram_join": op2_ngram_join,
     "op3_toxicity": op3_toxicity,
     "op5_quality": op5_quality,
+    "op9_pii": op9_pii,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
