@@ -134,6 +134,16 @@ def connected_components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     raise RuntimeError("connected components did not converge")
 
 
+def id_text(id_col: str) -> F.Column:
+    """An id as text, for its way through pandas, where a long column with nulls
+    would turn into floats; cast it back to long behind."""
+    return F.col(id_col).cast("long").cast("string").alias("doc_id")
+
+
+def long_id(df: DataFrame) -> DataFrame:
+    return df.withColumn("doc_id", F.col("doc_id").cast("long"))
+
+
 def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Arrow batches of at most ``rows`` rows, so that a batch of long texts
     stays small in a Python worker; a setting of the user's is kept."""

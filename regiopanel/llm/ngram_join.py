@@ -41,8 +41,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import (ascii_words, bounded_batches, connected_components, drop_stage, mix64,
-                     ngram_hashes, stage, word_hashes)
+from .common import (ascii_words, bounded_batches, connected_components, drop_stage, id_text, long_id,
+                     mix64, ngram_hashes, stage, word_hashes)
 
 _FAMILIES = 4
 
@@ -108,7 +108,7 @@ def _sets(texts: DataFrame, n: int, percent: int) -> DataFrame:
             out.insert(0, "doc_id", b["doc_id"].to_numpy())
             yield out.assign(sigs=[signatures(s, percent).view(np.int64) for s in sets])
 
-    return texts.mapInPandas(run, "doc_id long, n_shingles long, set_a long, set_b long, sigs array<long>")
+    return long_id(texts.mapInPandas(run, "doc_id string, n_shingles long, set_a long, set_b long, sigs array<long>"))
 
 
 def _elements(texts: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
@@ -118,12 +118,11 @@ def _elements(texts: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
         for b in batches:
             sets = [shingle_set(t, n) for t in b["text"]]
             out = pd.DataFrame([_identity(s) for s in sets], columns=_SET)
-            out.insert(0, "doc_id", b["doc_id"].to_numpy())
             yield out.assign(elems=[s.view(np.int64) for s in sets])
 
-    ids = nodes.select("doc_id").distinct()
-    found = texts.join(ids, texts.doc_id.eqNullSafe(ids.doc_id), "left_semi") \
-        .mapInPandas(run, "doc_id long, n_shingles long, set_a long, set_b long, elems array<long>")
+    ids = nodes.select(F.col("doc_id").cast("string").alias("id")).distinct()
+    found = texts.join(ids, texts.doc_id.eqNullSafe(ids.id), "left_semi") \
+        .mapInPandas(run, "n_shingles long, set_a long, set_b long, elems array<long>")
     return found.join(nodes.drop("doc_id"), _SET).dropDuplicates(["node"]).select("node", "elems")
 
 
@@ -164,7 +163,7 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     reachable by links of Jaccard similarity ``percent``/100 or more)."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    texts = docs.select(id_text(id_col), F.col(text_col).alias("text"))
     sets = stage(_sets(texts, n, percent).withColumn("row", F.monotonically_increasing_id()), "sets")
 
     # Copies: one node for each distinct set, numbered by its first row.

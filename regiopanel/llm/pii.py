@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import bounded_batches, id_text, long_id
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = BASE + ("url", "account", "address")
@@ -218,7 +218,7 @@ def find_spans(text: str, automaton) -> list[tuple[int, int, str]]:
     return sorted(spans, key=lambda s: (s[0], order[s[2]], s[1]))
 
 
-_SCHEMA = ("doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+_SCHEMA = ("doc_id string, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
 
 
 def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -240,4 +240,4 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             out.insert(0, "doc_id", b["doc_id"].to_numpy())
             yield out
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, _SCHEMA)
+    return long_id(docs.select(id_text(id_col), F.col(text_col).alias("text")).mapInPandas(run, _SCHEMA))

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, fresh_name, mix64, word_hashes
+from .common import bounded_batches, fresh_name, id_text, long_id, mix64, word_hashes
 from .labelled import id_bucket, training_sample
 
 
@@ -127,8 +127,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, label: str = "quality", i
         for b in batches:
             yield pd.DataFrame({"doc_id": b["doc_id"], "score": scores(b["text"])})
 
-    scored = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")) \
-        .mapInPandas(run, "doc_id long, score double")
+    scored = long_id(docs.select(id_text(id_col), F.col(text_col).alias("text")) \
+        .mapInPandas(run, "doc_id string, score double"))
     return scored.select("doc_id", (id_bucket("doc_id", folds) == 0).alias("held_out"), "score",
                          (F.col("score") >= threshold).cast("int").alias("predicted"))
 

@@ -11,6 +11,7 @@ from . import ngram_join as _ngrams
 from . import pii as _pii
 from . import quality as _quality
 from . import toxicity as _toxicity
+from . import warc as _warc
 from .common import load
 
 
@@ -24,6 +25,11 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _toxicity.toxicity_scores(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """WARC archive of ``pages``, written and read back."""
+    return _warc.archive_round_trip(load(spark, sf_dir, "pages"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document, learned from ``labels.quality``."""
     return _quality.quality_scores(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
@@ -42,6 +48,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_ngram_join": op2_ngram_join,
     "op3_toxicity": op3_toxicity,
+    "op4_warc": op4_warc,
     "op5_quality": op5_quality,
     "op9_pii": op9_pii,
     "op10_exact_dedup": op10_exact_dedup,
@@ -73,6 +80,21 @@ SQL = {
             UNION SELECT r.a, l.b FROM reached r JOIN links l ON r.b = l.a)
         SELECT doc_id, n_shingles, min(b) AS component_id
         FROM sizes JOIN reached ON a = doc_id GROUP BY doc_id, n_shingles""",
+    "op4_warc": """
+        WITH hashed AS (
+            SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS hex FROM pages),
+        bits AS (
+            SELECT *, array_to_string(list_transform(range(1, 41), lambda i:
+                ['0000','0001','0010','0011','0100','0101','0110','0111','1000','1001','1010','1011','1100','1101','1110','1111']
+                [strpos('0123456789abcdef', hex[i])]), '') AS b, min(page_id) OVER (PARTITION BY hex) AS least
+            FROM hashed)
+        SELECT page_id, payload_bytes,
+               array_to_string(list_transform(range(0, 32), lambda k: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[1 +
+                   list_sum(list_transform(range(1, 6), lambda j: CAST(b[k * 5 + j] AS INT) * CAST(power(2, 5 - j) AS INT)))::INT]), '')
+                   AS payload_digest,
+               CASE WHEN page_id = least THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id <> least THEN least END AS refers_to
+        FROM bits""",
     "op10_exact_dedup": """
         SELECT doc_id,
                max(doc_id) OVER same AS keep_id,

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, mix64, word_hashes
+from .common import bounded_batches, id_text, long_id, mix64, word_hashes
 from .labelled import id_bucket, training_sample
 
 _SPLIT = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ" + b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~",
@@ -97,7 +97,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, label: str = "toxic", id
             logit = np.array([w[features(t, bits)].sum(dtype=np.float64) + w[-1] for t in b["text"]])
             yield pd.DataFrame({"doc_id": b["doc_id"], "score": 1 / (1 + np.exp(-np.clip(logit, -500, 500)))})
 
-    scored = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")) \
-        .mapInPandas(score, "doc_id long, score double")
+    scored = long_id(docs.select(id_text(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text")) \
+        .mapInPandas(score, "doc_id string, score double"))
     return scored.select("doc_id", (id_bucket("doc_id", folds) == 0).alias("held_out"), "score",
                          (F.col("score") >= threshold).cast("int").alias("predicted"))
