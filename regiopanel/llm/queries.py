@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import exact_dedup as _exact
 from . import ngram_join as _ngrams
+from . import packing as _packing
 from . import pii as _pii
 from . import quality as _quality
 from . import toxicity as _toxicity
@@ -35,6 +36,11 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _quality.quality_scores(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of at most 2048 tokens."""
+    return _packing.pack_documents(load(spark, sf_dir, "documents"), capacity=2048)
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every document."""
     return _pii.find_personal_data(load(spark, sf_dir, "documents"))
@@ -50,6 +56,7 @@ QUERIES = {
     "op3_toxicity": op3_toxicity,
     "op4_warc": op4_warc,
     "op5_quality": op5_quality,
+    "op6_packing": op6_packing,
     "op9_pii": op9_pii,
     "op10_exact_dedup": op10_exact_dedup,
 }
