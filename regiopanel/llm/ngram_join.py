@@ -9,7 +9,7 @@ the same or in neighbouring bands, so a set takes part in the instance of its ow
 band and in that of the band below.  Within an instance, linked sets differ in at
 most ``k`` elements.  The hashed domain is cut into ``k + 1 + slack`` parts: at
 least ``1 + slack`` parts are then equal in both sets, and the content of each
-part is one signature.  A part that is empty in a set says nothing, and its
+part is one signature.  (``slack`` covers the empty parts that chance leaves.)  A part that is empty in a set says nothing, and its
 signature would be shared by many; it is left out.  That loses nothing while one
 of the two sets has at most ``slack`` empty parts.  A set with more empties also
 emits a second family under another seed, and so on; in the last family empty
@@ -59,21 +59,24 @@ def band_of(size: int, percent: int) -> int:
     return math.floor(math.log(size) / math.log(100 / percent) + 1e-9)
 
 
-def _instance(band: int, percent: int, slack: int) -> tuple[int, int]:
-    """(largest size, number of parts) for sets of ``band`` and the band above."""
+def _instance(band: int, percent: int) -> tuple[int, int]:
+    """(number of parts, slack) for sets of ``band`` and the band above."""
     top = math.ceil((100 / percent) ** (band + 2) * (1 + 1e-9))
     # linked sets r, s have |r ^ s| <= (1 - t) / (1 + t) * (|r| + |s|)
     k = (100 - percent) * 2 * top // (100 + percent)
-    return top, k + 1 + slack
+    # a part is empty in the smallest set with probability exp(-size / parts)
+    empties = (k + 1) * math.exp(-(percent / 100) ** 2 * top / (k + 1))
+    slack = math.ceil(1.1 * empties + 3 * math.sqrt(empties) + 1)
+    return k + 1 + slack, slack
 
 
-def signatures(elements: np.ndarray, percent: int, slack: int = 2) -> np.ndarray:
+def signatures(elements: np.ndarray, percent: int) -> np.ndarray:
     """64-bit PartEnum signatures of a set, for both instances of its band."""
     if len(elements) == 0:
         return np.empty(0, np.uint64)
     band, out = band_of(len(elements), percent), []
     for instance in (band - 1, band):
-        _, parts = _instance(instance, percent, slack)
+        parts, slack = _instance(instance, percent)
         for family in range(_FAMILIES):
             tag = mix64(np.uint64([(instance + 2) * 2 * _FAMILIES + family + 1]))[0]
             h = mix64(elements ^ tag)
@@ -169,7 +172,7 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     # Copies: one node for each distinct set, numbered by its first row.
     nodes = stage(sets.where("n_shingles > 0").groupBy(*_SET)
                   .agg(F.min("row").alias("node"), F.min("doc_id").alias("least")), "nodes")
-    members = _candidates(sets, nodes)
+    members, sets = _candidates(sets, nodes)
     elements, members = _with_lone(texts, sets, members, n, percent)
 
     def fits(size_a, own_a, size_b, own_b):
@@ -189,28 +192,31 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     named = nodes.join(components, "node", "left").withColumn("comp", F.coalesce("component", "node"))
     names = named.groupBy("comp").agg(F.min("least").alias("component_id"))
     of_set = named.select("comp", *_SET).join(names, "comp").drop("comp")
-    return sets.drop("sigs").join(of_set, _SET, "left").select(
+    return sets.join(of_set, _SET, "left").select(
         "doc_id", "n_shingles",
         F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
-def _candidates(sets: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(sig, node, size) of the signatures that two nodes or more have."""
+def _candidates(sets: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(sig, node, size) of the signatures that two nodes or more have; the sets
+    without their signatures, which are removed."""
     firsts = stage(sets.select(F.col("row").alias("node"), F.col("n_shingles").alias("size"), "sigs")
                    .join(nodes.select("node"), "node"), "node-signatures")
+    light = stage(sets.drop("sigs"), "light-sets")
+    drop_stage(sets)
     rows = firsts.select("node", "size", F.explode(F.array_distinct("sigs")).alias("sig"))
     shared = stage(rows.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("sig"), "shared-signatures")
     members = stage(rows.join(shared, "sig"), "candidates")
     drop_stage(shared)
     drop_stage(firsts)
-    return members
+    return members, light
 
 
 def _with_lone(texts: DataFrame, sets: DataFrame, members: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """Sets of the candidate nodes, and the members with ``own``, the number of
     shingles that no other candidate has, and ``lone``: two lone sets can't be
     linked, as what they may share is too small a part of either."""
-    wanted = members.select("node").distinct().join(sets.withColumnRenamed("row", "node").drop("sigs"), "node")
+    wanted = members.select("node").distinct().join(sets.withColumnRenamed("row", "node"), "node")
     elements = stage(_elements(texts, stage(wanted, "candidate-nodes"), n), "elements")
     single = elements.select("node", F.explode("elems").alias("e")).groupBy("e") \
         .agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("node")).where("n = 1")
