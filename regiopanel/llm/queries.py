@@ -6,6 +6,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import decontaminate as _decontaminate
 from . import exact_dedup as _exact
 from . import ngram_join as _ngrams
 from . import packing as _packing
@@ -41,6 +42,11 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _packing.pack_documents(load(spark, sf_dir, "documents"), capacity=2048)
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items that documents leak."""
+    return _decontaminate.find_leaks(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every document."""
     return _pii.find_personal_data(load(spark, sf_dir, "documents"))
@@ -57,6 +63,7 @@ QUERIES = {
     "op4_warc": op4_warc,
     "op5_quality": op5_quality,
     "op6_packing": op6_packing,
+    "op7_decontaminate": op7_decontaminate,
     "op9_pii": op9_pii,
     "op10_exact_dedup": op10_exact_dedup,
 }
