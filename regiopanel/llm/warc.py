@@ -42,6 +42,7 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, fresh_folder
 
 _SLICES = 1 << 16
+_STEP = 1 << 13
 _MANIFEST = "shard long, file string, records long, bytes long, sha1 string"
 
 
@@ -177,12 +178,15 @@ def write_archive(pages: DataFrame, folder: str, id_col: str = "page_id", url_co
 
 def parse_records(data: bytes):
     """(headers, block) of every record of a WARC file of gzip members."""
-    while data:
-        member = zlib.decompressobj(31)
-        raw = member.decompress(data) + member.flush()
-        if not member.eof:
-            raise ValueError("truncated gzip member")
-        data = member.unused_data
+    view, at = memoryview(data), 0
+    while at < len(view):
+        member, raw = zlib.decompressobj(31), b""
+        while not member.eof:  # in steps, so that what follows the member isn't copied
+            if at >= len(view):
+                raise ValueError("truncated gzip member")
+            raw += member.decompress(view[at:at + _STEP])
+            at += min(_STEP, len(view) - at)
+        at -= len(member.unused_data)
         head, _, rest = raw.partition(b"\r\n\r\n")
         lines = head.decode().split("\r\n")
         if not lines[0].startswith("WARC/"):
