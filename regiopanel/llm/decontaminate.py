@@ -34,22 +34,24 @@ UNITS = ("mm", "cm", "m", "km", "mg", "g", "kg", "ml", "l", "s", "min", "h", "ho
 _MARK = "\u0001"
 
 
-def template_words(text: F.Column) -> F.Column:
-    """Words of a text; a slot is a mark, its type (n, p or u) and its value."""
-    t = F.translate(F.coalesce(text, F.lit("")), _MARK, " ")
-    t = F.regexp_replace(t, r"(?<=[\p{Ll}\p{N},;] )\p{Lu}[\p{L}\p{M}]*", f"{_MARK}p$0")
-    joined = F.regexp_replace(t, r"(?<=[0-9])[.,:](?=[0-9])", "")
+def template_words(texts: DataFrame, key: str) -> DataFrame:
+    """(key, words) of (key, text); a slot is a mark, its type (n, p or u) and its
+    value.  One select for each step whose result is used twice, so that it is
+    computed once."""
+    t = F.translate(F.coalesce("text", F.lit("")), _MARK, " ")
+    df = texts.select(key, F.regexp_replace(t, r"(?<=[\p{Ll}\p{N},;] )\p{Lu}[\p{L}\p{M}]*", f"{_MARK}p$0").alias("t"))
+    joined = F.regexp_replace("t", r"(?<=[0-9])[.,:](?=[0-9])", "")
     numbers = F.regexp_replace(joined, rf"(?<![\p{{L}}\p{{N}}{_MARK}])[0-9]+", f"{_MARK}n$0 ")
     units = F.regexp_replace(numbers, rf"({_MARK}n[0-9]+ +)({'|'.join(UNITS)})(?![\p{{L}}\p{{N}}])", f"$1{_MARK}u$2")
-    t = F.when(t.rlike("[0-9]"), units).otherwise(t)
-    t = F.trim(F.regexp_replace(F.lower(t), rf"[^\p{{L}}\p{{N}}{_MARK}]+", " "))
-    return F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, " "))
+    t = F.when(F.col("t").rlike("[0-9]"), units).otherwise(F.col("t"))
+    df = df.select(key, F.trim(F.regexp_replace(F.lower(t), rf"[^\p{{L}}\p{{N}}{_MARK}]+", " ")).alias("t"))
+    return df.select(key, F.filter(F.split("t", " "), lambda w: w != "").alias("words"))
 
 
 def with_windows(texts: DataFrame, key: str, window: int) -> DataFrame:
     """(key, pos, h): the hash of each window; ``window`` is a power of two."""
     assert window >= 1 and window & (window - 1) == 0, "window must be a power of two"
-    df = texts.select(key, template_words(F.col("text")).alias("words"))
+    df = template_words(texts, key)
     typed = lambda w: F.xxhash64(F.when(w.startswith(_MARK), F.substring(w, 1, 2)).otherwise(w))
     df = df.select(key, F.transform("words", typed).alias("h"))
     step = 1
@@ -64,7 +66,7 @@ def with_windows(texts: DataFrame, key: str, window: int) -> DataFrame:
 
 def _slots(texts: DataFrame, key: str) -> DataFrame:
     """(key, at, type, value) of every slot of a text."""
-    words = texts.select(key, template_words(F.col("text")).alias("words")).select(key, F.posexplode_outer("words").alias("at", "word"))
+    words = template_words(texts, key).select(key, F.posexplode_outer("words").alias("at", "word"))
     return words.where(F.col("word").startswith(_MARK)) \
         .select(key, "at", F.substring("word", 2, 1).alias("type"), F.expr("substring(word, 3)").alias("value"))
 
