@@ -15,14 +15,15 @@ of the two sets has at most ``slack`` empty parts.  A set with more empties also
 emits a second family under another seed, and so on; in the last family empty
 parts are emitted as well, which makes the search complete.
 
-Hot signatures.  A set that has too many shingles that no other candidate has
-can be linked only with sets that have few of them (``lone`` below), so variants
-of one text that drifted apart by their own edits are never paired with each
-other.  Of the others, every member of a signature is compared with the first
-member; verified links are merged into components; only pairs of members that
-are still in different components are compared after that, with the largest
-component of a signature on one side only.  No group is enumerated in full, and
-no link between different components is left out.
+Links.  Every member of a signature is compared with the signature's first
+member, and verified links are merged into components.  Members whose signature
+still spans several components are open: for them a prefix filter makes the
+search complete without enumerating a signature's pairs.  Shingles are ordered from
+rare to common; sets similar enough share a shingle among the first
+``size - ceil(t * size) + 1`` of each, at places that leave enough behind.  Variants
+of one text that drifted apart by their own edits have rare shingles there, so they
+hardly meet, while sets without rare shingles are near the common text and already
+in its component.  Only pairs of different components are compared.
 
 Every comparison is verified on the full sets: 100 * |both| >= 85 * |either|.
 
@@ -38,7 +39,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import (ascii_words, bounded_batches, connected_components, drop_stage, id_text, long_id,
@@ -138,26 +139,46 @@ def _verified(pairs: DataFrame, elements: DataFrame, percent: int) -> DataFrame:
     return both.where(common * 100 >= either * percent).select("a", "b")
 
 
-def _first_pairs(members: DataFrame, fits) -> DataFrame:
-    """Each member of a signature with the signature's smallest short member."""
-    first = members.where("not lone").groupBy("sig").agg(F.min_by(F.struct("node", "size", "own"), "node").alias("f")) \
-        .select("sig", F.col("f.node").alias("a"), F.col("f.size").alias("size_a"), F.col("f.own").alias("own_a"))
-    return members.join(first, "sig").where("node <> a").where(fits("size_a", "own_a", "size", "own")) \
-        .select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
-
-
-def _open_pairs(members: DataFrame, components: DataFrame, tried: DataFrame, fits) -> DataFrame:
-    """Pairs of a signature's members in different components, not tried yet.
-    The largest component of a signature stands on one side only."""
-    m = members.join(components, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
-    per = m.groupBy("sig", "comp").agg(F.count(F.lit(1)).alias("n"))
-    big = per.groupBy("sig").agg(F.max_by("comp", "n").alias("big"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
-    m = stage(m.join(big.drop("comps"), "sig"), "open-members")
-    left = m.where("comp <> big").select("sig", *[F.col(c).alias(c + "_l") for c in ("node", "size", "own", "lone", "comp")])
-    pairs = left.join(m, "sig").where("comp <> comp_l and not (lone and lone_l)") \
-        .where(fits("size_l", "own_l", "size", "own")) \
-        .select(F.least("node", "node_l").alias("a"), F.greatest("node", "node_l").alias("b")).distinct()
-    return pairs.join(tried, ["a", "b"], "left_anti")
+def _may_link(size_a: str, size_b: str, percent: int) -> F.Column:
+    """Sizes alone allow the similarity."""
+    return F.least(size_a, size_b) * 100 >= F.greatest(size_a, size_b) * percent
+
+
+def _first_pairs(members: DataFrame, percent: int) -> DataFrame:
+    """Each member of a signature with the signature's smallest node."""
+    first = members.groupBy("sig").agg(F.min("node").alias("a"), F.min_by("size", "node").alias("size_a"))
+    return members.join(first, "sig").where("node <> a").where(_may_link("size_a", "size", percent)) \
+        .select("a", F.col("node").alias("b")).distinct()
+
+
+def _prefixes(members: DataFrame, elements: DataFrame, components: DataFrame, percent: int) -> DataFrame:
+    """(e, node, size, behind): the prefix shingles that open nodes share.
+    ``behind`` is how many shingles of the set come after this one."""
+    m = members.join(components, "node", "left").withColumn("comp", F.coalesce("component", "node"))
+    spans = m.groupBy("sig").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("sig")
+    open_nodes = stage(m.join(spans, "sig", "left_semi").select("node", "size").distinct(), "open-nodes")
+    rows = stage(elements.join(open_nodes.select("node"), "node").select("node", F.explode("elems").alias("e")), "open-shingles")
+    # Shingles of one node only come first in its order and meet nobody.
+    common = stage(rows.groupBy("e").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "shared-shingles")
+    order = Window.partitionBy("node").orderBy(F.desc("df"), F.desc("e"))
+    ranked = rows.join(common, "e").withColumn("behind", F.row_number().over(order) - 1)
+    prefix = stage(ranked.join(open_nodes, "node").where(F.col("behind") >= F.ceil(F.col("size") * percent / 100) - 1)
+                   .select("e", "node", "size", "behind"), "prefixes")
+    drop_stage(rows)
+    return prefix
+
+
+def _prefix_pairs(prefix: DataFrame, partners: DataFrame, components: DataFrame, tried: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different components with a prefix shingle in common, at places that
+    leave enough behind, not compared yet."""
+    comp = F.coalesce("component", "node").alias("comp")
+    mine = prefix.join(components, "node", "left").select("e", "node", "size", "behind", comp)
+    other = partners.join(components, "node", "left").select("e", "node", "size", "behind", comp) \
+        .withColumnsRenamed({c: c + "_b" for c in ("node", "size", "behind", "comp")})
+    at_most = F.least("behind", "behind_b") + 1  # common shingles, if this one is the first of them
+    enough = at_most * (100 + percent) >= (F.col("size") + F.col("size_b")) * percent
+    return mine.join(other, "e").where("node <> node_b and comp <> comp_b").where(enough) \
+        .select(F.least("node", "node_b").alias("a"), F.greatest("node", "node_b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
 
 
 def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 4,
@@ -173,20 +194,19 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     nodes = stage(sets.where("n_shingles > 0").groupBy(*_SET)
                   .agg(F.min("row").alias("node"), F.min("doc_id").alias("least")), "nodes")
     members, sets = _candidates(sets, nodes)
-    elements, members = _with_lone(texts, sets, members, n, percent)
-
-    def fits(size_a, own_a, size_b, own_b):
-        """Upper bound of the similarity, from sizes and shingles of their own."""
-        most = F.least(F.col(size_a) - F.col(own_a), F.col(size_b) - F.col(own_b))
-        return most * 100 >= (F.col(size_a) + F.col(size_b) - most) * percent
+    wanted = members.select("node").distinct().join(sets.withColumnRenamed("row", "node"), "node")
+    elements = stage(_elements(texts, stage(wanted, "candidate-nodes"), n), "elements")
 
-    tried = stage(_first_pairs(members, fits), "pairs")
+    tried = stage(_first_pairs(members, percent), "pairs")
     links = stage(_verified(tried, elements, percent), "links")
     components = connected_components(links)
-    more = stage(_open_pairs(members, components, tried, fits), "pairs")
-    rest = stage(_verified(more, elements, percent), "links")
-    components = connected_components(links.union(rest))
-    for done in (members, elements, tried, more):
+    prefix = _prefixes(members, elements, components, percent)
+    first = prefix.groupBy("e").agg(F.max_by(F.struct("node", "size", "behind"), F.struct("behind", -F.col("node"))).alias("f")).select("e", "f.*")
+    for partners in (first, prefix):  # most links by one partner for each shingle; then all that is still apart
+        more = stage(_prefix_pairs(prefix, partners, components, tried, percent), "pairs")
+        links = links.union(stage(_verified(more, elements, percent), "links"))
+        tried, components = tried.union(more), connected_components(links)
+    for done in (members, elements, prefix):
         drop_stage(done)
 
     named = nodes.join(components, "node", "left").withColumn("comp", F.coalesce("component", "node"))
@@ -210,18 +230,3 @@ def _candidates(sets: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame
     drop_stage(shared)
     drop_stage(firsts)
     return members, light
-
-
-def _with_lone(texts: DataFrame, sets: DataFrame, members: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Sets of the candidate nodes, and the members with ``own``, the number of
-    shingles that no other candidate has, and ``lone``: two lone sets can't be
-    linked, as what they may share is too small a part of either."""
-    wanted = members.select("node").distinct().join(sets.withColumnRenamed("row", "node"), "node")
-    elements = stage(_elements(texts, stage(wanted, "candidate-nodes"), n), "elements")
-    single = elements.select("node", F.explode("elems").alias("e")).groupBy("e") \
-        .agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("node")).where("n = 1")
-    own = stage(single.groupBy("node").agg(F.count(F.lit(1)).alias("own")), "own")
-    kept = members.join(own, "node", "left").withColumn("own", F.coalesce("own", F.lit(0)))
-    # (size - own) / (size + own) < percent / 100
-    lone = (F.col("size") - F.col("own")) * 100 < (F.col("size") + F.col("own")) * percent
-    return elements, stage(kept.withColumn("lone", lone), "members")
