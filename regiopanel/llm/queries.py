@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import decontaminate as _decontaminate
 from . import exact_dedup as _exact
+from . import lm_score as _lm
 from . import ngram_join as _ngrams
 from . import packing as _packing
 from . import pii as _pii
@@ -47,6 +48,11 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _decontaminate.find_leaks(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
 
 
+def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language-model and unigram log10 probability of every document."""
+    return _lm.lm_scores(load(spark, sf_dir, "documents"))
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every document."""
     return _pii.find_personal_data(load(spark, sf_dir, "documents"))
@@ -64,6 +70,7 @@ QUERIES = {
     "op5_quality": op5_quality,
     "op6_packing": op6_packing,
     "op7_decontaminate": op7_decontaminate,
+    "op8_lm_score": op8_lm_score,
     "op9_pii": op9_pii,
     "op10_exact_dedup": op10_exact_dedup,
 }
