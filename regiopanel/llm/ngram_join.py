@@ -42,7 +42,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import (ascii_words, bounded_batches, connected_components, drop_stage, id_text, long_id,
+from .common import (ascii_words, bounded_batches, connected_components, drop_stage, fresh_name, id_text, long_id,
                      mix64, ngram_hashes, stage, word_hashes)
 
 _FAMILIES = 4
@@ -217,6 +217,23 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
         F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5,
+                     percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` that stay, all columns unchanged: of each component the
+    one with the smallest id (a null id loses, then the first row).  Rows get a
+    number in a staged copy, as ids may be null or repeat."""
+    row = fresh_name(docs, "row_number_")
+    numbered = stage(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    linked = ngram_jaccard_components(numbered, row, text_col, n, percent).select(F.col("doc_id").alias(row), "component_id")
+    several = stage(linked.where(F.col(row) != F.col("component_id")).select("component_id").distinct(), "groups")
+    ids = numbered.select(row, F.col(id_col).alias("id_"))
+    members = stage(linked.join(several, "component_id").join(ids, row), "group-members")
+    kept = members.groupBy("component_id").agg(F.min(F.struct(F.col("id_").isNull(), "id_", row)).alias("best")) \
+        .select(F.col(f"best.{row}").alias(row))
+    dropped = stage(members.select(row).join(kept, row, "left_anti"), "dropped-rows")
+    return numbered.join(dropped, row, "left_anti").drop(row)
+
+
 def _candidates(sets: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(sig, node, size) of the signatures that two nodes or more have; the sets
     without their signatures, which are removed."""

@@ -1,0 +1,36 @@
+"""Plain Python versions that the operators' results are held against."""
+import re
+from collections import defaultdict
+
+
+def words(text):
+    return [w for w in re.split(r"[\x20\x09-\x0D]+", (text or "").translate({c: c + 32 for c in range(65, 91)})) if w]
+
+
+def shingles(text, n):
+    w = words(text)
+    if not w:
+        return frozenset()
+    return frozenset(tuple(w[i:i + n]) for i in range(max(1, len(w) - n + 1)))
+
+
+def components(sets, percent):
+    """{key: smallest linked key} of {key: set} by comparing all that share a shingle."""
+    at, parent = defaultdict(list), {k: k for k in sets}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for k in sorted(sets):
+        common = defaultdict(int)
+        for g in sets[k]:
+            for other in at[g]:
+                common[other] += 1
+            at[g].append(k)
+        for other, n in common.items():
+            if 100 * n >= percent * (len(sets[k]) + len(sets[other]) - n):
+                a, b = sorted((root(k), root(other)))
+                parent[b] = a
+    return {k: root(k) for k in sets}
