@@ -13,11 +13,17 @@ from . import ngram_join as _ngrams
 from . import packing as _packing
 from . import pii as _pii
 from . import quality as _quality
+from . import substring_dedup as _substrings
 from . import toxicity as _toxicity
 from . import warc as _warc
 from .common import load
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of 50 words or more that documents have in common, nearly or exactly."""
+    return _substrings.repeated_passages(load(spark, sf_dir, "documents"))
+
+
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of ``documents`` under 4-word shingle Jaccard of 0.85 or more."""
     return _ngrams.ngram_jaccard_components(load(spark, sf_dir, "documents"), n=4, percent=85)
@@ -64,6 +70,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op2_ngram_join": op2_ngram_join,
     "op3_toxicity": op3_toxicity,
     "op4_warc": op4_warc,
