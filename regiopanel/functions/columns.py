@@ -16,9 +16,11 @@ def _c(x) -> Column:
 
 
 def store_as(col, dtype) -> Column:
-    """Assignment to a NUMERIC(p,s) column: HALF_UP rounding to the scale.
-    Overflow gives NULL instead of failing the whole job."""
-    return _c(col).try_cast(dtype)
+    """Assignment to a NUMERIC(p,s) column: HALF_UP rounding to the scale.  A value
+    that doesn't fit fails the job, as a stored NULL would rank a region by nothing."""
+    stored = _c(col).try_cast(dtype)
+    too_big = F.concat(F.lit(f"numeric field overflow, {dtype.simpleString()}: "), _c(col).cast("string"))
+    return F.when(_c(col).isNotNull() & stored.isNull(), F.raise_error(too_big).cast(dtype)).otherwise(stored)
 
 
 def pg_round(x, scale: int = 2) -> Column:

@@ -14,6 +14,7 @@ import os
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from regiopanel import schemas as S
 from regiopanel.plans import jobs as PL
@@ -23,11 +24,24 @@ PARTITIONING = {
     "visitors": S.M, "rooms_beds": S.M, "occupancy": S.M,
     "indicators": S.M, "classification": S.M, "scores": S.M,
     "forecast": "model_run_id", "backtest": "model_run_id",
-    "scenario_result": "scenario_run_id", "import_error": "import_job_id",
+    "import_error": "import_job_id",
 }
 APPEND_ONLY = {"model_run", "forecast", "backtest", "scenario_run", "scenario_result", "import_job", "import_error"}
 
 
+# Stored tables are read with these types, so an empty refresh (no part files) and
+# run ids in folder names come back as they were written.
+SCHEMAS = {
+    "governorate": S.GOVERNORATE, "visitors": S.VISITORS, "rooms_beds": S.ROOMS_BEDS, "occupancy": S.OCCUPANCY,
+    "sites": S.SITES, "boundaries": S.BOUNDARIES, "params": S.PARAMS, "model_run": S.MODEL_RUN,
+    "forecast": S.FORECAST, "backtest": S.BACKTEST,
+}
+
+
+class RunExists(ValueError):
+    """A run id that the ledger already has."""
+
+
 class ParquetStore:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -38,12 +52,27 @@ class ParquetStore:
     def read(self, name: str) -> DataFrame | None:
         """The stored table, or None when it was never written."""
         try:
+            if name in SCHEMAS:
+                return self._typed(name)
             return self.spark.read.parquet(self.path(name))
         except AnalysisException as e:
             if "PATH_NOT_FOUND" in str(e) or "Path does not exist" in str(e):
                 return None
             raise
 
+    def _typed(self, name: str) -> DataFrame:
+        """Read with the table's types; columns beyond the schema (older layouts,
+        wider region keys) are kept as the files have them."""
+        schema = SCHEMAS[name]
+        try:
+            found = self.spark.read.parquet(self.path(name))
+        except AnalysisException as e:
+            if "UNABLE_TO_INFER_SCHEMA" not in str(e):
+                raise
+            return self.spark.createDataFrame([], schema)    # refreshed to nothing: no part file
+        part = PARTITIONING.get(name)
+        return found.withColumn(part, F.col(part).cast(schema[part].dataType)) if part in found.columns else found
+
     def load(self, names=None) -> dict:
         names = names or list(PARTITIONING) + ["governorate", "sites", "boundaries", "params"] + sorted(APPEND_ONLY)
         return {n: df for n in dict.fromkeys(names) if (df := self.read(n)) is not None}
@@ -55,20 +84,27 @@ class ParquetStore:
         lineage cut first (``session.materialize`` / ``checkpoint()``)."""
         part = PARTITIONING.get(name)
         if part == S.M and part in df.columns:
-            # Panel tables: cluster each month into one task, one file per month
-            # instead of one per task and month.
-            df = df.repartition(part)
+            # Panel tables: rows of a month close together, for few files per month;
+            # a rebalance may split a large month over tasks, and AQE merges small ones.
+            df = df.hint("rebalance", part)
         w = df.write.mode("overwrite")
         if part and part in df.columns:
             w = w.partitionBy(part)
         w.parquet(self.path(name))
 
     def append(self, name: str, df: DataFrame) -> None:
+        """Add rows.  In tables partitioned by run, the run's own partition is
+        replaced, so a repeated write after a failure doesn't double it."""
         w = df.write.mode("append")
         if name in PARTITIONING and PARTITIONING[name] in df.columns:
-            w = w.partitionBy(PARTITIONING[name])
+            w = df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(PARTITIONING[name])
         w.parquet(self.path(name))
 
+    def check_new(self, ledger: str, key: str, run_id: int) -> None:
+        known = self.read(ledger)
+        if known is not None and not known.where(F.col(key) == run_id).isEmpty():
+            raise RunExists(f"{key} {run_id} exists")
+
     def save(self, tables: dict) -> None:
         for name, df in tables.items():
             (self.append if name in APPEND_ONLY else self.overwrite)(name, df)
@@ -84,8 +120,11 @@ class ParquetStore:
         return derived
 
     def run_forecast(self, run_id: int, horizon: int = 12, model_name: str | None = None) -> dict:
+        """FC-5.  The header is written last: a run without one never finished, and its
+        id may be used again."""
+        self.check_new("model_run", "model_run_id", run_id)
         run = PL.run_forecast(self.load(), run_id, horizon, model_name, persist=True)
-        self.save(run)
+        self.save({name: run[name] for name in ("forecast", "backtest", "model_run")})
         return run
 
     def import_csv(self, path: str, dataset_type: str, import_job_id: int, filename: str | None = None,
@@ -93,12 +132,13 @@ class ParquetStore:
         """SRC-1..13 in one call: parse and quarantine, replace the target
         table with the loaded rows (even when none loaded), append the job and
         its error rows to the ledgers.  Unknown regions are quarantined."""
+        self.check_new("import_job", "import_job_id", import_job_id)
         gov = self.read("governorate")
         r = ingest.import_csv(self.spark, path, dataset_type, governorate=gov, multiline=multiline)
         self.overwrite(ingest.TARGET[dataset_type], r["loaded"])
+        self.append("import_error", ingest.error_ledger_rows(r["errors"], import_job_id))
         self.append("import_job", ingest.job_row(r["summary"], import_job_id, dataset_type,
                                                  filename or os.path.basename(path), created_by))
-        self.append("import_error", ingest.error_ledger_rows(r["errors"], import_job_id))
         return r
 
     def run_scenarios(self, scenarios: DataFrame, overrides: dict | None = None) -> dict:

@@ -69,6 +69,23 @@ def validate_headers(dataset_type: str, fieldnames: list[str] | None) -> None:
 
 # --- scan -------------------------------------------------------------------
 
+def _same_header(spark: SparkSession, path: str, dataset_type: str, multiline: bool) -> list[str]:
+    """The header that all files of an import have; columns are read by position, so
+    a file with another header or order would swap measures and is rejected.  Only
+    the distinct first lines are looked at, two at most reach the driver."""
+    columns = (spark.read.option("header", True).option("inferSchema", False).option("escape", '"')
+               .option("multiLine", multiline).csv(path).columns)
+    columns = [h.lstrip("\ufeff") for h in columns]
+    validate_headers(dataset_type, columns)
+    lines = spark.read.text(path).select(
+        F.regexp_replace("value", "^\ufeff|[\r ]+$", "").alias("line"), F.col("_metadata.file_path").alias("file"),
+        F.monotonically_increasing_id().alias("at"), F.col("_metadata.file_block_start").alias("block"))
+    first = lines.where("block = 0 and line <> ''").groupBy("file").agg(F.min_by("line", "at").alias("line"))
+    if len(first.select("line").distinct().limit(2).collect()) > 1:
+        raise ImportRejected("The files' headers differ: import them one by one, or write them with one header")
+    return columns
+
+
 def read_csv_raw(spark: SparkSession, path: str, dataset_type: str, multiline: bool = False) -> DataFrame:
     """All-string scan of an import file (or a folder of files) with the
     record order key ``_row`` and a ``_malformed`` flag (too few / too many
@@ -78,16 +95,13 @@ def read_csv_raw(spark: SparkSession, path: str, dataset_type: str, multiline: b
 
     ``multiline`` accepts quoted fields containing line breaks; such files are
     read whole by one task each (not splittable), so it is opt-in."""
-    header = (spark.read.option("header", True).option("inferSchema", False)
-              .option("multiLine", multiline).csv(path).columns)
-    header = [h.lstrip("﻿") for h in header]
-    validate_headers(dataset_type, header)
+    header = _same_header(spark, path, dataset_type, multiline)
     schema = T.StructType([T.StructField(c, T.StringType()) for c in header]
                           + [T.StructField("_corrupt_record", T.StringType())])
     df = (spark.read.schema(schema)
           .option("header", True).option("mode", "PERMISSIVE")
           .option("columnNameOfCorruptRecord", "_corrupt_record")
-          .option("encoding", "UTF-8")
+          .option("encoding", "UTF-8").option("escape", '"')
           .option("multiLine", multiline)
           .csv(path)
           .select(*[F.col(f"`{c}`") for c in header],
@@ -355,9 +369,19 @@ def fk_violations(fact: DataFrame, governorate: DataFrame) -> DataFrame:
     return fact.join(governorate.select(G), G, "left_anti")
 
 
-def parse_boundaries(raw: DataFrame) -> DataFrame:
-    """Typed boundaries from raw (id, code, name, wkt) strings; invalid rows dropped."""
+def _typed_boundaries(raw: DataFrame) -> DataFrame:
     if ROW not in raw.columns:
         raw = raw.withColumn(ROW, F.lit(0).cast("long"))
-    return loaded_rows(typed_rows(raw, "admin_boundaries"), "admin_boundaries")
+    return typed_rows(raw, "admin_boundaries")
+
+
+def parse_boundaries(raw: DataFrame) -> DataFrame:
+    """Typed boundaries from raw (id, code, name, wkt) strings; the rows that are not
+    valid are those of ``rejected_boundaries``."""
+    return loaded_rows(_typed_boundaries(raw), "admin_boundaries")
+
+
+def rejected_boundaries(raw: DataFrame) -> DataFrame:
+    """The invalid rows with their messages."""
+    return error_rows(_typed_boundaries(raw))
 

@@ -8,7 +8,7 @@ star schema (this mapping is our own design choice):
   month, 0.1 % of the summed order value
 * rooms / beds       <- ``lineitem`` x ``supplier``: per supplier nation and ship
   month, line count and summed quantity
-* occupancy          <- same join, first line of each order only: mean discount x 10
+* occupancy          <- same join: mean discount x 10
   (a fraction in 0..1), rounded half-up to 4 dp with exact integer arithmetic
 * sites              <- ``supplier`` rows, coordinates from the key
 * boundaries         <- one WKT rectangle per nation, parsed by the import path
@@ -42,10 +42,16 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _code(prefix: str, key: F.Column) -> F.Column:
+    """Prefix and key, keys of one digit padded to two; longer ones stay whole."""
+    text = key.cast("string")
+    return F.concat(F.lit(prefix), F.when(F.length(text) < 2, F.lpad(text, 2, "0")).otherwise(text))
+
+
 def governorates(nation: DataFrame) -> DataFrame:
     return nation.select(
         F.col("n_nationkey").cast("int").alias(G),
-        F.concat(F.lit("N"), F.lpad(F.col("n_nationkey").cast("string"), 2, "0")).alias("governorate_code"),
+        _code("N", F.col("n_nationkey")).alias("governorate_code"),
         F.col("n_name").alias("governorate_name_en"),
         F.lit(None).cast("string").alias("governorate_name_ar"),
     )
@@ -62,7 +68,7 @@ def visitors(orders: DataFrame, customer: DataFrame) -> DataFrame:
 
 
 def _supplier_lines(lineitem: DataFrame, supplier: DataFrame) -> DataFrame:
-    li = lineitem.select("l_suppkey", "l_linenumber", "l_quantity", "l_discount",
+    li = lineitem.select("l_suppkey", "l_quantity", "l_discount",
                          F.trunc(F.col("l_shipdate").cast("date"), "month").alias(M))
     s = supplier.select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").cast("int").alias(G))
     return li.join(s, "l_suppkey")
@@ -71,13 +77,12 @@ def _supplier_lines(lineitem: DataFrame, supplier: DataFrame) -> DataFrame:
 def rooms_beds_and_occupancy(lineitem: DataFrame, supplier: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Both capacity facts from ONE scan/join/aggregate of lineitem."""
     cents = F.round(F.col("l_discount") * 100).cast("long")
-    first = F.col("l_linenumber") == 1
     agg = (_supplier_lines(lineitem, supplier)
            .groupBy(G, M)
            .agg(F.count(F.lit(1)).alias("n_lines"),
                 F.sum("l_quantity").alias("qty"),
-                F.sum(F.when(first, cents)).alias("occ_cents"),
-                F.count(F.when(first, F.lit(1))).alias("occ_n"))
+                F.sum(cents).alias("occ_cents"),
+                F.count(cents).alias("occ_n"))
            .cache())   # one lineitem pass feeds both facts (pruning would otherwise split it)
     rb = agg.select(G, M, F.col("n_lines").cast(S.MONEY).alias("total_rooms"),
                     F.col("qty").cast(S.MONEY).alias("total_beds"))
@@ -112,7 +117,7 @@ def rectangle_wkt(df: DataFrame, key: str, code_prefix: str, name: str) -> DataF
     ring = F.concat_ws(",", pt(x0, y0 + 0.8), pt(x0 + 0.8, y0 + 0.8), pt(x0 + 0.8, y0), pt(x0, y0), pt(x0, y0 + 0.8))
     return df.select(
         k.cast("string").alias(G),
-        F.concat(F.lit(code_prefix), F.lpad(k.cast("string"), 2, "0")).alias("governorate_code"),
+        _code(code_prefix, k).alias("governorate_code"),
         F.col(name).alias("governorate_name_en"),
         F.concat(F.lit("POLYGON(("), ring, F.lit("))")).alias("wkt"),
     )

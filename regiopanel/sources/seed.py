@@ -29,12 +29,20 @@ SEED_REGIONS = [
     (5, "JER", "Jerash"), (6, "KAR", "Karak"), (7, "MAA", "Ma'an"), (8, "MAD", "Madaba"),
     (9, "MAF", "Mafraq"), (10, "TAF", "Tafilah"), (11, "AJL", "Ajloun"), (12, "ZAR", "Zarqa"),
 ]
-# Region rectangles: id -> (west, north, east, south).
-SEED_RECTANGLES = {
-    1: (35.80, 31.80, 36.20, 31.40), 2: (35.00, 29.80, 35.30, 29.30), 3: (35.40, 32.00, 35.80, 31.60),
-    4: (35.70, 32.20, 36.20, 31.95), 5: (35.70, 32.00, 36.05, 31.75), 6: (35.40, 31.40, 35.95, 30.95),
-    7: (35.10, 30.80, 36.10, 29.80), 8: (35.50, 31.80, 35.90, 31.40), 9: (36.00, 32.30, 37.50, 31.70),
-    10: (35.20, 31.20, 35.60, 30.80), 11: (35.60, 32.10, 35.90, 31.90), 12: (36.00, 32.00, 36.60, 31.50),
+# Region boundaries as WKT.
+SEED_WKT = {
+    1: "POLYGON((35.80 31.80,36.20 31.80,36.20 31.40,35.80 31.40,35.80 31.80))",
+    2: "POLYGON((35.00 29.80,35.30 29.80,35.30 29.30,35.00 29.30,35.00 29.80))",
+    3: "POLYGON((35.40 32.00,35.80 32.00,35.80 31.60,35.40 31.60,35.40 32.00))",
+    4: "POLYGON((35.70 32.20,36.20 32.20,36.20 31.95,35.70 31.95,35.70 32.20))",
+    5: "POLYGON((35.70 32.00,36.05 32.00,36.05 31.75,35.70 31.75,35.70 32.00))",
+    6: "POLYGON((35.40 31.40,35.95 31.40,35.95 30.95,35.40 30.95,35.40 31.40))",
+    7: "POLYGON((35.10 30.80,36.10 30.80,36.10 29.80,35.10 29.80,35.10 30.80))",
+    8: "POLYGON((35.50 31.80,35.90 31.80,35.90 31.40,35.50 31.40,35.50 31.80))",
+    9: "POLYGON((36.00 32.30,37.50 32.30,37.50 31.70,36.00 31.70,36.00 32.30))",
+    10: "POLYGON((35.20 31.20,35.60 31.20,35.60 30.80,35.20 30.80,35.20 31.20))",
+    11: "POLYGON((35.60 32.10,35.90 32.10,35.90 31.90,35.60 31.90,35.60 32.10))",
+    12: "POLYGON((36.00 32.00,36.60 32.00,36.60 31.50,36.00 31.50,36.00 32.00))",
 }
 SEED_SITES = [
     ("Petra Archaeological Park", "cultural", 7, "30.3285", "35.4444"),
@@ -96,11 +104,7 @@ def seed_store(spark: SparkSession) -> dict:
     from regiopanel.sources.params import seed_params
     gov = seed_governorates(spark)
     panel = seed_panel(gov)
-    wkt_rows = []
-    for i, code, name in SEED_REGIONS:
-        x0, y0, x1, y1 = SEED_RECTANGLES[i]
-        ring = f"{x0:.2f} {y0:.2f},{x1:.2f} {y0:.2f},{x1:.2f} {y1:.2f},{x0:.2f} {y1:.2f},{x0:.2f} {y0:.2f}"
-        wkt_rows.append((str(i), code, name, f"POLYGON(({ring}))"))
+    wkt_rows = [(str(i), code, name, SEED_WKT[i]) for i, code, name in SEED_REGIONS]
     raw = spark.createDataFrame(wkt_rows, "governorate_id string, governorate_code string, "
                                           "governorate_name_en string, wkt string")
     return {"governorate": gov, "visitors": panel["visitors"], "rooms_beds": panel["rooms_beds"],

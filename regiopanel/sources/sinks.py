@@ -62,31 +62,40 @@ def geojson_features(boundaries: DataFrame) -> DataFrame:
     return boundaries.select(G, F.to_json(feat).alias("feature_json")).orderBy(G)
 
 
-def feature_collection(boundaries: DataFrame, max_features: int = 10_000) -> DataFrame:
-    """SRC-19 as one FeatureCollection document (features ordered by id; no
-    boundaries -> ``"features":[]``).  A single document is one group, so the
-    feature count is checked first against ``max_features``; larger boundary
-    sets go through ``write_geojson_seq``."""
-    n = boundaries.limit(max_features + 1).count()
-    if n > max_features:
-        raise ValueError(f"more than {max_features} features: write them with write_geojson_seq instead")
+def write_feature_collection(boundaries: DataFrame, path: str) -> None:
+    """SRC-19 as one FeatureCollection document: part files that, concatenated in
+    name order, are the document (no boundaries -> ``"features":[]``).  Features are
+    range-sorted by region id, so no task holds the whole."""
     feats = geojson_features(boundaries)
-    items = F.sort_array(F.collect_list(F.struct(G, "feature_json")))     # <= max_features elements
-    body = F.concat_ws(",", F.transform(items, lambda x: x["feature_json"]))
-    return feats.agg(F.concat(F.lit('{"type":"FeatureCollection","features":['), body, F.lit("]}"))
-                     .alias("geojson"))
+    first = feats.agg(F.min(G).alias("_first"))                            # one row
+    lines = feats.join(first).select(
+        F.lit(1).alias("_part"), G, F.when(F.col(G) > F.col("_first"), F.concat(F.lit(","), "feature_json"))
+        .otherwise(F.col("feature_json")).alias("value"))
+    ends = boundaries.sparkSession.createDataFrame(
+        [(0, '{"type":"FeatureCollection","features":['), (2, "]}")], "_part int, value string")
+    (lines.unionByName(ends.withColumn(G, F.lit(None).cast(boundaries.schema[G].dataType)))
+     .orderBy("_part", G).select("value").write.mode("overwrite").text(path))
 
 
 def write_csv(df: DataFrame, path: str, partition_by: str | None = None) -> None:
-    w = df.write.mode("overwrite").option("header", True)
+    """CSV as in RFC 4180: quotes doubled, text as it is, no trimming."""
+    w = (df.write.mode("overwrite").option("header", True).option("escape", '"').option("emptyValue", "")
+         .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False))
     if partition_by:
         w = w.partitionBy(partition_by)
     w.csv(path)
 
 
-def write_region_csvs(store: dict, scores: DataFrame, path: str) -> None:
-    """All regions' series exports in one write, one folder per region."""
-    write_csv(region_export(store, scores), path, partition_by=G)
+REGION_BUCKETS = 256
+
+
+def write_region_csvs(store: dict, scores: DataFrame, path: str, buckets: int = REGION_BUCKETS) -> None:
+    """All regions' series exports in one write.  Folders are hash buckets of the
+    region id, a bounded number; within a bucket rows are sorted by region and month."""
+    bucket = F.pmod(F.xxhash64(G), F.lit(buckets)).cast("int").alias("region_bucket")
+    df = region_export(store, scores).select("*", bucket)
+    write_csv(df.hint("rebalance", "region_bucket").sortWithinPartitions("region_bucket", G, "Month"), path,
+              partition_by="region_bucket")
 
 
 def write_geojson_seq(boundaries: DataFrame, path: str) -> None:

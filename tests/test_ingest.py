@@ -188,3 +188,18 @@ def test_python_whitespace_rules(spark):
     assert (s["success_rows"], s["null_like_values"]) == (2, 1)      # the tab-only note is blank
     got = sorted((x["governorate_id"], x["total_visitors"]) for x in r["loaded"].collect())
     assert got == [(12, D("5.00")), (13, D("7.00"))]
+
+
+def test_doubled_quotes_and_differing_headers(spark):
+    import pytest
+    d = tempfile.mkdtemp(prefix="rp-hdr-")
+    with open(os.path.join(d, "a.csv"), "w") as f:
+        f.write('governorate_id,governorate_code,governorate_name_en,wkt\n1,A,"Al ""X"" Gov","POLYGON((0 0,1 0,1 1,0 0))"\n')
+    got = ING.import_csv(spark, os.path.join(d, "a.csv"), "admin_boundaries")["loaded"].collect()
+    assert got[0]["governorate_name_en"] == 'Al "X" Gov'
+    e = tempfile.mkdtemp(prefix="rp-hdr-")
+    for name, head in (("1.csv", "total_rooms,total_beds"), ("2.csv", "total_beds,total_rooms")):
+        with open(os.path.join(e, name), "w") as f:
+            f.write(f"governorate_id,month_index,{head}\n1,2026-01-01,10,20\n")
+    with pytest.raises(ING.ImportRejected, match="headers differ"):
+        ING.import_csv(spark, e, "rooms_beds_monthly")

@@ -27,7 +27,8 @@ def test_store_recompute_forecast_and_exports(spark):
     out = os.path.join(root, "exports")
     sinks.write_csv(ov, out + "/overview")
     sinks.write_region_csvs(loaded, loaded["scores"], out + "/regions")
-    assert sorted(d for d in os.listdir(out + "/regions") if d.startswith("governorate_id="))[0] == "governorate_id=1"
+    assert all(d.startswith("region_bucket=") for d in os.listdir(out + "/regions") if d[0] not in "._")
+    assert spark.read.option("header", True).csv(out + "/regions").select("governorate_id").distinct().count() == 12
     sinks.write_geojson_seq(loaded["boundaries"], out + "/map")
     feats = [json.loads(x) for x in spark.read.text(out + "/map").collect() for x in [x[0]]]
     assert len(feats) == 12 and feats[0]["geometry"]["type"] == "MultiPolygon"
@@ -108,17 +109,69 @@ def test_cli_flow(spark, capsys):
     assert main(["export", root, out]) == 0
     lines = [json.loads(x) for x in capsys.readouterr().out.strip().splitlines()]
     assert lines[2]["model_run_id"] == 1 and lines[2]["horizon_months"] == 6
-    assert os.path.isdir(os.path.join(out, "regions", "governorate_id=7"))
+    assert any(d.startswith("region_bucket=") for d in os.listdir(os.path.join(out, "regions")))
 
 
 def test_feature_collection_document(spark):
-    import pytest
+    st, root = seed_store(spark), tempfile.mkdtemp(prefix="rp-fc-")
 
-    st = seed_store(spark)
-    doc = json.loads(sinks.feature_collection(st["boundaries"]).collect()[0]["geojson"])
+    def document(boundaries, name):
+        sinks.write_feature_collection(boundaries.repartition(5), f"{root}/{name}")
+        parts = sorted(f for f in os.listdir(f"{root}/{name}") if f.startswith("part-"))
+        return json.loads("".join(open(f"{root}/{name}/{f}").read() for f in parts))
+    doc = document(st["boundaries"], "all")
     assert doc["type"] == "FeatureCollection" and len(doc["features"]) == 12
     assert [f["properties"]["governorate_id"] for f in doc["features"]] == list(range(1, 13))
-    empty = json.loads(sinks.feature_collection(st["boundaries"].where("false")).collect()[0]["geojson"])
-    assert empty == {"type": "FeatureCollection", "features": []}
-    with pytest.raises(ValueError):
-        sinks.feature_collection(st["boundaries"], max_features=5)
+    assert document(st["boundaries"].where("false"), "none") == {"type": "FeatureCollection", "features": []}
+
+
+def test_rejected_import_leaves_a_readable_store(spark):
+    """Every row rejected: the table is refreshed to nothing, and everything still runs."""
+    root = tempfile.mkdtemp(prefix="rp-empty-")
+    store = local_store(spark, root)
+    store.save(seed_store(spark))
+    path = os.path.join(tempfile.mkdtemp(prefix="rp-empty-csv-"), "o.csv")
+    with open(path, "w") as f:
+        f.write("governorate_id,month_index,average_occupancy_rate\nx,2026-01-01,0.5\n")
+    store.import_csv(path, "hotel_occupancy_monthly", 1)
+    loaded = store.load()
+    assert loaded["occupancy"].count() == 0 and loaded["occupancy"].dtypes == [
+        ("governorate_id", "int"), ("month_index", "date"), ("average_occupancy_rate", "decimal(8,4)")]
+    assert store.recompute()["scores"].count() == 288
+
+
+def test_run_ids_are_used_once(spark):
+    import pytest
+
+    from regiopanel.plans.store import RunExists
+    root = tempfile.mkdtemp(prefix="rp-runs-")
+    store = local_store(spark, root)
+    store.save(seed_store(spark))
+    run = store.run_forecast(1, 3)
+    with pytest.raises(RunExists):
+        store.run_forecast(1, 3)
+    store.append("forecast", run["forecast"])          # a retry of the same write
+    assert store.read("forecast").count() == 36
+    assert dict(store.read("forecast").dtypes)["model_run_id"] == "bigint"
+
+
+def test_csv_text_survives(spark):
+    import csv
+    text = ['say "hi"', " padded ", "a,b", "line\nbreak", ""]
+    out = tempfile.mkdtemp(prefix="rp-csv-") + "/t"
+    sinks.write_csv(spark.createDataFrame([(i, t) for i, t in enumerate(text)], "n int, t string").coalesce(1), out)
+    part = next(f for f in os.listdir(out) if f.startswith("part-"))
+    with open(f"{out}/{part}", newline="") as f:
+        rows = list(csv.reader(f))
+    assert rows == [["n", "t"]] + [[str(i), t] for i, t in enumerate(text)]
+
+
+def test_overflow_fails_loudly(spark):
+    import pytest
+
+    from regiopanel import schemas as S
+    from regiopanel.functions.columns import store_as
+    df = spark.createDataFrame([(1e30,), (None,)], "x double")
+    assert df.where("x is null").select(store_as("x", S.INDEX)).collect()[0][0] is None
+    with pytest.raises(Exception, match="numeric field overflow"):
+        df.select(store_as("x", S.INDEX)).collect()
