@@ -20,7 +20,8 @@ import duckdb  # noqa: E402
 import __spark_entry__ as E  # noqa: E402
 from regiopanel.session import get_session  # noqa: E402
 
-TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem"]
+TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages",
+          "benchmark", "labels", "conversations"]
 
 
 def norm(v):
