@@ -3,6 +3,8 @@ folder, word and hash helpers, shared-key filtering, connected components."""
 
 from __future__ import annotations
 
+import sys
+import types
 import uuid
 from contextlib import contextmanager
 
@@ -134,6 +136,15 @@ def connected_components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     raise RuntimeError("connected components did not converge")
 
 
+def kept_in_worker(key: str, make):
+    """``make()``, once in the life of a Python worker.  Functions of this folder reach
+    the workers by value, so a module of its own holds what tasks share."""
+    shared = sys.modules.setdefault("regiopanel_worker_objects", types.ModuleType("regiopanel_worker_objects"))
+    if not hasattr(shared, key):
+        setattr(shared, key, make())
+    return getattr(shared, key)
+
+
 def id_text(id_col: str) -> F.Column:
     """An id as text, for its way through pandas, where a long column with nulls
     would turn into floats; cast it back to long behind."""

@@ -42,7 +42,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, id_text, long_id, stage
+from .common import bounded_batches, id_text, kept_in_worker, long_id, stage
 
 _OTHER_SCRIPTS = re.compile("[^\\x09\\x0a\\x0d\\x20-\\x7e\\xa1-\\u024f]")
 
@@ -54,24 +54,34 @@ def public_vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def byte_encoding():
+    """The vocabulary as a tiktoken encoding."""
+    import public_tokenizers
+    import tiktoken
+
+    with open(public_vocabulary("byte_bpe_50k.tiktoken"), "rb") as f:
+        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
+    return tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def library_tokenizer():
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    from tokenizers import Tokenizer
+
+    out = Tokenizer.from_file(public_vocabulary("byte_bpe_50k.json"))
+    out.encode_special_tokens = True
+    return out
+
+
 class Encoder:
     """Ids of ``byte_bpe_50k.json``, special tokens off."""
 
     def __init__(self):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        import public_tokenizers
-        import tiktoken
-        from tokenizers import Tokenizer
-
-        with open(public_vocabulary("byte_bpe_50k.tiktoken"), "rb") as f:
-            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
-        self.fast = tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.exact = Tokenizer.from_file(public_vocabulary("byte_bpe_50k.json"))
-        self.exact.encode_special_tokens = True
+        self.fast = kept_in_worker("byte_bpe_50k", byte_encoding)
 
     def ids(self, text: str) -> list[int]:
         if _OTHER_SCRIPTS.search(text):
-            return self.exact.encode(text, add_special_tokens=False).ids
+            return kept_in_worker("byte_bpe_50k_library", library_tokenizer).encode(text, add_special_tokens=False).ids
         return self.fast.encode_ordinary(text)
 
 

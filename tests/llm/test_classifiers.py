@@ -1,0 +1,46 @@
+"""Held-out accuracy of the two classifiers, contract columns, edges."""
+import zlib
+
+import pytest
+
+import __spark_entry__ as E
+from regiopanel.llm import quality, toxicity
+
+SF = "/root/testdata/sf0.01"
+
+
+@pytest.mark.parametrize("query,label,threshold,least", [("op3_toxicity", "toxic", 0.5, 0.85), ("op5_quality", "quality", 0.3, 0.9)])
+def test_query(spark, query, label, threshold, least):
+    labels = {r.doc_id: r[label] for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+    rows = E.queries()[query](spark, SF).collect()
+    assert len(rows) == spark.read.parquet(f"{SF}/documents.parquet").count()
+    for r in rows:
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
+        assert 0 <= r.score <= 1 and r.predicted == int(r.score >= threshold)
+    held = [r for r in rows if r.held_out and r.doc_id in labels]
+    assert sum(r.predicted == labels[r.doc_id] for r in held) >= least * len(held)
+
+
+@pytest.mark.parametrize("score,label,bad", [(toxicity.toxicity_scores, "toxic", "scum"), (quality.quality_scores, "quality", "!!")])
+def test_edges(spark, score, label, bad):
+    docs = [(i, f"plain words number {i} here " + (f"{bad} {bad}" if i % 2 else "and there"), "x", 0.5) for i in range(200)]
+    docs += [(None, None, None, None), (900, "", "", 0.0), (900, "", "", 0.0), (901, "plain " * 100_000, "", 0.0)]
+    marks = [(i, i % 2 if label == "toxic" else 1 - i % 2) for i in range(200)] + [(None, 1), (5, None), (77777, 1)]
+    docs = spark.createDataFrame(docs, "doc_id long, text string, label string, score double")
+    marks = spark.createDataFrame(marks, f"doc_id long, {label} int")
+    rows = score(docs, marks).collect()
+    assert len(rows) == 204 and all(r.score is not None for r in rows)
+    truth = {r.doc_id: r[label] for r in marks.collect() if r[label] is not None}
+    mine = [r for r in rows if r.held_out and r.doc_id in truth]
+    assert sum(r.predicted == truth[r.doc_id] for r in mine) >= 0.9 * len(mine)
+    assert {r.held_out for r in rows if r.doc_id is None} == {True}
+    assert {round(r.score, 6) for r in score(docs, marks.where("false")).collect()} == {0.5}
+    assert score(docs.where("false"), marks).count() == 0
+
+
+def test_keep_good_keeps_rows_whole(spark):
+    docs = spark.createDataFrame([(i, f"good prose {i}" if i % 2 else f"!! {i} ## !!", 1.5) for i in range(120)], "doc_id long, text string, score_ double")
+    marks = spark.createDataFrame([(i, i % 2) for i in range(120)], "doc_id long, quality int")
+    out = quality.keep_good(docs, marks)
+    assert out.columns == docs.columns
+    assert [r.doc_id % 2 for r in out.collect()] == [1] * 60
