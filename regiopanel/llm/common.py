@@ -136,6 +136,12 @@ def connected_components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     raise RuntimeError("connected components did not converge")
 
 
+def small_enough(df: DataFrame, most_rows: int = 1_000_000) -> DataFrame:
+    """``df``, a staged table of a few numbers a row, marked for broadcast only while
+    it has at most ``most_rows`` rows; beyond that the join is shuffled as usual."""
+    return F.broadcast(df) if df.count() <= most_rows else df
+
+
 def kept_in_worker(key: str, make):
     """``make()``, once in the life of a Python worker.  Functions of this folder reach
     the workers by value, so a module of its own holds what tasks share."""

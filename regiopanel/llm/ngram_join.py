@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import (ascii_words, bounded_batches, connected_components, drop_stage, fresh_name, id_text, long_id,
-                     mix64, ngram_hashes, stage, word_hashes)
+                     mix64, ngram_hashes, small_enough, stage, word_hashes)
 
 _FAMILIES = 4
 
@@ -120,14 +120,19 @@ def _elements(texts: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            sets = [shingle_set(t, n) for t in b["text"]]
-            out = pd.DataFrame([_identity(s) for s in sets], columns=_SET)
-            yield out.assign(elems=[s.view(np.int64) for s in sets])
+            rows = []
+            for node, size, set_a, set_b, text in zip(b["node"], b["n_shingles"], b["set_a"], b["set_b"], b["text"]):
+                s = shingle_set(text, n)
+                if _identity(s) == (size, set_a, set_b):  # ids may repeat with other texts
+                    rows.append((node, s.view(np.int64)))
+            yield pd.DataFrame(rows, columns=["node", "elems"])
 
-    ids = nodes.select(F.col("doc_id").cast("string").alias("id")).distinct()
-    found = texts.join(ids, texts.doc_id.eqNullSafe(ids.id), "left_semi") \
-        .mapInPandas(run, "n_shingles long, set_a long, set_b long, elems array<long>")
-    return found.join(nodes.drop("doc_id"), _SET).dropDuplicates(["node"]).select("node", "elems")
+    ids = small_enough(nodes.withColumn("id", F.col("doc_id").cast("string")).drop("doc_id"))
+    found = stage(texts.join(ids, texts.doc_id.eqNullSafe(ids.id)).select("node", *_SET, "text")
+                  .mapInPandas(run, "node long, elems array<long>"), "elements")
+    if found.count() > found.select("node").distinct().count():  # rows that repeat, text and id
+        found = stage(found.dropDuplicates(["node"]), "elements")
+    return found
 
 
 def _verified(pairs: DataFrame, elements: DataFrame, percent: int) -> DataFrame:
@@ -195,7 +200,7 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
                   .agg(F.min("row").alias("node"), F.min("doc_id").alias("least")), "nodes")
     members, sets = _candidates(sets, nodes)
     wanted = members.select("node").distinct().join(sets.withColumnRenamed("row", "node"), "node")
-    elements = stage(_elements(texts, stage(wanted, "candidate-nodes"), n), "elements")
+    elements = _elements(texts, stage(wanted, "candidate-nodes"), n)
 
     tried = stage(_first_pairs(members, percent), "pairs")
     links = stage(_verified(tried, elements, percent), "links")
@@ -238,7 +243,7 @@ def _candidates(sets: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame
     """(sig, node, size) of the signatures that two nodes or more have; the sets
     without their signatures, which are removed."""
     firsts = stage(sets.select(F.col("row").alias("node"), F.col("n_shingles").alias("size"), "sigs")
-                   .join(nodes.select("node"), "node"), "node-signatures")
+                   .join(small_enough(nodes.select("node")), "node"), "node-signatures")
     light = stage(sets.drop("sigs"), "light-sets")
     drop_stage(sets)
     rows = firsts.select("node", "size", F.explode(F.array_distinct("sigs")).alias("sig"))
