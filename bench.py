@@ -97,7 +97,7 @@ def q_forecast_many_series(spark):
     """Seed panel widened to one series per order (150k series x 24 months at
     sf0.1), seasonal-trend forecast + backtest for every series in one job."""
     dim = PX.read_table(spark, SF_DIR, "orders").select(
-        F.col("o_orderkey").cast("int").alias(S.G), F.lit("O").alias("governorate_code"))
+        F.col("o_orderkey").cast("long").alias(S.G), F.lit("O").alias("governorate_code"))
     panel = SEED.seed_panel(dim)
     run = PL.run_forecast({"visitors": panel["visitors"]}, 1, 12, "seasonal_trend_v2", persist=True)
     noop(run["forecast"])

@@ -133,19 +133,22 @@ def recompute(store: dict, params: dict) -> dict:
             "scores": priority_scores(scored), "scored": scored}
 
 
-def derived_columns(derived: dict, cols: list[str]) -> DataFrame:
-    """(region, month, *cols) from the derived panels.
+def derived_columns(derived: dict, cols: list[str], keep=None, base: str | None = None) -> DataFrame:
+    """(region, month, *cols) from the derived panels.  ``keep`` filters each table
+    on its keys before the join, so month folders are pruned; with ``base`` only the
+    keys of that table are returned.
 
     With the recompute's combined frame this is one projection -- reading
     the three tables separately would re-run the recompute plan once per
     table, since each is pruned differently.  Stored tables (one row per
     key each) are joined on the key."""
+    keep = keep or (lambda df: df)
     if derived.get("scored") is not None:
-        return derived["scored"].select(G, M, *cols)
+        return keep(derived["scored"].select(G, M, *cols))
     out = None
-    for table, owned in DERIVED_TABLES.items():
-        need = [c for c in cols if c in owned]
-        if need:
-            part = derived[table].select(G, M, *need)
-            out = part if out is None else out.join(part, [G, M], "full_outer")
+    for table in sorted(DERIVED_TABLES, key=lambda t: t != base):
+        need = [c for c in cols if c in DERIVED_TABLES[table]]
+        if need or table == base:
+            part = keep(derived[table].select(G, M, *need))
+            out = part if out is None else out.join(part, [G, M], "left" if base else "full_outer")
     return out

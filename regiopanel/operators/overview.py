@@ -104,7 +104,7 @@ def region_overview(store: dict, derived: dict) -> DataFrame:
     """OV-2: all regions at the latest month with scores, indicators, class and
     the next forecast of each region's newest run; ranked by score."""
     base, v, rb, o, latest = _latest_slices(store)
-    d = at_latest(derived_columns(derived, LATEST_DERIVED), latest)
+    d = derived_columns(derived, LATEST_DERIVED, keep=lambda t: at_latest(t, latest))
     df = (base.join(v, [G, M], "left").join(rb, [G, M], "left").join(o, [G, M], "left")
           .join(d, [G, M], "left"))
     if store.get("model_run") is not None and store.get("forecast") is not None:
@@ -156,7 +156,10 @@ def region_detail(store: dict, derived: dict, governorate_id: int | None = None)
     if governorate_id is not None:
         base = base.where(F.col(G) == governorate_id)
     base = base.withColumn(M, latest)
-    df = base.join(at_latest(derived_columns(derived, LATEST_DERIVED), latest), [G, M], "left")
+    def keep(t):
+        t = at_latest(t, latest)
+        return t if governorate_id is None else t.where(F.col(G) == governorate_id)
+    df = base.join(derived_columns(derived, LATEST_DERIVED, keep=keep), [G, M], "left")
     fc_cols = ["next_forecast_month", "next_forecast_value", "next_forecast_lower", "next_forecast_upper",
                "mape", "mae", "rmse", "reliability_label"]
     if store.get("model_run") is not None and store.get("forecast") is not None:
@@ -188,10 +191,9 @@ def exec_kpis(store: dict) -> DataFrame:
 
 def exec_top(store: dict, derived: dict, n: int = 5) -> DataFrame:
     """Top-n regions by score at the latest month *of the score table*."""
-    scores = derived_columns(derived, ["priority_score", "justification_text", "capacity_classification",
-                                       *COMPONENT_COLS])
-    latest = latest_month(scores)
-    p = at_latest(scores, latest)
+    latest = latest_month(derived["scores"])
+    p = derived_columns(derived, ["priority_score", "justification_text", "capacity_classification", *COMPONENT_COLS],
+                        keep=lambda t: at_latest(t, latest), base="scores")
     return (p.join(store["governorate"].select(G, "governorate_name_en"), G)
             .select(G, "governorate_name_en", "priority_score", "capacity_classification", "justification_text",
                     *COMPONENT_COLS)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 
 # Settings that matter at scale: AQE re-plans joins/partition counts at runtime
@@ -59,7 +60,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     cluster a missing setting is an error, never a machine-local folder."""
     try:
         sc = spark.sparkContext
-    except Exception:   # Spark Connect: the server's checkpoint configuration applies
+    except PySparkException:   # Spark Connect: the server's checkpoint configuration applies
         return ""
     current = sc.getCheckpointDir()
     if current:

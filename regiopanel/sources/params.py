@@ -26,13 +26,13 @@ def numeric_map_column(params: DataFrame) -> DataFrame:
 
 
 def resolve(params: DataFrame | None, overrides: dict | None = None) -> dict:
-    """Scalar parameters for a job: defaults, replaced by numeric table values,
-    replaced by explicit overrides.  The parameter table is a handful of
-    configuration rows, so this is the one place values reach the driver."""
+    """Scalar parameters for a job: defaults, replaced by the table's numeric values
+    for the same keys, replaced by explicit overrides.  Only the known keys reach the
+    driver."""
     out = dict(S.DEFAULT_PARAMS)
     out[S.HIGH_PRIORITY_KEY] = None
     if params is not None:
-        for r in numeric_params(params).collect():
+        for r in numeric_params(params.where(F.col("parameter_key").isin(list(out)))).collect():
             out[r["parameter_key"]] = r["value"]
     out.update(overrides or {})
     return out

@@ -34,8 +34,8 @@ def overview_export(store: dict, derived: dict) -> DataFrame:
     rb = at_latest(store["rooms_beds"], latest).select(G, M, F.col("total_beds").alias("latest_total_beds"))
     o = at_latest(store["occupancy"], latest).select(
         G, M, F.col("average_occupancy_rate").alias("latest_average_occupancy_rate"))
-    d = at_latest(derived_columns(derived, ["priority_score", "justification_text", "capacity_classification"]),
-                  latest)
+    d = derived_columns(derived, ["priority_score", "justification_text", "capacity_classification"],
+                        keep=lambda t: at_latest(t, latest))
     df = (base.join(v, [G, M], "left").join(rb, [G, M], "left").join(o, [G, M], "left")
           .join(d, [G, M], "left"))
     if store.get("model_run") is not None and store.get("forecast") is not None:

@@ -175,3 +175,19 @@ def test_overflow_fails_loudly(spark):
     assert df.where("x is null").select(store_as("x", S.INDEX)).collect()[0][0] is None
     with pytest.raises(Exception, match="numeric field overflow"):
         df.select(store_as("x", S.INDEX)).collect()
+
+
+def test_stored_reads_prune_and_match(spark):
+    from regiopanel.operators import overview as OV
+    root = tempfile.mkdtemp(prefix="rp-prune-")
+    store = local_store(spark, root)
+    store.save(seed_store(spark))
+    mem = store.recompute()
+    loaded = store.load()
+    derived = {k: loaded[k] for k in ("indicators", "classification", "scores")}
+    for fn in (OV.region_overview, OV.exec_top, lambda s, d: OV.region_detail(s, d, 7)):
+        stored = fn(loaded, derived)
+        assert sorted(map(str, stored.collect())) == sorted(map(str, fn(loaded, mem).collect()))
+        scans = [x for x in stored._jdf.queryExecution().sparkPlan().toString().splitlines()
+                 if "FileScan" in x and any(f"/{k}" in x for k in derived)]
+        assert scans and all("PartitionFilters: [isnotnull(month_index" in x for x in scans if "max(" not in x), scans
