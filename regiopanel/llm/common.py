@@ -72,7 +72,7 @@ def ascii_words(text: str | None) -> list[bytes]:
     return text.encode().lower().split() if text else []
 
 
-def word_hashes(words: list[bytes], cache: dict | None = None) -> np.ndarray:
+def word_hashes(words: list[bytes]) -> np.ndarray:
     h = xxhash.xxh64_intdigest
     return np.fromiter((h(w) for w in words), np.uint64, len(words))
 
