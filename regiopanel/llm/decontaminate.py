@@ -10,10 +10,11 @@ words), are hash-joined with the windows of the benchmark.  The benchmark side i
 broadcast only while it has at most ``broadcast_windows`` windows; beyond that it
 is an ordinary shuffled join.  Only windows that match leave the join.
 
-Decision.  A document leaks an item when at least ``coverage`` of the item's
-windows match and the slots are consistent: aligned slots map each value of the
-item to one value in the document and back.  ``reparameterised`` tells that some
-value differs.
+Decision.  Matches lie on diagonals (document, item, shift).  The slots inside a
+diagonal's matched windows must be consistent: they map each value of the item to
+one value in the document and back, as verbatim ones always do.  A document leaks an
+item when at least ``coverage`` of the item's windows match on consistent diagonals.
+``reparameterised`` tells that some value differs on the diagonal with most windows.
 
 Defined cases: null and empty texts leak nothing; items with fewer words than
 ``window`` can't be told from ordinary prose and are not searched; rows with the
@@ -82,17 +83,19 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     small = known.count() <= broadcast_windows
     found = with_windows(texts, "doc_id", window).join(F.broadcast(known) if small else known, "h").drop("h")
     totals = known.groupBy("item_id").agg(F.countDistinct("item_pos").alias("all_windows"))
-    # Matches are aligned along diagonals; the diagonal with most of them gives the slots' places.
-    lines = found.withColumn("shift", F.col("pos") - F.col("item_pos")) \
-        .groupBy("doc_id", "item_id", "item_pos").agg(F.min("shift").alias("shift"))
-    hits = lines.groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("n_windows"), F.mode("shift", True).alias("shift"))
-    hits = stage(hits.join(totals, "item_id").where(F.col("n_windows") >= coverage * F.col("all_windows"))
-                 .withColumn("coverage", F.col("n_windows") / F.col("all_windows")), "hits")
+    # Matches are aligned along diagonals; each is decided by the slots inside its matched windows.
+    lines = stage(found.select("doc_id", "item_id", "item_pos", (F.col("pos") - F.col("item_pos")).alias("shift")).distinct(), "lines")
+    enough = lambda n: F.col(n) >= coverage * F.col("all_windows")
+    likely = lines.groupBy("doc_id", "item_id").agg(F.count_distinct("item_pos").alias("n")).join(totals, "item_id") \
+        .where(enough("n")).select(F.col("doc_id").alias("id"), F.col("item_id").alias("item"), "all_windows")
+    diagonals = lines.join(likely, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("item_id") == F.col("item"))) \
+        .groupBy("doc_id", "item_id", "shift", "all_windows").agg(F.collect_set("item_pos").alias("places"))
+    diagonals = stage(diagonals, "diagonals")
     asked = stage(_slots(items, "item_id").distinct(), "item-slots")
-    pairs = hits.join(asked, "item_id").select(
-        "doc_id", "item_id", (F.col("at") + F.col("shift")).alias("at"), "type", F.col("value").alias("asked"))
+    pairs = diagonals.join(asked, "item_id").where(F.exists("places", lambda p: (p <= F.col("at")) & (F.col("at") < p + window))) \
+        .select("doc_id", "item_id", "shift", (F.col("at") + F.col("shift")).alias("at"), "type", F.col("value").alias("asked"))
     if pairs.isEmpty():  # no hit has a slot: nothing to compare
-        checked = hits.withColumns({"n_slots": F.lit(0).cast("long"), "reparameterised": F.lit(False)})
+        checked = diagonals.withColumns({"n_slots": F.lit(0).cast("long"), "differs": F.lit(False)})
     else:
         pairs = stage(pairs, "slot-pairs")
         ids = pairs.select(F.col("doc_id").alias("id")).distinct()
@@ -100,17 +103,23 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
             .select(F.col("doc_id").alias("id"), F.col("at").alias("doc_at"), F.col("type").alias("doc_type"), "value")
         both = pairs.join(given, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("at") == F.col("doc_at"))
                           & (F.col("type") == F.col("doc_type")))
-        values = both.groupBy("doc_id", "item_id", "type").agg(
+        values = both.groupBy("doc_id", "item_id", "shift", "type").agg(
             F.count_distinct("asked", "value").alias("maps"), F.count_distinct("asked").alias("n_asked"),
             F.count_distinct("value").alias("n_given"), F.count(F.lit(1)).alias("n"),
             F.max(F.col("asked") != F.col("value")).alias("differs"))
-        per = values.groupBy(F.col("doc_id").alias("id"), F.col("item_id").alias("item")).agg(
+        per = values.groupBy(F.col("doc_id").alias("id"), F.col("item_id").alias("item"), F.col("shift").alias("by")).agg(
             F.max((F.col("maps") != F.col("n_asked")) | (F.col("maps") != F.col("n_given"))).alias("broken"),
             F.sum("n").alias("n_slots"), F.max("differs").alias("differs"))
-        checked = hits.join(per, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("item_id") == F.col("item")), "left") \
+        checked = diagonals.join(per, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("item_id") == F.col("item"))
+                                 & (F.col("shift") == F.col("by")), "left") \
             .where(~F.coalesce("broken", F.lit(False))) \
-            .withColumns({"n_slots": F.coalesce("n_slots", F.lit(0)), "reparameterised": F.coalesce("differs", F.lit(False))})
-    return checked.select("doc_id", "item_id", "n_windows", "coverage", "n_slots", "reparameterised")
+            .withColumns({"n_slots": F.coalesce("n_slots", F.lit(0)), "differs": F.coalesce("differs", F.lit(False))})
+    # the diagonal with most windows tells about the slots, a verbatim one first
+    best = F.max(F.struct(F.size("places"), ~F.col("differs"), -F.col("shift"), "n_slots")).alias("best")
+    return checked.withColumn("place", F.explode("places")).groupBy("doc_id", "item_id", "all_windows") \
+        .agg(F.count_distinct("place").alias("n_windows"), best).where(enough("n_windows")) \
+        .select("doc_id", "item_id", "n_windows", (F.col("n_windows") / F.col("all_windows")).alias("coverage"),
+                F.col("best.n_slots").alias("n_slots"), (~F.col("best.col2")).alias("reparameterised"))
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:

@@ -64,3 +64,19 @@ def test_empty(spark):
     bench = spark.createDataFrame([(1, ITEM)], "item_id long, text string")
     assert D.find_leaks(docs.where("false"), bench).count() == 0
     assert D.find_leaks(docs, bench.where("false")).count() == 0
+
+
+LIST = "Take 11 red boxes and 12 blue boxes then 13 green boxes and 14 white boxes before you move 15 long tables and 16 short tables away"
+
+
+def test_each_diagonal_is_decided_by_its_matched_windows(spark):
+    words_ = LIST.split()
+    part = " ".join(words_[:19])                                # well over half, verbatim
+    foreign = f"{part} and more of them 12 things"              # a foreign value where a later slot would be
+    inserted = f"{part} very {' '.join(words_[19:])}"
+    broken = LIST.replace("12", "11")
+    first_broken = f"{broken}. {'filler ' * 30}. {LIST}"
+    docs = spark.createDataFrame(list(enumerate([foreign, inserted, first_broken, broken, LIST])), "doc_id long, text string")
+    bench = spark.createDataFrame([(1, LIST)], "item_id long, text string")
+    got = {r.doc_id: r for r in D.find_leaks(docs, bench).collect()}
+    assert set(got) == {0, 1, 2, 4} and not any(r.reparameterised for r in got.values())
