@@ -16,9 +16,12 @@ one value in the document and back, as verbatim ones always do.  A document leak
 item when at least ``coverage`` of the item's windows match on consistent diagonals.
 ``reparameterised`` tells that some value differs on the diagonal with most windows.
 
-Defined cases: null and empty texts leak nothing; items with fewer words than
-``window`` can't be told from ordinary prose and are not searched; rows with the
-same id are reported as one; null ids are reported as a null id; an empty table
+Defined cases: null and empty texts leak nothing; items of fewer words than
+``window`` are found where a document holds all their words in a row, in any case
+and by value, so an item of one word is found in every document that has it; a
+lower-cased copy of a longer item is found, one in capitals is found only as far as
+its names keep their type; line breaks and several spaces count as one; rows with
+the same id are reported as one; null ids are reported as a null id; an empty table
 on either side gives an empty result.
 """
 
@@ -33,6 +36,7 @@ UNITS = ("mm", "cm", "m", "km", "mg", "g", "kg", "ml", "l", "s", "min", "h", "ho
          "inches", "feet", "miles", "pounds", "dollars", "euros", "percent", "degrees")
 
 _MARK = "\u0001"
+_SPACE = r"[\s\x0B\x85\p{Z}]"
 
 
 def template_words(texts: DataFrame, key: str) -> DataFrame:
@@ -40,7 +44,9 @@ def template_words(texts: DataFrame, key: str) -> DataFrame:
     value.  One select for each step whose result is used twice, so that it is
     computed once."""
     t = F.translate(F.coalesce("text", F.lit("")), _MARK, " ")
-    df = texts.select(key, F.regexp_replace(t, r"(?<=[\p{Ll}\p{N},;] )\p{Lu}[\p{L}\p{M}]*", f"{_MARK}p$0").alias("t"))
+    # line breaks and several spaces are one space
+    t = F.regexp_replace(t, rf"(?!(?: (?!{_SPACE}))){_SPACE}+", " ")
+    df = texts.select(key, F.regexp_replace(t, r"\p{Lu}(?<=[\p{Ll}\p{N},;] \p{Lu})[\p{L}\p{M}]*", f"{_MARK}p$0").alias("t"))
     joined = F.regexp_replace("t", r"(?<=[0-9])[.,:](?=[0-9])", "")
     numbers = F.regexp_replace(joined, rf"(?<![\p{{L}}\p{{N}}{_MARK}])[0-9]+", f"{_MARK}n$0 ")
     units = F.regexp_replace(numbers, rf"({_MARK}n[0-9]+ +)({'|'.join(UNITS)})(?![\p{{L}}\p{{N}}])", f"$1{_MARK}u$2")
@@ -72,6 +78,29 @@ def _slots(texts: DataFrame, key: str) -> DataFrame:
         .select(key, "at", F.substring("word", 2, 1).alias("type"), F.expr("substring(word, 3)").alias("value"))
 
 
+def _literal_words(texts: DataFrame, key: str) -> DataFrame:
+    """(key, w): lower-cased words, slots by their values."""
+    return template_words(texts, key).select(key, F.transform(
+        "words", lambda w: F.when(w.startswith(_MARK), F.substr(w, F.lit(3))).otherwise(w)).alias("w"))
+
+
+def _whole_items(texts: DataFrame, items: DataFrame, window: int, broadcast_windows: int) -> DataFrame:
+    """Hits of items of fewer than ``window`` words, that documents hold word for word."""
+    short = _literal_words(items, "item_id").where((F.size("w") > 0) & (F.size("w") < window)) \
+        .select("item_id", F.size("w").alias("n"), F.xxhash64("w").alias("h")).distinct()
+    short = stage(short, "short-items")
+    runs = []
+    for r in sorted(short.select("n").distinct().collect()):  # fewer than ``window`` lengths
+        at = F.expr(f"if(size(w) >= {r.n}, sequence(1, size(w) - {r.n - 1}), array())")
+        runs.append(F.transform(at, lambda i: F.xxhash64(F.slice("w", i, r.n))))
+    none = F.lit(0).cast("long")
+    hits = short.limit(0).select(F.lit(None).cast("long").alias("doc_id"), "item_id") if not runs else \
+        _literal_words(texts, "doc_id").select("doc_id", F.explode(F.array_distinct(F.concat(*runs))).alias("h")) \
+        .join(F.broadcast(short) if short.count() <= broadcast_windows else short, "h").select("doc_id", "item_id").distinct()
+    return hits.select("doc_id", "item_id", F.lit(1).cast("long").alias("n_windows"), F.lit(1.0).alias("coverage"),
+                       none.alias("n_slots"), F.lit(False).alias("reparameterised"))
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                item_col: str = "item_id", item_text_col: str = "text", window: int = 8, coverage: float = 0.5,
                broadcast_windows: int = 500_000) -> DataFrame:
@@ -79,7 +108,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     n_slots, reparameterised."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).alias("text"))
-    known = stage(with_windows(items, "item_id", window).withColumnsRenamed({"pos": "item_pos"}), "item-windows")
+    # in a lower-cased copy names are plain words
+    forms = items.union(items.select("item_id", F.lower("text")))
+    known = stage(with_windows(forms, "item_id", window).distinct().withColumnsRenamed({"pos": "item_pos"}), "item-windows")
     small = known.count() <= broadcast_windows
     found = with_windows(texts, "doc_id", window).join(F.broadcast(known) if small else known, "h").drop("h")
     totals = known.groupBy("item_id").agg(F.countDistinct("item_pos").alias("all_windows"))
@@ -119,7 +150,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     return checked.withColumn("place", F.explode("places")).groupBy("doc_id", "item_id", "all_windows") \
         .agg(F.count_distinct("place").alias("n_windows"), best).where(enough("n_windows")) \
         .select("doc_id", "item_id", "n_windows", (F.col("n_windows") / F.col("all_windows")).alias("coverage"),
-                F.col("best.n_slots").alias("n_slots"), (~F.col("best.col2")).alias("reparameterised"))
+                F.col("best.n_slots").alias("n_slots"), (~F.col("best.col2")).alias("reparameterised")) \
+        .union(_whole_items(texts, items, window, broadcast_windows))
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:

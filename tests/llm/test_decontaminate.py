@@ -80,3 +80,19 @@ def test_each_diagonal_is_decided_by_its_matched_windows(spark):
     bench = spark.createDataFrame([(1, LIST)], "item_id long, text string")
     got = {r.doc_id: r for r in D.find_leaks(docs, bench).collect()}
     assert set(got) == {0, 1, 2, 4} and not any(r.reparameterised for r in got.values())
+
+
+NAMES = "When did Anna Kowalska, Piotr Nowak and Maria Lis meet Jan Zych, Ewa Mazur and Adam Wilk near Warta, Lipno and Ostrow"
+
+
+def test_short_items_and_changed_layout(spark):
+    docs = [NAMES, NAMES.lower(), NAMES.replace(" ", "\n"), NAMES.replace(" ", "  "), NAMES.replace(" ", "  \t"),
+            "So: WHO wrote\nFaust 2? Nobody knows", "who wrote Faust 3", "Who wrote", "Capital of Peru", "nothing", None, ""]
+    docs = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    bench = spark.createDataFrame([(1, NAMES), (2, "Who wrote Faust 2?"), (3, "capital of Peru"), (4, ""), (5, None), (6, "...")],
+                                  "item_id long, text string")
+    for options in ({}, {"broadcast_windows": 0}):
+        rows = D.find_leaks(docs, bench, **options).collect()
+        assert {(r.doc_id, r.item_id) for r in rows} == {(0, 1), (1, 1), (2, 1), (3, 1), (4, 1), (5, 2), (8, 3)}
+        assert len(rows) == 7 and not any(r.reparameterised for r in rows) and {r.coverage for r in rows} == {1.0}
+        assert D.drop_leaks(docs, bench, **options).count() == 5
