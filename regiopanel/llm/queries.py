@@ -16,6 +16,7 @@ from . import quality as _quality
 from . import substring_dedup as _substrings
 from . import toxicity as _toxicity
 from . import warc as _warc
+from . import word_table_bpe as _bpe
 from .common import load
 
 
@@ -69,6 +70,11 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _exact.exact_dedup(load(spark, sf_dir, "documents"), keep="largest")
 
 
+def op12_word_table_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's BPE ids through the table of distinct words, and what they decode to."""
+    return _bpe.encode_and_decode(load(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_ngram_join": op2_ngram_join,
@@ -80,6 +86,7 @@ QUERIES = {
     "op8_lm_score": op8_lm_score,
     "op9_pii": op9_pii,
     "op10_exact_dedup": op10_exact_dedup,
+    "op12_word_table_bpe": op12_word_table_bpe,
 }
 
 # A-Z to a-z, and the ASCII white space that parts words.
