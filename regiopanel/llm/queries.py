@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import decontaminate as _decontaminate
 from . import exact_dedup as _exact
+from . import lexical_search as _search
 from . import lm_score as _lm
 from . import ngram_join as _ngrams
 from . import packing as _packing
@@ -70,6 +71,11 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _exact.exact_dedup(load(spark, sf_dir, "documents"), keep="largest")
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 best documents of every benchmark item, by exact integer scores."""
+    return _search.ranked_search(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"), k=50)
+
+
 def op12_word_table_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's BPE ids through the table of distinct words, and what they decode to."""
     return _bpe.encode_and_decode(load(spark, sf_dir, "documents"))
@@ -86,12 +92,15 @@ QUERIES = {
     "op8_lm_score": op8_lm_score,
     "op9_pii": op9_pii,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_lexical_search": op11_lexical_search,
     "op12_word_table_bpe": op12_word_table_bpe,
 }
 
 # A-Z to a-z, and the ASCII white space that parts words.
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = f"list_filter(regexp_split_to_array({_LOWER}, '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"
+# Runs of ASCII letters and digits and of characters above ASCII.
+_TERM = "[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
 
 SQL = {
     "op2_ngram_join": f"""
@@ -138,4 +147,18 @@ SQL = {
                sha256(coalesce(text, '')) AS text_sha256
         FROM documents
         WINDOW same AS (PARTITION BY coalesce(text, ''))""",
+    "op11_lexical_search": f"""
+        WITH words AS (SELECT doc_id, unnest(regexp_extract_all({_LOWER}, '{_TERM}')) AS t FROM documents),
+        lengths AS (SELECT doc_id, count(*) AS n FROM words GROUP BY doc_id),
+        corpus AS (SELECT count(*)::BIGINT AS n_docs, sum(n)::BIGINT AS all_terms FROM lengths),
+        asked AS (SELECT DISTINCT item_id, unnest(regexp_extract_all({_LOWER}, '{_TERM}')) AS t FROM benchmark),
+        counts AS (SELECT doc_id, t, count(*)::BIGINT AS tf FROM words WHERE t IN (SELECT t FROM asked) GROUP BY doc_id, t),
+        weights AS (SELECT t, floor(1000 * ln((2 * any_value(n_docs) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w
+                    FROM counts, corpus GROUP BY t),
+        impacts AS (
+            SELECT doc_id, t, w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * n_docs) // all_terms))) AS x
+            FROM counts JOIN weights USING (t) JOIN lengths USING (doc_id), corpus),
+        scores AS (SELECT item_id, doc_id, sum(x)::BIGINT AS score FROM asked JOIN impacts USING (t) GROUP BY ALL HAVING score > 0)
+        SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank, doc_id, score
+        FROM scores QUALIFY rank <= 50""",
 }

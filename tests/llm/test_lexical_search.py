@@ -1,0 +1,96 @@
+"""Ranked search against a plain version of the scores."""
+import math
+import random
+import re
+from collections import Counter, defaultdict
+
+import duckdb
+import numpy as np
+
+import __spark_entry__ as E
+from regiopanel.llm import lexical_search as S
+
+SF = "/root/testdata/sf0.001"
+LOWER = {c: c + 32 for c in range(65, 91)}
+
+
+def terms(text):
+    return re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", (text or "").translate(LOWER))
+
+
+def brute(docs, items, k):
+    """[(item index, rank, doc id, score)] of lists of (id, text)."""
+    held = [(d, Counter(terms(t))) for d, t in docs if terms(t)]
+    if not held:
+        return []
+    n_docs, total = len(held), sum(sum(c.values()) for _, c in held)
+    df = Counter(t for _, c in held for t in c)
+    out = []
+    for at, (_, text) in enumerate(items):
+        found = []
+        for d, c in held:
+            m = 100 - 50 + (50 * sum(c.values()) * n_docs) // total
+            score = sum(math.floor(1000 * math.log((2 * n_docs + 2) / (2 * df[t] + 1))) * ((10**9 * c[t]) // (1000 * c[t] + 20 * m))
+                        for t in set(terms(text)) if c[t])
+            if score > 0:
+                found.append((-score, d is None, d or 0, d))
+        out += [(at, rank, f[3], -f[0]) for rank, f in enumerate(sorted(found, key=lambda f: f[:3])[:k], 1)]
+    return out
+
+
+def run(spark, docs, items, k=50, **options):
+    d = spark.createDataFrame([(i, t, 7) for i, t in docs], "doc_id long, text string, score int")
+    q = spark.createDataFrame([(i, t, 7) for i, t in items], "item_id long, text string, rank int")
+    return S.ranked_search(d, q, k=k, **options)
+
+
+def test_query_matches_sql(spark):
+    rows = sorted(tuple(r) for r in E.queries()["op11_lexical_search"](spark, SF).collect())
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
+    assert rows == sorted(con.execute(E.oracle_sql()["op11_lexical_search"]).fetchall()) and rows
+
+
+def test_terms_are_the_runs_of_the_pattern():
+    rng = random.Random(2)
+    for _ in range(2000):
+        t = "".join(rng.choices("aZz09 .,-_\t\n\x00\x1c\x7f[`{@/:\x80\x85\xa0\u00c9\u00e9\u4f60\u2028\u3000\U0001f642", k=rng.randrange(30)))
+        assert [w.decode() for w in S.terms(t)] == terms(t), repr(t)
+
+
+def test_ties_blocks_tiles_and_edges(spark):
+    rng = random.Random(4)
+    vocabulary = [f"w{i}" for i in range(60)]
+    text = lambda n: " ".join(rng.choices(vocabulary, k=n))
+    docs = [(i, text(rng.randrange(1, 40))) for i in range(150)]
+    docs += [(1000 + i, "w1 w2 w3") for i in range(30)] + [(7, "w1 w2 w3"), (7, "w1 w2 w3"), (None, "w1 w2 w3")]
+    docs += [(2000, None), (2001, ""), (2002, " .!"), (2003, "w5 " * 20000)]
+    items = [(i, text(6)) for i in range(12)] + [(3, "w1 W2, w3"), (None, "w9"), (20, None), (21, ""), (22, "nowhere"), (23, "w1")]
+    want = [(items[at][0], *rest) for at, *rest in brute(docs, items, 20)]
+    for options in ({}, {"block_terms": 7, "tile_terms": 4}, {"block_terms": 1, "tile_terms": 1}):
+        got = [tuple(r) for r in run(spark, docs, items, 20, **options).collect()]
+        assert sorted(map(str, got)) == sorted(map(str, want))
+
+
+def test_empty_tables(spark):
+    assert run(spark, [], [(1, "a")]).count() == 0
+    assert run(spark, [(1, "a")], []).count() == 0
+    assert run(spark, [(1, None)], [(1, "a")]).count() == 0
+
+
+def test_running_best_keeps_every_tie():
+    rng = np.random.default_rng(6)
+    item, score, doc = rng.integers(0, 5, 800), rng.integers(1, 4, 800), rng.permutation(800)
+    best = defaultdict(list)
+    for i, s, d in zip(item, score, doc):
+        best[i].append((-s, d))
+    kept = S.keep_best(item, score, doc, np.zeros(800, bool), 10)
+    assert {(item[p], doc[p]) for p in kept} == {(i, d) for i, rows in best.items() for _, d in sorted(rows)[:10]}
+
+
+def test_sums_beyond_doubles_are_refused(spark):
+    import pytest
+    shared = type("Shared", (), {"value": None})()
+    with pytest.raises(ArithmeticError):
+        S._scores(None, shared, (10**9, 1, np.zeros(10**6, np.int64)), 1, 10**6)
