@@ -17,6 +17,7 @@ from . import quality as _quality
 from . import substring_dedup as _substrings
 from . import toxicity as _toxicity
 from . import warc as _warc
+from . import whitening as _whitening
 from . import word_table_bpe as _bpe
 from .common import load
 
@@ -81,6 +82,11 @@ def op12_word_table_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _bpe.encode_and_decode(load(spark, sf_dir, "documents"))
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every embedding on the 32 leading components, whitened."""
+    return _whitening.whiten(load(spark, sf_dir, "embeddings"), components=32)
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_ngram_join": op2_ngram_join,
@@ -94,6 +100,7 @@ QUERIES = {
     "op10_exact_dedup": op10_exact_dedup,
     "op11_lexical_search": op11_lexical_search,
     "op12_word_table_bpe": op12_word_table_bpe,
+    "op13_whitening": op13_whitening,
 }
 
 # A-Z to a-z, and the ASCII white space that parts words.
