@@ -1,7 +1,7 @@
 """Batch entry point over a Parquet store (the HTTP endpoints' batch form).
 
   python -m regiopanel seed ROOT
-  python -m regiopanel import ROOT CSV_PATH DATASET_TYPE JOB_ID [--multiline]
+  python -m regiopanel import ROOT CSV_PATH DATASET_TYPE JOB_ID
   python -m regiopanel recompute ROOT
   python -m regiopanel forecast ROOT RUN_ID [--horizon 12] [--model seasonal_trend_v2]
   python -m regiopanel export ROOT OUT_DIR
@@ -28,7 +28,6 @@ def main(argv: list[str] | None = None) -> int:
     for a in ("root", "path", "dataset_type"):
         imp.add_argument(a)
     imp.add_argument("job_id", type=int)
-    imp.add_argument("--multiline", action="store_true")
     sub.add_parser("recompute").add_argument("root")
     fc = sub.add_parser("forecast")
     fc.add_argument("root")
@@ -47,7 +46,7 @@ def main(argv: list[str] | None = None) -> int:
         store.save(seed_store(spark))
         out = {"status": "ok"}
     elif args.cmd == "import":
-        r = store.import_csv(args.path, args.dataset_type, args.job_id, multiline=args.multiline)
+        r = store.import_csv(args.path, args.dataset_type, args.job_id)
         out = r["summary"].drop("validation_summary_json").collect()[0].asDict()
     elif args.cmd == "recompute":
         store.recompute()

@@ -24,7 +24,9 @@ from regiopanel.sources import proxy as PX
 from regiopanel.sources import seed as SEED
 from regiopanel.sources import sinks as SINKS
 from regiopanel.sources import standin as STAND
+from regiopanel.sources import uploads as UP
 from regiopanel.sources.params import resolve
+from regiopanel.sources.records import CsvRecords
 
 G, M = S.G, S.M
 
@@ -306,6 +308,53 @@ def q_fk_violations(spark, d):
     return as_double(ING.fk_violations(_import(spark, d)["loaded"], st["governorate"]))
 
 
+# --- CSV text ---------------------------------------------------------------------
+
+def q_csv_records(spark, d):
+    """Every document out of CSV text with quotes and line breaks, read in splits, with
+    its place among all records."""
+    docs = PX.read_table(spark, d, "documents")
+    records = CsvRecords(spark, UP.documents_upload(docs), UP.split_bytes_for(docs, "text"))
+    (_, columns, _), = records.headers
+    text = F.coalesce("text", F.lit(""))
+    return records.ordinals(records.rows(columns)).select(
+        "ordinal", F.col("doc_id").cast("long").alias("doc_id"), "lang", F.length(text).alias("n_chars"), F.md5(text).alias("text_md5"))
+
+
+def _upload(spark, d, kind):
+    table, make, dataset_type = {
+        "visitors": ("orders", UP.visitors_upload, "visitors_monthly"),
+        "rooms_beds": ("lineitem", UP.rooms_beds_upload, "rooms_beds_monthly"),
+        "occupancy": ("lineitem", UP.occupancy_upload, "hotel_occupancy_monthly")}[kind]
+    rows = PX.read_table(spark, d, table)
+    key = "o_orderpriority" if table == "orders" else "l_returnflag"
+    return ING.import_csv(spark, make(rows), dataset_type, split_bytes=UP.split_bytes_for(rows, key))
+
+
+def q_import_visitors_csv(spark, d):
+    return as_double(_upload(spark, d, "visitors")["loaded"])
+
+
+def q_import_rooms_beds(spark, d):
+    """CSV text in files of two column orders: the last good row of each key."""
+    return as_double(_upload(spark, d, "rooms_beds")["loaded"])
+
+
+def q_import_occupancy(spark, d):
+    return as_double(_upload(spark, d, "occupancy")["loaded"])
+
+
+def q_import_csv_errors(spark, d):
+    """Rejected records of a CSV import with their places among all records."""
+    r = _upload(spark, d, "rooms_beds")
+    bad = r["typed"].where("not _ok").select(ING.ROW, "error_message", "raw_row_json")
+    return r["records"].ordinals(bad).select("ordinal", "error_message", "raw_row_json")
+
+
+def q_import_csv_summary(spark, d):
+    return _upload(spark, d, "occupancy")["summary"]
+
+
 def q_seed_panel(spark, d):
     """Seed formulas over a region dimension with one region per customer."""
     gov = PX.customer_regions(PX.read_table(spark, d, "customer"))
@@ -363,6 +412,12 @@ QUERIES = {
     "import_duplicates": q_import_duplicates,
     "import_lastwins": q_import_lastwins,
     "fk_violations": q_fk_violations,
+    "csv_records": q_csv_records,
+    "import_visitors_csv": q_import_visitors_csv,
+    "import_rooms_beds": q_import_rooms_beds,
+    "import_occupancy": q_import_occupancy,
+    "import_csv_errors": q_import_csv_errors,
+    "import_csv_summary": q_import_csv_summary,
     "seed_panel": q_seed_panel,
     "forecast_seed_customers": q_forecast_seed_customers,
 }

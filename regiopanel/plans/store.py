@@ -128,13 +128,13 @@ class ParquetStore:
         return run
 
     def import_csv(self, path: str, dataset_type: str, import_job_id: int, filename: str | None = None,
-                   created_by: str | None = None, multiline: bool = False) -> dict:
+                   created_by: str | None = None) -> dict:
         """SRC-1..13 in one call: parse and quarantine, replace the target
         table with the loaded rows (even when none loaded), append the job and
         its error rows to the ledgers.  Unknown regions are quarantined."""
         self.check_new("import_job", "import_job_id", import_job_id)
         gov = self.read("governorate")
-        r = ingest.import_csv(self.spark, path, dataset_type, governorate=gov, multiline=multiline)
+        r = ingest.import_csv(self.spark, path, dataset_type, governorate=gov)
         self.overwrite(ingest.TARGET[dataset_type], r["loaded"])
         self.append("import_error", ingest.error_ledger_rows(r["errors"], import_job_id))
         self.append("import_job", ingest.job_row(r["summary"], import_job_id, dataset_type,

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
@@ -85,3 +86,29 @@ def materialize(df: DataFrame) -> DataFrame:
     """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+_FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_OPEN_WRITERS = "spark.sql.maxConcurrentOutputFileWriters"
+
+
+def stage_table(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
+    """Write ``df`` as Parquet to a new folder below the shared checkpoint folder and
+    read it back: columns and partitions that a reader does not need are not read,
+    and a lost executor costs only tasks of the running stage.  Shuffle files of the
+    write are freed.  ``partition_by`` has few values: a task keeps a writer open for
+    each, so its rows are not sorted for the write."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    set_ = {_FREE_SHUFFLES: "true", _OPEN_WRITERS: "16"}
+    old = {k: spark.conf.get(k, None) for k in set_}
+    try:
+        for k, v in set_.items():
+            spark.conf.set(k, v)
+        w = df.write
+        (w.partitionBy(partition_by) if partition_by else w).parquet(path)
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+    order = [c for c in df.columns if c != partition_by] + ([partition_by] if partition_by else [])
+    return spark.read.schema(df.select(*[f"`{c}`" for c in order]).schema).parquet(path).select(*[f"`{c}`" for c in df.columns])

@@ -1,33 +1,36 @@
 """Validated CSV ingest with row-level quarantine (SRC-1..SRC-13).
 
-Flow: header contract -> all-string scan (no inference) with a malformed-row
-flag and the record's ordinal in its file -> typed columns via guarded
-casts -> split into loaded rows (keyed upsert, last row wins), error rows and
-a one-row summary.  Every step is a column expression or a combinable
-aggregate:
-
-* a CSV record's ordinal is an order key (file, split offset, position in
-  the scan) that needs no join or window; dense file line numbers are
-  resolved only for the (few) error rows, from per-split counts -- the bulk
-  of the file is never shuffled just to be numbered;
-* the in-file duplicate counter and the "last row wins" upsert are group-by
-  aggregates (count, max_by), which combine map-side, so a key repeated in a
-  third of the file is pre-aggregated before the shuffle.
+Flow: records cut from parallel splits (``sources.records``) -> columns by each file's
+own header -> typed columns via guarded casts -> one columnar staging, good and bad
+rows apart -> loaded rows (keyed upsert, last row wins), error rows and a one-row
+summary, each of which reads only its columns.  Every step is a column expression or a
+combinable aggregate:
+
+* ``_row`` is one long, file number above record number, so "last row wins" is a
+  ``max_by`` of fixed-width values: a hash aggregate on both sides of the shuffle,
+  without a sort;
+* the in-file duplicate counter is a group-by count, which combines map-side, so a key
+  repeated in a third of the file is pre-aggregated before the shuffle;
+* error rows take their record number out of ``_row``: nothing is shuffled to be
+  numbered.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from regiopanel import schemas as S
 from regiopanel.functions.geo import wkt_to_multipolygon
-from regiopanel.session import materialize
+from regiopanel.session import stage_table
+from regiopanel.sources.records import RECORD_BITS, CsvRecords, ImportRejected
 
 G, M = S.G, S.M
-ROW = "_row"              # record order key: a long (first record = 2) or struct(_file, _block, _mid)
+ROW = "_row"              # record order key: file number above record number (first data record = 2)
 MALFORMED = "_malformed"  # too few / too many fields
+KEYS = ("_key0", "_key1")  # raw text of the first two required columns, the in-file duplicate key
 
 # The characters Python's str.strip()/int()/float() treat as
 # whitespace (str.isspace), as a regex class; Java's \s covers only ASCII.
@@ -55,10 +58,6 @@ TARGET = {
 }
 
 
-class ImportRejected(ValueError):
-    """Whole-file rejection (unknown dataset type or missing columns)."""
-
-
 def validate_headers(dataset_type: str, fieldnames: list[str] | None) -> None:
     if dataset_type not in S.REQUIRED_COLUMNS:
         raise ImportRejected(f"Unsupported dataset_type: {dataset_type}")
@@ -69,74 +68,34 @@ def validate_headers(dataset_type: str, fieldnames: list[str] | None) -> None:
 
 # --- scan -------------------------------------------------------------------
 
-def _same_header(spark: SparkSession, path: str, dataset_type: str, multiline: bool) -> list[str]:
-    """The header that all files of an import have; columns are read by position, so
-    a file with another header or order would swap measures and is rejected.  Only
-    the distinct first lines are looked at, two at most reach the driver."""
-    columns = (spark.read.option("header", True).option("inferSchema", False).option("escape", '"')
-               .option("multiLine", multiline).csv(path).columns)
-    columns = [h.lstrip("\ufeff") for h in columns]
-    validate_headers(dataset_type, columns)
-    lines = spark.read.text(path).select(
-        F.regexp_replace("value", "^\ufeff|[\r ]+$", "").alias("line"), F.col("_metadata.file_path").alias("file"),
-        F.monotonically_increasing_id().alias("at"), F.col("_metadata.file_block_start").alias("block"))
-    first = lines.where("block = 0 and line <> ''").groupBy("file").agg(F.min_by("line", "at").alias("line"))
-    if len(first.select("line").distinct().limit(2).collect()) > 1:
-        raise ImportRejected("The files' headers differ: import them one by one, or write them with one header")
-    return columns
-
-
-def read_csv_raw(spark: SparkSession, path: str, dataset_type: str, multiline: bool = False) -> DataFrame:
-    """All-string scan of an import file (or a folder of files) with the
-    record order key ``_row`` and a ``_malformed`` flag (too few / too many
-    fields).  The flag is exact when every header column is read, which the
-    blank-field check of ``typed_rows`` always does; Spark's CSV column
-    pruning only narrows scans whose output cannot depend on it.
-
-    ``multiline`` accepts quoted fields containing line breaks; such files are
-    read whole by one task each (not splittable), so it is opt-in."""
-    header = _same_header(spark, path, dataset_type, multiline)
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in header]
-                          + [T.StructField("_corrupt_record", T.StringType())])
-    df = (spark.read.schema(schema)
-          .option("header", True).option("mode", "PERMISSIVE")
-          .option("columnNameOfCorruptRecord", "_corrupt_record")
-          .option("encoding", "UTF-8").option("escape", '"')
-          .option("multiLine", multiline)
-          .csv(path)
-          .select(*[F.col(f"`{c}`") for c in header],
-                  F.col("_corrupt_record").isNotNull().alias(MALFORMED),
-                  F.col("_metadata.file_path").alias("_file"),
-                  F.col("_metadata.file_block_start").alias("_block"),
-                  F.monotonically_increasing_id().alias("_mid")))
-    return df.withColumn(ROW, F.struct("_file", "_block", "_mid")).drop("_file", "_block", "_mid")
-
-
-def _split_offsets(typed: DataFrame) -> DataFrame:
-    """One row per input split: records before it in its file and its first
-    ``_mid``.  A combinable aggregate plus a window over split rows only."""
-    splits = (typed.select(F.col(f"{ROW}._file").alias("_file"), F.col(f"{ROW}._block").alias("_block"),
-                           F.col(f"{ROW}._mid").alias("_mid"))
-              .groupBy("_file", "_block").agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_m0")))
-    before = Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    return splits.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-
-
-def with_line_numbers(subset: DataFrame, full: DataFrame, name: str = "row_number") -> DataFrame:
-    """Dense record numbers (first record = 2, the header being 1) for the
-    rows of ``subset``, counted over all rows of ``full`` (same scan).
-
-    Within one split the records are contiguous in one task and
-    ``monotonically_increasing_id`` grows by one per record, so position in
-    split = _mid - min(_mid); split offsets are prefix sums of split counts per
-    file.  Integral ordinals (prepared inputs) are used as they are."""
-    if not isinstance(subset.schema[ROW].dataType, T.StructType):
-        return subset.withColumn(name, F.col(ROW))
-    offs = _split_offsets(full)
-    s = subset.withColumn("_file", F.col(f"{ROW}._file")).withColumn("_block", F.col(f"{ROW}._block"))
-    return (s.join(offs, ["_file", "_block"], "left")
-            .withColumn(name, F.col("_off") + F.col(f"{ROW}._mid") - F.col("_m0") + 2)
-            .drop("_file", "_block", "_off", "_m0"))
+def open_csv(spark: SparkSession, path: str, dataset_type: str, split_bytes: int | None = None) -> CsvRecords:
+    """The records of a file, a folder or a glob; every file's header must have the
+    required columns, in any order and with any others between them."""
+    records = CsvRecords(spark, path, split_bytes)
+    if not records.headers:
+        validate_headers(dataset_type, None)
+    for _, columns, _ in records.headers:
+        validate_headers(dataset_type, columns)
+    return records
+
+
+def header_rows(records: CsvRecords) -> list[DataFrame]:
+    """All-string rows with ``_row`` and ``_malformed``, one frame for each header."""
+    one = len(records.headers) == 1
+    return [records.rows(columns, None if one else files) for _, columns, files in records.headers]
+
+
+def read_csv_raw(spark: SparkSession, path: str, dataset_type: str) -> DataFrame:
+    """All-string records of an import with ``_row`` and ``_malformed``; with several
+    headers, a column that a file lacks is NULL in its rows."""
+    frames = header_rows(open_csv(spark, path, dataset_type))
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+
+
+def with_line_numbers(subset: DataFrame, full: DataFrame | None = None, name: str = "row_number") -> DataFrame:
+    """``subset`` with the record number in its file (first data record = 2, the header
+    being 1), which ``_row`` holds."""
+    return subset.withColumn(name, F.col(ROW).bitwiseAND((1 << RECORD_BITS) - 1))
 
 
 # --- row typing -------------------------------------------------------------
@@ -196,7 +155,7 @@ def typed_rows(raw: DataFrame, dataset_type: str, governorate: DataFrame | None
     req = S.REQUIRED_COLUMNS[dataset_type]
     if MALFORMED not in raw.columns:
         raw = raw.withColumn(MALFORMED, F.lit(False))
-    header = [c for c in raw.columns if c not in (ROW, MALFORMED, "_file")]
+    header = [c for c in raw.columns if c not in (ROW, MALFORMED)]
     raw_col = lambda c: F.col(f"`{c}`")
     # Blank field: whitespace-only text, or NULL in a well-formed row (the CSV
     # reader turns empty fields into NULL; in a short row NULL means missing).
@@ -236,6 +195,7 @@ def typed_rows(raw: DataFrame, dataset_type: str, governorate: DataFrame | None
         invalid_month = ~g_bad & m_bad
         negative = prior & neg
     df = df.select(ROW, MALFORMED, "_raw", "_null_like", *[v.alias(k) for k, v in out.items()],
+                   *[raw_text(c).alias(k) for k, c in zip(KEYS, req)],
                    F.coalesce(*msgs).alias("error_message"),
                    F.coalesce(invalid_month, F.lit(False)).alias("_invalid_month"),
                    F.coalesce(negative, F.lit(False)).alias("_negative"))
@@ -248,40 +208,36 @@ def typed_rows(raw: DataFrame, dataset_type: str, governorate: DataFrame | None
                          F.concat(F.lit("governorate_id "), F.col(G).cast("string"),
                                   F.lit(" is not a known governorate")))))
               .drop("_known_g"))
-    return df.withColumn("_ok", F.col("error_message").isNull())
+    # the whole record as text, of rejected rows only
+    raw_json = F.when(F.col("error_message").isNotNull(), F.to_json("_raw", {"ignoreNullFields": "false"}))
+    return df.withColumns({"_ok": F.col("error_message").isNull(), "raw_row_json": raw_json}).drop("_raw")
 
 
 # --- outputs ----------------------------------------------------------------
 
 def loaded_rows(typed: DataFrame, dataset_type: str) -> DataFrame:
     """Keyed upsert: among good rows, the last row of each typed key wins
-    (boundaries are keyed by region id alone)."""
+    (boundaries are keyed by region id alone).  Measures and ``_row`` have a fixed
+    width, so this is a hash aggregate; boundaries, a few rows, hold text and arrays."""
     good = typed.where("_ok")
     if dataset_type == "admin_boundaries":
-        key, vals = [G], ["governorate_code", "governorate_name_en", "boundary_coords"]
-    else:
-        key, vals = [G, M], [n for n, _ in MEASURES[dataset_type]]
-    win = (good.groupBy(*key)
-           .agg(F.max_by(F.struct(*[F.col(v) for v in vals]), ROW).alias("_w"))
-           .select(*key, *[F.col(f"_w.{v}").alias(v) for v in vals]))
-    if dataset_type == "admin_boundaries":
-        win = win.withColumn("srid", F.lit(4326))
-    return win
+        vals = ["governorate_code", "governorate_name_en", "boundary_coords"]
+        return good.groupBy(G).agg(F.max_by(F.struct(*vals), ROW).alias("_w")) \
+            .select(G, *[F.col(f"_w.{v}").alias(v) for v in vals], F.lit(4326).alias("srid"))
+    return good.groupBy(G, M).agg(*[F.max_by(n, ROW).alias(n) for n, _ in MEASURES[dataset_type]])
 
 
 def error_rows(typed: DataFrame) -> DataFrame:
     """Error sink rows: (row_number, error_message, raw_row_json)."""
-    raw = F.to_json(F.col("_raw"), {"ignoreNullFields": "false"})
-    bad = typed.where(~F.col("_ok")).select(ROW, "error_message", raw.alias("raw_row_json"))
-    return with_line_numbers(bad, typed).select("row_number", "error_message", "raw_row_json")
+    bad = typed.where(~F.col("_ok")).select(ROW, "error_message", "raw_row_json")
+    return with_line_numbers(bad).select("row_number", "error_message", "raw_row_json")
 
 
 def duplicate_keys(typed: DataFrame, dataset_type: str) -> DataFrame:
     """Raw-text keys (first two required columns) seen more than once."""
-    req = S.REQUIRED_COLUMNS[dataset_type][:2]
-    k = [F.col("_raw").getField(c).alias(f"raw_{c}") for c in req]
-    return (typed.select(*k).groupBy(*[f"raw_{c}" for c in req]).agg(F.count(F.lit(1)).alias("n_rows"))
-            .where(F.col("n_rows") > 1))
+    names = [f"raw_{c}" for c in S.REQUIRED_COLUMNS[dataset_type][:2]]
+    return (typed.select(*[F.col(k).alias(n) for k, n in zip(KEYS, names)]).groupBy(*names)
+            .agg(F.count(F.lit(1)).alias("n_rows")).where(F.col("n_rows") > 1))
 
 
 def summary(typed: DataFrame, dataset_type: str) -> DataFrame:
@@ -305,26 +261,31 @@ def summary(typed: DataFrame, dataset_type: str) -> DataFrame:
     )
 
 
+def outputs(typed: DataFrame, dataset_type: str) -> dict:
+    return {"typed": typed, "loaded": loaded_rows(typed, dataset_type),
+            "errors": error_rows(typed), "summary": summary(typed, dataset_type)}
+
+
 def import_rows(raw: DataFrame, dataset_type: str, governorate: DataFrame | None = None,
                 persist: bool = False) -> dict:
     """Run the import on an all-string frame with ``_row`` (and optionally
     ``_malformed``).  Returns loaded / errors / summary frames.  The target
     table is replaced by ``loaded`` (full refresh), even when it is empty.
 
-    With ``persist`` the typed rows are checkpointed once: every record is
-    parsed exactly once and the three outputs are computed from the same
-    parse (the filters on the error column would otherwise be pushed below
-    the parse projection and re-evaluate it)."""
+    With ``persist`` the typed rows are staged once, good and bad rows in folders of
+    their own: every record is parsed exactly once and each output reads its columns
+    and its rows only."""
     typed = typed_rows(raw, dataset_type, governorate)
-    if persist:
-        typed = materialize(typed)
-    return {"typed": typed, "loaded": loaded_rows(typed, dataset_type),
-            "errors": error_rows(typed), "summary": summary(typed, dataset_type)}
+    return outputs(stage_table(typed, "import", "_ok") if persist else typed, dataset_type)
 
 
 def import_csv(spark: SparkSession, path: str, dataset_type: str, governorate: DataFrame | None = None,
-               persist: bool = True, multiline: bool = False) -> dict:
-    return import_rows(read_csv_raw(spark, path, dataset_type, multiline), dataset_type, governorate, persist)
+               split_bytes: int | None = None) -> dict:
+    """Import a CSV file, folder or glob; ``records`` of the result numbers the rows."""
+    records = open_csv(spark, path, dataset_type, split_bytes)
+    typed = [typed_rows(raw, dataset_type, governorate) for raw in header_rows(records)]
+    staged = stage_table(reduce(DataFrame.unionByName, typed), "import", "_ok")
+    return outputs(staged, dataset_type) | {"records": records}
 
 
 def job_row(summary_df: DataFrame, import_job_id: int, dataset_type: str, filename: str,
@@ -348,11 +309,9 @@ def duplicate_flags(typed: DataFrame, dataset_type: str) -> DataFrame:
 
     First occurrence per key = min(_row) from a combinable aggregate, joined
     back on the key -- no window holding all rows of a hot key."""
-    req = S.REQUIRED_COLUMNS[dataset_type][:2]
-    keys = [F.col("_raw").getField(c).alias(f"_k{i}") for i, c in enumerate(req)]
-    k = typed.select(ROW, *keys)
-    first = k.groupBy("_k0", "_k1").agg(F.min(ROW).alias("_first"))
-    return (k.join(first, k["_k0"].eqNullSafe(first["_k0"]) & k["_k1"].eqNullSafe(first["_k1"]))
+    k = typed.select(ROW, *KEYS)
+    first = k.groupBy(*KEYS).agg(F.min(ROW).alias("_first"))
+    return (k.join(first, k[KEYS[0]].eqNullSafe(first[KEYS[0]]) & k[KEYS[1]].eqNullSafe(first[KEYS[1]]))
             .select(ROW, (F.col(ROW) > F.col("_first")).alias("is_duplicate")))
 
 

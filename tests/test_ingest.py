@@ -137,7 +137,7 @@ def test_multiline_quoted_fields_and_nonfinite(spark):
     text = ('governorate_id,governorate_code,governorate_name_en,wkt\n'
             '1,AMM,"Amman\nCity","POLYGON((0 0,1 0,1 1,0 0))"\n'
             '2,AQA,Aqaba,"POLYGON((0 0,2 0,2 2,0 0))"\n')
-    r = ING.import_csv(spark, _csv(text), "admin_boundaries", multiline=True)
+    r = ING.import_csv(spark, _csv(text), "admin_boundaries")
     names = {x["governorate_id"]: x["governorate_name_en"] for x in r["loaded"].collect()}
     assert names == {1: "Amman\nCity", 2: "Aqaba"}
     assert r["summary"].collect()[0]["processed_rows"] == 2
@@ -160,12 +160,11 @@ def test_hot_duplicate_key(spark):
 
 
 def test_non_ascii_digits_parse_like_python(spark):
-    text = "governorate_id,month_index,total_visitors\n٣,٢٠٢٥-٠١-٠١,١٢٣.٥\n４,2025-02-01,７\n"
+    text = "governorate_id,month_index,total_visitors\n٣,٢٠٢٥-٠١-٠١,١٢٣.٥\n４,2025-02-01,７\n٣,bad,1\n"
     r = ING.import_csv(spark, _csv(text), "visitors_monthly")
     got = sorted(tuple(x) for x in r["loaded"].collect())
     assert got == [(3, dt.date(2025, 1, 1), D("123.50")), (4, dt.date(2025, 2, 1), D("7.00"))]
-    assert '"governorate_id":"٣"' in ING.error_rows(r["typed"].withColumn("_ok", r["typed"]["_ok"] & False)) \
-        .orderBy("row_number").collect()[0]["raw_row_json"]
+    assert '"governorate_id":"٣"' in r["errors"].collect()[0]["raw_row_json"]
 
 
 def test_folder_of_files_numbers_per_file(spark):
@@ -191,7 +190,6 @@ def test_python_whitespace_rules(spark):
 
 
 def test_doubled_quotes_and_differing_headers(spark):
-    import pytest
     d = tempfile.mkdtemp(prefix="rp-hdr-")
     with open(os.path.join(d, "a.csv"), "w") as f:
         f.write('governorate_id,governorate_code,governorate_name_en,wkt\n1,A,"Al ""X"" Gov","POLYGON((0 0,1 0,1 1,0 0))"\n')
@@ -201,5 +199,15 @@ def test_doubled_quotes_and_differing_headers(spark):
     for name, head in (("1.csv", "total_rooms,total_beds"), ("2.csv", "total_beds,total_rooms")):
         with open(os.path.join(e, name), "w") as f:
             f.write(f"governorate_id,month_index,{head}\n1,2026-01-01,10,20\n")
-    with pytest.raises(ING.ImportRejected, match="headers differ"):
+    with open(os.path.join(e, "3.csv"), "w") as f:
+        f.write('note,month_index,governorate_id,total_beds,total_rooms\n"a\nb",2026-02-01,1,7,8\n,2026-02-01,x,7,8\n')
+    r = ING.import_csv(spark, e, "rooms_beds_monthly")
+    assert sorted(tuple(x) for x in r["loaded"].collect()) == [    # columns go by each file's header
+        (1, dt.date(2026, 1, 1), D("20.00"), D("10.00")), (1, dt.date(2026, 2, 1), D("8.00"), D("7.00"))]
+    bad = r["errors"].collect()
+    assert [(x.row_number, x.raw_row_json) for x in bad] == [
+        (3, '{"note":"","month_index":"2026-02-01","governorate_id":"x","total_beds":"7","total_rooms":"8"}')]
+    with open(os.path.join(e, "4.csv"), "w") as f:
+        f.write("governorate_id,month_index,total_beds\n1,2026-01-01,10\n")
+    with pytest.raises(ING.ImportRejected, match="Missing columns: total_rooms"):
         ING.import_csv(spark, e, "rooms_beds_monthly")

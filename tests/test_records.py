@@ -1,0 +1,105 @@
+"""CSV records from parallel splits, against Python's csv reader over the whole text."""
+import csv
+import io
+import os
+import random
+import re
+
+import pytest
+
+from regiopanel.sources import ingest as ING
+from regiopanel.sources import records as R
+from tests.plan_report import formatted
+
+
+def write(folder, name, text):
+    with open(os.path.join(folder, name), "w", newline="", encoding="utf-8") as f:
+        f.write(text)
+
+
+def python_rows(text):
+    return [r for r in csv.reader(io.StringIO(text.lstrip("﻿"))) if r]
+
+
+def test_states_equal_the_reader():
+    """After each line the reader either gives a record or waits for more."""
+    rng = random.Random(1)
+    for _ in range(4000):
+        lines = ["".join(rng.choices('ab,"" ', k=rng.randrange(8))) for _ in range(4)]
+        open_, fed = False, []
+
+        class Feed:
+            def __iter__(self):
+                for line in lines:
+                    fed.append(line)
+                    yield line + "\n"
+        reader, at = csv.reader(Feed()), 0
+        for _row in reader:
+            for line in fed[at:-1]:
+                open_ = R.ends_open(line.encode(), open_)
+                assert open_, lines
+            open_ = R.ends_open(fed[-1].encode(), open_)
+            if len(fed) < len(lines):
+                assert not open_, lines
+            at = len(fed)
+
+
+FIELDS = ["a", "", " b ", "x,y", 'say "hi"', "two\nlines", "\n\n", "é\r\nü", 'end"', '"', "ß,\n\"q\"\n", "z" * 40]
+
+
+def make(rng, n, ending="\n"):
+    out = io.StringIO(newline="")
+    w = csv.writer(out, lineterminator=ending)
+    w.writerow(["id", "f", "g"])
+    for i in range(n):
+        w.writerow([i, rng.choice(FIELDS), rng.choice(FIELDS)])
+        if rng.random() < 0.1:
+            out.write(ending)                              # an empty line is no record
+        if rng.random() < 0.1:
+            out.write(f'{i},pla"in,fie"ld{ending}')        # quotes inside plain fields open nothing
+    return out.getvalue()
+
+
+@pytest.mark.parametrize("split", [None, 7, 60, 1000])
+def test_any_split_gives_the_same_records(spark, tmp_path, split):
+    rng = random.Random(split or 0)
+    texts = {"b.csv": make(rng, 120), "a.csv": "﻿" + make(rng, 40, "\r\n"), "c.csv": make(rng, 1), "d.csv": "id,f,g\n", "e.csv": ""}
+    for name, text in texts.items():
+        write(tmp_path, name, text)
+    records = R.CsvRecords(spark, str(tmp_path), split)
+    (_, columns, _), = records.headers
+    assert columns == ["id", "f", "g"]
+    got = [(r.ordinal, r.row_number, r.id or "", r.f or "", r.g or "") for r in sorted(
+        ING.with_line_numbers(records.ordinals(records.rows(columns))).collect(), key=lambda r: r.ordinal)]
+    want = [(n, *row) for name in sorted(texts) for n, row in enumerate(python_rows(texts[name])[1:], 2)]
+    assert got == [(i, *row) for i, row in enumerate(want, 1)]
+    if split == 60:
+        assert records.lines.select("file", "block").distinct().count() > 40
+
+
+def test_a_quote_that_never_closes_is_an_error(spark, tmp_path):
+    write(tmp_path, "x.csv", 'id,f,g\n1,a,b\n2,"open,b\n' + "3,c,d\n" * 200)
+    with pytest.raises(R.ImportRejected, match="Record 3 of .* never closed"):
+        R.CsvRecords(spark, str(tmp_path), 64, max_record_bytes=500).rows(["id", "f", "g"])
+    rows = R.CsvRecords(spark, str(tmp_path), 64).rows(["id", "f", "g"]).collect()
+    assert len(rows) == 2       # as the reader has it: the rest of the file is one field
+
+
+def test_no_file_and_no_record(spark, tmp_path):
+    write(tmp_path, "x.csv", "")
+    with pytest.raises(R.ImportRejected, match="Missing columns"):
+        ING.import_csv(spark, str(tmp_path), "visitors_monthly")
+
+
+def test_outputs_read_their_columns_without_a_sort(spark, tmp_path):
+    write(tmp_path, "x.csv", 'governorate_id,month_index,total_rooms,total_beds,note\n1,2025-01-01,1,2,"a\nb"\nx,2025-01-01,1,2,c\n')
+    r = ING.import_csv(spark, str(tmp_path), "rooms_beds_monthly")
+    assert [tuple(x)[2:] for x in r["loaded"].collect()] == [(1, 2)] and r["summary"].first().error_rows == 1
+    loaded, errors = formatted(r["loaded"]), formatted(r["errors"])
+    assert "SortAggregate" not in loaded and "ObjectHashAggregate" not in loaded and "HashAggregate" in loaded
+    assert not re.search(r"^\(?.*\bSort\b", loaded, re.M)
+    read = re.findall(r"ReadSchema: struct<([^\n]*)>", loaded)
+    assert read and all("raw_row_json" not in x and "_key0" not in x and "total_beds" in x for x in read)
+    read = re.findall(r"ReadSchema: struct<([^\n]*)>", errors)
+    assert read and all("total_beds" not in x and "raw_row_json" in x for x in read)
+    assert "PartitionFilters: [isnotnull(_ok" in loaded and "PartitionFilters: [isnotnull(_ok" in errors
