@@ -5,21 +5,26 @@ Split.  A text is cut at the vocabulary's added tokens, each stretch is normalis
 pattern.  Stretches of ASCII and Latin letters take an equal, faster way; all others
 go through the file's normaliser and splitter.
 
-Word table.  Spark counts the distinct words of all texts, and each distinct word is
-encoded once, by the file's BPE model.
-
-Ids by position.  The ``hot_words`` most frequent words of at most ``hot_bytes`` bytes
-are broadcast (a bound on rows and on their length, whatever the corpus) and looked up
-where the text is split.  A word that is not among them leaves a gap; gaps (document
-row, position, word) are joined with the whole word table by a shuffle, and the ids
-are put in at their positions.  So a word that holds a third of all places is never
-shuffled, and no table that grows with the corpus is broadcast.
+Word table.  A task turns its texts into blocks: the distinct words of some documents
+(about ``block_size`` words of text, or one longer document), and for every place of a
+text the number of its word in that list.  A block's words are dealt to ``buckets`` by
+their hash.  All blocks' words of a bucket meet in one task, which keeps the bucket's
+part of the word table and encodes each distinct word once, by the file's BPE model.
+A word that holds a third of all places is shuffled once per block, not once per place.
+
+Ids by position.  The ids of a block's words are joined back to the block; they are in
+the order of its word list, so every place of a text takes the ids at its number.  The
+texts are split again for this instead of being staged; a block's key is its task and
+its place there, and the join fails loudly if its words are not as many as before.
 
 Decoding.  Ids are joined with the id-to-piece table on the map side: it has as many
 rows as the vocabulary, whatever the corpus, and is broadcast.  An id that it lacks is
 skipped, as the library does.  The vocabulary file names no decoder, so the pieces are
 joined by one space each.
 
+Memory: a task holds one block and, while encoding, the distinct words of the buckets
+it got; raise ``buckets`` with the corpus.
+
 Defined cases: null and empty texts have no ids and decode to the empty text; texts
 of any length are encoded whole; rows that repeat are encoded each; null ids are kept;
 an empty table gives an empty result; extra columns are ignored.
@@ -29,14 +34,15 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections import Counter
+import zlib
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, id_text, kept_in_worker, long_id, stage
+from .common import bounded_batches, kept_in_worker, stage
 from .packing import public_vocabulary
 
 # Code points on which Python's str methods and the library agree: ASCII, Latin-1
@@ -92,104 +98,190 @@ def _splitter(vocabulary: str) -> WordSplitter:
     return kept_in_worker(f"words_of_{vocabulary}", lambda: WordSplitter(public_vocabulary(vocabulary)))
 
 
-def word_table(texts: DataFrame, vocabulary: str) -> DataFrame:
-    """(word, n, ids) for every distinct word of ``texts``(text); each is encoded once."""
-
-    def count(batches):
-        splitter = _splitter(vocabulary)
-        for b in batches:
-            found = Counter()
-            for t in b["text"]:
-                found.update(splitter.split(t))
+class _Numbering(dict):
+    """Words to their numbers, in the order of their first place."""
+
+    def __missing__(self, word):
+        self[word] = number = len(self)
+        return number
+
+
+def _blocks(batches, split, buckets: int, block_words: int, block_docs: int = 4096):
+    """(doc ids, words of each document, codes, word lists by bucket) of each block; a
+    code is the word's number in the bucket lists one behind the other."""
+    ids, lengths, codes, of, size = [], [], [], _Numbering(), 0
+
+    def finish():
+        words = list(of)
+        bucket = np.fromiter((zlib.crc32(w.encode()) % buckets for w in words), np.int64, len(words))
+        order = np.argsort(bucket, kind="stable")
+        number = np.empty(len(words), np.int32)
+        number[order] = np.arange(len(words), dtype=np.int32)
+        lists, ends = [], np.flatnonzero(np.diff(bucket[order], append=-1)) + 1
+        for start, end in zip([0, *ends[:-1]], ends):
+            lists.append((int(bucket[order[start]]), [words[i] for i in order[start:end]]))
+        return ids, lengths, number[np.concatenate(codes)] if size else np.empty(0, np.int32), lists
+
+    for b in batches:
+        for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
+            found = split(text)
+            if ids and (size + len(found) > block_words or len(ids) == block_docs):
+                yield finish()
+                ids, lengths, codes, of, size = [], [], [], _Numbering(), 0
+            ids.append(doc)
+            lengths.append(len(found))
             if found:
-                yield pd.DataFrame({"word": list(found), "n": list(found.values())})
+                codes.append(np.fromiter(map(of.__getitem__, found), np.int32, len(found)))
+            size += len(found)
+    if ids:
+        yield finish()
+
+
+def _block_key(at: int) -> int:
+    from pyspark import TaskContext
+
+    return (TaskContext.get().partitionId() << 32) + at
+
+
+def _batch(schema: list, *columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, schema)], [n for n, _ in schema])
+
+
+_WORDS = [("block", pa.int64()), ("bucket", pa.int32()), ("words", pa.string())]
+_IDS = [("block", pa.int64()), ("bucket", pa.int32()), ("n", pa.int32()), ("ids", pa.binary())]
+_CODES = [("block", pa.int64()), ("docs", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int32())), ("codes", pa.binary())]
+
+
+def _packed(*arrays: np.ndarray) -> bytes:
+    return zlib.compress(b"".join(a.astype("<i4").tobytes() for a in arrays), 1)
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(data), "<i4")
+
+
+def block_words(texts: DataFrame, vocabulary: str, buckets: int, size: int) -> DataFrame:
+    """(block, bucket, words): each block's distinct words, joined by line breaks, which
+    no word holds."""
+
+    def run(batches):
+        for at, (_, _, _, lists) in enumerate(_blocks(batches, _splitter(vocabulary).split, buckets, size)):
+            if lists:
+                yield _batch(_WORDS, [_block_key(at)] * len(lists), [k for k, _ in lists], ["\n".join(w) for _, w in lists])
 
-    def encode(batches):
-        splitter = _splitter(vocabulary)
+    return texts.mapInArrow(run, "block long, bucket int, words string")
+
+
+def word_ids(words: DataFrame, vocabulary: str, buckets: int) -> DataFrame:
+    """(block, bucket, n, ids) of ``words``: each distinct word is encoded once, by the
+    task that has its bucket; ``ids`` packs the words' lengths in ids, then their ids."""
+
+    def run(batches):
+        splitter, table = _splitter(vocabulary), {}
         for b in batches:
-            yield pd.DataFrame({"word": b["word"].to_numpy(), "n": b["n"].to_numpy(), "ids": [splitter.encode(w) for w in b["word"]]})
+            out = []
+            for block, bucket, joined in zip(*(b.column(c).to_pylist() for c in ("block", "bucket", "words"))):
+                found = joined.split("\n")
+                for w in found:
+                    if w not in table:
+                        table[w] = np.array(splitter.encode(w), np.int32)
+                ids = [table[w] for w in found]
+                out.append((block, bucket, len(ids), _packed(np.array([len(x) for x in ids]), *ids)))
+            if out:
+                yield _batch(_IDS, *zip(*out))
 
-    words = texts.select("text").mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return stage(words.mapInPandas(encode, "word string, n long, ids array<int>"), "word-table")
+    return words.repartition(buckets, "bucket").mapInArrow(run, "block long, bucket int, n int, ids binary")
 
 
-def piece_table(spark: SparkSession, vocabulary: str) -> DataFrame:
-    """(id, piece) of a vocabulary file: as many rows as it has ids."""
-    splitter = _splitter(vocabulary)
-    rows = sorted((i, p) for p, i in splitter.tokenizer.get_vocab(with_added_tokens=True).items())
-    return spark.createDataFrame(pd.DataFrame(rows, columns=["id", "piece"]), "id int, piece string")
+def coded_blocks(texts: DataFrame, vocabulary: str, buckets: int, size: int) -> DataFrame:
+    """(block, docs, lengths, codes): the documents of each block with their words'
+    numbers in the block's word list."""
+
+    def run(batches):
+        for at, (ids, lengths, codes, _) in enumerate(_blocks(batches, _splitter(vocabulary).split, buckets, size)):
+            yield _batch(_CODES, [_block_key(at)], [ids], [lengths], [_packed(codes)])
 
+    return texts.mapInArrow(run, "block long, docs array<long>, lengths array<int>, codes binary")
 
-def _hot(words: DataFrame, hot_words: int, hot_bytes: int) -> dict[str, np.ndarray]:
-    top = words.where(F.octet_length("word") <= hot_bytes).orderBy(F.desc("n"), "word").limit(hot_words)
-    return {r.word: np.array(r.ids, np.int32) for r in top.select("word", "ids").toLocalIterator()}
+
+def _take_ranges(flat: np.ndarray, lengths: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ranges ``at`` of ``flat``, one behind the other, and where each ends."""
+    starts = np.cumsum(lengths) - lengths
+    n = lengths[at]
+    ends = np.cumsum(n)
+    return flat[np.repeat(starts[at] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)], ends
 
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = "word_bpe_49k.json",
-           hot_words: int = 50_000, hot_bytes: int = 64) -> DataFrame:
+           buckets: int | None = None, block_size: int = 1_000_000) -> DataFrame:
     """One row per input row: doc_id, ids."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    texts = docs.select(id_text(id_col), F.col(text_col).cast("string").alias("text"))
-    words = word_table(texts, vocabulary)
-    hot = spark.sparkContext.broadcast(_hot(words, hot_words, hot_bytes))
-
-    def look_up(batches):
-        splitter, known = _splitter(vocabulary), hot.value
-        gap, none = np.array([-1], np.int32), np.empty(0, np.int32)
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    known = stage(word_ids(block_words(texts, vocabulary, buckets, block_size), vocabulary, buckets), "word-ids")
+    lists = known.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("bucket", "n", "ids"))).alias("w")) \
+        .select(F.col("block").alias("of"), F.col("w.n").alias("n"), F.col("w.ids").alias("ids"))
+    coded = coded_blocks(texts, vocabulary, buckets, block_size)
+
+    def run(batches):
+        none = np.empty(0, np.int32)
         for b in batches:
-            ids, gaps = [], []
-            for t in b["text"]:
-                found = splitter.split(t)
-                parts = [known.get(w, gap) for w in found]
-                ids.append(np.concatenate(parts) if parts else none)
-                gaps.append([w for w, p in zip(found, parts) if p is gap])
-            yield pd.DataFrame({"doc_id": b["doc_id"].to_numpy(), "ids": ids, "gaps": gaps})
-
-    placed = texts.mapInPandas(look_up, "doc_id string, ids array<int>, gaps array<string>")
-    placed = stage(long_id(placed).withColumn("row", F.monotonically_increasing_id()), "placed-ids")
-    gaps = placed.where(F.size("gaps") > 0)
-    if gaps.isEmpty():
-        return placed.select("doc_id", "ids")
-    found = gaps.select("row", F.posexplode("gaps").alias("pos", "word")).join(words.select("word", F.col("ids").alias("more")), "word")
-    fill = found.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("pos", "more"))).alias("f")) \
-        .select("row", F.col("f.more").alias("fill"))
-
-    def put_in(batches):
-        for b in batches:
-            out = []
-            for ids, fill in zip(b["ids"], b["fill"]):
-                at = np.flatnonzero(ids == -1)
-                parts = np.split(ids, at)
-                out.append(np.concatenate([parts[0], *(x for f, p in zip(fill, parts[1:]) for x in (f, p[1:]))]).astype(np.int32))
-            yield pd.DataFrame({"doc_id": b["doc_id"].to_numpy(), "ids": out})
+            for row in range(b.num_rows):
+                docs_, codes = b.column("docs").slice(row, 1).flatten(), _unpacked(b.column("codes")[row].as_py())
+                lengths = b.column("lengths").slice(row, 1).flatten().to_numpy()
+                sizes, flat = [none], [none]
+                for n, data in zip(b.column("n")[row].as_py() or (), b.column("ids")[row].as_py() or ()):
+                    packed = _unpacked(data)
+                    sizes.append(packed[:n])
+                    flat.append(packed[n:])
+                sizes, flat = np.concatenate(sizes), np.concatenate(flat)
+                if codes.max(initial=-1) + 1 != len(sizes):
+                    raise RuntimeError("the texts changed between the two passes")
+                ids, ends = _take_ranges(flat, sizes, codes)
+                after = np.concatenate([[0], ends])[np.cumsum(lengths)]
+                out = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], after]).astype(np.int32)), pa.array(ids, pa.int32()))
+                yield pa.RecordBatch.from_arrays([docs_, out], ["doc_id", "ids"])
+
+    joined = coded.join(lists, F.col("block") == F.col("of"), "left").select("docs", "lengths", "codes", "n", "ids")
+    return joined.mapInArrow(run, "doc_id long, ids array<int>")
 
-    mended = gaps.join(fill, "row").select(F.col("doc_id").cast("string").alias("doc_id"), "ids", "fill") \
-        .mapInPandas(put_in, "doc_id string, ids array<int>")
-    return placed.where(F.size("gaps") == 0).select("doc_id", "ids").unionByName(long_id(mended))
+
+def piece_table(spark: SparkSession, vocabulary: str) -> DataFrame:
+    """(id, piece) of a vocabulary file: as many rows as it has ids."""
+    rows = sorted((i, p) for p, i in _splitter(vocabulary).tokenizer.get_vocab(with_added_tokens=True).items())
+    return spark.createDataFrame(rows, "id int, piece string")
 
 
 def decode(encoded: DataFrame, vocabulary: str = "word_bpe_49k.json") -> DataFrame:
     """``encoded``(doc_id, ids) with the decoded ``text``, through a join with the
     id-to-piece table on the map side."""
     spark = encoded.sparkSession
-    pieces = {r.id: r.piece for r in piece_table(spark, vocabulary).collect()}  # one row per id of the vocabulary
+    pieces = dict(piece_table(spark, vocabulary).collect())  # one row per id of the vocabulary
     table = spark.sparkContext.broadcast([pieces.get(i) for i in range(max(pieces, default=-1) + 1)])
 
-    def join_pieces(batches):
-        known = table.value
+    def run(batches):
+        known = pa.array(table.value, pa.string())
         for b in batches:
-            text = [" ".join([p for i in ids if 0 <= i < len(known) and (p := known[i]) is not None]) for ids in b["ids"]]
-            yield pd.DataFrame({"doc_id": b["doc_id"].to_numpy(), "ids": b["ids"].to_numpy(), "text": text}, columns=["doc_id", "ids", "text"])
-
-    rows = encoded.select(id_text("doc_id"), "ids")
-    return long_id(rows.mapInPandas(join_pieces, "doc_id string, ids array<int>, text string"))
-
-
-def encode_and_decode(docs: DataFrame, **options) -> DataFrame:
+            ids = b.column("ids")
+            flat, ends = ids.flatten().to_numpy(), np.cumsum(pc.list_value_length(ids).to_numpy(zero_copy_only=False))
+            inside = (flat >= 0) & (flat < len(known))
+            found = known.take(pa.array(np.where(inside, flat, 0)))
+            there = inside & found.is_valid().to_numpy(zero_copy_only=False)
+            if not there.all():  # ids that the vocabulary lacks
+                found = found.filter(pa.array(there))
+                ends = np.concatenate([[0], np.cumsum(there)])[ends]
+            text = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), found), " ")
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), ids, text], ["doc_id", "ids", "text"])
+
+    return encoded.select("doc_id", F.coalesce("ids", F.array().cast("array<int>")).alias("ids")) \
+        .mapInArrow(run, "doc_id long, ids array<int>, text string")
+
+
+def encode_and_decode(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", **options) -> DataFrame:
     """Digests of every text's ids and of the text that they decode to: doc_id,
     n_tokens, ids_sha256, decoded_sha256."""
-    both = decode(encode(docs, **options), options.get("vocabulary", "word_bpe_49k.json"))
+    both = decode(encode(docs, vocabulary=vocabulary, **options), vocabulary)
     ids = F.array_join(F.transform("ids", lambda i: i.cast("string")), " ")
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"),
                        F.sha2("text", 256).alias("decoded_sha256"))

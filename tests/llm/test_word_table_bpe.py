@@ -48,21 +48,25 @@ def test_gaps_edges_and_any_table_size(spark):
     rows = [(i, t, i) for i, t in enumerate(texts)] + [(None, "one", 0), (3, "one two one", 1)]
     df = spark.createDataFrame(rows, "doc_id long, text string, ids int")
     want = sorted((str(i), ids_of(t)) for i, t, _ in rows)
-    for hot in (0, 2, 50_000):  # all words, most or none of them through the shuffled join
-        encoded = W.encode(df, hot_words=hot)
+    for options in ({}, {"buckets": 1, "block_size": 1}, {"buckets": 40, "block_size": 6}):
+        encoded = W.encode(df, **options)
         assert sorted((str(r.doc_id), list(r.ids)) for r in encoded.collect()) == want
         assert {(str(r.doc_id), r.text) for r in W.decode(encoded).collect()} == \
             {(i, LIBRARY.decode(ids, skip_special_tokens=False)) for i, ids in want}
 
 
-def test_word_table_counts_each_word_once(spark):
-    df = spark.createDataFrame([(1, "b a b"), (2, "a A"), (3, None)], SCHEMA)
-    rows = W.word_table(df, "word_bpe_49k.json").collect()
-    assert sorted((r.word, r.n, list(r.ids)) for r in rows) == [("a", 3, ids_of("a")), ("b", 2, ids_of("b"))]
+def test_each_distinct_word_is_encoded_once_for_all_blocks(spark):
+    df = spark.createDataFrame([(1, "b a b"), (2, "a A"), (3, None)], SCHEMA).coalesce(1)
+    words = W.block_words(df, "word_bpe_49k.json", 7, 2)  # a block for each document
+    got = sorted((r.block, w) for r in words.collect() for w in r.words.split("\n"))
+    assert got == [(0, "a"), (0, "b"), (1, "a")]
+    rows = W.word_ids(words, "word_bpe_49k.json", 7).collect()
+    assert sorted((r.block, r.n, list(W._unpacked(bytes(r.ids))[r.n:])) for r in rows if r.block) == [(1, 1, ids_of("a"))]
 
 
 def test_decode_of_any_ids_and_empty_table(spark):
     ids = [5, 49407, 100, 60000, 49406, 100]  # 60000 is no id of the vocabulary
-    df = spark.createDataFrame([(1, ids), (2, [])], "doc_id long, ids array<int>")
-    assert {r.doc_id: r.text for r in W.decode(df).collect()} == {1: LIBRARY.decode(ids, skip_special_tokens=False), 2: ""}
+    df = spark.createDataFrame([(1, ids), (2, []), (3, [5, -1, 10**6])], "doc_id long, ids array<int>")
+    assert {r.doc_id: r.text for r in W.decode(df).collect()} == \
+        {1: LIBRARY.decode(ids, skip_special_tokens=False), 2: "", 3: LIBRARY.decode([5], skip_special_tokens=False)}
     assert W.encode_and_decode(spark.createDataFrame([], SCHEMA)).count() == 0
