@@ -10,7 +10,8 @@ from contextlib import contextmanager
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from regiopanel.session import ensure_checkpoint_dir
@@ -66,6 +67,28 @@ def fresh_name(df: DataFrame, base: str) -> str:
     return base
 
 
+def numbered_rows(docs: DataFrame, row: str) -> DataFrame:
+    """``docs`` with a number for each row that every later reading of it gives again.
+
+    Rows of a plain reading of Parquet files go by their file's number, in the order of
+    the names, and their place in it, so nothing is copied.  Other frames are numbered in
+    a staged copy."""
+    plan = analysed = docs._jdf.queryExecution().analyzed()
+    while plan.nodeName() == "Project":
+        plan = plan.child()
+    if plan.nodeName() != "LogicalRelation" or not analysed.deterministic() or "_metadata" in {c.lower() for c in docs.columns}:
+        return stage(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    file, at = fresh_name(docs, "file_"), fresh_name(docs, "at_")
+    try:
+        placed = docs.select("*", F.col("_metadata.file_path").alias(file), F.col("_metadata.row_index").alias(at))
+    except AnalysisException:  # files of another format, without places
+        return stage(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    files = placed.select(file).distinct()
+    number = F.row_number().over(Window.orderBy(file)) - 1  # one row per file
+    numbers = stage(files.select(file, (number.cast("long") * (1 << 40)).alias(row)), "file-numbers")
+    return placed.join(small_enough(numbers), file).withColumn(row, F.col(row) + F.col(at)).drop(file, at)
+
+
 def ascii_words(text: str | None) -> list[bytes]:
     """Words ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased; bytes.lower and
     bytes.split work on exactly those ASCII characters."""

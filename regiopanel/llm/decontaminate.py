@@ -30,7 +30,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_name, stage
+from .common import fresh_name, numbered_rows, small_enough, stage
 
 UNITS = ("mm", "cm", "m", "km", "mg", "g", "kg", "ml", "l", "s", "min", "h", "hours", "days", "weeks", "years",
          "inches", "feet", "miles", "pounds", "dollars", "euros", "percent", "degrees")
@@ -155,10 +155,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` that leak nothing, all columns unchanged.  Rows get a
-    number in a staged copy, as ids may be null or repeat."""
+    """The rows of ``docs`` that leak nothing, all columns unchanged.  Ids may be null
+    or repeat, so rows go by their number (``common.numbered_rows``)."""
     row = fresh_name(docs, "row_number_")
-    numbered = stage(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    numbered = numbered_rows(docs, row)
     leaks = find_leaks(numbered, benchmark, id_col=row, text_col=text_col, **options)
     bad = stage(leaks.select(F.col("doc_id").alias(row)).distinct(), "leaking-rows")
-    return numbered.join(bad, row, "left_anti").drop(row)
+    return numbered.join(small_enough(bad), row, "left_anti").drop(row)

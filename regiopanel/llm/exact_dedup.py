@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_stage, fresh_name, stage
+from .common import drop_stage, fresh_name, numbered_rows, small_enough, stage
 
 _KEY = ["sha", "fp", "n_bytes"]
 _LONG_MIN, _LONG_MAX = -(1 << 63), (1 << 63) - 1
@@ -72,11 +72,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                       keep: str = "largest", fan_in: int = 8) -> DataFrame:
-    """The rows of ``docs`` that stay, all columns unchanged.  Rows get a number
-    in a staged copy, as ids may be null or repeat."""
+    """The rows of ``docs`` that stay, all columns unchanged.  Ids may be null or
+    repeat, so rows go by their number (``common.numbered_rows``)."""
     row = fresh_name(docs, "row_number_")
-    numbered = stage(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    numbered = numbered_rows(docs, row)
     runs = stage(digest_runs(numbered, id_col, text_col, keep, F.col(row)), "digest-runs")
     dropped = stage(_decided(runs, keep, fan_in).where("not kept").select(F.col("row").alias(row)), "dropped-rows")
     drop_stage(runs)
-    return numbered.join(dropped, row, "left_anti").drop(row)
+    return numbered.join(small_enough(dropped), row, "left_anti").drop(row)

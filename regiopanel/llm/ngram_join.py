@@ -7,13 +7,18 @@ collapse into one node first, so a group of copies costs one node.
 Signatures.  Sizes are cut into bands of ratio 1/threshold; linked sets lie in
 the same or in neighbouring bands, so a set takes part in the instance of its own
 band and in that of the band below.  Within an instance, linked sets differ in at
-most ``k`` elements.  The hashed domain is cut into ``k + 1 + slack`` parts: at
-least ``1 + slack`` parts are then equal in both sets, and the content of each
-part is one signature.  (``slack`` covers the empty parts that chance leaves.)  A part that is empty in a set says nothing, and its
-signature would be shared by many; it is left out.  That loses nothing while one
-of the two sets has at most ``slack`` empty parts.  A set with more empties also
-emits a second family under another seed, and so on; in the last family empty
-parts are emitted as well, which makes the search complete.
+most ``k`` elements (a pair whose smaller set lies in the band).  The hashed domain is
+cut into ``n1`` first-level parts.  At least ``1 + slack`` of them hold at most one
+difference, as ``n1 = ceil((k + 1) / 2) + slack``.  Each is cut again into three
+second-level parts, and every subset of two of them gives one signature: the content of
+the set there.  In a first-level part with one difference, the subset that leaves out
+the part with the difference is equal in both sets.
+
+A subset that is empty in a set says nothing, and its signature would be shared by
+many; it is left out.  That loses nothing while at most ``slack`` first-level parts of
+one of the two sets have an empty subset.  A set with more of them also emits a second
+family under another seed, and so on; in the last family empty subsets are emitted as
+well, which makes the search complete.
 
 Links.  Every member of a signature is compared with the signature's first
 member, and verified links are merged into components.  Members whose signature
@@ -43,7 +48,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import (ascii_words, bounded_batches, connected_components, drop_stage, fresh_name, id_text, long_id,
-                     mix64, ngram_hashes, small_enough, stage, word_hashes)
+                     mix64, ngram_hashes, numbered_rows, small_enough, stage, word_hashes)
 
 _FAMILIES = 4
 
@@ -61,14 +66,25 @@ def band_of(size: int, percent: int) -> int:
 
 
 def _instance(band: int, percent: int) -> tuple[int, int]:
-    """(number of parts, slack) for sets of ``band`` and the band above."""
-    top = math.ceil((100 / percent) ** (band + 2) * (1 + 1e-9))
+    """(first-level parts, slack) for pairs whose smaller set lies in ``band``."""
+    ratio = 100 / percent
+    low, high = (math.ceil(ratio ** (band + i) * (1 + 1e-9)) for i in (1, 2))
     # linked sets r, s have |r ^ s| <= (1 - t) / (1 + t) * (|r| + |s|)
-    k = (100 - percent) * 2 * top // (100 + percent)
-    # a part is empty in the smallest set with probability exp(-size / parts)
-    empties = (k + 1) * math.exp(-(percent / 100) ** 2 * top / (k + 1))
-    slack = math.ceil(1.1 * empties + 3 * math.sqrt(empties) + 1)
-    return k + 1 + slack, slack
+    k = (100 - percent) * (low + high) // (100 + percent)
+    least = (k + 2) // 2
+    if k == 0:
+        return 1, 0
+    # two second-level parts are empty in a set of the band with probability exp(-2 * size / parts)
+    empties = 3 * least * math.exp(-2 * low / ratio / (3 * least))
+    slack = math.ceil(empties + 1.5 * math.sqrt(empties))
+    return least + slack, slack
+
+
+def _content(part: np.ndarray, values: np.ndarray, parts: int) -> np.ndarray:
+    """The sum of the values in each part, modulo 2**64 (the halves' sums are exact)."""
+    low = np.bincount(part, (values & np.uint64(0xFFFFFFFF)).astype(np.float64), parts).astype(np.uint64)
+    high = np.bincount(part, (values >> np.uint64(32)).astype(np.float64), parts).astype(np.uint64)
+    return low + (high << np.uint64(32))
 
 
 def signatures(elements: np.ndarray, percent: int) -> np.ndarray:
@@ -77,17 +93,22 @@ def signatures(elements: np.ndarray, percent: int) -> np.ndarray:
         return np.empty(0, np.uint64)
     band, out = band_of(len(elements), percent), []
     for instance in (band - 1, band):
-        parts, slack = _instance(instance, percent)
+        n1, slack = _instance(instance, percent)
         for family in range(_FAMILIES):
             tag = mix64(np.uint64([(instance + 2) * 2 * _FAMILIES + family + 1]))[0]
             h = mix64(elements ^ tag)
-            part = ((h >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
-            content, count = np.zeros(parts, np.uint64), np.bincount(part, minlength=parts)
-            np.add.at(content, part, mix64(h + tag))
-            empty = int((count == 0).sum())
-            used = np.flatnonzero(count) if family < _FAMILIES - 1 else np.arange(parts)
-            out.append(mix64(content[used] + mix64(used.astype(np.uint64) + tag)))
-            if empty <= slack:
+            part = ((h >> np.uint64(32)) * np.uint64(3 * n1) >> np.uint64(32)).astype(np.int64)
+            count = np.bincount(part, minlength=3 * n1).reshape(n1, 3)
+            content = _content(part, mix64(h + tag), 3 * n1).reshape(n1, 3)
+            place = mix64(np.arange(n1, dtype=np.uint64) + tag)
+            lacking = np.zeros(n1, bool)
+            for left_out in range(3):
+                i, j = (x for x in range(3) if x != left_out)
+                empty = count[:, i] + count[:, j] == 0
+                sig = mix64(mix64(content[:, i] + place) * np.uint64(0x9E3779B97F4A7C15) + content[:, j] + np.uint64(left_out))
+                out.append(sig if family == _FAMILIES - 1 else sig[~empty])
+                lacking |= empty
+            if lacking.sum() <= slack:
                 break
     return np.concatenate(out)
 
@@ -225,10 +246,10 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5,
                      percent: int = 80) -> DataFrame:
     """The rows of ``docs`` that stay, all columns unchanged: of each component the
-    one with the smallest id (a null id loses, then the first row).  Rows get a
-    number in a staged copy, as ids may be null or repeat."""
+    one with the smallest id (a null id loses, then the first row).  Ids may be null or
+    repeat, so rows go by their number (``common.numbered_rows``)."""
     row = fresh_name(docs, "row_number_")
-    numbered = stage(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    numbered = numbered_rows(docs, row)
     linked = ngram_jaccard_components(numbered, row, text_col, n, percent).select(F.col("doc_id").alias(row), "component_id")
     several = stage(linked.where(F.col(row) != F.col("component_id")).select("component_id").distinct(), "groups")
     ids = numbered.select(row, F.col(id_col).alias("id_"))
@@ -236,19 +257,18 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     kept = members.groupBy("component_id").agg(F.min(F.struct(F.col("id_").isNull(), "id_", row)).alias("best")) \
         .select(F.col(f"best.{row}").alias(row))
     dropped = stage(members.select(row).join(kept, row, "left_anti"), "dropped-rows")
-    return numbered.join(dropped, row, "left_anti").drop(row)
+    return numbered.join(small_enough(dropped), row, "left_anti").drop(row)
 
 
 def _candidates(sets: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(sig, node, size) of the signatures that two nodes or more have; the sets
     without their signatures, which are removed."""
-    firsts = stage(sets.select(F.col("row").alias("node"), F.col("n_shingles").alias("size"), "sigs")
-                   .join(small_enough(nodes.select("node")), "node"), "node-signatures")
-    light = stage(sets.drop("sigs"), "light-sets")
-    drop_stage(sets)
+    firsts = sets.select(F.col("row").alias("node"), F.col("n_shingles").alias("size"), "sigs") \
+        .join(small_enough(nodes.select("node")), "node")
     rows = firsts.select("node", "size", F.explode(F.array_distinct("sigs")).alias("sig"))
     shared = stage(rows.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("sig"), "shared-signatures")
     members = stage(rows.join(shared, "sig"), "candidates")
+    light = stage(sets.drop("sigs"), "light-sets")
     drop_stage(shared)
-    drop_stage(firsts)
+    drop_stage(sets)
     return members, light

@@ -75,3 +75,26 @@ def test_drop_near_copies(spark):
     out = J.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string, row_number_ int").coalesce(1))
     assert out.columns == ["doc_id", "text", "row_number_"]
     assert sorted(r.row_number_ for r in out.collect()) == [3, 5, 6]
+
+
+def test_rows_of_files_keep_their_numbers_without_a_copy(spark, tmp_path):
+    from regiopanel.llm.common import numbered_rows
+    df = spark.range(1000).selectExpr("id", "id % 7 as file_").repartition(5)
+    df.write.parquet(str(tmp_path / "t"))
+    read = spark.read.parquet(str(tmp_path / "t"))
+    for frame in (read, read.select("id"), read.limit(300), read.where("id > 5")):
+        numbered = numbered_rows(frame, "row_")
+        first, again = (dict(numbered.select("row_", "id").collect()) for _ in range(2))
+        assert first == again and len(first) == frame.count() and numbered.columns == frame.columns + ["row_"]
+    assert numbered_rows(read, "row_").inputFiles() != [] and all("/t/" in f for f in numbered_rows(read, "row_").inputFiles() if "file-numbers" not in f)
+
+
+def test_signatures_enumerate_subsets():
+    """Sets that differ in one element per first-level part still share signatures."""
+    rng = np.random.default_rng(8)
+    s = np.unique(rng.integers(1, 1 << 62, 400).astype(np.uint64))
+    n1, slack = J._instance(J.band_of(len(s), 80), 80)
+    assert n1 > slack + 1 and len(J.signatures(s, 80)) <= 3 * (n1 + J._instance(J.band_of(len(s), 80) - 1, 80)[0])
+    other = np.unique(np.concatenate([s[40:], rng.integers(1, 1 << 62, 40).astype(np.uint64)]))
+    shared = set(J.signatures(s, 80).tolist()) & set(J.signatures(other, 80).tolist())
+    assert shared
