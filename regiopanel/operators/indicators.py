@@ -40,14 +40,17 @@ def next_forecast_per_region(model_run: DataFrame, forecast: DataFrame, metrics:
     """WN-2: first forecast month per region in *that region's* newest run
     (a region skipped by the newest run keeps its older forecast).
 
-    Expressed as a min_by aggregate, so it combines map-side before the shuffle.
+    Two hash aggregates of fixed-width values, without a sort: the newest run of each
+    region is a max, and the first month of that run one long, so that each column is a
+    min_by on it.
     """
     runs = model_run.select("model_run_id")
     fc = forecast.join(runs, "model_run_id")
-    order_key = F.struct((-F.col("model_run_id")).alias("r"), F.col("forecast_month").alias("f"))
-    fields = [F.col(c) for c in ("model_run_id", "forecast_month", "forecast_value", "lower_bound", "upper_bound")]
-    out = (fc.groupBy(G).agg(F.min_by(F.struct(*fields), order_key).alias("x"))
-           .select(G, "x.*"))
+    newest = fc.groupBy(G).agg(F.max("model_run_id").alias("model_run_id"))
+    at = F.unix_date("forecast_month")
+    out = fc.join(newest, [G, "model_run_id"]).groupBy(G, "model_run_id").agg(
+        F.min("forecast_month").alias("forecast_month"),
+        *[F.min_by(c, at).alias(c) for c in ("forecast_value", "lower_bound", "upper_bound")])
     if metrics is not None:
         out = out.join(metrics.select("model_run_id", G, "mae", "rmse", "mape", "reliability_label"),
                        ["model_run_id", G], "left")

@@ -100,9 +100,10 @@ def latest_overview(store: dict) -> DataFrame:
                     "total_beds", "average_occupancy_rate"))
 
 
-def region_overview(store: dict, derived: dict) -> DataFrame:
+def region_overview(store: dict, derived: dict, ordered: bool = True) -> DataFrame:
     """OV-2: all regions at the latest month with scores, indicators, class and
-    the next forecast of each region's newest run; ranked by score."""
+    the next forecast of each region's newest run; ranked by score, unless what
+    follows has an order of its own."""
     base, v, rb, o, latest = _latest_slices(store)
     d = derived_columns(derived, LATEST_DERIVED, keep=lambda t: at_latest(t, latest))
     df = (base.join(v, [G, M], "left").join(rb, [G, M], "left").join(o, [G, M], "left")
@@ -115,15 +116,15 @@ def region_overview(store: dict, derived: dict) -> DataFrame:
     else:
         for n in ("next_forecast_value", "next_forecast_lower", "next_forecast_upper"):
             df = df.withColumn(n, F.lit(None).cast(S.MONEY))
-    return df.select(
+    df = df.select(
         G, "governorate_code", "governorate_name_en",
         F.col("total_visitors").alias("latest_total_visitors"),
         F.col("total_beds").alias("latest_total_beds"),
         F.col("average_occupancy_rate").alias("latest_average_occupancy_rate"),
         "priority_score", "justification_text", *COMPONENT_COLS,
         "visitors_per_1000_beds", "occupancy_pressure_index", "growth_pressure_index", "forecast_pressure_index",
-        "capacity_classification", "next_forecast_value", "next_forecast_lower", "next_forecast_upper",
-    ).orderBy(*_score_desc_order())
+        "capacity_classification", "next_forecast_value", "next_forecast_lower", "next_forecast_upper")
+    return df.orderBy(*_score_desc_order()) if ordered else df
 
 
 def region_rank(overview: DataFrame) -> DataFrame:
@@ -137,16 +138,16 @@ def region_rank(overview: DataFrame) -> DataFrame:
 
 # --- OV-4 / OV-5 ------------------------------------------------------------
 
-def region_series(store: dict, scores: DataFrame, governorate_id: int | None = None) -> DataFrame:
+def region_series(store: dict, scores: DataFrame, governorate_id: int | None = None, ordered: bool = True) -> DataFrame:
     """OV-4: per-region time series; all regions when ``governorate_id`` is None."""
     v = store["visitors"].select(G, M, "total_visitors")
     if governorate_id is not None:
         v = v.where(F.col(G) == governorate_id)   # FLT-1, pushed to the scan
-    return (v.join(store["rooms_beds"].select(G, M, "total_rooms", "total_beds"), [G, M], "left")
-            .join(store["occupancy"].select(G, M, "average_occupancy_rate"), [G, M], "left")
-            .join(scores.select(G, M, "priority_score"), [G, M], "left")
-            .select(G, M, "total_visitors", "total_rooms", "total_beds", "average_occupancy_rate", "priority_score")
-            .orderBy(G, M))
+    df = (v.join(store["rooms_beds"].select(G, M, "total_rooms", "total_beds"), [G, M], "left")
+          .join(store["occupancy"].select(G, M, "average_occupancy_rate"), [G, M], "left")
+          .join(scores.select(G, M, "priority_score"), [G, M], "left")
+          .select(G, M, "total_visitors", "total_rooms", "total_beds", "average_occupancy_rate", "priority_score"))
+    return df.orderBy(G, M) if ordered else df
 
 
 def region_detail(store: dict, derived: dict, governorate_id: int | None = None) -> DataFrame:

@@ -13,21 +13,29 @@ from pyspark.sql import functions as F
 
 from regiopanel import schemas as S
 from regiopanel.functions import columns as C
-from regiopanel.operators.indicators import derived_columns, latest_run_id
+from regiopanel.operators.indicators import latest_run_id
 
 G, M = S.G, S.M
 
 
 def latest_history(store: dict, derived: dict) -> DataFrame:
     """WN-7: per region, the newest month having both visitors and beds, with
-    its occupancy, growth pressure and class (one row per region)."""
-    vb = store["visitors"].select(G, M, "total_visitors").join(
-        store["rooms_beds"].select(G, M, "total_rooms", "total_beds"), [G, M])
-    last = (vb.groupBy(G)   # max_by combines map-side: a long series never piles up in one task
-            .agg(F.max_by(F.struct(M, "total_visitors", "total_rooms", "total_beds"), M).alias("x"))
-            .select(G, "x.*"))
-    return (last.join(store["occupancy"].select(G, M, "average_occupancy_rate"), [G, M], "left")
-            .join(derived_columns(derived, ["growth_pressure_index", "capacity_classification"]), [G, M], "left"))
+    its occupancy, growth pressure and class (one row per region).
+
+    The month comes from the keys alone, a hash aggregate of fixed-width values.  Facts
+    and derived panels are then filtered by the set of these months, a scalar subquery:
+    on stored tables a partition filter at run time, so old months are not read."""
+    keys = store["visitors"].select(G, M).join(store["rooms_beds"].select(G, M), [G, M])
+    last = keys.groupBy(G).agg(F.max(M).alias(M))
+    months = last.agg(F.collect_set(M)).scalar()       # at most one value per month of the panel
+    recent = lambda df: df.where(F.array_contains(months, F.col(M)))
+    out = last.join(recent(store["visitors"].select(G, M, "total_visitors")), [G, M]) \
+        .join(recent(store["rooms_beds"].select(G, M, "total_rooms", "total_beds")), [G, M]) \
+        .join(recent(store["occupancy"].select(G, M, "average_occupancy_rate")), [G, M], "left")
+    if derived.get("scored") is not None:
+        return out.join(recent(derived["scored"].select(G, M, "growth_pressure_index", "capacity_classification")), [G, M], "left")
+    return out.join(recent(derived["indicators"].select(G, M, "growth_pressure_index")), [G, M], "left") \
+        .join(recent(derived["classification"].select(G, M, "capacity_classification")), [G, M], "left")
 
 
 def resolve_base_run(scenarios: DataFrame, model_run: DataFrame | None) -> DataFrame:

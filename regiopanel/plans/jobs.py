@@ -39,10 +39,13 @@ def recompute(store: dict, overrides: dict | None = None, persist: bool = False)
 
 def run_forecast(store: dict, run_id: int, horizon: int = 12, model_name: str | None = None,
                  persist: bool = False) -> dict:
-    """One forecast run over every series: header, forecasts, backtest metrics."""
+    """One forecast run over the series of every region of the dimension (of every
+    series, in a store without one): header, forecasts, backtest metrics."""
     model = C.model_name(model_name)
-    spark = store["visitors"].sparkSession
-    stats = FC.series_stats(FC.series_rows(store["visitors"], model))
+    spark, visitors = store["visitors"].sparkSession, store["visitors"]
+    if store.get("governorate") is not None:
+        visitors = visitors.join(store["governorate"].select(G), G, "left_semi")
+    stats = FC.series_stats(FC.series_rows(visitors, model))
     # Forecast rows, backtest metrics and every later reader of the run (the
     # newest-run and per-region next-forecast lookups, scenario baselines) derive
     # from these per-series statistics (one row per series): checkpoint them
@@ -99,6 +102,32 @@ def forecast_run_detail(store: dict, run_id: int) -> DataFrame:
 
 # --- scenarios ----------------------------------------------------------------
 
+SCENARIO_PARTITIONS = ["batch_id", "bucket"]
+SCENARIO_BUCKETS = 64
+
+
+def scenario_bucket(scenario_run_id) -> F.Column:
+    return F.pmod(F.xxhash64(scenario_run_id), F.lit(SCENARIO_BUCKETS)).cast("int")
+
+
+def batch_fingerprint(scenarios: DataFrame) -> str:
+    """Names a batch by its scenarios, in any order: their number and two sums of row
+    hashes."""
+    row = [F.col(c).cast("string") for c in sorted(scenarios.columns)]
+    n, a, b = scenarios.select(F.xxhash64(*row).alias("a"), F.xxhash64(F.lit("b"), *row).alias("b")).agg(
+        F.count(F.lit(1)), F.coalesce(F.sum(F.col("a").cast("decimal(20,0)")), F.lit(0)),
+        F.coalesce(F.sum(F.col("b").cast("decimal(20,0)")), F.lit(0))).first()
+    return f"{n}-{int(a) % (1 << 64):016x}{int(b) % (1 << 64):016x}"
+
+
+def scenario_partitions(df: DataFrame, batch_id: str | None = None) -> DataFrame:
+    """``df`` with the columns that scenario tables are partitioned by."""
+    if "bucket" in df.columns:
+        return df
+    return df.withColumns({"batch_id": F.lit(batch_id or batch_fingerprint(df.select("scenario_run_id"))),
+                           "bucket": scenario_bucket(F.col("scenario_run_id").cast("long"))})
+
+
 def run_scenarios(store: dict, derived: dict, scenarios: DataFrame, overrides: dict | None = None) -> dict:
     """Evaluate a batch of scenarios: run ledger rows, results, rejects."""
     params = P.resolve(store.get("params"), overrides)
@@ -132,6 +161,10 @@ def scenario_run_header(scenario_run: DataFrame, scenario_run_id: int) -> DataFr
 
 
 def scenario_run_detail(store: dict, scenario_run_id: int) -> DataFrame:
-    """SC-4: the run's result row with the region name."""
-    r = store["scenario_result"].where(F.col("scenario_run_id") == scenario_run_id)
+    """SC-4: the run's result row with the region name.  A stored table is read in the
+    run's bucket only."""
+    r = store["scenario_result"]
+    if "bucket" in r.columns:
+        r = r.where(F.col("bucket") == scenario_bucket(F.lit(scenario_run_id).cast("long"))).drop(*SCENARIO_PARTITIONS)
+    r = r.where(F.col("scenario_run_id") == scenario_run_id)
     return r.join(store["governorate"].select(G, "governorate_name_en"), G).limit(1)

@@ -19,9 +19,9 @@ from regiopanel.operators import indicators as IND
 from regiopanel.operators import overview as OV
 from regiopanel.operators import scenario as SC
 from regiopanel.plans import jobs as PL
+from regiopanel.plans.store import ParquetStore
 from regiopanel.sources import ingest as ING
 from regiopanel.sources import proxy as PX
-from regiopanel.sources import seed as SEED
 from regiopanel.sources import sinks as SINKS
 from regiopanel.sources import standin as STAND
 from regiopanel.sources import uploads as UP
@@ -151,12 +151,12 @@ def q_metric_bins(spark, d):
 
 def q_name_join(spark, d):
     st, dv = _full(spark, d)
-    return as_double(OV.map_dataset(st["boundaries"], OV.region_overview(st, dv), "priority_score"))
+    return as_double(OV.map_dataset(st["boundaries"], OV.region_overview(st, dv, ordered=False), "priority_score"))
 
 
 def q_scaled_series(spark, d):
     st, dv = _full(spark, d)
-    s = OV.scaled_series(OV.region_series(st, dv["scores"]))
+    s = OV.scaled_series(OV.region_series(st, dv["scores"], ordered=False))
     return s.select(G, M, "total_visitors_scaled", "priority_score_scaled")
 
 
@@ -355,19 +355,186 @@ def q_import_csv_summary(spark, d):
     return _upload(spark, d, "occupancy")["summary"]
 
 
-def q_seed_panel(spark, d):
-    """Seed formulas over a region dimension with one region per customer."""
-    gov = PX.customer_regions(PX.read_table(spark, d, "customer"))
-    return as_double(SEED.seed_panel(gov)["facts"])
+# --- many series ------------------------------------------------------------------
 
+def q_forecast_parts(spark, d):
+    """Seasonal-trend forecast of every part's monthly value: the number of series
+    grows with the data; series of fewer than 13 months are skipped."""
+    return as_double(FC.forecast(PX.part_series(PX.read_table(spark, d, "lineitem")), 12, "seasonal_trend_v2", 1))
 
-def q_forecast_seed_customers(spark, d):
-    """Seasonal-trend forecast over the seed panel of one series per customer
-    (24 months each): the per-series window path at a series count that grows
-    with the data."""
-    gov = PX.customer_regions(PX.read_table(spark, d, "customer"))
-    return as_double(FC.forecast(SEED.seed_panel(gov)["visitors"], 12, "seasonal_trend_v2", 1))
 
+def q_backtest_parts(spark, d):
+    return as_double(FC.backtest(PX.part_series(PX.read_table(spark, d, "lineitem")), "seasonal_trend_v2", 1))
+
+
+# --- the varied panel: every branch occurs ------------------------------------------
+
+def _varied(spark, d):
+    """Run 1 under an unknown model name, which falls back to the default, over all
+    regions; run 2 leaves out every third region."""
+    st = PX.varied_store(spark, d)
+    st = PL.with_forecast_run(st, PL.run_forecast(st, 1, 12, "no such model"))
+    return st
+
+
+def _varied_runs12(spark, d):
+    st = _varied(spark, d)
+    some = st | {"governorate": st["governorate"].where(F.col(G) % 3 != 0)}
+    return PL.with_forecast_run(st, PL.run_forecast(some, 2, 24, "seasonal_naive"))
+
+
+def _on_varied(fn):
+    def query(spark, d):
+        st = _varied(spark, d)
+        return as_double(fn(st, _derived(st)))
+    return query
+
+
+def q_varied_bins(st, dv):
+    ov = OV.region_overview(st, dv, ordered=False)
+    return ov.select(G, *[OV.C.metric_bin(m, F.col(m)).alias(f"{m}_bin") for m in S.METRIC_BINS],
+                     OV.C.metric_bin(S.CLASS_METRIC, F.col(S.CLASS_METRIC)).alias(f"{S.CLASS_METRIC}_bin"),
+                     OV.C.percent("latest_average_occupancy_rate").alias("occupancy_pct"))
+
+
+def q_varied_next_fc_latest_run(spark, d):
+    st = _varied_runs12(spark, d)
+    return as_double(IND.next_forecast_latest_run(st["model_run"], st["forecast"]))
+
+
+def q_varied_next_fc_per_region(spark, d):
+    st = _varied_runs12(spark, d)
+    return as_double(IND.next_forecast_per_region(st["model_run"], st["forecast"], st["backtest"]))
+
+
+def varied_scenarios(st: dict) -> DataFrame:
+    """Every region at its next 14 months (two beyond the horizon), based on no run, on
+    run 0 (both mean the newest), on run 1 and on run 2, with 0 to 3000 more beds and
+    demand from 40 % less to 90 % more."""
+    last = st["visitors"].groupBy(G).agg(F.max(M).alias("last"))
+    rows = last.select(G, "last", F.explode(F.sequence(F.lit(1), F.lit(14))).alias("i")) \
+        .select(G, "last", "i", F.explode(F.array(*map(F.lit, range(4)))).alias("k"))
+    return rows.select(
+        ((F.col(G).cast("long") * 100 + F.col("i")) * 10 + F.col("k")).alias("scenario_run_id"), G,
+        F.add_months("last", F.col("i")).alias("target_month"), (F.col("k") * 1000).cast("int").alias("additional_beds"),
+        F.lit(0).alias("additional_rooms"), ((F.col("i") - 5) / 10).cast("decimal(10,4)").alias("induced_demand_ratio"),
+        F.when(F.col("k") > 0, F.col("k") - 1).cast("long").alias("based_on_model_run_id"))
+
+
+def q_varied_scenario_eval(spark, d):
+    st = _varied_runs12(spark, d)
+    return as_double(PL.run_scenarios(st, _derived(st), varied_scenarios(st))["scenario_result"])
+
+
+def q_varied_scenario_rejects(spark, d):
+    st = PX.varied_store(spark, d)
+    return SC.rejected_scenarios(varied_scenarios(st), st).select("scenario_run_id", G, "error_message")
+
+
+def q_varied_backtest(spark, d):
+    return as_double(_varied(spark, d)["backtest"])
+
+
+def q_varied_forecast(spark, d):
+    return as_double(_varied(spark, d)["forecast"])
+
+
+def q_varied_sites(spark, d):
+    return as_double(OV.sites_with_coords(PX.varied_store(spark, d)["sites"]))
+
+
+def q_site_listing(spark, d):
+    """SRC-22: all sites in name order, by their place in it."""
+    return as_double(OV.global_row_number(OV.list_sites(PX.varied_store(spark, d)["sites"]), ["site_name_en", "tourism_site_id"]))
+
+
+def q_one_region_series(spark, d):
+    """FLT-1: the series of one region, the filter at the scan."""
+    st, dv = _full(spark, d)
+    return as_double(OV.region_series(st, dv["scores"], 7))
+
+
+def q_one_region_detail(spark, d):
+    st, dv = _full(spark, d)
+    return as_double(OV.region_detail(st, dv, 7))
+
+
+# --- stored tables ------------------------------------------------------------------
+
+def _stored(spark, d):
+    """The panel in a store of its own, after recompute, forecast and recompute."""
+    store = ParquetStore(spark, UP.new_folder(spark.range(0), "store"))
+    st = PX.panel_store(spark, d)
+    store.save({n: st[n] for n in ("governorate", "visitors", "rooms_beds", "occupancy", "sites", "boundaries", "params")})
+    store.recompute()
+    store.run_forecast(1, 12, "seasonal_trend_v2")
+    store.recompute()
+    return store
+
+
+def _stored_frames(store):
+    loaded = store.load()
+    return loaded, {k: loaded[k] for k in ("indicators", "classification", "scores")}
+
+
+def q_stored_overview(spark, d):
+    """OV-2 on stored tables."""
+    return as_double(OV.region_overview(*_stored_frames(_stored(spark, d))))
+
+
+def q_stored_kpis(spark, d):
+    st, dv = _stored_frames(_stored(spark, d))
+    return as_double(OV.kpis(st, dv["scores"]))
+
+
+def _stored_scenarios(spark, d):
+    store = _stored(spark, d)
+    st, _ = _stored_frames(store)
+    for _ in range(2):      # the second run of the batch changes nothing
+        store.run_scenarios(scenarios_from_forecast(st))
+    return store
+
+
+def q_stored_scenarios(spark, d):
+    """SC-2 and SC-3 through the stored, batch-keyed ledgers."""
+    return as_double(_stored_scenarios(spark, d).read("scenario_result").drop(*PL.SCENARIO_PARTITIONS))
+
+
+def q_scenario_run_detail(spark, d):
+    """SC-4: the newest scenario's stored result with the region name."""
+    store = _stored_scenarios(spark, d)
+    newest = store.read("scenario_run").agg(F.max("scenario_run_id")).first()[0]
+    return as_double(store.scenario_run_detail(newest))
+
+
+def q_stored_import(spark, d):
+    """SRC-1, SRC-10, SRC-13: a CSV import into the store replaces its visitors; rows of
+    unknown regions are quarantined."""
+    store = ParquetStore(spark, UP.new_folder(spark.range(0), "store"))
+    st = PX.panel_store(spark, d)
+    store.save({n: st[n] for n in ("governorate", "visitors", "params")})
+    store.import_csv(UP.visitors_upload(PX.read_table(spark, d, "orders")), "visitors_monthly", 1)
+    return as_double(store.read("visitors"))
+
+
+VARIED = {
+    "varied_overview": _on_varied(OV.region_overview),
+    "varied_latest_overview": _on_varied(lambda st, dv: OV.latest_overview(st)),
+    "varied_kpis": _on_varied(lambda st, dv: OV.kpis(st, dv["scores"])),
+    "varied_exec_top5": _on_varied(lambda st, dv: OV.exec_top(st, dv, 5)),
+    "varied_region_detail": _on_varied(OV.region_detail),
+    "varied_metric_bins": _on_varied(q_varied_bins),
+    "varied_name_join": _on_varied(lambda st, dv: OV.map_dataset(
+        st["boundaries"], OV.region_overview(st, dv, ordered=False), "priority_score")),
+    "varied_forecast": q_varied_forecast,
+    "varied_backtest": q_varied_backtest,
+    "varied_next_fc_latest_run": q_varied_next_fc_latest_run,
+    "varied_next_fc_per_region": q_varied_next_fc_per_region,
+    "varied_scenario_eval": q_varied_scenario_eval,
+    "varied_scenario_rejects": q_varied_scenario_rejects,
+    "varied_sites": q_varied_sites,
+    "site_listing": q_site_listing,
+}
 
 QUERIES = {
     "indicators": q_indicators,
@@ -418,6 +585,13 @@ QUERIES = {
     "import_occupancy": q_import_occupancy,
     "import_csv_errors": q_import_csv_errors,
     "import_csv_summary": q_import_csv_summary,
-    "seed_panel": q_seed_panel,
-    "forecast_seed_customers": q_forecast_seed_customers,
-}
+    "forecast_parts": q_forecast_parts,
+    "backtest_parts": q_backtest_parts,
+    "one_region_series": q_one_region_series,
+    "one_region_detail": q_one_region_detail,
+    "stored_overview": q_stored_overview,
+    "stored_kpis": q_stored_kpis,
+    "stored_scenarios": q_stored_scenarios,
+    "scenario_run_detail": q_scenario_run_detail,
+    "stored_import": q_stored_import,
+} | VARIED

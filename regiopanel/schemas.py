@@ -110,13 +110,13 @@ DEFAULT_PARAMS = {
 HIGH_PRIORITY_KEY = "high_priority_threshold"
 # Seeded parameter rows: key, value text, description.
 SEED_PARAMS = [
-    ("classification_tight_threshold", "75", "Occupancy pressure index threshold for tight capacity"),
-    ("classification_balanced_threshold", "45", "Occupancy pressure index threshold for balanced capacity"),
-    ("priority_weight_occupancy", "0.35", "Priority score weight: occupancy pressure"),
-    ("priority_weight_growth", "0.20", "Priority score weight: growth pressure"),
-    ("priority_weight_visitor_bed", "0.25", "Priority score weight: visitors per 1000 beds"),
-    ("priority_weight_forecast", "0.20", "Priority score weight: forecast pressure"),
-    ("high_priority_threshold", "70", "Threshold for high-priority zone reporting"),
+    ("classification_tight_threshold", "75", "Occupancy from which a region counts as short of capacity, in percent"),
+    ("classification_balanced_threshold", "45", "Occupancy from which a region counts as in balance, in percent"),
+    ("priority_weight_occupancy", "0.35", "Share of the occupancy part in the score"),
+    ("priority_weight_growth", "0.20", "Share of the growth part in the score"),
+    ("priority_weight_visitor_bed", "0.25", "Share of the visitors-per-bed part in the score"),
+    ("priority_weight_forecast", "0.20", "Share of the forecast part in the score"),
+    ("high_priority_threshold", "70", "Score from which a region is reported as urgent"),
 ]
 
 # Capacity classes and the justification text attached to each.

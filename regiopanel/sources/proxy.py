@@ -137,6 +137,81 @@ def customer_regions(customer: DataFrame) -> DataFrame:
                            F.lit(None).cast("string").alias("governorate_name_ar"))
 
 
+# --- a second panel, in which every branch of the operators occurs -----------------
+
+def _members(customer: DataFrame) -> DataFrame:
+    """(custkey, region, n_months): a customer counts in its nation, in its market
+    segment (100 + the letter's code), in a group of nations (500 + nation % 7), in the
+    whole (600) and in one of 20 regions (300 + custkey % 20) that have 1 to 20 months of
+    history."""
+    nation, key = F.col("c_nationkey").cast("int"), F.col("c_custkey")
+    late = (key % 20).cast("int")
+    pair = lambda g, n: F.struct(g.alias(G), n.alias("n_months"))
+    all_ = F.lit(None).cast("int")
+    return customer.select(key.alias("o_custkey"), F.inline(F.array(
+        pair(nation, all_), pair(F.ascii(F.substring("c_mktsegment", 1, 1)) + 100, all_), pair(nation % 7 + 500, all_),
+        pair(late + 300, late + 1), pair(F.lit(600), all_))))
+
+
+def varied_facts(orders: DataFrame, customer: DataFrame) -> DataFrame:
+    """(region, month, days, orders): the days with an order and the orders, for all
+    months but the last, which is not complete; of a region that opened late only its
+    last months."""
+    day = F.col("o_orderdate").cast("date")
+    end = orders.agg(F.trunc(F.max(day), "month")).scalar()
+    per_day = orders.where(day < end).select("o_custkey", day.alias("day")).groupBy("o_custkey", "day") \
+        .agg(F.count(F.lit(1)).alias("n")).join(_members(customer), "o_custkey") \
+        .where(F.col("n_months").isNull() | (F.col("day") >= F.add_months(end, -F.col("n_months")))) \
+        .groupBy(G, "day").agg(F.sum("n").alias("n"))
+    return per_day.groupBy(G, F.trunc("day", "month").alias(M)).agg(
+        F.count(F.lit(1)).alias("days"), F.sum("n").alias("orders")).cache()   # panel-sized
+
+
+def varied_names(region: F.Column) -> F.Column:
+    """Region names with accents, ligatures and quotes."""
+    prefixes = F.array(*map(F.lit, ["Région ", "Örtlichkeit d'", "SÃO ", "ﬁn L`Île №", "Łódź–"]))
+    return F.concat(F.element_at(prefixes, (region % 5 + 1).cast("int")), region.cast("string"))
+
+
+def varied_store(spark: SparkSession, sf_dir: str) -> dict:
+    """A panel over the same tables in which regions have short, long, smooth and noisy
+    series, missing capacity, missing occupancy, accented names and sites without
+    coordinates."""
+    from regiopanel.sources.params import seed_params
+
+    t = lambda name: read_table(spark, sf_dir, name)
+    facts = varied_facts(t("orders"), t("customer"))
+    regions = facts.select(G).distinct()
+    name = varied_names(F.col(G))
+    beds_each = F.element_at(F.array(*map(F.lit, [2, 300, 400, 600, 10000])), (F.col(G) % 5 + 1).cast("int"))
+    rate = F.expr("(2 * 10000 * days + day(last_day(month_index))) div (2 * day(last_day(month_index)))")
+    sites_ = sites(t("supplier"))
+    k = F.col("tourism_site_id")
+    return {
+        "governorate": regions.select(G, _code("V", F.col(G)).alias("governorate_code"), name.alias("governorate_name_en"),
+                                      F.lit(None).cast("string").alias("governorate_name_ar")),
+        "visitors": facts.select(G, M, (F.col("days") * 5000).cast(S.MONEY).alias("total_visitors")),
+        "rooms_beds": facts.where(F.col(G) % 7 != 3).select(
+            G, M, F.col("orders").cast(S.MONEY).alias("total_rooms"), (F.col("orders") * beds_each).cast(S.MONEY).alias("total_beds")),
+        "occupancy": facts.where(F.col(G) % 6 != 5).select(
+            G, M, (rate.cast("decimal(12,0)") * F.lit(Decimal("0.0001"))).cast(S.RATE).alias("average_occupancy_rate")),
+        "sites": sites_.withColumns({"latitude": F.when(k % 10 != 0, F.col("latitude")).otherwise(F.lit(0).cast(S.SITES["latitude"].dataType)),
+                                     "longitude": F.when(k % 11 != 0, F.col("longitude"))}),
+        # the boundary file spells the names otherwise
+        "boundaries": regions.select(G, F.concat(F.lit("b"), F.col(G).cast("string")).alias("governorate_code"),
+                                     F.replace(F.replace(F.lower(name), F.lit(" "), F.lit("__")), F.lit("'"), F.lit("`")).alias("governorate_name_en")),
+        "params": seed_params(spark),
+    }
+
+
+def part_series(lineitem: DataFrame) -> DataFrame:
+    """One series per part: the value shipped in each month.  The number of series grows
+    with the data, and some are short.  (Quantities are small whole numbers, so the bands
+    of their forecasts often end exactly on half a cent, where the last bit decides.)"""
+    return lineitem.groupBy(F.col("l_partkey").alias(G), F.trunc(F.col("l_shipdate").cast("date"), "month").alias(M)) \
+        .agg(F.sum(F.col("l_extendedprice").cast(S.MONEY)).cast(S.MONEY).alias("total_visitors"))
+
+
 def panel_store(spark: SparkSession, sf_dir: str) -> dict:
     """Facts, dimension, sites, boundaries and default parameters."""
     from regiopanel.sources.params import seed_params

@@ -18,7 +18,7 @@ def spark():
 def seed(spark):
     """Seed deployment after recompute -> trend forecast (run 1) -> recompute."""
     from regiopanel.plans import jobs as PL
-    from regiopanel.sources.seed import seed_store
+    from tests.seed import seed_store
     st0 = seed_store(spark)
     before = PL.recompute(st0)
     st1 = PL.with_forecast_run(st0, PL.run_forecast(st0, 1, 12, "seasonal_trend_v2"))

@@ -7,7 +7,7 @@ from decimal import Decimal as D
 import pytest
 
 from regiopanel.sources import ingest as ING
-from regiopanel.sources.seed import seed_governorates
+from tests.seed import seed_governorates
 
 HOSTILE = """governorate_id,month_index,total_visitors
 1,2025-01-01,60000

@@ -9,7 +9,7 @@ from regiopanel.functions.ordering import global_row_number
 from regiopanel.operators import forecast as FC
 from regiopanel.operators import overview as OV
 from regiopanel.sources import params as P
-from regiopanel.sources.seed import seed_store
+from tests.seed import seed_store
 
 
 def _series(spark, g, values, start=dt.date(2020, 1, 1), skip=None):

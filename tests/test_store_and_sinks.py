@@ -5,7 +5,7 @@ import tempfile
 
 from regiopanel.plans.store import local_store
 from regiopanel.sources import sinks
-from regiopanel.sources.seed import seed_store
+from tests.seed import seed_store
 
 
 def test_store_recompute_forecast_and_exports(spark):
@@ -101,14 +101,31 @@ def test_cli_flow(spark, capsys):
     from regiopanel.__main__ import main
 
     root = tempfile.mkdtemp(prefix="rp-cli-")
-    assert main(["seed", root]) == 0
-    assert main(["recompute", root]) == 0
-    assert main(["forecast", root, "1", "--horizon", "6"]) == 0
-    assert main(["recompute", root]) == 0
+    folder = tempfile.mkdtemp(prefix="rp-cli-in-")
+
+    def run(*args):
+        assert main(list(args)) == 0
+        return [json.loads(x) for x in capsys.readouterr().out.strip().splitlines()]
+
+    run("init", root, "/root/testdata/sf0.001")
+    run("recompute", root)
+    assert run("forecast", root, "1", "--horizon", "6")[0]["horizon_months"] == 6
+    run("recompute", root)
+    assert [r["model_run_id"] for r in run("runs", root)] == [1] and len(run("run", root, "1", "--limit", "7")) == 7
+    with open(f"{folder}/o.csv", "w") as f:
+        f.write("governorate_id,month_index,average_occupancy_rate\n1,2001-01-01,0.5\nx,2001-01-01,0.5\n")
+    assert run("import", root, f"{folder}/o.csv", "hotel_occupancy_monthly", "4")[0]["error_rows"] == 1
+    assert [j["import_job_id"] for j in run("jobs", root)] == [4] and run("errors", root, "4")[0]["row_number"] == 3
+    with open(f"{folder}/s.json", "w") as f:
+        f.write('{"scenario_run_id": 9, "governorate_id": 3, "target_month": "2001-09-01", "additional_beds": 10}\n')
+    for _ in range(2):
+        assert run("scenarios", root, f"{folder}/s.json", "--batch", "b1") == [{"results": 1, "rejected": 0}]
+    assert [r["scenario_run_id"] for r in run("scenario-runs", root)] == [9] and run("scenario", root, "9")[0]["beds_delta"] == 10
+    assert {r["parameter_key"]: r["parameter_value"] for r in run("params", root, "high_priority_threshold=55")}["high_priority_threshold"] == "55"
     out = os.path.join(tempfile.mkdtemp(prefix="rp-cli-out-"), "exp")
-    assert main(["export", root, out]) == 0
-    lines = [json.loads(x) for x in capsys.readouterr().out.strip().splitlines()]
-    assert lines[2]["model_run_id"] == 1 and lines[2]["horizon_months"] == 6
+    run("export", root, out)
+    run("vacuum", root)
+    assert len(run("params", root)) == 7
     assert any(d.startswith("region_bucket=") for d in os.listdir(os.path.join(out, "regions")))
 
 
@@ -191,3 +208,99 @@ def test_stored_reads_prune_and_match(spark):
         scans = [x for x in stored._jdf.queryExecution().sparkPlan().toString().splitlines()
                  if "FileScan" in x and any(f"/{k}" in x for k in derived)]
         assert scans and all("PartitionFilters: [isnotnull(month_index" in x for x in scans if "max(" not in x), scans
+
+
+def _snapshot(store):
+    return {n: sorted(map(str, df.drop("created_at", "updated_at").collect())) for n, df in store.load().items()}
+
+
+def test_a_refresh_that_dies_leaves_the_old_tables(spark):
+    """Killed between the writes, or by another writer's switch: nothing changes."""
+    import pytest
+
+    from regiopanel.plans.store import StoreChanged
+    root = tempfile.mkdtemp(prefix="rp-kill-")
+    store = local_store(spark, root)
+    store.save(seed_store(spark))
+    store.recompute()
+    before = _snapshot(store)
+    write, done = store._write, []
+
+    def dies(name, df, path, mode="errorifexists"):
+        if len(done) == 2:
+            raise RuntimeError("killed")
+        done.append(name)
+        write(name, df, path, mode)
+    store._write = dies
+    with pytest.raises(RuntimeError, match="killed"):
+        store.recompute({"priority_weight_growth": 0.9})
+    assert len(done) == 2 and _snapshot(store) == before
+    store._write = write
+    publish = store.files.publish
+
+    def late(path, text):       # another job switches first
+        assert publish(path, text)
+        return publish(path, text)
+    store.files.publish = late
+    with pytest.raises(StoreChanged):
+        store.recompute()
+    store.files.publish = publish
+    store.recompute({"priority_weight_growth": 0.9})
+    assert _snapshot(store)["scores"] != before["scores"] and _snapshot(store)["visitors"] == before["visitors"]
+    store.vacuum(keep=1)
+    assert len([d for d in os.listdir(root) if d.startswith("scores-")]) == 1 and _snapshot(store)["scores"]
+
+
+def test_a_scenario_batch_runs_once(spark):
+    import pytest
+
+    from regiopanel.operators.scenario import scenario_frame
+    from regiopanel.plans import jobs
+    from regiopanel.plans.store import RunExists
+    store = local_store(spark, tempfile.mkdtemp(prefix="rp-batch-"))
+    store.save(seed_store(spark))
+    store.recompute()
+    payloads = [{"scenario_run_id": i, "governorate_id": 1 + i % 12, "target_month": "2026-01-01", "additional_beds": i} for i in range(1, 41)]
+    batch = scenario_frame(spark, payloads)
+    store.run_scenarios(batch, batch_id="a")
+    first = _snapshot(store)
+    assert len(first["scenario_run"]) == len(first["scenario_result"]) == 40 and len(first["scenario_batch"]) == 1
+    store.run_scenarios(batch.orderBy("governorate_id"), batch_id="a")
+    assert _snapshot(store) == first
+    with pytest.raises(RunExists, match="other scenarios"):
+        store.run_scenarios(batch.limit(3), batch_id="a")
+    with pytest.raises(RunExists, match="another batch"):
+        store.run_scenarios(batch.limit(3), batch_id="b")
+    # a run that died before its ledger row, with other scenarios, is replaced whole
+    dead = scenario_frame(spark, [{"scenario_run_id": i, "governorate_id": 2, "target_month": "2026-01-01"} for i in range(100, 160)])
+    out = jobs.run_scenarios(store.load(), {k: store.read(k) for k in ("indicators", "classification", "scores")}, dead)
+    store._write("scenario_result", jobs.scenario_partitions(out["scenario_result"], "c"), store.path("scenario_result"), "overwrite")
+    store.run_scenarios(scenario_frame(spark, [{"scenario_run_id": 500, "governorate_id": 2, "target_month": "2026-01-01"}]), batch_id="c")
+    assert store.read("scenario_result").where("batch_id = 'c'").count() == 1
+    detail = store.scenario_run_detail(7)
+    assert [(r.scenario_run_id, r.beds_delta, r.governorate_name_en) for r in detail.collect()] == [(7, 7, detail.first().governorate_name_en)]
+    from tests.plan_report import formatted
+    assert "PartitionFilters: [isnotnull(bucket" in formatted(detail)
+
+
+def test_history_is_pruned_at_run_time(spark):
+    from regiopanel.operators import scenario as SC
+    from tests.plan_report import formatted
+    store = local_store(spark, tempfile.mkdtemp(prefix="rp-hist-"))
+    store.save(seed_store(spark))
+    mem = store.recompute()
+    loaded = store.load()
+    derived = {k: loaded[k] for k in ("indicators", "classification", "scores")}
+    stored = SC.latest_history(loaded, derived)
+    assert sorted(map(str, stored.collect())) == sorted(map(str, SC.latest_history(loaded, mem).collect())) and stored.count() == 12
+    text = formatted(stored)
+    filters = [x for x in text.splitlines() if "PartitionFilters:" in x]
+    assert sum("array_contains" in x for x in filters) >= 5, filters     # three facts, two derived tables
+    assert "FullOuter" not in text and "SortAggregate" not in text
+
+
+def test_forecasts_follow_the_dimension(spark):
+    from regiopanel.plans import jobs
+    st = seed_store(spark)
+    some = st | {"governorate": st["governorate"].where("governorate_id < 4")}
+    assert {r[0] for r in jobs.run_forecast(some, 1)["forecast"].select("governorate_id").distinct().collect()} == {1, 2, 3}
