@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from regiopanel import schemas as S
+from regiopanel.functions import geo as GEO
 from regiopanel.operators import forecast as FC
 from regiopanel.operators import indicators as IND
 from regiopanel.operators import overview as OV
@@ -355,6 +356,28 @@ def q_import_csv_summary(spark, d):
     return _upload(spark, d, "occupancy")["summary"]
 
 
+def _nested(spark, d):
+    """MULTIPOLYGONs with holes, one per customer, out of CSV text."""
+    rows = PX.nested_wkt(PX.read_table(spark, d, "customer"))
+    folder = UP.new_folder(rows, "upload-boundaries")
+    SINKS.write_csv(rows.orderBy(F.col(G).cast("long")), folder)
+    return ING.import_csv(spark, folder, "admin_boundaries")
+
+
+def q_nested_boundaries(spark, d):
+    """SRC-4 and SRC-19 on nested rings: areas without the holes, and the features."""
+    loaded = _nested(spark, d)["loaded"]
+    area = loaded.select(G, F.size("boundary_coords").alias("n_polygons"), F.size(F.col("boundary_coords")[0]).alias("n_rings"),
+                         GEO.covered_area(F.col("boundary_coords")).alias("area"))
+    return area.join(SINKS.geojson_features(loaded), G)
+
+
+def q_nested_boundary_errors(spark, d):
+    r = _nested(spark, d)
+    bad = r["typed"].where("not _ok").select(ING.ROW, "error_message", F.col("_key1").alias("governorate_code"))
+    return r["records"].ordinals(bad).select("ordinal", "governorate_code", "error_message")
+
+
 # --- many series ------------------------------------------------------------------
 
 def q_forecast_parts(spark, d):
@@ -585,6 +608,8 @@ QUERIES = {
     "import_occupancy": q_import_occupancy,
     "import_csv_errors": q_import_csv_errors,
     "import_csv_summary": q_import_csv_summary,
+    "nested_boundaries": q_nested_boundaries,
+    "nested_boundary_errors": q_nested_boundary_errors,
     "forecast_parts": q_forecast_parts,
     "backtest_parts": q_backtest_parts,
     "one_region_series": q_one_region_series,

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from regiopanel import schemas as S
-from regiopanel.functions.geo import wkt_to_multipolygon
+from regiopanel.functions.geo import ring_problem, wkt_problem, wkt_to_multipolygon
 from regiopanel.session import stage_table
 from regiopanel.sources.records import RECORD_BITS, CsvRecords, ImportRejected
 
@@ -174,7 +174,9 @@ def typed_rows(raw: DataFrame, dataset_type: str, governorate: DataFrame | None
     out = {G: F.col("_g_val")}
     if dataset_type == "admin_boundaries":
         df = df.withColumn("_geom", wkt_to_multipolygon(raw_text("wkt")))
-        msgs = [F.col("_g_msg"), F.when(~g_bad & F.col("_geom").isNull(), F.lit("invalid WKT multipolygon"))]
+        bad = F.when(F.col("_geom").isNull(), wkt_problem(raw_text("wkt"))).otherwise(ring_problem(F.col("_geom")))
+        df = df.withColumn("_w_msg", bad)
+        msgs = [F.col("_g_msg"), F.when(~g_bad, F.col("_w_msg"))]
         out.update({"governorate_code": raw_text("governorate_code"),
                     "governorate_name_en": raw_text("governorate_name_en"),
                     "boundary_coords": F.col("_geom")})

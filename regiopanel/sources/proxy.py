@@ -128,6 +128,25 @@ def boundary_wkt(nation: DataFrame) -> DataFrame:
     return rectangle_wkt(nation, "n_nationkey", "N", "n_name")
 
 
+def nested_wkt(customer: DataFrame) -> DataFrame:
+    """Per customer a MULTIPOLYGON of two squares, the first with a hole, on a grid of
+    whole coordinates.  By the key some holes lie outside, some rings are open, have too
+    few points or no area, and some rings run the other way round."""
+    k = F.col("c_custkey")
+    x, y = (k % 180) - 90, (k % 80) - 40
+    pt = lambda dx, dy: F.concat_ws(" ", (x + dx).cast("string"), (y + dy).cast("string"))
+
+    def ring(*points):
+        return F.concat(F.lit("("), F.concat_ws(", ", *[pt(a, b) for a, b in points]), F.lit(")"))
+    square = lambda a, b, n: ((a, b), (a + n, b), (a + n, b + n), (a, b + n), (a, b))
+    shell = F.when(k % 11 == 4, ring(*square(0, 0, 8)[:4])).when(k % 11 == 5, ring((0, 0), (8, 0), (0, 0))) \
+        .when(k % 11 == 6, ring((0, 0), (4, 4), (8, 8), (0, 0))).when(k % 2 == 0, ring(*square(0, 0, 8)[::-1])).otherwise(ring(*square(0, 0, 8)))
+    hole = F.when(k % 11 == 7, ring(*square(6, 6, 5))).otherwise(ring(*square(1, 2, 3)))
+    return customer.select(
+        k.cast("string").alias(G), F.concat(F.lit("C"), k.cast("string")).alias("governorate_code"), F.col("c_name").alias("governorate_name_en"),
+        F.concat(F.lit("MULTIPOLYGON(("), shell, F.lit(", "), hole, F.lit("), ("), ring(*square(20, 0, 2)), F.lit("))")).alias("wkt"))
+
+
 def customer_regions(customer: DataFrame) -> DataFrame:
     """A region dimension with one region per customer (grows with the data).
     The key stays BIGINT: customer keys outgrow INTEGER at very large scale."""

@@ -67,3 +67,29 @@ SQL = {
                || ',"null_like_values":0}}' AS validation_summary_json
         FROM counts""",
 }
+
+# Rings of sources.proxy.nested_wkt: a square of side 8, most often with a hole of side 3,
+# and a square of side 2; even keys run clockwise.
+NESTED = """
+c AS (
+  SELECT c_custkey AS k, c_name, CAST(c_custkey % 180 - 90 AS DOUBLE) AS x, CAST(c_custkey % 80 - 40 AS DOUBLE) AS y,
+         CASE WHEN c_custkey % 11 = 4 THEN 'a ring is not closed' WHEN c_custkey % 11 = 5 THEN 'a ring has fewer than 4 points'
+              WHEN c_custkey % 11 = 6 THEN 'a ring has no area' WHEN c_custkey % 11 = 7 THEN 'a hole lies outside its shell' END AS error_message
+  FROM customer)"""
+SQL["nested_boundaries"] = f"""
+    WITH {NESTED},
+    rings AS (
+      SELECT *, [[x, y], [x + 8, y], [x + 8, y + 8], [x, y + 8], [x, y]] AS shell,
+             [[x + 1, y + 2], [x + 4, y + 2], [x + 4, y + 5], [x + 1, y + 5], [x + 1, y + 2]] AS hole,
+             [[x + 20, y], [x + 22, y], [x + 22, y + 2], [x + 20, y + 2], [x + 20, y]] AS other
+      FROM c WHERE error_message IS NULL)
+    SELECT CAST(k AS INTEGER) AS governorate_id, 2 AS n_polygons, 2 AS n_rings, 8.0 * 8 - 3 * 3 + 2 * 2 AS area,
+           CAST(to_json(struct_pack(type := 'Feature', geometry := struct_pack(type := 'MultiPolygon',
+             coordinates := [[CASE WHEN k % 2 = 0 THEN list_reverse(shell) ELSE shell END, hole], [other]]),
+             properties := struct_pack(governorate_id := CAST(k AS INTEGER), governorate_code := 'C' || k, governorate_name_en := c_name)))
+             AS VARCHAR) AS feature_json
+    FROM rings"""
+SQL["nested_boundary_errors"] = f"""
+    WITH {NESTED}
+    SELECT row_number() OVER (ORDER BY k) AS ordinal, 'C' || k AS governorate_code, error_message
+    FROM c QUALIFY error_message IS NOT NULL"""
