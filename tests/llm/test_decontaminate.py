@@ -46,8 +46,10 @@ def test_slots(spark):
     texts = [f"intro words here, {ITEM}", f"Noise. {other}. And more", broken, merged, ITEM.upper(), None, "", "x " * 50_000]
     for options in ({}, {"broadcast_windows": 0}):
         got = leaks(spark, texts, **options)
-        assert {k: r.reparameterised for k, r in got.items()} == {0: False, 1: True}
-        assert got[1].n_slots == 8 and got[1].coverage == 1.0
+        # a broken slot costs its windows at most; a copy in capitals is verbatim
+        assert {k: r.reparameterised for k, r in got.items()} == {0: False, 1: True, 2: True, 3: True, 4: False}
+        assert got[1].n_slots >= 7 and got[1].coverage > 0.8 and got[0].coverage == got[4].coverage == 1.0
+        assert got[2].coverage <= got[1].coverage and got[3].coverage >= 0.5
 
 
 def test_drop_leaks_keeps_columns(spark):
@@ -79,7 +81,7 @@ def test_each_diagonal_is_decided_by_its_matched_windows(spark):
     docs = spark.createDataFrame(list(enumerate([foreign, inserted, first_broken, broken, LIST])), "doc_id long, text string")
     bench = spark.createDataFrame([(1, LIST)], "item_id long, text string")
     got = {r.doc_id: r for r in D.find_leaks(docs, bench).collect()}
-    assert set(got) == {0, 1, 2, 4} and not any(r.reparameterised for r in got.values())
+    assert {k: r.reparameterised for k, r in got.items()} == {0: False, 1: False, 2: False, 3: True, 4: False}
 
 
 NAMES = "When did Anna Kowalska, Piotr Nowak and Maria Lis meet Jan Zych, Ewa Mazur and Adam Wilk near Warta, Lipno and Ostrow"
@@ -96,3 +98,39 @@ def test_short_items_and_changed_layout(spark):
         assert {(r.doc_id, r.item_id) for r in rows} == {(0, 1), (1, 1), (2, 1), (3, 1), (4, 1), (5, 2), (8, 3)}
         assert len(rows) == 7 and not any(r.reparameterised for r in rows) and {r.coverage for r in rows} == {1.0}
         assert D.drop_leaks(docs, bench, **options).count() == 5
+
+
+def test_what_is_no_leak(spark):
+    """Tables of other numbers, and sentences that share function words alone."""
+    import random
+    rng = random.Random(3)
+    numbers = "Numbers: " + " ".join(str(rng.randrange(10, 999)) for _ in range(40))
+    german = "Die Katze der Familie und der Hund des Nachbarn sind in dem Garten und auf der Wiese bei dem Haus an der Straße"
+    other = "Die Firma der Stadt und der Chef des Betriebs sind in dem Büro und auf der Messe bei dem Stand an der Halle"
+    docs = spark.createDataFrame(list(enumerate([" ".join(str(rng.randrange(10, 999)) for _ in range(40)), other, numbers, german.upper()])),
+                                 "doc_id long, text string")
+    bench = spark.createDataFrame([(1, numbers), (2, german)], "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in D.find_leaks(docs, bench).collect()} == {(2, 1), (3, 2)}
+
+
+def test_names_in_other_cases_and_replaced(spark):
+    docs = [NAMES.upper(), NAMES.title(), NAMES.replace("Piotr", "Ewa"), NAMES.replace("Maria", "Nadia"), NAMES.replace("Lipno", "Warta")]
+    docs = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    bench = spark.createDataFrame([(1, NAMES)], "item_id long, text string")
+    assert {r.doc_id for r in D.find_leaks(docs, bench).collect()} == {0, 1, 2, 3, 4}
+
+
+def test_rows_without_an_id_are_decided_each(spark):
+    words_ = LIST.split()
+    halves = [(None, " ".join(words_[:14])), (None, " ".join(words_[11:])), (7, LIST), (7, LIST), (None, LIST)]
+    docs = spark.createDataFrame(halves, "doc_id long, text string")
+    bench = spark.createDataFrame([(1, LIST)], "item_id long, text string")
+    assert sorted(str(r.doc_id) for r in D.find_leaks(docs, bench).collect() if r.coverage == 1.0) == ["7", "7", "None"]
+    assert D.find_leaks(docs.limit(2), bench, coverage=0.7).count() == 0
+
+
+def test_units_of_four_languages(spark):
+    texts = ["runs 5 km in 3 Stunden", "pèse 7 kg et 2 grammes", "dura 4 horas y 9 ms", "has 12 boxes"]
+    df = spark.createDataFrame(list(enumerate(texts)), "k long, text string")
+    got = {r.k: [w[2:] for w in r.words if w.startswith("\x01u")] for r in D.template_words(df, "k").collect()}
+    assert got == {0: ["km", "stunden"], 1: ["kg", "grammes"], 2: ["horas", "ms"], 3: []}
