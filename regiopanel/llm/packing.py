@@ -19,9 +19,10 @@ Remainder.  Bins that stay below ``full_share`` are opened, and their items are
 dealt and packed again together, level by level, until one block holds them all
 or nothing is gained; so the loss does not grow with the number of blocks.
 
-Token ids are those of the ``tokenizers`` vocabulary file.  Texts made of ASCII and
-Latin letters are encoded by tiktoken with the same vocabulary, several times as
-fast and with equal ids; all others by ``tokenizers`` itself.
+Token ids are those of the ``tokenizers`` vocabulary file, an added token in a text
+included.  Texts made of ASCII and Latin letters that hold none are encoded by tiktoken
+with the same vocabulary, several times as fast and with equal ids; all others by
+``tokenizers`` itself.
 
 Defined cases: null and empty texts are the end id alone; texts of any length are
 cut as above; rows that repeat are packed each; null ids are kept as they are;
@@ -68,19 +69,17 @@ def library_tokenizer():
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
 
-    out = Tokenizer.from_file(public_vocabulary("byte_bpe_50k.json"))
-    out.encode_special_tokens = True
-    return out
+    return Tokenizer.from_file(public_vocabulary("byte_bpe_50k.json"))
 
 
 class Encoder:
-    """Ids of ``byte_bpe_50k.json``, special tokens off."""
+    """Ids of ``byte_bpe_50k.json`` without tokens at the ends."""
 
     def __init__(self):
         self.fast = kept_in_worker("byte_bpe_50k", byte_encoding)
 
     def ids(self, text: str) -> list[int]:
-        if _OTHER_SCRIPTS.search(text):
+        if "<|" in text or _OTHER_SCRIPTS.search(text):
             return kept_in_worker("byte_bpe_50k_library", library_tokenizer).encode(text, add_special_tokens=False).ids
         return self.fast.encode_ordinary(text)
 

@@ -12,7 +12,6 @@ from regiopanel.llm import packing
 
 SF = "/root/testdata/sf0.01"
 TOKENIZER = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-TOKENIZER.encode_special_tokens = True
 
 
 def ids_of(text):
@@ -64,11 +63,15 @@ def test_repeated_rows_and_empty_table(spark):
     assert packing.pack_documents(df.where("false")).count() == 0
 
 
+def test_added_token_in_a_text():
+    assert packing.Encoder().ids("end <|endoftext|> next") == [437, 220, 50256, 1306]
+
+
 def test_fast_ids_equal_library_ids():
     enc, rng = packing.Encoder(), random.Random(5)
     alphabet = "abcdeTHE  \n\n\t.,!?'12éüßñÇ|*&%$#-¡Āɏ"
     for _ in range(3000):
-        t = "".join(rng.choices(alphabet, k=rng.randrange(60)))
+        t = "".join(rng.choices(alphabet, k=rng.randrange(60))) + rng.choice(["", "", "", "<|endoftext|> x", "<|"])
         assert enc.ids(t) + [0] == ids_of(t), repr(t)
 
 
