@@ -2,10 +2,11 @@
 
 Writing.  Light rows (id, digest) decide the record types: of records with equal
 payloads the one with the smallest id is the response, the others revisit it.  Ids
-are cut into contiguous ranges of about ``shard_bytes`` payload bytes (exact byte
-counts of fixed id slices, so the same input always gives the same ranges); each
-shard is sorted by id and written by one task, which starts a new file when the
-compressed size passes ``file_bytes``.  Payloads are shuffled once: the decisions
+are cut into contiguous ranges of about ``shard_bytes`` payload bytes: exact byte
+counts of equal id slices, and of slices of a slice that holds more than a shard, until
+none does or it is one id; so clustered ids and outliers give even shards, and the same
+input always gives the same ones.  Each shard is sorted by id and written by one task,
+which starts a new file when the compressed size passes ``file_bytes``.  Payloads are shuffled once: the decisions
 travel as marker rows that sort right before the pages they are about.  Every
 record is a gzip member of its own with its headers and digests computed anew.
 
@@ -35,6 +36,7 @@ import hashlib
 import uuid
 import zlib
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -58,21 +60,46 @@ def _revisits(pages: DataFrame, least_bytes: int) -> DataFrame:
         .select("page_id", "digest", "refers_to").distinct()
 
 
-def _shards(pages: DataFrame, shard_bytes: int) -> tuple[DataFrame, int, int, int]:
-    """(slice, shard) of the id slices, their number of shards, the smallest id and
-    the slice width; at most ``_SLICES`` counts come to the driver."""
-    spark = pages.sparkSession
+def _slice_bytes(pages: DataFrame, parts: list[tuple[int, int, int]]) -> dict[tuple[int, int], int]:
+    """{(part, slice): bytes} of the pages whose ids lie in the parts (start, end, width)
+    of the id range, each cut into slices of its width."""
+    starts, ends, widths = (np.array(x, np.int64) for x in zip(*parts))
+
+    def key(ids: pd.Series) -> pd.Series:
+        i = ids.to_numpy(np.int64)
+        at = np.maximum(np.searchsorted(starts, i, "right") - 1, 0)
+        inside = (i >= starts[at]) & (i <= ends[at])
+        # differences of ids may pass 2**63
+        offset = (i.view(np.uint64) - starts[at].view(np.uint64)) // widths[at].view(np.uint64)
+        return pd.Series(np.where(inside, at * (2 * _SLICES) + offset.astype(np.int64), -1))
+
+    sums = pages.where("page_id is not null").select(F.pandas_udf(key, "long")("page_id").alias("k"), "n_bytes") \
+        .where("k >= 0").groupBy("k").agg(F.sum(F.col("n_bytes") + 600).alias("n"))
+    return {divmod(k, 2 * _SLICES): n for k, n in sums.collect()}  # at most 2 * _SLICES rows
+
+
+def _shards(pages: DataFrame, shard_bytes: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """(first ids of slices, their shards, number of shards)."""
     low, high = pages.agg(F.min("page_id"), F.max("page_id")).first()
     if low is None:
-        low = high = 0
-    width = (high - low) // _SLICES + 1
-    sums = {s: n for s, n in pages.where("page_id is not null").groupBy(F.expr(f"(page_id - {low}L) div {width}L").alias("s"))
-            .agg(F.sum(F.col("n_bytes") + 600)).collect()}
-    table, total = [], 0
-    for s in sorted(sums):
-        table.append((s, total // shard_bytes))
-        total += sums[s]
-    return (spark.createDataFrame(table, "slice long, shard long"), table[-1][1] + 1 if table else 1, low, width)
+        return np.array([0], np.int64), np.array([0], np.int64), 1
+    todo, sizes = [(low, high)], {}
+    while todo:
+        per = max(2, _SLICES // len(todo))
+        parts = [(a, b, (b - a) // per + 1) for a, b in sorted(todo)]
+        todo = []
+        for (at, nth), n in _slice_bytes(pages, parts).items():
+            a, b, width = parts[at]
+            start, end = a + nth * width, min(b, a + (nth + 1) * width - 1)
+            if n > shard_bytes and end > start:
+                todo.append((start, end))
+            else:
+                sizes[start] = n
+    starts = sorted(sizes)
+    before = np.cumsum([0] + [sizes[s] for s in starts[:-1]], dtype=object)
+    # numbers without holes: a slice larger than a shard would leave some
+    shard = np.unique(np.array([n // shard_bytes for n in before]), return_inverse=True)[1]
+    return np.array(starts, np.int64), shard.astype(np.int64), int(shard[-1]) + 1
 
 
 def record_bytes(page_id, key: str, url: str, payload: bytes, digest: str, refers: str | None,
@@ -107,14 +134,20 @@ def write_archive(pages: DataFrame, folder: str, id_col: str = "page_id", url_co
     html = F.coalesce(F.col(payload_col).cast("string"), F.lit(""))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"),
                         html.alias("html")).withColumn("n_bytes", F.octet_length("html").cast("long"))
-    slices, n_shards, low, width = _shards(rows, shard_bytes)
+    starts, shards, n_shards = _shards(rows, shard_bytes)
+
+    def shard_of(ids: pd.Series) -> pd.Series:
+        known = ids.notna().to_numpy()
+        i = np.array([int(x) for x in ids[known]], np.int64)
+        out = np.zeros(len(ids), np.int64)  # null ids: shard 0
+        out[known] = shards[np.maximum(np.searchsorted(starts, i, "right") - 1, 0)]
+        return pd.Series(out)
+
     marks = _revisits(rows, least_bytes).select("page_id", "digest", "refers_to", F.lit(0).alias("is_page"),
                                                 F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"))
     both = marks.unionByName(rows.select("page_id", F.sha1("html").alias("digest"), F.lit(None).cast("long").alias("refers_to"),
                                          F.lit(1).alias("is_page"), "url", "html"))
-    sharded = both.withColumn("slice", F.expr(f"(page_id - {low}L) div {width}L")) \
-        .join(F.broadcast(slices), "slice", "left").drop("slice") \
-        .withColumn("shard", F.coalesce("shard", F.lit(0)).cast("long"))  # null ids: shard 0
+    sharded = both.withColumn("shard", F.pandas_udf(shard_of, "long")(F.col("page_id").cast("string")))
     dealt = sharded.repartitionById(n_shards, F.col("shard").cast("int")) \
         .sortWithinPartitions("shard", "page_id", "digest", "is_page", "url") \
         .withColumns({c: F.col(c).cast("string") for c in ("page_id", "refers_to")})  # pandas would make them floats
@@ -200,19 +233,25 @@ def parse_records(data: bytes):
 
 def read_archive(folder: str, manifest: DataFrame) -> DataFrame:
     """One row per record: page_id, url, payload_bytes, payload_digest,
-    record_type, refers_to, payload (null for revisits).  Damage is an error."""
+    record_type, refers_to, payload (null for revisits).  Damage is an error: a file of
+    the manifest that is missing, or whose size, digest or number of records differs."""
     spark = manifest.sparkSession
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(folder) \
         .select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
-    listed = files.join(manifest.select("file", "records", "sha1"), "file")
+    lost = manifest.select("file").join(files.select("file"), "file", "left_anti").first()  # names alone
+    if lost is not None:
+        raise ValueError(f"{lost.file} of the manifest is missing")
+    listed = files.join(F.broadcast(manifest.select("file", "records", "bytes", "sha1")), "file") \
+        if manifest.count() <= 1_000_000 else files.join(manifest.select("file", "records", "bytes", "sha1"), "file")
 
     def run(batches):
         for b in batches:
             for f in b.itertuples(index=False):
-                if hashlib.sha1(f.content).hexdigest() != f.sha1:
+                if len(f.content) != f.bytes or hashlib.sha1(f.content).hexdigest() != f.sha1:
                     raise ValueError(f"{f.file} differs from its manifest entry")
-                rows = []
+                rows, n = [], 0
                 for h, block in parse_records(f.content):
+                    n += 1
                     if sha1_base32(block) != h["WARC-Block-Digest"].removeprefix("sha1:"):
                         raise ValueError(f"{f.file}: block digest")
                     digest, kind = h["WARC-Payload-Digest"].removeprefix("sha1:"), h["WARC-Type"]
@@ -224,6 +263,8 @@ def read_archive(folder: str, manifest: DataFrame) -> DataFrame:
                     if len(rows) == 500:
                         yield _frame(rows)
                         rows = []
+                if n != f.records:
+                    raise ValueError(f"{f.file} has {n} records, its manifest entry {f.records}")
                 yield _frame(rows)
 
     records = listed.mapInPandas(run, "page_id string, url string, payload_bytes long, payload_digest string, "

@@ -73,6 +73,32 @@ def test_payloads_come_back_and_damage_is_found(spark):
         warc.read_archive(folder, manifest.withColumn("sha1", F.lit("0"))).collect()
 
 
+def test_a_lost_file_or_record_is_found(spark):
+    import os
+    df = spark.createDataFrame([(i, "u", f"page {i}" * 30) for i in range(40)], "page_id long, url string, html string")
+    folder = fresh_folder(spark, "w")
+    manifest = warc.write_archive(df, folder, file_bytes=1500, shard_bytes=9000)
+    files = sorted(r.file for r in manifest.collect())
+    assert len(files) > 3 and warc.read_archive(folder, manifest).count() == 40
+    with pytest.raises(Exception, match="records, its manifest entry"):
+        warc.read_archive(folder, manifest.withColumn("records", F.col("records") + 1)).collect()
+    os.remove(f"{folder.removeprefix('file:')}/{files[1]}")
+    with pytest.raises(Exception, match="of the manifest is missing"):
+        warc.read_archive(folder, manifest).collect()
+
+
+def test_shards_follow_the_ids(spark):
+    """Clustered ids, outliers at both ends of the range, an id that repeats."""
+    ids = [-(1 << 63), (1 << 63) - 1] + [10**12 + i for i in range(300)] + [5] * 40
+    df = spark.createDataFrame([(i, "u", "x" * 400) for i in ids], "page_id long, url string, html string")
+    manifest = warc.write_archive(df.repartition(4), fresh_folder(spark, "w"), shard_bytes=20_000).collect()
+    records = {}
+    for r in manifest:
+        records[r.shard] = records.get(r.shard, 0) + r.records
+    assert sum(records.values()) == len(ids) and len(records) >= 12
+    assert max(records.values()) <= 41 + 20  # the id that repeats is one slice
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "page_id long, url string, html string")
     assert warc.archive_round_trip(df).count() == 0
