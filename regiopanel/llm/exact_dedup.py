@@ -2,15 +2,19 @@
 
 Every scan partition becomes one run: (digest, id) rows sorted by digest and
 written to the shared folder, so texts are read once and never shuffled.  Runs
-are then merged in binomial rounds of ``fan_in`` runs: in each round a run joins
-the run with the lowest number of its block, and equal digests merge into one
-entry that keeps the winning identifier and the number of rows.  Entries of a
-block stay spread over all tasks by digest, so the last round, with one run
-left, is as parallel as the first, and a digest held by a third of all rows
-costs at most one entry for each run.
+are then merged in rounds of ``fan_in`` runs: in each round a run joins the run with
+the lowest number of its block, and equal digests merge into one entry that keeps the
+winning identifier and the number of rows.  Entries of a block stay spread over all
+tasks by digest, so the last round, with one run left, is as parallel as the first,
+and a digest held by a third of all rows costs at most one entry for each run.
+
+What is left of the dealt method: runs, rounds of a tree, the winning identifier kept at
+every level.  The merge itself is Spark's hash aggregation on (run, digest); it does not
+read the runs' order, which serves compression and row-group statistics only.
 
 Two texts count as equal when SHA-256, xxhash64 and byte length all agree, at
-every level; a digest collision would therefore keep its texts apart.
+every level; a collision of one of them would keep its texts apart.  Bytes are not
+compared.
 
 Defined cases: a null text equals the empty text; a null id loses against every
 other id; of several rows with the winning id exactly one is kept; an empty
