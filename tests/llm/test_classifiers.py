@@ -1,6 +1,9 @@
 """Held-out accuracy of the two classifiers, contract columns, edges."""
+import math
 import zlib
+from collections import defaultdict
 
+import numpy as np
 import pytest
 
 import __spark_entry__ as E
@@ -44,3 +47,76 @@ def test_keep_good_keeps_rows_whole(spark):
     out = quality.keep_good(docs, marks)
     assert out.columns == docs.columns
     assert [r.doc_id % 2 for r in out.collect()] == [1] * 60
+
+
+def sample_texts():
+    rng = np.random.default_rng(4)
+    words_ = ["calm", "sky", "river", "scum", "vile", "walks", "and", "Home"]
+    return [(i, " ".join(rng.choice(words_, rng.integers(0, 9))), i % 2) for i in range(40)]
+
+
+def test_ftrl_steps_equal_the_definition(spark):
+    """Weights of the operator's training against FTRL-proximal written out per feature."""
+    rows = sample_texts()
+    sample = spark.createDataFrame([(i, y, t) for i, t, y in rows], "ord long, label int, text string")
+    bits, alpha, beta, l1, l2 = 12, 0.7, 1.3, 0.05, 0.2
+    got = toxicity.train(sample, bits, 2, alpha, beta, l1, l2)
+    z, n = defaultdict(float), defaultdict(float)
+
+    def weight(f):
+        bound = 0.0 if f == 1 << bits else l1
+        if abs(z[f]) <= bound:
+            return 0.0
+        return -(z[f] - math.copysign(bound, z[f])) / ((beta + math.sqrt(n[f])) / alpha + l2)
+
+    for _ in range(2):
+        for _i, t, y in rows:
+            fs = [int(f) for f in toxicity.features(t, bits)] + [1 << bits]
+            w = {f: weight(f) for f in fs}
+            g = 1 / (1 + math.exp(-sum(w.values()))) - y
+            for f in fs:
+                sigma = (math.sqrt(n[f] + g * g) - math.sqrt(n[f])) / alpha
+                z[f] += g - sigma * w[f]
+                n[f] += g * g
+    assert np.allclose(got, [weight(f) for f in range((1 << bits) + 1)], atol=1e-9) and np.count_nonzero(got) > 10
+
+
+def test_toxicity_features_are_words_bigrams_and_skip_grams():
+    """Every feature of a text is one of its words, or two of its words in order with at
+    most two between them."""
+    bits = 40
+    of = lambda *pair: {int(x) for x in toxicity.features(" ".join(pair), bits)}
+    words_ = ["one", "two", "three", "four", "five", "six"]
+    single = {next(iter(of(w))) for w in words_}
+    whole = {int(x) for x in toxicity.features("One two, THREE four five six", bits)}
+    assert single < whole and len(whole) == 6 + 5 + 4 + 3
+    assert of("one", "two") - single == (whole - single) & of("one", "two") and len(of("one", "two")) == 3
+
+
+def test_sgd_steps_equal_the_definition(spark):
+    """Logit differences of the operator's training against plain loops."""
+    rows = sample_texts()
+    sample = spark.createDataFrame([(i, y, t) for i, t, y in rows], "ord long, label int, text string")
+    bits, dim, epochs, rate = 10, 4, 2, 0.5
+    got, got_bias = quality.train(sample, bits, dim, epochs, rate)
+    rng = np.random.default_rng(7)
+    vec = rng.uniform(-1 / dim, 1 / dim, (1 << bits, dim)).astype(np.float32).astype(float)
+    out, bias, step, seen = np.zeros((2, dim)), np.zeros(2), 0, set()
+    ordered = sorted(((i, y, t) for i, t, y in rows), key=lambda r: r[:2])
+    for _ in range(epochs):
+        for k in rng.permutation(len(ordered)):
+            _, y, t = ordered[k]
+            slots = [int(x) for x in quality.features(t, bits)]
+            lr, step = rate * (1 - step / (epochs * len(ordered))), step + 1
+            mean = sum((vec[x] for x in slots), np.zeros(dim)) / max(1, len(slots))
+            e = [math.exp(out[c] @ mean + bias[c]) for c in (0, 1)]
+            g = [e[c] / sum(e) - (c == y) for c in (0, 1)]
+            back = out[0] * g[0] + out[1] * g[1]
+            for c in (0, 1):
+                out[c] -= lr * g[c] * mean
+                bias[c] -= 0.1 * lr * g[c]
+            for x in slots:
+                vec[x] -= lr * back / len(slots)
+            seen |= set(slots)
+    want = np.array([vec[x] @ (out[1] - out[0]) if x in seen else 0 for x in range(1 << bits)])
+    assert np.allclose(got, want, atol=1e-4) and abs(got_bias - (bias[1] - bias[0])) < 1e-4 and np.count_nonzero(got) > 20
