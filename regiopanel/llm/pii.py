@@ -1,7 +1,7 @@
 """Personal data by anchor expansion.
 
 One Aho-Corasick automaton finds anchors in a text: at-signs, plus signs, digits,
-URL schemes and identifier cue words.  From each anchor a deterministic parser of
+URL schemes, identifier cue words and the heads of bank account numbers.  From each anchor a deterministic parser of
 its kind grows the span to the left and right, and a validator decides:
 
 - email: the at-sign between a local part and a dotted domain;
@@ -9,9 +9,13 @@ its kind grows the span to the left and right, and a validator decides:
 - card: digits, singly separated by blanks or hyphens, 14 to 19 of them, Luhn;
 - phone: a plus sign and 10 to 15 digits with blanks, dots, brackets, hyphens;
 - url: scheme, host, and the rest up to white space;
-- account: a cue word (account, iban, passport, ...), separators, and an
-  identifier of 6 or more letters and digits with 4 digits or more;
-- address: a cue word (street, avenue, ...) after a house number and a name.
+- account: an IBAN, of its country's length, in groups or in one, whose check digits are
+  right; or a cue word (account, passport, Konto, compte, cuenta, ...), fillers like "no."
+  or "Nr.", and an identifier of 6 or more letters and digits with 4 digits or more, in
+  groups or in one.  An identifier of an IBAN's shape must be a right one;
+- address: English (12 Long Hill St.), French (12 bis, rue de la Paix), German
+  (Hauptstrasse 12 a, Lange Strasse 5) and Spanish (Calle de Alcala, 42) forms, from the
+  word for the kind of street to both sides.
 
 The first four are the base kinds.  Their spans are those of leftmost,
 non-overlapping matching of each kind's pattern from the left of the text, with
@@ -26,6 +30,7 @@ repeat are each reported; an empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
+import re
 import string
 
 import ahocorasick
@@ -45,8 +50,31 @@ _PHONE = frozenset(" ().-" + string.digits)
 _ALNUM = frozenset(string.ascii_letters + string.digits)
 
 SCHEMES = ("http://", "https://", "ftp://")
-ACCOUNT_CUES = ("account", "iban", "passport", "ssn", "customer id", "konto", "compte", "cuenta")
-ADDRESS_CUES = ("street", "avenue", "road", "lane", "boulevard")
+# Cue words before an identifier, and street words, in four languages.
+ACCOUNT_CUES = ("account", "acct", "iban", "passport", "ssn", "customer id", "social security", "tax id",
+                "konto", "kontonummer", "reisepass", "kundennummer", "steuernummer", "ausweis",
+                "compte", "passeport", "sécurité sociale", "cuenta", "pasaporte", "dni", "nie")
+ENGLISH_STREETS = ("street", "st", "avenue", "ave", "road", "rd", "lane", "ln", "boulevard", "blvd", "drive", "dr", "square", "court", "way",
+                   "terrace", "crescent", "highway")
+FRENCH_STREETS = ("rue", "avenue", "boulevard", "place", "chemin", "allée", "impasse", "quai", "route", "cours")
+GERMAN_STREETS = ("straße", "strasse", "str.", "weg", "platz", "allee", "gasse", "ufer", "damm", "chaussee")
+SPANISH_STREETS = ("calle", "avenida", "avda.", "plaza", "paseo", "carretera", "camino", "ronda")
+# Lengths of the countries' IBANs.
+IBAN_LENGTHS = dict(x.split() for x in (
+    "AD 24,AE 23,AL 28,AT 20,AZ 28,BA 20,BE 16,BG 22,BH 22,BR 29,BY 28,CH 21,CR 22,CY 28,CZ 24,DE 22,DK 18,DO 28,EE 20,EG 29,ES 24,FI 18,"
+    "FO 18,FR 27,GB 22,GE 22,GI 23,GL 18,GR 27,GT 28,HR 21,HU 28,IE 22,IL 23,IQ 23,IS 26,IT 27,JO 30,KW 30,KZ 20,LB 28,LC 32,LI 21,LT 20,"
+    "LU 20,LV 21,MC 27,MD 24,ME 22,MK 19,MR 27,MT 31,MU 30,NL 18,NO 15,PK 24,PL 28,PS 29,PT 25,QA 29,RO 24,RS 22,SA 24,SE 24,SI 19,SK 24,"
+    "SM 27,TN 24,TR 26,UA 29,VA 22,VG 24,XK 20").split(","))
+
+_FILLER = re.compile(r"(?:[ :#=.\"]|\b(?:no|nr|num|number|nummer|numéro|número|n°|nº|is|ist|est|es|id)\b\.?|n[°º])*", re.IGNORECASE)
+_IDENTIFIER = re.compile(r"[A-Za-z0-9]+(?:[ -][A-Za-z0-9]*[0-9][A-Za-z0-9]*|-[A-Za-z0-9]+)*")
+_NAME = r"[A-ZÀ-ÖØ-Þ][\w'’-]*"
+_NUMBER_BEFORE = re.compile(r"(?<![\w])[0-9]{1,5}[a-zA-Z]?(?: ?(?:bis|ter))?,? $")
+_ENGLISH_BEFORE = re.compile(rf"(?<![\w])[0-9]{{1,5}}[a-zA-Z]?,? (?:{_NAME} ){{1,3}}$")
+_FRENCH_AFTER = re.compile(rf"(?: (?:de|du|des|la|le|les|et|aux?|sur|d['’]|l['’]|{_NAME}))*? {_NAME}(?: (?:{_NAME}|de {_NAME}))*| (?:de l['’]|d['’]|l['’]){_NAME}")
+_GERMAN_BEFORE = re.compile(rf"(?:{_NAME}[ -]){{0,2}}(?:[A-ZÄÖÜ][\wäöüß-]*)?$")
+_GERMAN_AFTER = re.compile(r" [0-9]{1,4}(?: ?[a-z]\b)?(?![\w])")
+_SPANISH_AFTER = re.compile(rf"(?: (?:de|del|la|las|los|el|y|{_NAME}))*? {_NAME}(?: (?:(?:de|del|la|las|los|el|y) )*{_NAME})*,?(?: n[ºo°]\.?)? [0-9]{{1,5}}(?![\w])")
 
 
 def _run(text: str, at: int, chars: frozenset) -> int:
@@ -132,37 +160,69 @@ def _cue_starts(text: str, at: int, cue: int) -> bool:
     return (at == 0 or text[at - 1] not in _ALNUM) and (at + cue >= len(text) or text[at + cue] not in _ALNUM)
 
 
+def iban_ok(value: str) -> bool:
+    """Length and check digits of an IBAN without blanks."""
+    if IBAN_LENGTHS.get(value[:2].upper()) != str(len(value)) or not value.isalnum() or not value.isascii():
+        return False
+    moved = value[4:] + value[:4]
+    return int("".join(str(int(c, 36)) for c in moved)) % 97 == 1
+
+
+def parse_iban(text: str, at: int, head: int):
+    """An IBAN whose country and first check digit are at ``at``; groups are parted by
+    single blanks."""
+    if at and text[at - 1] in _ALNUM:
+        return None
+    want, end, value = int(IBAN_LENGTHS[text[at:at + 2].upper()]), at, []
+    while len(value) < want and end < len(text):
+        if text[end] in _ALNUM:
+            value.append(text[end])
+        elif text[end] != " " or text[end - 1] == " ":
+            return None
+        end += 1
+    if len(value) < want or end < len(text) and text[end] in _ALNUM:
+        return None
+    return (at, end, True) if iban_ok("".join(value)) else None
+
+
 def parse_account(text: str, at: int, cue: int):
     if not _cue_starts(text, at, cue):
         return None
-    i = at + cue
-    while i < len(text) and text[i] in " :#=.\"":
-        i += 1
-    end = _run(text, i, _ALNUM | {"-"})
-    value = text[i:end].rstrip("-")
+    start = _FILLER.match(text, at + cue, at + cue + 40).end()
+    found = _IDENTIFIER.match(text, start, start + 60)
+    if not found:
+        return None
+    value = re.sub("[ -]", "", found.group())
     if len(value) < 6 or sum(c in _DIGIT for c in value) < 4:
         return None
-    return i, i + len(value), True
+    shaped = value[:2].isalpha() and value[2:4].isdigit() and IBAN_LENGTHS.get(value[:2].upper()) == str(len(value))
+    return None if shaped and not iban_ok(value) else (start, found.end(), True)
 
 
 def parse_address(text: str, at: int, cue: int):
-    """House number, one to three capitalised words, cue."""
-    if not _cue_starts(text, at, cue):
-        return None
-    i = at
-    for words in range(4):
-        j = i - 1
-        if j < 0 or text[j] != " ":
-            return None
-        k = j
-        while k > 0 and text[k - 1] not in " \n\t":
-            k -= 1
-        word = text[k:j]
-        if word and all(c in _DIGIT for c in word):
-            return (k, at + cue, True) if words and len(word) <= 5 else None
-        if not word[:1].isupper():
-            return None
-        i = k
+    """An address around the street word at ``at``, by the forms of its languages."""
+    word, end = text[at:at + cue].lower(), at + cue
+    alone = _cue_starts(text, at, cue)
+    if alone and word in ENGLISH_STREETS:
+        before = _ENGLISH_BEFORE.search(text, max(0, at - 80), at)
+        if before:
+            dotted = word in ("st", "ave", "rd", "ln", "blvd", "dr") and text[end:end + 1] == "."
+            return before.start(), end + dotted, True
+    if alone and word in FRENCH_STREETS:
+        before = _NUMBER_BEFORE.search(text, max(0, at - 14), at)
+        after = before and _FRENCH_AFTER.match(text, end, end + 80)
+        if after:
+            return before.start(), after.end(), True
+    if alone and word in SPANISH_STREETS or word == "avda." and not (at and text[at - 1] in _ALNUM):
+        after = _SPANISH_AFTER.match(text, end, end + 80)
+        if after:
+            return at, after.end(), True
+    if word in GERMAN_STREETS and (end >= len(text) or text[end] not in _ALNUM):
+        after = _GERMAN_AFTER.match(text, end, end + 12)
+        before = after and _GERMAN_BEFORE.search(text, max(0, at - 60), at)
+        # a word with this ending, or a capitalised street word behind names
+        if after and (before.start() < at or text[at].isupper()) and (before.start() == 0 or text[before.start() - 1] not in _ALNUM):
+            return (before.start(), after.end(), True) if before.group() or text[at].isupper() else None
     return None
 
 
@@ -173,10 +233,14 @@ def build_automaton() -> ahocorasick.Automaton:
         a.add_word(d, ("digit", 1))
     a.add_word("@", ("@", 1))
     a.add_word("+", ("+", 1))
-    for words, kind in ((SCHEMES, "url"), (ACCOUNT_CUES, "account"), (ADDRESS_CUES, "address")):
+    streets = ENGLISH_STREETS + FRENCH_STREETS + GERMAN_STREETS + SPANISH_STREETS
+    for words, kind in ((SCHEMES, "url"), (ACCOUNT_CUES, "account"), (streets, "address")):
         for w in words:
             for form in {w, w.capitalize(), w.upper()}:
                 a.add_word(form, (kind, len(form)))
+    for country in IBAN_LENGTHS:
+        for d in string.digits:
+            a.add_word(country + d, ("iban", 3))
     a.make_automaton()
     return a
 
@@ -212,8 +276,12 @@ def find_spans(text: str, automaton) -> list[tuple[int, int, str]]:
         elif anchor == "url":
             if at >= done["url"]:
                 take("url", parse_url(text, at, 0))
-        elif at >= done[anchor]:
-            take(anchor, (parse_account if anchor == "account" else parse_address)(text, at, length))
+        elif anchor == "address":
+            found = parse_address(text, at, length)
+            if found and found[0] >= done["address"]:
+                take("address", found)
+        elif at >= done["account"]:
+            take("account", (parse_account if anchor == "account" else parse_iban)(text, at, length))
     order = {k: i for i, k in enumerate(KINDS)}
     return sorted(spans, key=lambda s: (s[0], order[s[2]], s[1]))
 

@@ -84,3 +84,36 @@ def test_edges(spark):
     assert sorted(r.n_email for r in rows) == [0, 0, 0, 1]
     assert next(r for r in rows if r.n_email).spans == "email:200001:200007"
     assert pii.find_personal_data(df.where("false")).count() == 0
+
+
+def found(text, kind):
+    return [text[s:e] for s, e, k in pii.find_spans(text, AUTOMATON) if k == kind]
+
+
+def test_accounts_and_their_check_digits():
+    assert found("IBAN DE89 3704 0044 0532 0130 00, danke", "account") == ["DE89 3704 0044 0532 0130 00"]
+    assert found("pay to GB82WEST12345698765432 now", "account") == ["GB82WEST12345698765432"]
+    assert found("pay to FR14 2004 1010 0505 0001 3M02 606.", "account") == ["FR14 2004 1010 0505 0001 3M02 606"]
+    assert found("IBAN DE88 3704 0044 0532 0130 00", "account") == []  # wrong check digits
+    assert found("code DE89370400440532013000X", "account") == []
+    assert found("ACCOUNT no. 12345678 and Kontonummer: 532 013 000; cuenta nº 0012-3456-78", "account") == \
+        ["12345678", "532 013 000", "0012-3456-78"]
+    assert found("my account was closed in 2019", "account") == []
+    rng = random.Random(9)
+    for _ in range(200):  # right check digits by their definition, then one digit changed
+        bban = "".join(rng.choices("0123456789", k=18))
+        check = 98 - int(bban + "131400") % 97
+        value = f"DE{check:02d}{bban}"
+        assert pii.iban_ok(value)
+        at = rng.randrange(4, 22)
+        assert not pii.iban_ok(value[:at] + str((int(value[at]) + rng.randrange(1, 10)) % 10) + value[at + 1:])
+
+
+def test_addresses_in_four_languages():
+    for text in ("12 Long Hill Street", "12 Long Hill St.", "7b Baker St", "12 rue de la Paix", "3 bis, avenue Victor Hugo", "5 place de l'Opéra",
+                 "Hauptstraße 12", "Lange Straße 5 a", "Goethestr. 7", "Am Markt-Platz 3", "Calle de Alcalá, 42", "Avenida del Sol 5",
+                 "Plaza Mayor nº 1"):
+        assert found(f"sie wohnt: {text}, ja", "address") == [text], text
+    for text in ("the street was long", "in 1999 the road ended", "une rue de la ville", "er ging seinen Weg", "la calle mayor", "Weg 12x3",
+                 "on St. Mary's day"):
+        assert found(text, "address") == [], text
