@@ -260,15 +260,20 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return numbered.join(small_enough(dropped), row, "left_anti").drop(row)
 
 
-def _candidates(sets: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _candidates(sets: DataFrame, nodes: DataFrame, rounds: int = 3) -> tuple[DataFrame, DataFrame]:
     """(sig, node, size) of the signatures that two nodes or more have; the sets
-    without their signatures, which are removed."""
+    without their signatures, which are removed.  Signatures are dealt to ``rounds`` by
+    their value, so that only a part of them is in the shuffles at a time."""
     firsts = sets.select(F.col("row").alias("node"), F.col("n_shingles").alias("size"), "sigs") \
         .join(small_enough(nodes.select("node")), "node")
-    rows = firsts.select("node", "size", F.explode(F.array_distinct("sigs")).alias("sig"))
-    shared = stage(rows.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("sig"), "shared-signatures")
-    members = stage(rows.join(shared, "sig"), "candidates")
+    members = None
+    for turn in range(rounds):
+        mine = F.filter("sigs", lambda s: F.pmod(s, F.lit(rounds)) == turn)  # noqa: B023
+        rows = firsts.select("node", "size", F.explode(mine).alias("sig"))
+        shared = stage(rows.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("sig"), "shared-signatures")
+        some = stage(rows.join(shared, "sig"), "candidates")
+        drop_stage(shared)
+        members = some if members is None else members.union(some)
     light = stage(sets.drop("sigs"), "light-sets")
-    drop_stage(shared)
     drop_stage(sets)
     return members, light
