@@ -3,12 +3,14 @@ folder, word and hash helpers, shared-key filtering, connected components."""
 
 from __future__ import annotations
 
+import math
 import sys
 import types
 import uuid
 from contextlib import contextmanager
 
 import numpy as np
+import pandas as pd
 import xxhash
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -165,6 +167,22 @@ def small_enough(df: DataFrame, most_rows: int = 1_000_000) -> DataFrame:
     return F.broadcast(df) if df.count() <= most_rows else df
 
 
+def tree_sum(parts: DataFrame, tasks: int, most: int = 64) -> np.ndarray | None:
+    """The sum of float64 arrays (part long, data binary), one per task, added up in a
+    tree: nobody receives more than about the square root of the tasks, the driver at
+    most ``most`` arrays.  None without any."""
+
+    def add(frame: pd.DataFrame) -> pd.DataFrame:
+        total = sum(np.frombuffer(x, np.float64) for x in frame.sort_values("part")["data"])
+        return pd.DataFrame({"part": [int(frame["part"].iloc[0])], "data": [total.tobytes()]})
+
+    while tasks > most:
+        tasks = math.isqrt(tasks - 1) + 1
+        parts = parts.groupBy(F.pmod("part", F.lit(tasks)).alias("g")).applyInPandas(add, "part long, data binary")
+    got = sorted((r.part, bytes(r.data)) for r in parts.collect())
+    return sum(np.frombuffer(x, np.float64) for _, x in got) if got else None
+
+
 def kept_in_worker(key: str, make):
     """``make()``, once in the life of a Python worker.  Functions of this folder reach
     the workers by value, so a module of its own holds what tasks share."""

@@ -44,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import stage, tree_sum
 
 _BLOCK_BYTES = 8 << 20
 _BLOCKS = "ids array<long>, n int, d int, data binary"
@@ -86,20 +86,6 @@ def _matrix(data: bytes, d: int) -> np.ndarray:
     return np.frombuffer(data, np.int64).reshape(-1, d)
 
 
-def _tree_sum(parts: DataFrame, tasks: int) -> np.ndarray | None:
-    """The sum of float64 arrays (part, data), one per task, added up in a tree."""
-
-    def add(frame: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(x, np.float64) for x in frame.sort_values("part")["data"])
-        return pd.DataFrame({"part": [int(frame["part"].iloc[0])], "data": [total.tobytes()]})
-
-    while tasks > 64:
-        tasks = math.isqrt(tasks - 1) + 1
-        parts = parts.groupBy(F.pmod("part", F.lit(tasks)).alias("g")).applyInPandas(add, "part long, data binary")
-    got = sorted((r.part, bytes(r.data)) for r in parts.collect())  # at most 64 matrices
-    return sum(np.frombuffer(x, np.float64) for _, x in got) if got else None
-
-
 class Covariance:
     """Products with the covariance of staged blocks, each one pass over the data."""
 
@@ -149,7 +135,7 @@ class Covariance:
                 yield pd.DataFrame({"part": [TaskContext.get().partitionId()], "data": [np.ascontiguousarray(total, np.float64).tobytes()]})
 
         self.passes += 1
-        return _tree_sum(self.blocks.select("d", "data").mapInPandas(run, "part long, data binary"), self.tasks)
+        return tree_sum(self.blocks.select("d", "data").mapInPandas(run, "part long, data binary"), self.tasks)
 
     def times(self, q: np.ndarray) -> np.ndarray:
         """Covariance times q (d x b)."""
