@@ -328,8 +328,8 @@ def _upload(spark, d, kind):
         "rooms_beds": ("lineitem", UP.rooms_beds_upload, "rooms_beds_monthly"),
         "occupancy": ("lineitem", UP.occupancy_upload, "hotel_occupancy_monthly")}[kind]
     rows = PX.read_table(spark, d, table)
-    key = "o_orderpriority" if table == "orders" else "l_returnflag"
-    return ING.import_csv(spark, make(rows), dataset_type, split_bytes=UP.split_bytes_for(rows, key))
+    path = make(rows)
+    return ING.import_csv(spark, path, dataset_type, split_bytes=UP.split_bytes_of(spark, path))
 
 
 def q_import_visitors_csv(spark, d):

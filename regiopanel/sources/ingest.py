@@ -167,7 +167,12 @@ def typed_rows(raw: DataFrame, dataset_type: str, governorate: DataFrame | None
     df = raw.select(ROW, MALFORMED, F.struct(*[text(c).alias(c) for c in header]).alias("_raw"),
                     F.coalesce(blank, F.lit(False)).alias("_null_like"))
     raw_text = lambda c: F.col("_raw").getField(c)
-    t = lambda c: F.translate(raw_text(c), _DIGIT_SETS, _ASCII_DIGITS)  # noqa: E731  (numbers and dates)
+    # numbers and dates with ASCII digits; most texts have no other character at all
+    plain = lambda c: F.octet_length(c) == F.length(c)
+    numeric = [req[0]] if dataset_type == "admin_boundaries" else [req[0], M, *[c for c, _ in MEASURES[dataset_type]]]
+    df = df.withColumns({f"_t{i}": F.when(plain(raw_text(c)), raw_text(c)).otherwise(F.translate(raw_text(c), _DIGIT_SETS, _ASCII_DIGITS))
+                         for i, c in enumerate(numeric)})
+    t = lambda c: F.col(f"_t{numeric.index(c)}")
 
     df = _parse_int(df, t(req[0]), "_g", raw_text(req[0]))
     g_bad = F.col("_g_msg").isNotNull()

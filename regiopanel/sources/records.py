@@ -6,14 +6,15 @@ knows whether a quote is open.  So the text is read as plain lines, in splits, o
 1. *Scan.*  Every split is walked once for both cases, "a quote is open at its first
    line" and "none is".  A line without quotes leaves the state as it is; the others
    run through the reader's four states (field start, plain field, quoted field, quote
-   in a quoted field), which is exact also for quotes inside plain fields, where the
-   parity of quotes is not.  The lines are staged with their state before and after
+   in a quoted field), written as a regular expression for each case, which is exact also
+   for quotes inside plain fields, where the parity of quotes is not.  The lines are staged with their state before and after
    and their running record number, in both cases.
 2. *Prefix scan.*  A split maps the state at its start to the one at its end: it keeps
    it, flips it, or sets it.  Windows over one row per split give each split's true
    start state and the number of records before it.
-3. *Cut.*  Lines that are a whole record stay where they are.  Only the lines of
-   records that span several are shuffled, to be joined in order.
+3. *Cut.*  The lines of a record that lie next to each other in a batch are joined there.
+   Only the pieces of records that go over the end of a batch or a split are shuffled, to
+   be joined in order.  The records are staged once.
 
 Every record gets its number in its file, the header being 1, and ``_row``, one long
 that orders all records of an import: file number, then record number.  Files are in
@@ -48,17 +49,33 @@ class ImportRejected(ValueError):
     """Whole-file rejection (unknown dataset type, missing columns, a runaway quote)."""
 
 
+# From a field's start to a quoted field, and from a quoted field to one, as expressions:
+# _IN stays in it, _NEXT goes on to the next field's start.
+_IN = r'(?:[^"]|"")*'
+_NEXT = r'(?:[^",][^,]*)?,'
+_FIELDS = rf'(?:(?:"{_IN}")?{_NEXT})*'
+_OPENS = rf'^{_FIELDS}"{_IN}$'
+_STAYS = rf'^{_IN}(?:"{_NEXT}{_FIELDS}"{_IN})?$'
+
+
 def ends_open(line: bytes, is_open: bool) -> bool:
     """Is a quoted field open behind this line?  ``is_open``: was one before it."""
-    start, plain, quoted, quote = range(4)
-    state = quoted if is_open else start
-    parts = line.split(b'"')
-    for i, text in enumerate(parts):
-        if text and state != quoted:
-            state = start if text.endswith(b",") else plain
-        if i + 1 < len(parts):
-            state = {start: quoted, plain: plain, quoted: quote, quote: quoted}[state]
-    return state == quoted
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    return pc.match_substring_regex(pa.array([line], pa.binary()), _STAYS if is_open else _OPENS)[0].as_py()
+
+
+def _after(opens, stays, start: bool):
+    """Is a quoted field open behind each line?  ``opens``, ``stays``: whether one is
+    behind the line if none or one was before it; ``start``: was one before the first."""
+    import numpy as np
+
+    flips = np.cumsum(opens & ~stays)
+    at = np.maximum.accumulate(np.where(opens == stays, np.arange(len(opens)), -1))  # the last line that sets it
+    fixed = at >= 0
+    turns = flips - np.where(fixed, flips[at], 0) + np.where(fixed, opens[at], start)
+    return turns % 2 == 1
 
 
 def _walk(batches):
@@ -67,7 +84,7 @@ def _walk(batches):
     import pyarrow as pa
     import pyarrow.compute as pc
 
-    at, first, state, seen, n = None, 0, [False, True], [0, 0], 0
+    at, state, seen, n = None, [False, True], [0, 0], 0
     for b in batches:
         files, blocks = b.column("file"), b.column("block").to_numpy(zero_copy_only=False)
         values = b.column("value").cast(pa.binary())
@@ -81,27 +98,14 @@ def _walk(batches):
                 at, state, seen, n = key, [False, True], [0, 0], 0
             part = values.slice(lo, hi - lo)
             size = len(part)
-            marked = np.flatnonzero(pc.greater(pc.find_substring(part, b'"'), -1).to_numpy(zero_copy_only=False))
+            opens, stays = (pc.match_substring_regex(part, x).to_numpy(zero_copy_only=False) for x in (_OPENS, _STAYS))
             empty = pc.or_(pc.equal(pc.binary_length(part), 0), pc.equal(part, b"\r")).to_numpy(zero_copy_only=False)
-            before = [np.empty(size, bool), np.empty(size, bool)]
-            after = [np.empty(size, bool), np.empty(size, bool)]
-            done = 0
-            for m in marked:
-                line = part[int(m)].as_py()
-                for h in (0, 1):
-                    before[h][done:m + 1] = state[h]
-                    after[h][done:m] = state[h]
-                after_both = [ends_open(line, state[0])]
-                after_both.append(after_both[0] if state[0] == state[1] else ends_open(line, state[1]))
-                for h in (0, 1):
-                    after[h][m] = state[h] = after_both[h]
-                done = m + 1
-            records = []
+            before, after, records = [], [], []
             for h in (0, 1):
-                before[h][done:] = after[h][done:] = state[h]
-                count = np.cumsum(~before[h] & ~empty) + seen[h]
-                records.append(count)
-                seen[h] = int(count[-1])
+                after.append(_after(opens, stays, state[h]))
+                before.append(np.concatenate([[state[h]], after[h][:-1]]))
+                records.append(np.cumsum(~before[h] & ~empty) + seen[h])
+                state[h], seen[h] = bool(after[h][-1]), int(records[h][-1])
             yield pa.RecordBatch.from_arrays(
                 [files.slice(lo, size), pa.array(blocks[lo:hi]), pa.array(np.arange(n, n + size)), b.column("value").slice(lo, size),
                  *map(pa.array, (*before, *after, *records))],
@@ -109,6 +113,38 @@ def _walk(batches):
             n += size
 
 
+def _cut(max_record_bytes: int):
+    """Joins neighbouring lines of a record; ``whole`` is false for a piece that goes on
+    before or behind its batch, and for a record over the limit."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        for b in batches:
+            value = b.column("value")
+            part = pc.or_(b.column("open"), b.column("after"))
+            b = b.filter(pc.or_(part, pc.invert(pc.is_in(value, value_set=pa.array(["", "\r"], value.type)))))
+            if not len(b):
+                continue
+            block, line, record, open_, after = (b.column(c).to_numpy(zero_copy_only=False) for c in ("block", "line", "record", "open", "after"))
+            file = b.column("file").dictionary_encode().indices.to_numpy(zero_copy_only=False)
+            first = np.ones(len(b), bool)
+            first[1:] = (record[1:] != record[:-1]) | (line[1:] != line[:-1] + 1) | (block[1:] != block[:-1]) | (file[1:] != file[:-1])
+            at = np.flatnonzero(first)
+            ends = np.append(at[1:], len(b))
+            lines = pa.ListArray.from_arrays(pa.array(np.append(at, len(b)), pa.int32()), b.column("value").cast(pa.string()))
+            text = pc.binary_join(lines, "\n")
+            size = pc.binary_length(text).to_numpy(zero_copy_only=False) + 1
+            whole = ~open_[at] & ~after[ends - 1] & (size <= max_record_bytes)
+            heads = b.take(pa.array(at))
+            yield pa.RecordBatch.from_arrays([*(heads.column(c) for c in ("file", "record", "block", "line")), text, pa.array(whole)],
+                                             ["file", "record", "block", "line", "text", "whole"])
+
+    return run
+
+
 @contextmanager
 def _split_size(spark: SparkSession, split_bytes: int | None):
     keys = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
@@ -176,6 +212,8 @@ class CsvRecords:
             raise ImportRejected(f"More than {MAX_FILES} files in one import")
         self._splits = _small(splits.select("file", "block", "is_open", "before"))
         self._files = _small(self.files)
+        cut = self._resolved().mapInArrow(_cut(max_record_bytes), "file string, record long, block long, line long, text string, whole boolean")
+        self.cut = stage_table(cut, "csv-records", "whole")
         self.headers = self._headers()
 
     def _resolved(self) -> DataFrame:
@@ -184,26 +222,24 @@ class CsvRecords:
             "file", "block", "line", "value", pick("open").alias("open"), pick("after").alias("after"),
             (F.col("before") + pick("rec")).alias("record"))
 
-    def texts(self, lines: DataFrame | None = None) -> DataFrame:
+    def texts(self) -> DataFrame:
         """(file, record, text) of all records, headers included (step 3)."""
-        lines = self._resolved() if lines is None else lines
-        own = F.regexp_replace("value", "\r$", "")
-        whole = lines.where(~F.col("open") & ~F.col("after") & ~F.col("value").isin("", "\r")).select("file", "record", own.alias("text"))
-        parts = lines.where(F.col("open") | F.col("after"))
+        own = F.regexp_replace("text", "\r$", "").alias("text")
+        whole = self.cut.where("whole").select("file", "record", own)
+        parts = self.cut.where("not whole")
         if parts.isEmpty():
             return whole
-        worst = parts.groupBy("file", "record").agg(F.sum(F.octet_length("value") + 1).alias("n")) \
+        worst = parts.groupBy("file", "record").agg(F.sum(F.octet_length("text") + 1).alias("n")) \
             .agg(F.max(F.struct("n", "file", "record")).alias("w")).first().w
         if worst.n > self.max_record_bytes:
             raise ImportRejected(f"Record {worst.record} of {worst.file} has {worst.n} bytes: a quote in it is never closed")
-        joined = parts.groupBy("file", "record").agg(F.sort_array(F.collect_list(F.struct("block", "line", "value"))).alias("p"))
-        text = F.regexp_replace(F.array_join("p.value", "\n"), "\r$", "")
-        return whole.unionByName(joined.select("file", "record", text.alias("text")))
+        joined = parts.groupBy("file", "record").agg(F.sort_array(F.collect_list(F.struct("block", "line", "text"))).alias("p"))
+        return whole.unionByName(joined.select("file", "record", F.array_join("p.text", "\n").alias("text")).select("file", "record", own))
 
     def _headers(self) -> list[tuple[int, list[str], DataFrame]]:
         """(number, columns, files with it) of each distinct header."""
         # the lines of record 1 are at most max_record_bytes of each file
-        first = self.texts(self._resolved().where("record = 1")).select("file", F.regexp_replace("text", "^﻿", "").alias("header"))
+        first = self.texts().where("record = 1").select("file", F.regexp_replace("text", "^﻿", "").alias("header"))
         first = stage_table(first, "csv-headers")
         distinct = sorted(r.header for r in first.select("header").distinct().limit(MAX_HEADERS + 1).collect())
         if len(distinct) > MAX_HEADERS:
@@ -214,10 +250,10 @@ class CsvRecords:
     def rows(self, columns: list[str], files: DataFrame | None = None) -> DataFrame:
         """Records parsed with these columns: ``_row``, ``_malformed`` (too few or too
         many fields) and the columns as text, by their last place where a name repeats."""
-        lines = self._resolved()
+        texts = self.texts().where("record > 1")
         if files is not None:
-            lines = lines.join(_small(files), "file", "left_semi")
-        texts = self.texts(lines).where("record > 1").join(self._files, "file") \
+            texts = texts.join(_small(files), "file", "left_semi")
+        texts = texts.join(self._files, "file") \
             .select((F.col("file_no").cast("long") * (1 << RECORD_BITS) + F.col("record")).alias("_row"), "text")
         schema = ", ".join([f"c{i} string" for i in range(len(columns))] + ["_corrupt_record string"])
         parsed = texts.select("_row", F.from_csv("text", F.lit(schema), {

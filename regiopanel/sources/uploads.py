@@ -29,6 +29,14 @@ def split_bytes_for(df: DataFrame, text_col: str, least: int = 1 << 16, most: in
     return max(least, min(most, total // 64))
 
 
+def split_bytes_of(spark, path: str, least: int = 1 << 16, most: int = 128 << 20) -> int:
+    """The same by the size of the files of a folder or a glob."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    total = sum(fs.getContentSummary(s.getPath()).getLength() for s in fs.globStatus(p))
+    return max(least, min(most, total // 64))
+
+
 def documents_upload(documents: DataFrame) -> str:
     """One record per document: doc_id, text, lang, in the order of doc_id."""
     folder = new_folder(documents, "upload-documents")

@@ -103,3 +103,24 @@ def test_outputs_read_their_columns_without_a_sort(spark, tmp_path):
     read = re.findall(r"ReadSchema: struct<([^\n]*)>", errors)
     assert read and all("total_beds" not in x and "raw_row_json" in x for x in read)
     assert "PartitionFilters: [isnotnull(_ok" in loaded and "PartitionFilters: [isnotnull(_ok" in errors
+
+
+def test_records_are_cut_in_place(spark, tmp_path):
+    """Only records that go over the end of a batch leave their task, and the smallest
+    batches give the same records."""
+    want = [["id", "note"]] + [[str(i), ['a "b"\nc', "\n\r\n", "plain", 'x,"', "one\ntwo\nthree"][i % 5]] for i in range(400)]
+    with open(tmp_path / "f.csv", "w", newline="") as f:
+        csv.writer(f, lineterminator="\n").writerows(want)
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    got = {}
+    try:
+        for size in ("3", "10000"):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+            records = R.CsvRecords(spark, str(tmp_path / "f.csv"), split_bytes=1500)
+            pieces = records.cut.where("not whole").count()
+            assert pieces > 50 if size == "3" else pieces < 40
+            got[size] = sorted((r.record, r.text) for r in records.texts().collect())
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    assert got["3"] == got["10000"]
+    assert [next(csv.reader(io.StringIO(t, newline=""))) for _, t in got["3"]] == want
