@@ -14,13 +14,13 @@ share of the class's count in the whole corpus.  The base score uses the word co
 
 Model.  One causal attention head over learned embeddings and positions with a
 residual to the class layer, whose logits start from the corpus-wide counts of the class
-behind each id (a fixed table).  All else is learned by numpy gradient descent (Adam):
-first on a bounded sample of training documents (``sample_docs`` with the smallest id
-hash) in one task, then from windows of all training documents, one for every
-``every`` words of a text.  Each of ``rounds`` rounds takes its share of the documents:
-every task goes on from the common parameters with its own documents, and the tasks'
-parameters are averaged by their numbers of windows, in a tree.  Parameters have a
-fixed size and are broadcast.
+behind each id (a fixed table).  All else is learned by numpy gradient descent (Adam)
+from every id of every training document, beginning with that table alone, in windows that hold each id once.  Each of
+``rounds`` rounds takes its share of the documents: every task goes on from the common
+parameters with its own documents, and the tasks' parameters are averaged by their
+numbers of windows, in a tree.  Parameters have a fixed size and are broadcast.  For
+trials on a part of the text, ``sample_docs`` documents can be learned first in one task,
+and ``every`` takes one window for that many words; the query uses neither.
 
 Scoring.  Windows of ``context + stride`` ids step by ``stride``; each window
 scores its last ``stride`` ids, with the ids before as context, so every token is
@@ -378,24 +378,50 @@ def train(sample: DataFrame, make, slot_of: np.ndarray, class_of: np.ndarray, ep
     return make().p if learned is None else pickle.loads(learned.model)  # None: no training document
 
 
-def refine(learn: DataFrame, make, parameters: dict, slot_of: np.ndarray, class_of: np.ndarray, rounds: int, every: int, rate: float) -> dict:
+def by_size(texts, most: int = 4_000_000):
+    """``texts`` in lists of about ``most`` characters, so that windows of long ones fit."""
+    part, size = [], 0
+    for t in texts:
+        part.append(t)
+        size += len(t or "")
+        if size >= most:
+            yield part
+            part, size = [], 0
+    if part:
+        yield part
+
+
+def training_windows(texts, ids_of: WordIds, slot_of: np.ndarray, class_of: np.ndarray, width: int,
+                     every: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(input slots, classes, valid) of the windows learned from: those that hold every id
+    once, or one for ``every`` words."""
+    if every is None:
+        ids, starts, ends = text_ids(texts, ids_of)
+        where, valid = windows(starts, ends, width)
+        return inputs_of(ids, starts, slot_of)[where], class_of[ids][where], valid
+    ids, before, valid = word_windows(texts, ids_of, width, every)
+    first = np.where(before < 0, 0, slot_of[before])[:, None]
+    return np.hstack([first, slot_of[ids[:, :-1]]]), class_of[ids], valid
+
+
+def refine(learn: DataFrame, make, parameters: dict, slot_of: np.ndarray, class_of: np.ndarray, rounds: int, every: int | None,
+           rates: list[float]) -> dict:
     """The parameters after ``rounds`` rounds over all training documents."""
     names, tasks = sorted(parameters), learn.rdd.getNumPartitions()
     flat = lambda p: np.concatenate([p[k].ravel() for k in names]).astype(np.float64)
     for turn in range(rounds):
         start = learn.sparkSession.sparkContext.broadcast(parameters)
 
-        def run(batches, start=start):
+        def run(batches, start=start, rate=rates[turn]):
             from pyspark import TaskContext
 
             model, ids_of, n = make(), WordIds(), 0
             model.p = {k: w.copy() for k, w in start.value.items()}
             for b in batches:
-                ids, before, valid = word_windows(b["text"], ids_of, model.context + model.stride, every)
-                if len(ids):
-                    first = np.where(before < 0, 0, slot_of[before])[:, None]
-                    model.fit(np.hstack([first, slot_of[ids[:, :-1]]]), class_of[ids], valid, 1, rate)
-                    n += len(ids)
+                for part in by_size(b["text"]):
+                    x, y, valid = training_windows(part, ids_of, slot_of, class_of, model.context + model.stride, every)
+                    model.fit(x, y, valid, 1, rate, max(8, min(128, len(x) // 120)))  # a small part in small steps
+                    n += len(x)
             if n:
                 data = np.append(flat(model.p) * n, n).tobytes()
                 yield pd.DataFrame({"part": [TaskContext.get().partitionId()], "data": [data]})
@@ -415,9 +441,9 @@ def refine(learn: DataFrame, make, parameters: dict, slot_of: np.ndarray, class_
 # --- the operator ----------------------------------------------------------
 
 def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 10, frequent: int = 200_000,
-              sample_docs: int = 2000, own: int = 64, shared: int = 96, slots: int = 1024, dim: int = 24,
+              sample_docs: int = 0, own: int = 64, shared: int = 96, slots: int = 1024, dim: int = 24,
               context: int = 16, stride: int = 48, epochs: int = 2, rate: float = 0.02, rows: int = 3000, near: int = 258,
-              rounds: int = 3, every: int = 400) -> DataFrame:
+              rounds: int = 3, every: int | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for
     every row of ``docs``; scores are log10 probabilities of whole texts."""
     spark = docs.sparkSession
@@ -443,10 +469,13 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
         model.base = base
         return model
 
-    chosen = learn.select("doc_id").distinct().withColumn("ord", F.xxhash64("doc_id")).orderBy("ord", "doc_id").limit(sample_docs)
-    sample = learn.join(F.broadcast(chosen), "doc_id").select("ord", F.coalesce("text", F.lit("")).alias("text"))
-    parameters = train(sample, make, slot_of, class_of, epochs, rate)
-    parameters = refine(learn, make, parameters, slot_of, class_of, rounds, every, rate / 4)
+    parameters, rates = make().p, [rate / 2 ** turn for turn in range(rounds)]
+    parameters["c"][:] = 0  # the model starts as the table of counts
+    if sample_docs:
+        chosen = learn.select("doc_id").distinct().withColumn("ord", F.xxhash64("doc_id")).orderBy("ord", "doc_id").limit(sample_docs)
+        sample = learn.join(F.broadcast(chosen), "doc_id").select("ord", F.coalesce("text", F.lit("")).alias("text"))
+        parameters, rates = train(sample, make, slot_of, class_of, epochs, rate), [rate / 4] * rounds
+    parameters = refine(learn, make, parameters, slot_of, class_of, rounds, every, rates)
     mass = subwords + 0.1
     ln_share = np.log(mass / np.bincount(class_of, mass, own + shared)[class_of])
     log_total = math.log10(n + 0.1 * (v + 1))

@@ -153,3 +153,14 @@ def test_held_out_texts_score_above_the_base(spark):
         rows = L.lm_scores(spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")).where("held_out") \
             .selectExpr("sum(score) / sum(n_tokens) s", "sum(base_score) / sum(n_tokens) b").collect()
         assert rows[0].s > rows[0].b, (sf, rows)
+
+
+def test_the_model_learns_from_every_id():
+    """One window after the other: no word of a training text is left out."""
+    ids_of = L.WordIds()
+    texts = [" ".join(f"w{i}x{k}" for k in range(n)) for i, n in enumerate((0, 1, 63, 64, 500))] + [None]
+    ids, starts, _ = L.text_ids(texts, ids_of)
+    slot_of = class_of = np.arange(L.VOCABULARY + 1)
+    x, y, valid = L.training_windows(texts, ids_of, slot_of, class_of, 64, None)
+    assert sorted(y[valid]) == sorted(ids)
+    assert sorted(x[valid]) == sorted(L.inputs_of(ids, starts, slot_of))
