@@ -32,15 +32,20 @@ def _polygon_rings(poly_text: Column) -> Column:
     return F.transform(rings, _ring_points)
 
 
-def _parsed(wkt: Column) -> tuple[Column, Column]:
-    """(the text, upper-cased, and its rings, whatever they are)."""
-    t = F.upper(F.coalesce(wkt, F.lit("")))
+def _let(value: Column, then) -> Column:
+    """``then`` of a value that is worked out once, however often ``then`` uses it."""
+    return F.transform(F.array(value), then)[0]
+
+
+def _coords(t: Column) -> Column:
+    """The rings of an upper-cased text, whatever they are."""
     body = F.regexp_replace(t, r"^\s*(MULTIPOLYGON|POLYGON)\s*", "")
-    # MULTIPOLYGON body: "((..),(..)),((..))" -> each polygon "(..),(..)"
-    polys = F.regexp_extract_all(body, F.lit(rf"\(\s*({_RING}(?:\s*,\s*{_RING})*)\s*\)"), 1)
-    multi = F.transform(polys, _polygon_rings)
-    single = F.array(_polygon_rings(body))
-    return t, F.when(t.rlike(r"^\s*MULTIPOLYGON"), multi).otherwise(single)
+
+    def rings(body):
+        # MULTIPOLYGON body: "((..),(..)),((..))" -> each polygon "(..),(..)"
+        polys = F.regexp_extract_all(body, F.lit(rf"\(\s*({_RING}(?:\s*,\s*{_RING})*)\s*\)"), 1)
+        return F.when(t.rlike(r"^\s*MULTIPOLYGON"), F.transform(polys, _polygon_rings)).otherwise(F.array(_polygon_rings(body)))
+    return _let(body, rings)
 
 
 def _each_ring(coords: Column, test) -> Column:
@@ -55,17 +60,29 @@ def _closed(ring: Column) -> Column:
     return ring[0] == F.element_at(ring, -1)
 
 
+def wkt_geometry(wkt: Column) -> Column:
+    """(geometry, problem) of a text, one of them NULL or, if only ``ring_problem`` finds
+    fault, neither.  Each step is worked out once for a text; put a filter on it behind a
+    generator (``inline``), or Spark works the whole out again inside the filter."""
+    none = lambda why: F.struct(F.lit(None).cast("array<array<array<array<double>>>>").alias("geometry"), F.lit(why).alias("problem"))
+
+    def checked(coords):
+        whole = F.when(_each_ring(coords, lambda r: _long_enough(r) & _closed(r)), coords)
+        why = F.when(~_each_ring(coords, _long_enough), F.lit("a ring has fewer than 4 points")) \
+            .when(~_each_ring(coords, _closed), F.lit("a ring is not closed"))
+        return _let(whole, lambda g: F.struct(g.alias("geometry"), F.when(g.isNull(), why).otherwise(ring_problem(g)).alias("problem")))
+
+    return _let(F.upper(F.coalesce(wkt, F.lit(""))), lambda t: F.when(
+        ~t.rlike(_WKT), none("invalid WKT multipolygon")).otherwise(_let(_coords(t), checked)))
+
+
 def wkt_to_multipolygon(wkt: Column) -> Column:
-    t, coords = _parsed(wkt)
-    return F.when(t.rlike(_WKT) & _each_ring(coords, lambda r: _long_enough(r) & _closed(r)), coords)
+    return wkt_geometry(wkt)["geometry"]
 
 
 def wkt_problem(wkt: Column) -> Column:
     """Why a text gives no geometry; NULL when it does."""
-    t, coords = _parsed(wkt)
-    return F.when(~t.rlike(_WKT), F.lit("invalid WKT multipolygon")) \
-        .when(~_each_ring(coords, _long_enough), F.lit("a ring has fewer than 4 points")) \
-        .when(~_each_ring(coords, _closed), F.lit("a ring is not closed"))
+    return _let(wkt_geometry(wkt), lambda g: F.when(g["geometry"].isNull(), g["problem"]))
 
 
 def signed_area(ring: Column) -> Column:

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from regiopanel import schemas as S
-from regiopanel.functions.geo import ring_problem, wkt_problem, wkt_to_multipolygon
+from regiopanel.functions.geo import wkt_geometry
 from regiopanel.session import stage_table
 from regiopanel.sources.records import RECORD_BITS, CsvRecords, ImportRejected
 
@@ -178,9 +178,8 @@ def typed_rows(raw: DataFrame, dataset_type: str, governorate: DataFrame | None
     g_bad = F.col("_g_msg").isNotNull()
     out = {G: F.col("_g_val")}
     if dataset_type == "admin_boundaries":
-        df = df.withColumn("_geom", wkt_to_multipolygon(raw_text("wkt")))
-        bad = F.when(F.col("_geom").isNull(), wkt_problem(raw_text("wkt"))).otherwise(ring_problem(F.col("_geom")))
-        df = df.withColumn("_w_msg", bad)
+        # as a generator: filters on what it gives stay behind it, so a text is read once
+        df = df.select("*", F.inline(F.array(wkt_geometry(raw_text("wkt")))).alias("_geom", "_w_msg"))
         msgs = [F.col("_g_msg"), F.when(~g_bad, F.col("_w_msg"))]
         out.update({"governorate_code": raw_text("governorate_code"),
                     "governorate_name_en": raw_text("governorate_name_en"),

@@ -48,3 +48,13 @@ def test_reasons(spark):
     rows = {r.w: r for r in got.collect()}
     assert {w: r.m for w, r in rows.items()} == wkt
     assert rows["POLYGON((0 0, 9 0, 9 9, 0 9, 0 0), (1 1, 2 1, 2 2, 1 1))"].a == 80.5
+
+
+def test_boundaries_are_read_once(spark):
+    """However many rules look at a geometry, the plan works it out in one place."""
+    from regiopanel.sources import ingest
+    raw = spark.createDataFrame([("1", "N1", "a", "POLYGON((0 0, 4 0, 4 4, 0 0))"), ("2", "N2", "b", "POLYGON((0 0, 4 0, 4 4))")],
+                                "governorate_id string, governorate_code string, governorate_name_en string, wkt string")
+    loaded = ingest.parse_boundaries(raw.withColumn("wkt", F.concat("wkt", F.lit(""))))
+    assert loaded._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all(") <= 3  # polygons, rings of both kinds
+    assert [r.governorate_id for r in loaded.collect()] == [1]
