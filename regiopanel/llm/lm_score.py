@@ -46,30 +46,36 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_words, bounded_batches, id_text, kept_in_worker, stage, tree_sum
+from .common import ascii_words, bounded_batches, drop_stage, id_text, kept_in_worker, stage, tree_sum
 from .labelled import id_bucket
 from .packing import byte_encoding
 
 END_WORD = b""  # no word is empty
 VOCABULARY = 50257  # ids of the public vocabulary; the end token is the next one
 END = VOCABULARY
+PACKED = np.dtype("<u2")  # holds every id
 
 
-class WordIds:
-    """Subword ids of words, remembered for the words met so far."""
+class WordIds(dict):
+    """Subword ids of words, two bytes each, remembered for the words met so far."""
 
     def __init__(self, remember: int = 300_000):
+        super().__init__({END_WORD: np.array([END], PACKED).tobytes()})
         self.encode = kept_in_worker("byte_bpe_50k", byte_encoding).encode_ordinary
-        self.known, self.remember = {END_WORD: [END]}, remember
+        self.remember = remember
 
-    def __call__(self, word: bytes) -> list[int]:
-        ids = self.known.get(word)
-        if ids is None:
-            ids = self.encode(" " + word.decode())
-            if len(self.known) < self.remember:
-                self.known[word] = ids
+    def __missing__(self, word: bytes) -> bytes:
+        ids = np.array(self.encode(" " + word.decode()), PACKED).tobytes()
+        if len(self) < self.remember:
+            self[word] = ids
         return ids
 
+    def __call__(self, word: bytes) -> list[int]:
+        return np.frombuffer(self[word], PACKED).tolist()
+
+    def packed(self, words: list[bytes]) -> bytes:
+        return b"".join(map(self.__getitem__, words))
+
 
 # --- corpus counts ---------------------------------------------------------
 
@@ -131,9 +137,8 @@ def pair_counts(texts: DataFrame, row_of: np.ndarray, rows: int, slot_of: np.nda
 
     def run(batches):
         right, apart = np.zeros((rows + 1) * slots, np.int64), np.zeros((rows + 1) * near, np.int64)
-        ids_of = WordIds()
         for b in batches:
-            ids, starts, ends = text_ids(b["text"], ids_of)
+            ids, starts, ends = joined_ids(b["ids"])
             if not len(ids):
                 continue
             row, slot = row_of[ids], slot_of[ids]
@@ -151,7 +156,7 @@ def pair_counts(texts: DataFrame, row_of: np.ndarray, rows: int, slot_of: np.nda
         return pd.DataFrame({"row": [frame["row"].iloc[0]], "counts": [zlib.compress(total.tobytes(), 1)]})
 
     out = np.zeros((rows + 1, slots + near), np.int64)
-    sums = texts.mapInPandas(run, "row long, counts binary").groupBy("row").applyInPandas(add, "row long, counts binary")
+    sums = encoded(texts).select("ids").mapInPandas(run, "row long, counts binary").groupBy("row").applyInPandas(add, "row long, counts binary")
     for r in sums.collect():
         out[r.row] = np.frombuffer(zlib.decompress(bytes(r.counts)), np.int64)
     return out
@@ -208,40 +213,76 @@ class Attention:
                   "o": draw(dim, dim), "c": draw(dim, classes), "b": np.zeros(classes, np.float32)}
         self.base = np.zeros((slots, classes), np.float32)  # fixed logits behind each slot
         self.causal = np.where(np.arange(width)[None, :] <= np.arange(width)[:, None], 0, -1e4).astype(np.float32)
+        self.sees = np.exp(self.causal)  # 1 or 0
+
+    def gradients(self, x: np.ndarray, y: np.ndarray, valid: np.ndarray, block: int = 32):
+        """Loss and gradients for windows of inputs ``x`` and classes ``y``; the valid
+        places of a window come first.  Worked out for ``block`` windows at a time, which
+        stay in the processor's cache."""
+        n, base = max(1, int(valid.sum())), self.base + self.p["b"]
+        loss, grad, at_inputs = 0.0, None, []
+        for at in range(0, len(x), block):
+            part, g, dh = self._part_gradients(x[at:at + block], y[at:at + block], valid[at:at + block], base, n)
+            loss += part
+            at_inputs.append(dh)
+            if grad is None:
+                grad = g
+            else:
+                for name in g:
+                    grad[name] += g[name]
+        slots, d = self.p["E"].shape
+        at = (x.ravel()[:, None] * d + np.arange(d)).ravel()
+        grad["E"] = np.bincount(at, np.concatenate(at_inputs).ravel(), slots * d).reshape(slots, d).astype(self.p["E"].dtype)
+        return loss, grad
 
-    def gradients(self, x: np.ndarray, y: np.ndarray, valid: np.ndarray):
-        """Loss and gradients for windows of inputs ``x`` and classes ``y``."""
-        p, d = self.p, self.dim
-        h = p["E"][x] + p["P"]
-        q, k, v = h @ p["q"], h @ p["k"], h @ p["v"]
-        s = q @ k.transpose(0, 2, 1) / np.float32(math.sqrt(d)) + self.causal
-        s += np.where(valid, np.float32(0), np.float32(-1e4))[:, None, :]
-        a = np.exp(s - s.max(-1, keepdims=True))
-        a /= a.sum(-1, keepdims=True)
-        z = a @ v
-        u = h + z @ p["o"]
-        logit = u @ p["c"] + p["b"] + self.base[x]
-        e = np.exp(logit - logit.max(-1, keepdims=True))
-        e /= e.sum(-1, keepdims=True)
-        rows, cols = np.nonzero(valid)
-        n = max(1, len(rows))
-        loss = -np.log(e[rows, cols, y[rows, cols]] + 1e-30).sum() / n
-        e[rows, cols, y[rows, cols]] -= 1
-        g = np.where(valid[:, :, None], e, np.float32(0)) / np.float32(n)
+    def _part_gradients(self, x: np.ndarray, y: np.ndarray, valid: np.ndarray, base: np.ndarray, n: int):
+        """Loss, gradients but that of E, and the gradient at each place's input.  No valid
+        place attends to one that is not, as those come last."""
+        p, d, shape = self.p, self.dim, (*x.shape, self.dim)
         flat = lambda m: m.reshape(-1, m.shape[-1])
-        grad = {"c": flat(u).T @ flat(g), "b": flat(g).sum(0)}
-        du = g @ p["c"].T
-        dz, grad["o"] = du @ p["o"].T, flat(z).T @ flat(du)
-        da, dv = dz @ v.transpose(0, 2, 1), a.transpose(0, 2, 1) @ dz
-        ds = a * (da - (da * a).sum(-1, keepdims=True)) / np.float32(math.sqrt(d))
-        dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
-        for name, m in (("q", dq), ("k", dk), ("v", dv)):
-            grad[name] = flat(h).T @ flat(m)
-        dh = du + dq @ p["q"].T + dk @ p["k"].T + dv @ p["v"].T
-        grad["P"] = dh.sum(0)
-        grad["E"] = np.zeros_like(p["E"])
-        np.add.at(grad["E"], x.ravel(), flat(dh))
-        return loss, grad
+        norm = lambda m: float(np.sqrt(np.square(m).sum(-1).max()))
+        scale = np.float32(1 / math.sqrt(d))
+        h = p["E"][x] + p["P"]
+        qkv = np.concatenate([p["q"] * scale, p["k"], p["v"]], 1)
+        out = flat(h) @ qkv
+        q, k = out[:, :d].reshape(shape), out[:, d:2 * d].reshape(shape)
+        v = np.concatenate([out[:, 2 * d:], np.ones((len(out), 1), out.dtype)], 1).reshape(*x.shape, d + 1)
+        w = np.matmul(q, k.transpose(0, 2, 1))  # weights before they are divided by their sum
+        if norm(q) * norm(k) > 60:  # only then can exp overflow
+            w += self.causal
+            w -= w.max(-1, keepdims=True)
+        np.exp(w, out=w)
+        w *= self.sees
+        z = np.matmul(w, v)
+        total = z[:, :, d:]
+        z = z[:, :, :d] / total
+        u = h + (flat(z) @ p["o"]).reshape(shape)
+        at = np.flatnonzero(valid)
+        u_at, y_at, row = flat(u)[at], y.ravel()[at], np.arange(len(at))
+        e = u_at @ p["c"]
+        e += base[x.ravel()[at]]
+        if norm(u_at) * norm(p["c"].T) + float(np.abs(base).max()) > 80:
+            e -= e.max(-1, keepdims=True)
+        target = e[row, y_at]
+        np.exp(e, out=e)
+        each = e.sum(-1)
+        loss = float((np.log(each) - target).sum()) / n
+        e *= (1 / (each * n))[:, None].astype(e.dtype)
+        e[row, y_at] -= np.float32(1 / n) if e.dtype == np.float32 else 1 / n
+        grad = {"c": u_at.T @ e, "b": e.sum(0)}
+        du = np.zeros_like(flat(u))
+        du[at] = e @ p["c"].T
+        grad["o"] = flat(z).T @ du
+        dz = (du @ p["o"].T).reshape(shape) / total
+        dv = np.matmul(w.transpose(0, 2, 1), dz)
+        ds = np.matmul(np.concatenate([dz, -(dz * z).sum(-1, keepdims=True)], -1), v.transpose(0, 2, 1))
+        ds *= w
+        d_qkv = np.concatenate([flat(np.matmul(ds, k)), flat(np.matmul(ds.transpose(0, 2, 1), q)), flat(dv)], 1)
+        whole = flat(h).T @ d_qkv
+        grad["q"], grad["k"], grad["v"] = whole[:, :d] * scale, whole[:, d:2 * d], whole[:, 2 * d:]
+        dh = du + d_qkv @ qkv.T
+        grad["P"] = dh.reshape(shape).sum(0)
+        return loss, grad, dh
 
     def fit(self, x: np.ndarray, y: np.ndarray, valid: np.ndarray, epochs: int, rate: float, batch: int = 128) -> None:
         rng = np.random.default_rng(2)
@@ -322,16 +363,32 @@ def inputs_of(ids: np.ndarray, starts: np.ndarray, slot_of: np.ndarray) -> np.nd
     return x
 
 
+def joined_ids(packed) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Packed ids of texts in a row with the texts' starts and ends."""
+    ends = np.cumsum([len(x) // PACKED.itemsize for x in packed], dtype=np.int64)
+    return np.frombuffer(b"".join(packed), PACKED).astype(np.int64), np.concatenate([[0], ends[:-1]]).astype(np.int64), ends
+
+
+def packed_ids(texts, ids_of: WordIds) -> list[bytes]:
+    return [ids_of.packed([*ascii_words(t), END_WORD]) for t in texts]
+
+
 def text_ids(texts, ids_of: WordIds) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Ids of all texts in a row with their starts and ends."""
-    flat, ends = [], []
-    for t in texts:
-        for w in ascii_words(t):
-            flat += ids_of(w)
-        flat.append(END)
-        ends.append(len(flat))
-    ends = np.array(ends, np.int64)
-    return np.array(flat, np.int64), np.concatenate([[0], ends[:-1]]).astype(np.int64), ends
+    return joined_ids(packed_ids(texts, ids_of))
+
+
+def encoded(texts: DataFrame) -> DataFrame:
+    """(doc_id, ids): the packed ids of each whole text; as it is if it has ids already."""
+    if "ids" in texts.columns:
+        return texts
+
+    def run(batches):
+        ids_of = WordIds()
+        for b in batches:
+            yield pd.DataFrame({"doc_id": b["doc_id"], "ids": packed_ids(b["text"], ids_of)})
+
+    return texts.select("doc_id", "text").mapInPandas(run, "doc_id string, ids binary")
 
 
 def windows(starts: np.ndarray, ends: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -379,7 +436,8 @@ def train(sample: DataFrame, make, slot_of: np.ndarray, class_of: np.ndarray, ep
 
 
 def by_size(texts, most: int = 4_000_000):
-    """``texts`` in lists of about ``most`` characters, so that windows of long ones fit."""
+    """``texts``, or their packed ids, in lists of about ``most`` characters or bytes, so that
+    windows of long ones fit."""
     part, size = [], 0
     for t in texts:
         part.append(t)
@@ -391,14 +449,19 @@ def by_size(texts, most: int = 4_000_000):
         yield part
 
 
+def whole_windows(packed, slot_of: np.ndarray, class_of: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(input slots, classes, valid) of windows that hold every id of the packed texts once."""
+    ids, starts, ends = joined_ids(packed)
+    where, valid = windows(starts, ends, width)
+    return inputs_of(ids, starts, slot_of)[where], class_of[ids][where], valid
+
+
 def training_windows(texts, ids_of: WordIds, slot_of: np.ndarray, class_of: np.ndarray, width: int,
                      every: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(input slots, classes, valid) of the windows learned from: those that hold every id
     once, or one for ``every`` words."""
     if every is None:
-        ids, starts, ends = text_ids(texts, ids_of)
-        where, valid = windows(starts, ends, width)
-        return inputs_of(ids, starts, slot_of)[where], class_of[ids][where], valid
+        return whole_windows(packed_ids(texts, ids_of), slot_of, class_of, width)
     ids, before, valid = word_windows(texts, ids_of, width, every)
     first = np.where(before < 0, 0, slot_of[before])[:, None]
     return np.hstack([first, slot_of[ids[:, :-1]]]), class_of[ids], valid
@@ -406,7 +469,9 @@ def training_windows(texts, ids_of: WordIds, slot_of: np.ndarray, class_of: np.n
 
 def refine(learn: DataFrame, make, parameters: dict, slot_of: np.ndarray, class_of: np.ndarray, rounds: int, every: int | None,
            rates: list[float]) -> dict:
-    """The parameters after ``rounds`` rounds over all training documents."""
+    """The parameters after ``rounds`` rounds over all training documents, given by their
+    texts or, without ``every``, by their packed ids."""
+    what = "ids" if "ids" in learn.columns else "text"
     names, tasks = sorted(parameters), learn.rdd.getNumPartitions()
     flat = lambda p: np.concatenate([p[k].ravel() for k in names]).astype(np.float64)
     for turn in range(rounds):
@@ -418,15 +483,17 @@ def refine(learn: DataFrame, make, parameters: dict, slot_of: np.ndarray, class_
             model, ids_of, n = make(), WordIds(), 0
             model.p = {k: w.copy() for k, w in start.value.items()}
             for b in batches:
-                for part in by_size(b["text"]):
-                    x, y, valid = training_windows(part, ids_of, slot_of, class_of, model.context + model.stride, every)
+                for part in by_size(b[what]):
+                    width = model.context + model.stride
+                    x, y, valid = whole_windows(part, slot_of, class_of, width) if what == "ids" \
+                        else training_windows(part, ids_of, slot_of, class_of, width, every)
                     model.fit(x, y, valid, 1, rate, max(8, min(128, len(x) // 120)))  # a small part in small steps
                     n += len(x)
             if n:
                 data = np.append(flat(model.p) * n, n).tobytes()
                 yield pd.DataFrame({"part": [TaskContext.get().partitionId()], "data": [data]})
 
-        mine = learn.where(F.pmod(F.xxhash64("doc_id", F.lit("round")), F.lit(rounds)) == turn).select("text")
+        mine = learn.where(F.pmod(F.xxhash64("doc_id", F.lit("round")), F.lit(rounds)) == turn).select(what)
         total = tree_sum(mine.mapInPandas(run, "part long, data binary"), tasks)
         start.unpersist()
         if total is not None:
@@ -459,7 +526,8 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
     slot_of[order[:slots - 2]] = np.arange(2, slots)
     row_of = np.full(VOCABULARY + 1, rows, np.int64)
     row_of[order[:rows]] = np.arange(rows)
-    pairs = pair_counts(learn, row_of, rows, slot_of, slots, near)
+    ids = stage(encoded(learn), "ids")  # counted and learned from: each text is encoded once for both
+    pairs = pair_counts(ids, row_of, rows, slot_of, slots, near)
     right, apart = pairs[:, :slots], pairs[:, slots:]
     class_of = token_classes(order, subwords, right[:rows, :near], apart[:rows], own, shared)
     base = following_table(order, right, class_of, own + shared)
@@ -475,40 +543,31 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
         chosen = learn.select("doc_id").distinct().withColumn("ord", F.xxhash64("doc_id")).orderBy("ord", "doc_id").limit(sample_docs)
         sample = learn.join(F.broadcast(chosen), "doc_id").select("ord", F.coalesce("text", F.lit("")).alias("text"))
         parameters, rates = train(sample, make, slot_of, class_of, epochs, rate), [rate / 4] * rounds
-    parameters = refine(learn, make, parameters, slot_of, class_of, rounds, every, rates)
+    parameters = refine(learn if every else ids, make, parameters, slot_of, class_of, rounds, every, rates)
+    drop_stage(ids)
     mass = subwords + 0.1
     ln_share = np.log(mass / np.bincount(class_of, mass, own + shared)[class_of])
     log_total = math.log10(n + 0.1 * (v + 1))
-    sent = spark.sparkContext.broadcast((common, class_of, ln_share, slot_of, parameters, base))
+    logs = {w: math.log10(c + 0.1) for w, c in common.items()}
+    sent = spark.sparkContext.broadcast((logs, class_of, ln_share, slot_of, parameters, base))
 
     def score(batches):
-        common, class_of, ln_share, slot_of, parameters, base = sent.value
+        logs, class_of, ln_share, slot_of, parameters, base = sent.value
         model = Attention(slots, own + shared, dim, context, stride)
         model.p, model.base = parameters, base
-        ids_of, met = WordIds(remember=0), {}  # met: ids and log10 of the count of each frequent word
-
-        def entry(w: bytes):
-            c = common.get(w)
-            found = (ids_of(w), None if c is None else math.log10(c + 0.1))
-            if c is not None or len(met) < 400_000:
-                met[w] = found
-            return found
-
+        ids_of = WordIds(remember=600_000)
         for b in batches:
-            rows, flat, ends = [], [], []
+            rows, packed = [], []
             for t in b["text"]:
                 words = ascii_words(t)
                 words.append(END_WORD)
-                found = [met.get(w) or entry(w) for w in words]
-                for e in found:
-                    flat += e[0]
-                ends.append(len(flat))
-                logs = [e[1] for e in found if e[1] is not None]
-                rare = Counter(w for w, e in zip(words, found) if e[1] is None) if len(logs) < len(words) else {}
-                rows.append((len(words), len(logs), sum(logs), list(rare.keys()), list(rare.values())))
-            ends = np.array(ends, np.int64)
-            starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
-            ids = np.array(flat, np.int64)
+                packed.append(ids_of.packed(words))
+                found, rare = list(map(logs.get, words)), {}
+                if None in found:
+                    rare = Counter(w for w, e in zip(words, found) if e is None)
+                    found = [e for e in found if e is not None]
+                rows.append((len(words), len(found), sum(found), list(rare.keys()), list(rare.values())))
+            ids, starts, ends = joined_ids(packed)
             ln = model.log_probs(inputs_of(ids, starts, slot_of), class_of[ids], starts, ends) + ln_share[ids]
             out = pd.DataFrame(rows, columns=["n_tokens", "n_known", "base", "rare", "times"])
             out.insert(0, "doc_id", b["doc_id"].to_numpy())

@@ -164,3 +164,15 @@ def test_the_model_learns_from_every_id():
     x, y, valid = L.training_windows(texts, ids_of, slot_of, class_of, 64, None)
     assert sorted(y[valid]) == sorted(ids)
     assert sorted(x[valid]) == sorted(L.inputs_of(ids, starts, slot_of))
+
+
+def test_texts_are_encoded_once_before_training(spark, monkeypatch):
+    """The rounds read the staged ids, every id of every text, and no text again."""
+    df = spark.createDataFrame([("1", "a rare wordinesss"), ("2", None), ("3", "é b " * 40)], "doc_id string, text string")
+    ids = {r.doc_id: np.frombuffer(r.ids, L.PACKED).tolist() for r in L.encoded(df).collect()}
+    ids_of = L.WordIds()
+    assert ids == {r.doc_id: L.text_ids([r.text], ids_of)[0].tolist() for r in df.collect()} and ids["2"] == [L.END]
+    seen, refine = [], L.refine
+    monkeypatch.setattr(L, "refine", lambda learn, *more: seen.append(learn.columns) or refine(learn, *more))
+    docs = spark.createDataFrame([(i, f"a b c{i}") for i in range(20)], "doc_id long, text string")
+    assert L.lm_scores(docs).count() == 20 and seen == [["doc_id", "ids"]]
